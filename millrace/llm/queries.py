@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, simhash
+from millrace.llm import decontaminate, lattice, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,8 +28,13 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score_texts(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op9_decontamination": op9_decontamination,
+    "op10_lattice_scores": op10_lattice_scores,
 }
 ORACLE_SQL: dict[str, str] = {}
