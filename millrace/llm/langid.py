@@ -35,6 +35,8 @@ ORDER = 5
 BLOCK = 1 << 18
 #: Rows of (doc_id, lang, place) up to which the choice of sample documents is broadcast.
 BROADCAST_ROWS = 200_000
+#: What a text of one symbol may have above its language's limit, in nats per symbol.
+SHORT = 3.0
 _STEPS = [pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(ORDER)]
 _SYMBOLS: np.ndarray | None = None
 
@@ -263,11 +265,11 @@ def _count(langs: dict[str, int]):
     return run
 
 
-def learn(rows: DataFrame, train_docs: int = 2000, calibrate_docs: int = 500, spread: float = 6.0) -> tuple[Models, dict[str, float]] | None:
+def learn(rows: DataFrame, train_docs: int = 2000, calibrate_docs: int = 500, spread: float = 6.0, slack: float = 1.0) -> tuple[Models, dict[str, float]] | None:
     """Models and rejection limits (cross-entropy in nats per symbol) from ``rows`` (doc_id, lang, text), or None.
 
     The limit of a language is the mean over its calibration documents plus ``spread`` standard deviations, and at
-    least half a nat above the mean.
+    least ``slack`` above the mean; short texts, whose cross-entropy varies more, get ``SHORT`` / sqrt(symbols) besides.
     """
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     named = rows.where("lang is not null and text is not null")
@@ -296,7 +298,7 @@ def learn(rows: DataFrame, train_docs: int = 2000, calibrate_docs: int = 500, sp
     checked = predict_with(sample.where((F.col("place") > train_docs) | (F.col("place") % 4 == 0)), models, {}, ["lang"])
     limits = {}
     for r in checked.where("nats is not null").groupBy("lang").agg(F.avg("nats").alias("m"), F.coalesce(F.stddev_pop("nats"), F.lit(0.0)).alias("d")).collect():
-        limits[r["lang"]] = r["m"] + max(0.5, spread * r["d"])
+        limits[r["lang"]] = r["m"] + max(slack, spread * r["d"])
     return models, limits
 
 
@@ -320,7 +322,7 @@ def predict_with(rows: DataFrame, models: Models | None, limits: dict[str, float
                 scores[some] = 1 / np.exp(odds).sum(axis=1)
                 for i, b, m in zip(some.tolist(), best.tolist(), (-mean.max(axis=1)).tolist(), strict=True):
                     preds[i], nats[i] = models.langs[b], m
-                    accepted[i] = m <= limits.get(models.langs[b], float("inf"))
+                    accepted[i] = bool(m <= limits.get(models.langs[b], float("inf")) + SHORT / n[i] ** 0.5)
             yield pa.RecordBatch.from_arrays([*kept, pa.array(preds), pa.array(scores), pa.array(nats, pa.float64()), pa.array(accepted)], [*keep, "lang_pred", "score", "nats", "accepted"])
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
