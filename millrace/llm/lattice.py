@@ -7,7 +7,7 @@ its segmentations by a forward recursion in log space; characters without a piec
 text is its words and one end. Pieces never cross words, so a text's log probability is the sum over its words, and each distinct word
 runs through the recursion once.
 
-How it scales: word counts combine in the tasks before the shuffle. The ``head_words`` most frequent words (a fixed bound) are
+How it scales: word counts combine in the tasks before the shuffle. The most frequent words, ``head_words`` at most, are
 broadcast and scored where the texts are read; the remaining words, each of which is rarer than all of those, meet the
 word table in a shuffle join and their sums go back to the documents with partial aggregation.
 
@@ -20,7 +20,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
 from math import exp, log, log10
 
 import numpy as np
@@ -208,6 +207,19 @@ def _score_documents(shared, end: tuple[int, float]):
     return run
 
 
+def _least_count(words: DataFrame, most: int) -> int:
+    """A count that at most ``most`` words reach; found from a histogram of fixed size."""
+    step = F.floor(F.log2("c") * 16)
+    rows = words.where("c > 0").groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("c")).collect()
+    least, held = (1 << 62), 0
+    for r in sorted(rows, key=lambda r: -r["step"]):
+        held += r["n"]
+        if held > most:
+            break
+        least = r["c"]
+    return least
+
+
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, head_words: int = 50_000, folds: int = 5, held_fold: int = 1) -> DataFrame:
     """A row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; see the module.
 
@@ -221,7 +233,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     total = words.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     n, v = (total["n"] or 0) + n_ends, total["v"] + (n_ends > 0)
     lattice, end = train_lattice(words, n_ends, vocabulary or default_vocabulary())
-    top = words.orderBy(F.desc("c"), "word").limit(head_words).collect()
+    top = words.where(F.col("c") >= _least_count(words, head_words)).collect()
     head = {r["word"].encode(): (int(r["c"] > 0), log10(r["c"] + 0.5), lattice.word(r["word"])) for r in top}
     shared, shared_head = spark.sparkContext.broadcast(lattice), spark.sparkContext.broadcast(head)
     schema = f"uid long, word string, tf int, doc_id {rows.schema['doc_id'].dataType.simpleString()}, train boolean, n_tokens long, known long, base double, ln_p0 double"
