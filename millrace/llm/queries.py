@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, langid, lattice, mixing, simhash, substrings
+from millrace.llm import decontaminate, langid, lattice, mixing, pii, secrets, simhash, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +22,23 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def _digest(text: str) -> Column:
+    return F.sha2(F.col(text).cast("binary"), 256)
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.summarise(pii.find(_table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", _digest("base").alias("base_sha256"), "spans")
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.summarise(secrets.find(_table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", _digest("base").alias("base_sha256"), "spans")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.remove_repeats(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_words", "n_removed", _digest("kept").alias("kept_sha256"))
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +62,8 @@ def op10_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_source_mixing": op3_source_mixing,
+    "op4_pii": op4_pii,
+    "op8_secret_scan": op8_secret_scan,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op9_decontamination": op9_decontamination,
