@@ -6,8 +6,8 @@ n-grams that any language has, and beside each its log probability in every lang
 look-up serves all languages. A second table holds the back-off weights of the contexts. A text goes to the language with the
 lowest cross-entropy per symbol; it is rejected when that cross-entropy lies above the language's calibrated limit.
 
-How it scales: the models are fitted on a bounded sample of labelled rows (``train_docs`` and ``calibrate_docs`` for each
-language, taken in hash order), counted in tasks and combined in a shuffle. The tables therefore don't grow with the
+How it scales: the models are fitted on a bounded sample of labelled rows (about ``train_docs`` and ``calibrate_docs`` for each
+language, chosen by hash), counted in tasks and combined in a shuffle. The tables therefore don't grow with the
 corpus. Prediction is one narrow pass over the whole texts, in blocks of bounded size; a very long text is cut into
 blocks that carry their context over.
 
@@ -26,15 +26,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from millrace.llm.common import materialise, pick
 
 ORDER = 5
 #: Symbols that are scored at once.
 BLOCK = 1 << 18
-#: Rows of (doc_id, lang, place) up to which the choice of sample documents is broadcast.
-BROADCAST_ROWS = 200_000
 #: What a text of one symbol may have above its language's limit, in nats per symbol.
 SHORT = 3.0
 _STEPS = [pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(ORDER)]
@@ -271,16 +268,16 @@ def learn(rows: DataFrame, train_docs: int = 2000, calibrate_docs: int = 500, sp
     The limit of a language is the mean over its calibration documents plus ``spread`` standard deviations, and at
     least ``slack`` above the mean; short texts, whose cross-entropy varies more, get ``SHORT`` / sqrt(symbols) besides.
     """
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     named = rows.where("lang is not null and text is not null")
-    chosen = named.select("doc_id", "lang", F.row_number().over(by_hash).alias("place")).where(F.col("place") <= train_docs + calibrate_docs)
-    chosen = materialise(chosen.groupBy("doc_id", "lang").agg(F.min("place").alias("place")), "chosen")
-    few = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
-    sample = materialise(named.join(few, ["doc_id", "lang"]), "sample")
-    langs = sorted(r["lang"] for r in sample.select("lang").distinct().collect())
-    if not langs:
+    counts = {r["lang"]: r["count"] for r in named.groupBy("lang").count().collect()}
+    if not counts:
         return None
-    train = sample.where(F.col("place") <= F.lit(train_docs))
+    # Each row has a place in 0..1 by hash; a language's first places train, the next ones calibrate.
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    per_row = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, float(n))])[F.col("lang")]
+    sample = materialise(named.withColumn("place", place * per_row).where(F.col("place") < train_docs + calibrate_docs), "sample")
+    langs = sorted(counts)
+    train = sample.where(F.col("place") < train_docs)
     sums = [f"s{k}" for k in range(1, ORDER + 1)] + [f"c{k}" for k in range(2, ORDER + 1)]
     schema = "lang int, n long, " + ", ".join(f"{c} long" for c in sums)
     counted = train.select("lang", "text").mapInArrow(_count({x: i for i, x in enumerate(langs)}), schema)
@@ -295,7 +292,7 @@ def learn(rows: DataFrame, train_docs: int = 2000, calibrate_docs: int = 500, sp
         contexts = np.stack([np.zeros(at.sum(), np.uint64), *[cols[f"c{k}"][at] for k in range(2, ORDER + 1)]])
         counts.append((suffixes, contexts, table["n"].to_numpy()[at]))
     models = Models(langs, counts)
-    checked = predict_with(sample.where((F.col("place") > train_docs) | (F.col("place") % 4 == 0)), models, {}, ["lang"])
+    checked = predict_with(sample.where((F.col("place") >= train_docs) | (F.floor("place") % 4 == 0)), models, {}, ["lang"])
     limits = {}
     for r in checked.where("nats is not null").groupBy("lang").agg(F.avg("nats").alias("m"), F.coalesce(F.stddev_pop("nats"), F.lit(0.0)).alias("d")).collect():
         limits[r["lang"]] = r["m"] + max(slack, spread * r["d"])
