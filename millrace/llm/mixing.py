@@ -116,7 +116,7 @@ def _settled(row: dict) -> dict:
     return row | {"copies": row["copies"] + round(row["fraction"]), "fraction": 0.0, "left": False}
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, chunk_rows: int = 20_000, fan: int = 1000, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, chunk_rows: int = 2000, fan: int = 1000, seed: int = 7) -> DataFrame:
     """A row for each document: doc_id, source, size, source_size, target (its source's), copies, taken (copies x size)."""
     spark = docs.sparkSession
     sized = materialise(sizes(docs, id_col, text_col, source_col), "sizes")
