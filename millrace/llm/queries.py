@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import ann, decontaminate, langid, lattice, mixing, pii, secrets, simhash, substrings
+from millrace.llm import ann, decontaminate, langid, lattice, mixing, ordinal, pii, secrets, simhash, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,11 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = ordinal.grades_of(_table(spark, sf_dir, "labels"))
+    return ordinal.grade(_table(spark, sf_dir, "documents"), labels).drop("tails")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_quality_grades": op7_quality_grades,
     "op9_decontamination": op9_decontamination,
     "op10_lattice_scores": op10_lattice_scores,
 }
