@@ -7,9 +7,10 @@ codes, suffixes with equal paths are the leaves below one deep node, and a node
 repeat. A leaf starts a repeated window if its node also has a leaf of a document with a smaller doc_id. Neighbouring repeated windows
 join to maximal repeats, and their words are removed.
 
-How it scales: the sizes of all prefixes are counted over the whole corpus, as fixed-size histograms that combine before
-the shuffle. Suffixes travel as packed arrays, about nine bytes each: the code of the path below the prefix, and the
-gap to the suffix before. A single passage with more than ``group_rows`` occurrences can't be split by a longer prefix; for such
+How it scales: each scan packs its texts by a few megabytes, in the order of its files, so that the packs of all scans agree. The sizes of all
+prefixes are counted over the whole corpus, as fixed-size histograms that combine before the shuffle. Suffixes travel as arrays by pack and group,
+about nine bytes a suffix: the code of the path below the prefix, and the gap to the suffix before. What a group finds goes back to the packs the
+same way. A single passage with more than ``group_rows`` occurrences can't be split by a longer prefix; for such
 codes the smallest doc_id is found by an aggregation that combines in the tasks, and since each holds at least a
 fixed share of all suffixes, this list is bounded and sent to the readers of the texts, which then decide by themselves.
 
@@ -30,15 +31,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise, partitions_for, pick
+from millrace.llm.common import pick
 
-BINS = 1 << 16
-#: Documents that are packed together, if their texts are short.
-PACK_BYTES = 32 << 20
+#: Bytes of text whose suffixes are packed together.
+PACK_BYTES = 4 << 20
 _ODD = [pow(0xD1B54A32D192ED03, 2 * k + 1, 1 << 64) for k in range(64)]
 
 
@@ -63,20 +64,66 @@ def path_codes(words: np.ndarray, window: int) -> list[np.ndarray]:
     return out
 
 
-def _bins(codes: np.ndarray) -> np.ndarray:
-    return (codes >> np.uint64(48)).astype(np.int64)
+def bins_for(chars: int, group_rows: int) -> int:
+    """Bits of a histogram's bins: enough that a bin holds a small part of a group."""
+    return min(20, max(12, int(chars * 4 // group_rows).bit_length()))
 
 
-def _histogram(window: int):
+def _bins(codes: np.ndarray, bits: int) -> np.ndarray:
+    return (codes >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) -> packs of documents: their ids, which of them are null, and the lengths of their texts; the texts."""
+    zip_, pack = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << 33
+
+    def send(docs: list[tuple[int | None, bytes]]) -> pa.RecordBatch:
+        ids = np.array([i or 0 for i, _ in docs], np.int64)
+        table = np.stack([np.diff(ids, prepend=0), np.array([i is None for i, _ in docs], np.int64), np.array([len(t) for _, t in docs], np.int64)])
+        row = [pack, zlib.compress(table.tobytes(), 1), zip_.compress(b"".join(t for _, t in docs))]
+        return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *[pa.array([x], pa.binary()) for x in row[1:]]], ["pack", "ids", "texts"])
+
+    held, size = [], 0
+    for batch in batches:
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            held.append((doc, text or b""))
+            size += 16 + len(text or b"")
+            if size > PACK_BYTES:
+                yield send(held)
+                held, size, pack = [], 0, pack + 1
+    if held:
+        yield send(held)
+
+
+def _after_packs(work):
+    """``work`` over packs, in the task that makes them."""
+    return lambda batches: work(_packs(batches))
+
+
+def _opened(ids: bytes, texts: bytes) -> Iterator[tuple[int | None, list[bytes]]]:
+    """The documents of a pack and their words."""
+    table = np.frombuffer(zlib.decompress(ids), np.int64).reshape(3, -1)
+    line, at = zstandard.ZstdDecompressor().decompress(texts), 0
+    for doc, null, n in zip(np.cumsum(table[0]).tolist(), table[1].tolist(), table[2].tolist(), strict=True):
+        yield None if null else doc, line[at : at + n].split()
+        at += n
+
+
+def _coded(ids: bytes, texts: bytes, window: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The documents of a pack that have windows, and the path codes of these."""
+    for doc, words in _opened(ids, texts):
+        if doc is not None and len(words) >= window:
+            yield doc, path_codes(word_codes(words), window)
+
+
+def _histogram(window: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        depths = depths_for(window)
-        total = np.zeros((len(depths), BINS), np.int64)
+        total = np.zeros((len(depths_for(window)), 1 << bits), np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = text.split() if text else []
-                if len(words) >= window:
-                    for d, codes in enumerate(path_codes(word_codes(words), window)):
-                        total[d] += np.bincount(_bins(codes), minlength=BINS)
+            for ids, texts in zip(batch.column("ids"), batch.column("texts"), strict=True):
+                for _, codes in _coded(ids.as_py(), texts.as_py(), window):
+                    for d, x in enumerate(codes):
+                        total[d] += np.bincount(_bins(x, bits), minlength=1 << bits)
         d, b = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(d.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(total[d, b])], ["depth", "bin", "n"])
 
@@ -87,6 +134,7 @@ class Plan:
     """Which group a suffix goes to: ``group[depth][bin]``, or -1 if its prefix must be longer."""
 
     def __init__(self, counts: np.ndarray, group_rows: int) -> None:
+        self.bits = counts.shape[1].bit_length() - 1
         self.group = np.full(counts.shape, -1, np.int32)
         self.hot_bins: np.ndarray = counts[-1] > group_rows
         group, held = 0, 0
@@ -102,12 +150,12 @@ class Plan:
         self.groups = group + 1
 
     def of(self, codes: list[np.ndarray]) -> np.ndarray:
-        out = self.group[0][_bins(codes[0])]
+        out = self.group[0][_bins(codes[0], self.bits)]
         for d in range(1, len(codes)):
             left = np.flatnonzero(out < 0)
             if not len(left):
                 break
-            out[left] = self.group[d][_bins(codes[d][left])]
+            out[left] = self.group[d][_bins(codes[d][left], self.bits)]
         return out
 
 
@@ -122,160 +170,135 @@ def _unpacked(x: bytes) -> np.ndarray:
     return np.frombuffer(x, {1: np.uint8, 2: np.uint16, 4: np.uint32}[x[0]], offset=1).astype(np.int64)
 
 
-def _pack(shared, window: int):
-    """(doc_id, text) -> by pack of documents and group: the documents' ids and suffix counts, the gaps between the
-    group's suffixes, and their codes. Windows of hot codes are decided here and go out as group -1."""
+def _spread(shared, window: int):
+    """Packs -> by pack and group: the documents' ids and numbers of windows, the gaps between the group's suffixes, and
+    their codes. Windows of hot codes are decided here and go out as group -1."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(pack: int, docs: list[tuple[int, list[np.ndarray]]]) -> Iterator[tuple]:
         plan, hot_codes, hot_first = shared.value
+        ids = np.array([i for i, _ in docs], np.int64)
+        sizes = np.array([len(c[0]) for _, c in docs], np.int64)
+        codes = [np.concatenate(c) for c in zip(*(c for _, c in docs), strict=True)]
+        group, own = plan.of(codes), codes[-1]
+        where = np.arange(len(own))
+        head = zlib.compress(np.stack([np.diff(ids, prepend=0), sizes]).tobytes(), 1)
+        if len(hot_codes):
+            at = np.minimum(np.searchsorted(hot_codes, own), len(hot_codes) - 1)
+            hot = hot_codes[at] == own
+            again = np.flatnonzero(hot & (hot_first[at] < np.repeat(ids, sizes)))
+            if len(again):
+                yield pack, -1, head, _packed(np.diff(again, prepend=0)), b""
+            where, group, own = where[~hot], group[~hot], own[~hot]
+        order = np.argsort(group, kind="stable")
+        cuts = np.flatnonzero(np.diff(group[order], prepend=-2))
+        for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+            at = order[a:b]
+            yield pack, int(group[at[0]]), head, _packed(np.diff(where[at], prepend=0)), own[at].tobytes()
 
-        def send(docs: list[tuple[int, list[np.ndarray]]]) -> pa.RecordBatch:
-            ids = np.array([i for i, _ in docs], np.int64)
-            sizes = np.array([len(c[0]) for _, c in docs], np.int64)
-            codes = [np.concatenate(c) for c in zip(*(c for _, c in docs), strict=True)]
-            group, own = plan.of(codes), codes[-1]
-            where = np.arange(len(own))
-            rows: dict[str, list] = {"grp": [], "docs": [], "gaps": [], "codes": []}
-            head = zlib.compress(np.concatenate([[len(ids)], np.diff(ids, prepend=0), sizes]).astype(np.int64).tobytes(), 1)
-            if len(hot_codes):
-                at = np.minimum(np.searchsorted(hot_codes, own), len(hot_codes) - 1)
-                hot = hot_codes[at] == own
-                again = np.flatnonzero(hot & (hot_first[at] < np.repeat(ids, sizes)))
-                if len(again):
-                    for k, v in zip(rows, (-1, head, _packed(np.diff(again, prepend=0)), b""), strict=True):
-                        rows[k].append(v)
-                where, group, own = where[~hot], group[~hot], own[~hot]
-            order = np.argsort(group, kind="stable")
-            cuts = np.flatnonzero(np.diff(group[order], prepend=-2))
-            for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
-                at = order[a:b]
-                for k, v in zip(rows, (int(group[at[0]]), head, _packed(np.diff(where[at], prepend=0)), own[at].tobytes()), strict=True):
-                    rows[k].append(v)
-            return pa.RecordBatch.from_arrays([pa.array(rows["grp"], pa.int32()), *[pa.array(rows[k], pa.binary()) for k in ("docs", "gaps", "codes")]], list(rows))
-
-        held, size = [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = text.split() if text and doc is not None else []
-                if len(words) >= window:
-                    held.append((doc, path_codes(word_codes(words), window)))
-                    size += len(text)
-                if size > PACK_BYTES:
-                    yield send(held)
-                    held, size = [], 0
-        if held:
-            yield send(held)
+            for pack, ids, texts in zip(*batch.columns, strict=True):
+                if docs := list(_coded(ids.as_py(), texts.as_py(), window)):
+                    cols = zip(*send(pack.as_py(), docs), strict=True)
+                    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["pack", "grp", "docs", "gaps", "codes"])
 
     return run
 
 
-def _read_docs(head: bytes) -> tuple[np.ndarray, np.ndarray]:
-    x = np.frombuffer(zlib.decompress(head), np.int64)
-    n = int(x[0])
-    return np.cumsum(x[1 : n + 1]), x[n + 1 :]
-
-
-def _repeats(packs: pd.DataFrame) -> pd.DataFrame:
-    """One group's subtree: for each document the places whose node also has a leaf of a smaller doc_id."""
+def _repeats(rows: pd.DataFrame) -> pd.DataFrame:
+    """One group's subtree: by pack the places whose node also has a leaf of a smaller doc_id."""
     docs, places, codes = [], [], []
-    decided = packs["grp"].iloc[0] < 0
-    for head, gaps, own in zip(packs["docs"], packs["gaps"], packs["codes"], strict=True):
-        ids, sizes = _read_docs(head)
+    for head, gaps, own in zip(rows["docs"], rows["gaps"], rows["codes"], strict=True):
+        table = np.frombuffer(zlib.decompress(head), np.int64).reshape(2, -1)
         at = np.cumsum(_unpacked(gaps))
-        ends = np.cumsum(sizes)
-        doc = np.searchsorted(ends, at, side="right")
-        docs.append(ids[doc])
-        places.append((at - (ends - sizes)[doc]).astype(np.int32))
+        docs.append(np.cumsum(table[0])[np.searchsorted(np.cumsum(table[1]), at, side="right")])
+        places.append(at.astype(np.uint32))
         codes.append(np.frombuffer(own, np.uint64))
-    doc, place = np.concatenate(docs), np.concatenate(places)
-    if not decided:
-        code = np.concatenate(codes)
+    if rows["grp"].iloc[0] >= 0:
+        sizes = [len(x) for x in places]
+        doc, code = np.concatenate(docs), np.concatenate(codes)
         order = np.argsort(code, kind="stable")
-        code, doc, place = code[order], doc[order], place[order]
+        code = code[order]
         node = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-        least = np.repeat(np.minimum.reduceat(doc, node), np.diff(np.append(node, len(code))))
-        again = doc > least
-        doc, place = doc[again], place[again]
-    order = np.argsort(doc, kind="stable")
-    doc, place = doc[order], place[order]
-    cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-    parts = [np.sort(p).tobytes() for p in np.split(place, cuts[1:])] if len(cuts) else []
-    return pd.DataFrame({"doc_id": doc[cuts], "places": parts})
+        least = np.empty_like(doc)
+        least[order] = np.repeat(np.minimum.reduceat(doc[order], node), np.diff(np.append(node, len(code))))
+        again = np.split(doc > least, np.cumsum(sizes)[:-1])
+        places = [p[a] for p, a in zip(places, again, strict=True)]
+    found = [(p, x.tobytes()) for p, x in zip(rows["pack"], places, strict=True) if len(x)]
+    return pd.DataFrame({"pack": np.array([p for p, _ in found], np.int64), "places": [x for _, x in found]})
 
 
 def _hot_codes(rows: DataFrame, plan: Plan, window: int, group_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """The codes with more than a quarter of ``group_rows`` suffixes among the bins that no prefix makes small enough, and
     the smallest doc_id of each: at most four for each ``group_rows`` suffixes."""
     shared = rows.sparkSession.sparkContext.broadcast(plan.hot_bins)
+    bits = plan.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                ids, codes = [], []
-                for doc, text in zip(*(c.to_pylist() for c in batch.slice(at, 1000).columns), strict=True):
-                    words = text.split() if text and doc is not None else []
-                    if len(words) >= window:
-                        own = path_codes(word_codes(words), window)[-1]
-                        own = own[shared.value[_bins(own)]]
-                        codes.append(own)
-                        ids.append(np.full(len(own), doc, np.int64))
-                if ids and len(own := np.concatenate(codes)):
+            for ids, texts in zip(batch.column("ids"), batch.column("texts"), strict=True):
+                docs = [(i, c[-1][shared.value[_bins(c[-1], bits)]]) for i, c in _coded(ids.as_py(), texts.as_py(), window)]
+                own = np.concatenate([c for _, c in docs] or [np.zeros(0, np.uint64)])
+                if len(own):
+                    of = np.repeat(np.array([i for i, _ in docs], np.int64), [len(c) for _, c in docs])
                     order = np.argsort(own, kind="stable")
                     code, first, n = np.unique(own[order], return_index=True, return_counts=True)
-                    least = np.minimum.reduceat(np.concatenate(ids)[order], first)
+                    least = np.minimum.reduceat(of[order], first)
                     yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(least), pa.array(n)], ["code", "first", "n"])
 
-    found = rows.mapInArrow(run, "code long, first long, n long").groupBy("code").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
+    found = rows.mapInArrow(_after_packs(run), "code long, first long, n long").groupBy("code").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
     table = found.where(F.col("n") > group_rows // 4).toArrow()
     codes = table["code"].to_numpy().view(np.uint64)
     order = np.argsort(codes)
     return codes[order], table["first"].to_numpy()[order]
 
 
-def repeated_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, group_rows: int = 2_000_000) -> DataFrame:
-    """doc_id, places: sorted int32 word positions, packed, at which windows start that a smaller doc_id has too."""
+def _removed(kind: str, window: int):
+    """(pack, ids, texts, places) -> a row for each document."""
+    span = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, texts, places in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
+                again = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in places.as_py() or ()] or [np.zeros(0, np.uint32)]))
+                docs, n_words, n_removed, kept, spans, at = [], [], [], [], [], 0
+                for doc, words in _opened(ids.as_py(), texts.as_py()):
+                    n = max(0, len(words) - window + 1) if doc is not None else 0
+                    a, b = np.searchsorted(again, [at, at + n])
+                    edge = np.zeros(len(words) + 1, np.int32)
+                    edge[again[a:b] - at] += 1  # a place is in one group only
+                    edge[again[a:b] - at + window] -= 1
+                    gone, at = np.cumsum(edge)[:-1] > 0, at + n
+                    turn = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+                    docs.append(doc)
+                    n_words.append(len(words))
+                    n_removed.append(int(gone.sum()))
+                    spans.append([{"start": int(x), "words": int(y - x)} for x, y in zip(turn[::2], turn[1::2], strict=True)])
+                    kept.append(b" ".join(words if not len(turn) else [w for w, g in zip(words, gone.tolist(), strict=True) if not g]))
+                cols = [pa.array(docs, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, span)]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_removed", "kept", "repeats"])
+
+    return run, f"doc_id {kind}, n_words long, n_removed long, kept string, repeats array<struct<start:int,words:int>>"
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, group_rows: int = 2_000_000) -> DataFrame:
+    """A row for each document: doc_id, n_words, n_removed, kept (the kept words, joined by blanks), repeats (array of
+    the maximal removed spans as first word and number of words)."""
     spark = docs.sparkSession
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    counted = rows.select("text").mapInArrow(_histogram(window), "depth int, bin int, n long").groupBy("depth", "bin").agg(F.sum("n").alias("n"))
-    counts = np.zeros((len(depths_for(window)), BINS), np.int64)
+    packs = rows.mapInArrow(_packs, "pack long, ids binary, texts binary")  # the same ones in every scan of the same files
+    bits = bins_for(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, group_rows)
+    counted = rows.mapInArrow(_after_packs(_histogram(window, bits)), "depth int, bin int, n long").groupBy("depth", "bin").agg(F.sum("n").alias("n"))
+    counts = np.zeros((len(depths_for(window)), 1 << bits), np.int64)
     table = counted.toArrow()  # a row for each depth and bin at most
     counts[table["depth"].to_numpy(), table["bin"].to_numpy()] = table["n"].to_numpy()
     plan = Plan(counts, group_rows)
     hot = _hot_codes(rows, plan, window, group_rows) if plan.hot_bins.any() else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     shared = spark.sparkContext.broadcast((plan, *hot))
-    packs = rows.mapInArrow(_pack(shared, window), "grp int, docs binary, gaps binary, codes binary")
-    packs = packs.withColumn("salt", F.when(F.col("grp") < 0, F.pmod(F.xxhash64("gaps"), F.lit(1 << 20))).otherwise(0))
-    found = packs.groupBy("grp", "salt").applyInPandas(_repeats, "doc_id long, places binary")
-    return found.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, group_rows: int = 2_000_000) -> DataFrame:
-    """A row for each document: doc_id, n_words, n_removed, kept (the kept words, joined by blanks), repeats (array of
-    the maximal removed spans as first word and number of words)."""
-    rows = pick(docs, doc_id=id_col, text=text_col)
-    found = materialise(repeated_places(docs, id_col, text_col, window, group_rows), "repeats")
-    met = rows.join(found.withColumnRenamed("doc_id", "of"), F.col("doc_id") == F.col("of"), "left")
-    met = met.select("doc_id", F.col("text").cast("binary").alias("text"), "places")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_words, n_removed, kept, spans = [], [], [], []
-            for text, places in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words = text.split() if text else []
-                n_words.append(len(words))
-                edge = np.zeros(len(words) + 1, np.int32)
-                for part in places or ():
-                    at = np.frombuffer(part, np.int32)
-                    edge[at] += 1  # a place is in one group only
-                    edge[at + window] -= 1
-                gone = np.cumsum(edge)[:-1] > 0
-                n_removed.append(int(gone.sum()))
-                turn = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                spans.append([{"start": int(a), "words": int(b - a)} for a, b in zip(turn[::2], turn[1::2], strict=True)])
-                kept.append(b" ".join(words if not len(turn) else [w for w, g in zip(words, gone.tolist(), strict=True) if not g]))
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32())]))
-            cols = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, kind)]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_removed", "kept", "repeats"])
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return met.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept string, repeats array<struct<start:int,words:int>>")
+    spread = rows.mapInArrow(_after_packs(_spread(shared, window)), "pack long, grp int, docs binary, gaps binary, codes binary")
+    salt = F.when(F.col("grp") < 0, F.col("pack")).otherwise(0)
+    found = spread.groupBy("grp", salt.alias("salt")).applyInPandas(_repeats, "pack long, places binary")
+    found = found.groupBy("pack").agg(F.collect_list("places").alias("places"))  # as large as the pack's own windows at most
+    met = packs.join(found, "pack", "left").select("pack", "ids", "texts", "places")
+    return met.mapInArrow(*_removed("long", window))

@@ -48,7 +48,7 @@ def test_groups_stay_small():
 
     words = S.word_codes([b"a b c d e f g h i j k l m".split()[k % 13] for k in range(3000)] + [b"%d" % k for k in range(9000)])
     codes = S.path_codes(words, 13)
-    counts = np.array([np.bincount(S._bins(c), minlength=S.BINS) for c in codes])
+    counts = np.array([np.bincount(S._bins(c, 16), minlength=1 << 16) for c in codes])
     group = S.Plan(counts, 500).of(codes)
     assert group.min() >= 0 and np.bincount(group).max() <= 500
 
