@@ -162,7 +162,7 @@ def _matcher(automaton_of):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton: WindowAutomaton = automaton_of.value
-        for batch in batches:
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             texts = batch.column(batch.schema.get_field_index("__text")).to_pylist()
             before = batch.column(batch.schema.get_field_index("__match")).to_pylist()
             out = []
@@ -206,18 +206,20 @@ def _automata(benchmark: DataFrame, id_col: str, text_col: str, window: int, max
 
 def match_documents(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    window: int = 10, max_words: int = MAX_AUTOMATON_WORDS,
+    window: int = 10, max_words: int = MAX_AUTOMATON_WORDS, then=None,
 ) -> DataFrame:
-    """``docs`` with all its columns plus the struct ``__match`` of its matches: see ``MATCHES``."""
+    """``docs`` with all its columns plus the struct ``__match`` of its matches: see ``MATCHES``. then: what the last pass
+    does with these rows in the same task, giving rows of ``docs``."""
     spark = docs.sparkSession
     out = docs.withColumn("__text", F.col(text_col).cast("binary")).withColumn("__match", F.lit(None).cast(MATCHES))
-    first = True
+    before = None
     for automaton in _automata(benchmark, item_col, item_text_col, window, max_words):
-        if not first:
-            out = materialise(out, "matches")
-        first = False
-        out = out.mapInArrow(_matcher(spark.sparkContext.broadcast(automaton)), out.schema)
-    return out.drop("__text")
+        if before is not None:
+            out = materialise(out.mapInArrow(before, out.schema), "matches")
+        before = _matcher(spark.sparkContext.broadcast(automaton))
+    if then is None:
+        return out.mapInArrow(before, out.schema).drop("__text")
+    return out.mapInArrow(lambda batches: then(before(batches)), docs.schema)
 
 
 def scan_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -239,7 +241,7 @@ def _cutter(text_col: str, max_coverage: float):
                 keep.append(hit == 0 or hit <= max_coverage * m["n_words"])
                 out.append(cut_spans(text, m["starts"], m["ends"]) if hit and keep[-1] else text)
             done = batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
-            yield done.drop_columns(["__match"]).filter(pa.array(keep, pa.bool_()))
+            yield done.drop_columns(["__text", "__match"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -259,5 +261,4 @@ def decontaminate(
 ) -> DataFrame:
     """``docs`` without benchmark passages: hit spans are cut from the text; a document of which more than
     ``max_coverage`` of the words are hit goes. Documents without a hit, null texts too, stay unchanged."""
-    found = match_documents(docs, benchmark, text_col, **options)
-    return found.mapInArrow(_cutter(text_col, max_coverage), docs.schema)
+    return match_documents(docs, benchmark, text_col, then=_cutter(text_col, max_coverage), **options)

@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +31,10 @@ from millrace.llm.common import materialise, pick
 ORDER = 5
 #: Symbols that are scored at once.
 BLOCK = 1 << 18
+#: Types that a task holds for a language before it passes them on.
+HELD = 400_000
+#: Documents that are scored together.
+ROWS = 500
 #: What a text of one symbol may have above its language's limit, in nats per symbol.
 SHORT = 3.0
 _STEPS = [pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(ORDER)]
@@ -239,25 +242,42 @@ class Models:
         return out, n
 
 
+def _types(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal order-ORDER types as one, with their counts summed."""
+    _, first, back = np.unique(rows[ORDER - 1], return_index=True, return_inverse=True)
+    return rows[:, first], np.bincount(back, n, len(first)).astype(np.int64)
+
+
 def _count(langs: dict[str, int]):
-    """(lang, text) -> language, count and the sums of each order-ORDER type, combined within a task's blocks."""
+    """(lang, text) -> language, count and the sums of each order-ORDER type; a task combines up to ``HELD`` types."""
+    names = ["lang", "n", *[f"s{k}" for k in range(1, ORDER + 1)], *[f"c{k}" for k in range(2, ORDER + 1)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["lang", "n", *[f"s{k}" for k in range(1, ORDER + 1)], *[f"c{k}" for k in range(2, ORDER + 1)]]
-        for batch in batches:
-            held: dict[str, list[np.ndarray]] = {}
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def out(lang: str, rows: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            cols = [pa.array(np.full(len(n), langs[lang], np.int32)), pa.array(n), *[pa.array(r.view(np.int64)) for r in rows]]
+            return pa.RecordBatch.from_arrays(cols, names)
+
+        for batch in _sliced(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = symbols(text)
                 for at in range(0, len(s), BLOCK):
                     part = s[max(0, at - ORDER) : at + BLOCK]
                     sums = suffix_sums(part)
                     before = [np.concatenate([[Models._start(k)], x[:-1]]).astype(np.uint64) for k, x in enumerate(sums[:-1], 1)]
-                    held.setdefault(lang, []).append(np.stack([*sums, *before])[:, min(at, ORDER) :])
-            for lang, parts in held.items():
-                rows = np.concatenate(parts, axis=1)
-                _, first, n = np.unique(rows[ORDER - 1], return_index=True, return_counts=True)
-                cols = [pa.array(np.full(len(n), langs[lang], np.int32)), pa.array(n), *[pa.array(r.view(np.int64)) for r in rows[:, first]]]
-                yield pa.RecordBatch.from_arrays(cols, names)
+                    rows = np.stack([*sums, *before])[:, min(at, ORDER) :]
+                    own = held.setdefault(lang, [])
+                    own.append(_types(rows, np.ones(rows.shape[1])))
+                    if sum(len(n) for _, n in own) > HELD:
+                        rows, n = _types(np.concatenate([r for r, _ in own], axis=1), np.concatenate([n for _, n in own]))
+                        own[:] = [(rows, n)]
+                        if len(n) > HELD // 2:
+                            yield out(lang, rows, n)
+                            own.clear()
+        for lang, own in held.items():
+            if own:
+                yield out(lang, *_types(np.concatenate([r for r, _ in own], axis=1), np.concatenate([n for _, n in own])))
 
     return run
 
@@ -299,28 +319,38 @@ def learn(rows: DataFrame, train_docs: int = 2000, calibrate_docs: int = 500, sp
     return models, limits
 
 
+def _predicted(models: Models | None, limits: dict[str, float], texts: list[str | None]) -> tuple[list, np.ndarray, list, list]:
+    """lang_pred, score, nats and accepted of each text."""
+    preds, scores, nats, accepted = ["und"] * len(texts), np.zeros(len(texts)), [None] * len(texts), [False] * len(texts)
+    if models:
+        total, n = models.totals(texts)
+        some = np.flatnonzero(n)
+        mean = total[some] / n[some, None]
+        best = mean.argmax(axis=1)
+        # Neighbouring symbols tell much the same, so a symbol counts for a fifth, and a text for 100 symbols at most.
+        odds = (mean - mean.max(axis=1, keepdims=True)) * np.minimum(n[some], 500)[:, None] / ORDER
+        scores[some] = 1 / np.exp(odds).sum(axis=1)
+        for i, b, m in zip(some.tolist(), best.tolist(), (-mean.max(axis=1)).tolist(), strict=True):
+            preds[i], nats[i] = models.langs[b], m
+            accepted[i] = bool(m <= limits.get(models.langs[b], float("inf")) + SHORT / n[i] ** 0.5)
+    return preds, scores, nats, accepted
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, so that few texts are open at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def predict_with(rows: DataFrame, models: Models | None, limits: dict[str, float], keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``rows`` (which has text) plus lang_pred, score, nats and accepted."""
     shared = rows.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models: Models | None = shared.value
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            kept = batch.columns[1:]
-            preds, scores, nats, accepted = ["und"] * len(texts), np.zeros(len(texts)), [None] * len(texts), [False] * len(texts)
-            if models:
-                total, n = models.totals(texts)
-                some = np.flatnonzero(n)
-                mean = total[some] / n[some, None]
-                best = mean.argmax(axis=1)
-                # Neighbouring symbols tell much the same, so a symbol counts for a fifth, and a text for 100 symbols at most.
-                odds = (mean - mean.max(axis=1, keepdims=True)) * np.minimum(n[some], 500)[:, None] / ORDER
-                scores[some] = 1 / np.exp(odds).sum(axis=1)
-                for i, b, m in zip(some.tolist(), best.tolist(), (-mean.max(axis=1)).tolist(), strict=True):
-                    preds[i], nats[i] = models.langs[b], m
-                    accepted[i] = bool(m <= limits.get(models.langs[b], float("inf")) + SHORT / n[i] ** 0.5)
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(preds), pa.array(scores), pa.array(nats, pa.float64()), pa.array(accepted)], [*keep, "lang_pred", "score", "nats", "accepted"])
+        for batch in _sliced(batches):
+            preds, scores, nats, accepted = _predicted(shared.value, limits, batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(preds), pa.array(scores), pa.array(nats, pa.float64()), pa.array(accepted)], [*keep, "lang_pred", "score", "nats", "accepted"])
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
     return rows.select("text", *keep).mapInArrow(run, f"{kinds}, lang_pred string, score double, nats double, accepted boolean")
@@ -348,7 +378,11 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     learnt = learn(rows.where("not held_out"), **options)
     if learnt is None:
         return docs.limit(0)
-    names = [f"__{i}" for i in range(len(docs.columns))]
-    plain = reduce(lambda d, x: d.withColumnRenamed(*x), zip(docs.columns, names, strict=True), docs)
-    found = predict_with(plain.withColumn("text", plain[names[docs.columns.index(text_col)]]), *learnt, names)
-    return found.where("accepted").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+    shared = docs.sparkSession.sparkContext.broadcast(learnt)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _sliced(batches):
+            yield batch.filter(pa.array(_predicted(*shared.value, batch.column(place).to_pylist())[3], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
