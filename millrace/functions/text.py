@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import vocab as V
@@ -41,8 +41,13 @@ def words(x: Column) -> Column:
 
 
 def any_of(x: Column, phrases: list[str]) -> Column:
-    """Whether the lower-cased text holds any phrase, with no regard to word boundaries."""
-    return reduce(lambda a, b: a | b, [F.contains(x, F.lit(p)) for p in phrases])
+    """Whether the lower-cased text holds any phrase, with no regard to word boundaries. The text is made once, not once a phrase."""
+    return F.exists(F.array(x), lambda t: reduce(lambda a, b: a | b, [F.contains(t, F.lit(p)) for p in phrases]))
+
+
+def bound(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with more columns, each computed once a row however often it is used: filters on them aren't pushed below."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 def squash(x: Column | str) -> Column:

@@ -7,6 +7,7 @@ no row is multiplied and nothing is shuffled.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +31,15 @@ def expanded(skill: str, synonyms: dict[str, list[str]] | None = None) -> list[s
 
 def matches(low: Column, skills: list[str], synonyms: dict[str, list[str]] | None = None) -> Column:
     """How many skills occur in the lower-cased text, by themselves or by a synonym."""
-    hits = [X.any_of(low, expanded(s, synonyms)).cast("int") for s in skills if s]
-    return sum(hits[1:], hits[0]) if hits else F.lit(0)
+    named = [expanded(s, synonyms) for s in skills if s]
+    if not named:
+        return F.lit(0)
+
+    def count(t: Column) -> Column:
+        hits = [reduce(lambda a, b: a | b, [F.contains(t, F.lit(x)) for x in terms]).cast("int") for terms in named]
+        return reduce(lambda a, b: a + b, hits)
+
+    return F.transform(F.array(low), count)[0]
 
 
 def _share(n: Column, skills: list[str]) -> Column:
@@ -41,18 +49,21 @@ def _share(n: Column, skills: list[str]) -> Column:
 def best_variant(variants: list[Variant], merged: list[str] | None = None, synonyms: dict[str, list[str]] | None = None) -> Column:
     """struct<score, variant>: the best share of skills, the first variant on ties, raised for wanted titles and sectors; without any
     match the share of the merged skills."""
-    low = R.lowered("description", "title", "company")
-    scored = [F.struct(_share(matches(low, list(v.skills), synonyms), list(v.skills)).alias("score"), F.lit(-k).alias("place"), F.lit(v.name).alias("variant")) for k, v in enumerate(variants) if v.skills]
-    top = F.array_max(F.array(*scored)) if scored else F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("place"), F.lit(None).cast("string").alias("variant"))
-    raised = lambda s, on, by: F.when((s > 0) & on, F.bround(F.least(F.lit(100.0), s * by), 1)).otherwise(s)
-    score = raised(top["score"], X.any_of(F.lower(X.text("title")), V.TITLE_BOOST), V.TITLE_FACTOR)
-    score = raised(score, X.any_of(R.lowered("description", "company"), V.SECTOR_BOOST), V.SECTOR_FACTOR)
-    fallback = _share(matches(low, merged, synonyms), merged) if merged else F.lit(0.0)
+    fields = F.struct(R.lowered("description", "title", "company").alias("low"), F.lower(X.text("title")).alias("title"), R.lowered("description", "company").alias("sector"))
+
+    def judge(x: Column) -> Column:
+        scored = [F.struct(_share(matches(x["low"], list(v.skills), synonyms), list(v.skills)).alias("score"), F.lit(-k).alias("place"), F.lit(v.name).alias("variant")) for k, v in enumerate(variants) if v.skills]
+        none = F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("place"), F.lit(None).cast("string").alias("variant"))
+        fallback = _share(matches(x["low"], merged, synonyms), merged) if merged else F.lit(0.0)
+        raised = lambda s, on, by: F.when((s > 0) & on, F.bround(F.least(F.lit(100.0), s * by), 1)).otherwise(s)
+        boosted = lambda s: raised(s, X.any_of(x["title"], V.TITLE_BOOST), V.TITLE_FACTOR)
+        in_sector = lambda s: raised(s, X.any_of(x["sector"], V.SECTOR_BOOST), V.SECTOR_FACTOR)
+        best = F.transform(F.array(F.array_max(F.array(*scored)) if scored else none), lambda t: F.struct(F.transform(F.array(boosted(t["score"])), in_sector)[0].alias("score"), F.when(t["score"] > 0, t["variant"]).alias("variant")))[0]
+        return F.transform(F.array(best), lambda t: F.struct(F.when(t["score"] > 0, t["score"]).otherwise(fallback).alias("score"), t["variant"].alias("variant")))[0]
+
     empty = (X.text("description") == "") & (X.text("title") == "")
-    return F.struct(
-        F.when(empty, 0.0).when(score > 0, score).otherwise(fallback).alias("score"),
-        F.when(~empty & (top["score"] > 0), top["variant"]).alias("variant"),
-    )
+    nothing = F.struct(F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("variant"))
+    return F.when(empty, nothing).otherwise(F.transform(F.array(fields), judge)[0])
 
 
 def letter_variant(description: Column | str, variants: list[Variant], default: str = "Primary") -> Column:
@@ -73,12 +84,12 @@ def final_score(score: Column, fields: list[str]) -> Column:
 def judged(postings: DataFrame, variants: list[Variant], merged: list[str] | None = None, synonyms: dict[str, list[str]] | None = None, min_score: float = 10, remote_only: bool = False) -> DataFrame:
     """All postings with base_score, best_cv, reject_reason, relevance_score and scam_risk, which are null for rejected ones."""
     fields = [c for c, t in postings.dtypes if t == "string"]
-    out = postings.withColumn("__best", best_variant(variants, merged, synonyms))
-    out = out.withColumn("base_score", F.col("__best.score")).withColumn("best_cv", F.col("__best.variant")).drop("__best")
-    out = out.withColumn("reject_reason", R.reject_reason(F.col("base_score"), fields, min_score, remote_only))
+    out = X.bound(postings, __best=best_variant(variants, merged, synonyms))
+    out = out.withColumns({"base_score": F.col("__best.score"), "best_cv": F.col("__best.variant")}).drop("__best")
+    out = X.bound(out, reject_reason=R.reject_reason(F.col("base_score"), fields, min_score, remote_only))
     kept = F.col("reject_reason").isNull()
     saved = X.text("source").isin(V.SAVED_SOURCES)
-    return out.withColumn("relevance_score", F.when(kept, final_score(F.col("base_score"), fields))).withColumn("scam_risk", F.when(kept, ~saved & R.scam_risk()))
+    return X.bound(out, relevance_score=F.when(kept, final_score(F.col("base_score"), fields)), scam_risk=F.when(kept, ~saved & R.scam_risk()))
 
 
 def kept(judged_: DataFrame, order: str = "ord") -> DataFrame:

@@ -214,7 +214,7 @@ SCORED = with_("v_docs") + ", src as (select * from v_docs)" + _score_sql()
 
 @register(SCORED + "select job_id, base_score as score, best_cv from scored")
 def score_best_variant(spark, d):
-    out = view(spark, d, "v_docs").select("job_id", score.best_variant(VARIANTS, MERGED).alias("b"))
+    out = X.bound(view(spark, d, "v_docs"), b=score.best_variant(VARIANTS, MERGED))
     return out.select("job_id", F.col("b.score").alias("score"), F.col("b.variant").alias("best_cv"))
 
 
