@@ -80,4 +80,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_lattice_scores": op10_lattice_scores,
 }
-ORACLE_SQL: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ORACLE_SQL: dict[str, str] = {
+    "op5_substring_dedup": r"""
+        with d as (select row_number() over () r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+        g as (select r, doc_id, i, w[i : i + 12] g from (select r, doc_id, w, unnest(range(1, len(w) - 11)) i from d where doc_id is not null and len(w) >= 13)),
+        f as (select *, min(doc_id) over (partition by g) least from g),
+        gone as (select r, list_distinct(flatten(list(range(i, i + 13)))) p from f where least < doc_id group by r)
+        select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(len(p), 0) as bigint) as n_removed,
+            sha256(coalesce(array_to_string(case when p is null then w else list_transform(list_filter(range(1, len(w) + 1), lambda k: not list_contains(p, k)), lambda k: w[k]) end, ' '), '')) as kept_sha256
+        from d left join gone using (r)""",
+    "op9_decontamination": rf"""
+        with n as (select row_number() over () r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+        b as (select cast(item_id as varchar) item, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
+        v as (select distinct item, least(10, len(w)) k, w[i : i + least(10, len(w)) - 1] g from (select item, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) i from b where len(w) > 0)),
+        p as (select r, k, i, w[i : i + k - 1] g from (select r, k, w, unnest(range(1, len(w) - k + 2)) i from n, (select distinct k from v) where len(w) >= k)),
+        m as (select r, p.k, i, item from p join v using (k, g)),
+        h as (select r, count(distinct q) n_hit from (select r, unnest(range(i, i + k)) q from (select distinct r, k, i from m)) group by r),
+        t as (select r, list_sort(list(distinct item)) items from m group by r)
+        select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, cast(coalesce(len(items), 0) as bigint) as n_items,
+            sha256(coalesce(array_to_string(items, ','), '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+        from n left join h using (r) left join t using (r)""",
+}
