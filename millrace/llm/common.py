@@ -43,3 +43,11 @@ def partitions_for(spark: SparkSession) -> int:
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operators' own names, so that extra columns never clash."""
     return df.select(*[df[source].alias(name) for name, source in columns.items()])
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """``base``, with underscores added until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import materialise, pick
+from millrace.llm.common import free_name, materialise, pick
 
 #: Words that one automaton holds at most (an automaton has at most two states for each).
 MAX_AUTOMATON_WORDS = 200_000
@@ -157,14 +157,14 @@ class WindowAutomaton:
         return spans, found, longest
 
 
-def _matcher(automaton_of):
-    """The function for ``mapInArrow`` over (text, earlier matches, ...)."""
+def _matcher(automaton_of, text_name: str, match_name: str):
+    """The function for ``mapInArrow`` over rows with a text in bytes and earlier matches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton: WindowAutomaton = automaton_of.value
         for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
-            texts = batch.column(batch.schema.get_field_index("__text")).to_pylist()
-            before = batch.column(batch.schema.get_field_index("__match")).to_pylist()
+            texts = batch.column(batch.schema.get_field_index(text_name)).to_pylist()
+            before = batch.column(batch.schema.get_field_index(match_name)).to_pylist()
             out = []
             for text, match in zip(texts, before, strict=True):
                 words = words_of(text) if text else []
@@ -176,7 +176,7 @@ def _matcher(automaton_of):
                 out.append(
                     {"n_words": len(words), "longest": longest, "starts": [a for a, _ in spans], "ends": [b for _, b in spans], "items": sorted(found)}
                 )
-            at = batch.schema.get_field_index("__match")
+            at = batch.schema.get_field_index(match_name)
             yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
 
     return run
@@ -208,17 +208,18 @@ def match_documents(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     window: int = 10, max_words: int = MAX_AUTOMATON_WORDS, then=None,
 ) -> DataFrame:
-    """``docs`` with all its columns plus the struct ``__match`` of its matches: see ``MATCHES``. then: what the last pass
-    does with these rows in the same task, giving rows of ``docs``."""
+    """``docs`` with all its columns, with its texts in bytes and, last, the struct of its matches: see ``MATCHES``. then: makes
+    what the last pass does with these rows in the same task, giving rows of ``docs``."""
     spark = docs.sparkSession
-    out = docs.withColumn("__text", F.col(text_col).cast("binary")).withColumn("__match", F.lit(None).cast(MATCHES))
+    text_name, match_name = free_name(docs, "__text"), free_name(docs, "__match")
+    out = docs.withColumn(text_name, docs[text_col].cast("binary")).withColumn(match_name, F.lit(None).cast(MATCHES))
     before = None
     for automaton in _automata(benchmark, item_col, item_text_col, window, max_words):
         if before is not None:
             out = materialise(out.mapInArrow(before, out.schema), "matches")
-        before = _matcher(spark.sparkContext.broadcast(automaton))
+        before = _matcher(spark.sparkContext.broadcast(automaton), text_name, match_name)
     if then is None:
-        return out.mapInArrow(before, out.schema).drop("__text")
+        return out.mapInArrow(before, out.schema)
     return out.mapInArrow(lambda batches: then(before(batches)), docs.schema)
 
 
@@ -234,14 +235,14 @@ def _cutter(text_col: str, max_coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            texts, matches = batch.column(at).to_pylist(), batch.column(batch.schema.get_field_index("__match")).to_pylist()
+            texts, matches = batch.column(at).to_pylist(), batch.columns[-1].to_pylist()
             keep, out = [], []
             for text, m in zip(texts, matches, strict=True):
                 hit = sum(m["ends"]) - sum(m["starts"])
                 keep.append(hit == 0 or hit <= max_coverage * m["n_words"])
                 out.append(cut_spans(text, m["starts"], m["ends"]) if hit and keep[-1] else text)
             done = batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
-            yield done.drop_columns(["__text", "__match"]).filter(pa.array(keep, pa.bool_()))
+            yield done.select(list(range(done.num_columns - 2))).filter(pa.array(keep, pa.bool_()))
 
     return run
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import spans as S
-from millrace.llm.common import materialise, pick
+from millrace.llm.common import free_name, materialise, pick
 
 #: Gives the column of a name: one of a frame, or a field of what is at hand.
 Named = Callable[[str], Column]
@@ -230,15 +230,17 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     weights = fit(materialise(propose(docs, id_col, text_col), "proposals"))
     if weights is None:
         return docs
-    text, none = F.col("__text"), F.array().cast("array<string>")
-    out = docs.withColumn("__text", F.col(text_col))
+    names = [free_name(docs, n) for n in ("__text", "__m", "__g")]
+    text, m, g = (F.col(n) for n in names)
+    none = F.array().cast("array<string>")
+    out = docs.withColumn(names[0], docs[text_col])
     for kind, guard, pattern in _proposals(text):
-        out = out.withColumn("__m", F.when(guard, F.regexp_extract_all("__text", F.lit(pattern), F.lit(0))).otherwise(none))
-        out = out.withColumn("__g", F.when(F.size("__m") > 0, F.split("__text", pattern, -1)).otherwise(none))
-        parts = F.arrays_zip(F.col("__m").alias("m"), F.col("__g").alias("g"), F.slice("__g", 2, F.greatest(F.size("__m"), F.lit(1))).alias("h"))
+        out = out.withColumn(names[1], F.when(guard, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none))
+        out = out.withColumn(names[2], F.when(F.size(m) > 0, F.split(text, pattern, -1)).otherwise(none))
+        parts = F.arrays_zip(m.alias("m"), g.alias("g"), F.slice(g, 2, F.greatest(F.size(m), F.lit(1))).alias("h"))
         told = F.transform(parts, _teller(kind, weights, threshold))
-        out = out.withColumn("__text", F.when(F.size("__m") > 0, F.array_join(told, "")).otherwise(text)).drop("__m", "__g")
-    return out.withColumn(text_col, text).select(*docs.columns)
+        out = out.withColumn(names[0], F.when(F.size(m) > 0, F.array_join(told, "")).otherwise(text)).drop(*names[1:])
+    return out.select(*[text.alias(c) if c == text_col else out[c] for c in docs.columns])
 
 
 def _teller(kind: str, weights: list[float], threshold: float):

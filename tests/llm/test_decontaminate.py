@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from millrace.llm import decontaminate as D
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -43,7 +44,7 @@ def test_cut_text_and_coverage(spark):
     bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven")], "item_id long, text string")
     passage = "One two three, four five six seven eight nine ten ELEVEN"
     rows = [(1, f"Before it. {passage}! And " + "then more " * 12, "a"), (2, passage, "b"), (3, "clean Text stays", "c"), (4, None, "d")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit("own") for c in ("__text", "__match", "n_words")})
     got = {r.doc_id: r for r in D.decontaminate(df, bench).collect()}
     assert got[1].text == "Before it. ! And " + "then more " * 12
     assert set(got) == {1, 3, 4} and got[3].text == "clean Text stays" and got[4].text is None and got[1].source == "a"

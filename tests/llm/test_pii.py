@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from millrace.llm import pii as P
 
 RE = {
@@ -71,7 +72,7 @@ def test_method_adds_and_masks(spark):
     rows = [(i, f"Contact us by e-mail: user{i}.x@mail{i}.com, or phone: +1 (619) 555-00{i:02d} now") for i in range(40)]
     rows += [(100 + i, f"Please call (212) 555-12{i:02d} today") for i in range(20)]
     rows += [(200, "plain words only"), (201, None), (202, "the code 4111 1111 1111 1112 fails")]
-    df = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    df = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string").withColumns({c: F.lit("own") for c in ("__text", "__m", "kind", "rid")})
     found = {r.doc_id: r for r in P.summarise(P.find(df)).collect()}
     assert found[100].spans == "local_phone:12:26" and found[200].spans == "" and found[202].spans == ""
     masked = {r.doc_id: r for r in P.mask(df).collect()}
