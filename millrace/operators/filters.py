@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from millrace.functions import text as X
 from millrace.functions import vocab as V
@@ -120,10 +119,14 @@ def internal_url(url: Column | str) -> Column:
 
 
 def within_budget(df: DataFrame, active: Column, most: int, order: str = "ord") -> DataFrame:
-    """Checks postings in order until ``most`` have passed; later ones stay unchecked, those that fail before go."""
-    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    passed = F.coalesce(F.sum(active.cast("int")).over(before), F.lit(0))
-    return df.withColumn("__passed", passed).where((F.col("__passed") >= most) | active).drop("__passed")
+    """Checks postings in order until ``most`` have passed; later ones stay unchecked, those that fail before go.
+
+    The place of the last check is the ``most``-th smallest order value among the active rows, found by a top-k; order values
+    must be unique.
+    """
+    passed = df.where(active).select(F.col(order).alias("__o")).orderBy("__o").limit(most)
+    last = passed.agg(F.when(F.count("*") == most, F.max("__o")).alias("__last"))
+    return df.crossJoin(F.broadcast(last)).where(active | F.coalesce(F.col(order) > F.col("__last"), F.lit(False))).drop("__last")
 
 
 def reject_reason(score: Column, fields: list[str], min_score: float = 10, remote_only: bool = False) -> Column:
