@@ -606,6 +606,100 @@ def greenhouse_scan(spark, d):
     return out.select(X.unescaped(F.col("title")).alias("title"), "company", "description", "link", "location")
 
 
+FEEDS = {
+    "lever": '[{"text": "Valve Lead", "descriptionPlain": "", "description": "<b>Own</b> valves", "hostedUrl": "https://x.org/1?utm_medium=a", "categories": {"location": "Oslo", "commitment": "Full-time"}}]',
+    "ashby": '{"jobs": [{"title": "Ops", "descriptionPlain": "run", "jobUrl": "https://x.org/2", "location": "", "publishedAt": "2024-01-01", "compensation": {"summary": "10k"}}]}',
+}
+
+
+@register(
+    "select 'Valve Lead' as title, 'Lever' as source, 'Own valves' as description, 'https://x.org/1' as link, 'Oslo' as location, 'Full-time' as salary, cast(null as varchar) as date_posted "
+    "union all select 'Ops', 'Ashby', 'run', 'https://x.org/2', 'Not stated', '10k', '2024-01-01'"
+)
+def board_union(spark, d):
+    frame = lambda name: spark.createDataFrame([(FEEDS[name],)], "payload string")
+    out = boards.union_of([boards.lever(frame("lever"), "Co"), boards.ashby(frame("ashby"), "Co")])
+    return out.select("title", "source", "description", "link", "location", "salary", "date_posted")
+
+
+COMPANIES = "(values ('A','greenhouse','a'),('B','unknown','b'),('C','lever',''),('D','Workday','d'),('E','successfactors','e')) as t(name, ats, slug)"
+
+
+@register(f"select name, ats, slug from {COMPANIES} where name in ('A', 'D', 'E')")
+def company_config(spark, d):
+    return boards.companies(spark.sql(f"select * from {COMPANIES}"))
+
+
+RESULTS = (
+    "(values ('Acme hiring Pump Engineer in Oslo | LinkedIn','https://www.linkedin.com/jobs/view/1','b1'),('Process Engineer at Foo','https://boards.greenhouse.io/foo/jobs/2','b2'),"
+    "('Jobs near you','https://x.org/search?q=a','b3'),('Writer - Bar','https://careers.bar.com/writer','b4')) as t(title, href, body)"
+)
+
+
+@register("select * from (values ('Pump Engineer','Acme','LinkedIn'),('Process Engineer','Foo','Greenhouse'),('Writer','Bar','Careers')) as t(title, company, source)")
+def web_results(spark, d):
+    return boards.search_results(spark.sql(f"select * from {RESULTS}")).select("title", "company", "source")
+
+
+# --- look-ups and ledgers ---
+
+
+@register(
+    with_("v_jobs") + ", m as (select id mid, case when id % 2 = 0 then job_title else 'New' end title, case when id % 2 = 0 then upper(company) else company end company, case when id % 3 = 0 then link else '' end link from v_jobs where id % 50 = 0), "
+    "byn as (select lower(job_title) t, lower(company) c, min(id) a from v_jobs group by 1, 2), byl as (select link, min(id) b from v_jobs group by 1) "
+    "select mid, coalesce(a, b) as job_id from m left join byn on lower(m.title) = t and lower(m.company) = c left join byl on m.link = byl.link"
+)
+def mail_match(spark, d):
+    jobs = view(spark, d, "v_jobs")
+    even = F.col("id") % 2 == 0
+    mails = jobs.where("id % 50 = 0").select(
+        F.col("id").alias("mid"), F.when(even, F.col("job_title")).otherwise("New").alias("title"), F.when(even, F.upper("company")).otherwise(F.col("company")).alias("company"),
+        F.when(F.col("id") % 3 == 0, F.col("link")).otherwise("").alias("link"),
+    )
+    return enrich.matched(mails, jobs).select("mid", "job_id")
+
+
+@register(
+    with_("v_docs") + "select job_id as id, case when length(description) > 800 and job_id % 2 = 0 then 'page' when length(description) > 300 then 'search' else 'title' end as text_from, "
+    "case when length(description) > 800 and job_id % 2 = 0 then left(description, 3000) when length(description) > 300 then left(description, 3000) else title end as text from v_docs"
+)
+def text_fallback(spark, d):
+    rows = view(spark, d, "v_docs").select(F.col("job_id").alias("id"), F.col("title").alias("job_title"), "description")
+    text = F.col("description").alias("text")
+    page = rows.where("length(description) > 800 and id % 2 = 0").select("id", text)
+    search = rows.where("length(description) > 300").select("id", text)
+    return enrich.first_found(rows.drop("description"), [("page", page), ("search", search)]).select("id", "text_from", "text")
+
+
+@register(DECORATED + f", k as (select job_id id, case when job_id % 2 = 0 then {KEY_SQL} else 'odd|' || (job_id % 97) end dedup_key from dec) select max(id) as id, dedup_key from k group by dedup_key")
+def migration(spark, d):
+    rows = _decorated(spark, d).withColumnsRenamed({"job_id": "id", "title": "job_title"})
+    rows = rows.withColumn("dedup_key", F.when(F.col("id") % 2 == 1, F.concat(F.lit("odd|"), (F.col("id") % 97).cast("string"))))
+    return store.migrated(rows).select("id", "dedup_key")
+
+
+@register(with_("v_jobs") + "select distinct company, best_cv as selected_cv from v_jobs")
+def letters_ledger(spark, d):
+    rows = view(spark, d, "v_jobs").select(F.col("company").alias("job_id"), F.col("best_cv").alias("selected_cv"), "id")
+    old = store.add_letters(rows.limit(0), rows.where("id % 2 = 0"))
+    return store.add_letters(old, rows.where("id % 2 = 1")).select(F.col("job_id").alias("company"), "selected_cv")
+
+
+@register(with_("v_postings") + "select job_id, (length(link) > 0 and not regexp_matches(lower(link), '^https?://[^/?#]')) or link = '' as internal from v_postings")
+def internal_links(spark, d):
+    return view(spark, d, "v_postings").select("job_id", filters.internal_url("link").alias("internal"))
+
+
+@register()
+def page_text(spark, d):
+    return view(spark, d, "v_postings").select("job_id", X.page_text("description").alias("text"))
+
+
+@register()
+def letter_texts(spark, d):
+    return reports.letters(view(spark, d, "v_jobs").where("id < 100"), {"CV_A": "Pumps are my trade.", "CV_B": "I write about pumps."})
+
+
 # --- the flagship: postings, scored and capped ---
 
 
