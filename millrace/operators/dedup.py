@@ -97,12 +97,21 @@ def near_titles(df: DataFrame, threshold: float = 0.85, title: str = "title", co
     return df.join(keep, F.col(order) == F.col("__kept"), "left_semi")
 
 
+def title_classes(df: DataFrame, title: str = "title", block: str = "company", order: str = "ord") -> DataFrame:
+    """ord, block, tokens, representative (the first row of the block with the same title words): a row for each title with words."""
+    rows = df.select(F.col(order).alias("ord"), F.col(block).alias("block"), F.array_sort(X.token_set(title)).alias("tokens")).where(F.size("tokens") > 0)
+    first = rows.groupBy("block", "tokens").agg(F.min("ord").alias("representative"))
+    return rows.join(first, ["block", "tokens"]).select("ord", "block", "tokens", "representative")
+
+
 def similar_pairs(df: DataFrame, least: float, title: str = "title", block: str = "company", order: str = "ord") -> DataFrame:
-    """a, b, similarity: pairs of one block whose titles have at least the similarity.
+    """a, b, similarity: pairs of a block's classes of equal titles, by their representatives, with at least the similarity.
 
-    Pairs meet on a shared token (the rarest ones of each title suffice), so a block's pairs aren't all compared.
+    Copies aren't multiplied into pairs: ``title_classes`` has the members. Pairs meet on a shared token (the rarest ones of each
+    title suffice), so a block's pairs aren't all compared.
     """
-    rows = df.select(F.col(order).alias("ord"), F.col(block).alias("block"), X.token_set(title).alias("tokens")).where(F.size("tokens") > 0)
+    rows = df.select(F.col(order).alias("ord"), F.col(block).alias("block"), F.array_sort(X.token_set(title)).alias("tokens")).where(F.size("tokens") > 0)
+    rows = rows.groupBy("block", "tokens").agg(F.min("ord").alias("ord"))
     counts = rows.select("block", F.explode("tokens").alias("token")).groupBy("block", "token").count()
     ranked = rows.withColumn("token", F.explode("tokens")).join(counts, ["block", "token"])
     place = F.row_number().over(Window.partitionBy("block", "ord").orderBy("count", "token"))

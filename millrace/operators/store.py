@@ -47,18 +47,21 @@ def mark_sent(sent: DataFrame, ids: DataFrame) -> DataFrame:
     return sent.unionByName(ids).groupBy("job_id").agg(F.min("sent_date").alias("sent_date"))
 
 
-def next_status(now: Column, event: Column) -> Column:
-    """A rejection always wins; the first event starts; applying twice means an interview; all else stays."""
-    fresh = F.coalesce(now, F.lit("none")).isin("none", "")
-    return F.when(event == "rejected", "rejected").when(fresh, event).when((now == "applied") & (event == "interviewing"), "interviewing").otherwise(now)
-
-
 def fold_status(status: DataFrame, events: DataFrame) -> DataFrame:
-    """job_id, status, updated_date after the events (job_id, ts, status) in order."""
-    by_job = events.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("ts", "status"))).alias("events"), F.max("ts").alias("ts"))
+    """job_id, status, updated_date after the events (job_id, ts, status).
+
+    A rejection always wins; the first event starts a job that has no status; an applied job becomes interviewing; all else
+    stays. So what decides is the first event, and whether a rejection or an interview is among them: all of it combines in the
+    tasks, and no job's events are collected.
+    """
+    told = events.where(~F.coalesce("status", F.lit("none")).isin("none", ""))
+    by_job = told.groupBy("job_id").agg(
+        F.min_by("status", F.struct("ts", "status")).alias("first"), F.max(F.col("status") == "rejected").alias("rejected"), F.max(F.col("status") == "interviewing").alias("talked"), F.max("ts").alias("ts")
+    )
     met = status.withColumnRenamed("status", "now").join(by_job, "job_id", "full_outer")
-    folded = F.aggregate("events", F.col("now"), lambda s, e: next_status(s, e["status"]))
-    return met.select("job_id", F.when(F.col("events").isNull(), F.col("now")).otherwise(folded).alias("status"), F.coalesce("ts", "updated_date").alias("updated_date"))
+    base = F.when(F.coalesce("now", F.lit("none")).isin("none", ""), F.coalesce("first", "now")).otherwise(F.col("now"))
+    folded = F.when(F.col("rejected"), "rejected").when((base == "applied") & F.col("talked"), "interviewing").otherwise(base)
+    return met.select("job_id", folded.alias("status"), F.coalesce("ts", "updated_date").alias("updated_date"))
 
 
 STATUSES = ["none", "applied", "interviewing", "rejected"]

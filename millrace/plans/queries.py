@@ -143,14 +143,20 @@ def near_duplicates(spark, d):
 
 
 @register(
-    with_("v_docs") + f", t as (select ord, {BLOCK} block, {Q.tokens('title')} toks from v_docs) "
-    f"select a.ord as a, b.ord as b, {Q.jaccard('a.toks', 'b.toks')} as similarity from t a join t b on a.block = b.block and a.ord < b.ord where len(a.toks) > 0 and len(b.toks) > 0 and {Q.jaccard('a.toks', 'b.toks')} >= 0.3"
+    with_("v_docs") + f", u as (select ord, {BLOCK} block, list_sort({Q.tokens('title')}) toks from v_docs), t as (select min(ord) ord, block, toks from u where len(toks) > 0 group by block, toks) "
+    f"select a.ord as a, b.ord as b, {Q.jaccard('a.toks', 'b.toks')} as similarity from t a join t b on a.block = b.block and a.ord < b.ord where {Q.jaccard('a.toks', 'b.toks')} >= 0.3"
 )
 def pairwise_title_jaccard(spark, d):
     rows = view(spark, d, "v_docs").withColumn("block", F.expr(BLOCK))
     return dedup.similar_pairs(rows, 0.3, block="block")
 
 
+@register(with_("v_docs") + f", u as (select ord, {BLOCK} block, list_sort({Q.tokens('title')}) toks from v_docs) select ord as job_id, min(ord) over (partition by block, toks) as representative from u where len(toks) > 0")
+def title_classes(spark, d):
+    rows = view(spark, d, "v_docs").withColumn("block", F.expr(BLOCK))
+    return dedup.title_classes(rows, block="block").select(F.col("ord").alias("job_id"), "representative")
+
+
 @register(DECORATED + f"select max(job_id) as job_id from dec group by {KEY_SQL}")
 def dedup_newest(spark, d):
     rows = _decorated(spark, d).withColumn("dedup_key", X.dedup_key("title", "company")).withColumnRenamed("job_id", "id")
