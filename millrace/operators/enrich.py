@@ -61,3 +61,25 @@ def job_link(html: Column | str, wanted: str = r"(?i)/(?:jobs?|careers?|apply|po
     fit = F.filter(links, lambda u: ~F.regexp_like(u, F.lit(skipped)) & F.regexp_like(u, F.lit(wanted)))
     known = F.filter(fit, lambda u: F.regexp_like(u, F.lit(r"(?i)linkedin\.com|greenhouse\.io|lever\.co|ashbyhq\.com|workday|smartrecruiters\.com|indeed\.com")))
     return F.coalesce(F.try_element_at(known, F.lit(1)), F.try_element_at(fit, F.lit(1)))
+
+
+def followed(links: DataFrame, hops: DataFrame, most: int = 5) -> DataFrame:
+    """link, final, n_hops: where redirects (link, to) lead to within ``most`` hops; longer chains stop there."""
+    step = hops.where("to is not null and to <> link").groupBy(F.col("link").alias("__from")).agg(F.min("to").alias("__to"))
+    out = links.select("link").distinct().withColumn("final", F.col("link")).withColumn("n_hops", F.lit(0))
+    for _ in range(most):
+        met = out.join(step, F.col("final") == F.col("__from"), "left")
+        moved = F.col("__to").isNotNull()
+        out = met.select("link", F.coalesce("__to", "final").alias("final"), (F.col("n_hops") + moved.cast("int")).alias("n_hops"))
+    return out
+
+
+def flattened_domains(profiles: DataFrame) -> DataFrame:
+    """One row: all profiles' key domains (key_domains: array), each once, in order."""
+    lists = F.transform(F.array_sort(F.collect_list(F.struct("ord", "key_domains"))), lambda x: x["key_domains"])
+    return profiles.agg(F.array_distinct(F.flatten(lists)).alias("key_domains"))
+
+
+def as_json(rows: DataFrame) -> DataFrame:
+    """One column ``json``: each row as a JSON object."""
+    return rows.select(F.to_json(F.struct("*")).alias("json"))

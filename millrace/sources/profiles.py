@@ -15,3 +15,8 @@ def variants(config: dict | None) -> list[Variant] | None:
         if isinstance(skills, dict) and (kept := {str(k): float(v) if isinstance(v, int | float) else 1.0 for k, v in skills.items() if str(k).strip()}):
             found.append(Variant(str(name), kept))
     return found or None
+
+
+def from_cache(config: dict | None, cache: dict | None) -> list[Variant] | None:
+    """The configured variants, or else those of a cached keyword file of the same shape."""
+    return variants(config) or variants(cache)

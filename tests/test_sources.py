@@ -2,8 +2,8 @@
 
 import json
 
-from millrace.operators import store
-from millrace.sources import boards, profiles
+from millrace.operators import enrich, store
+from millrace.sources import boards, mailbox, profiles
 from millrace.streaming import incremental
 from pyspark.sql import functions as F
 
@@ -66,3 +66,24 @@ def test_incremental_merges(spark, tmp_path):
         incremental.merge_batches(stream, str(tmp_path / "table"), merge, schema, str(tmp_path / "check"), once=True).awaitTermination()
     got = {r.link: (r.first_seen.day, r.last_seen.day) for r in incremental.read_table(spark, str(tmp_path / "table"), 3, schema).collect()}
     assert got == {"l0": (1, 3), "l1": (1, 3), "l2": (2, 3), "l3": (3, 3)}
+
+
+def test_mails(spark):
+    raw = [
+        b"Message-ID: <1@x>\r\nSubject: =?utf-8?q?Bewerbung_f=C3=BCr_Dev?=\r\nFrom: Jos <jos@x.org>\r\nDate: Wed, 10 Jan 2024 10:00:00 +0100\r\nContent-Type: text/plain; charset=utf-8\r\n\r\nHello  there\r\n",
+        b"Message-ID: <2@x>\r\nSubject: s\r\nFrom: b@x.org\r\nContent-Type: text/html\r\n\r\n<p>Only <b>html</b> &amp; more</p>",
+        b"", None,
+    ]
+    got = mailbox.mails(spark.createDataFrame([(r,) for r in raw], "content binary")).collect()
+    assert (got[0].message_id, got[0].subject, got[0].sender, got[0].date.hour, got[0].body) == ("<1@x>", "Bewerbung für Dev", "Jos <jos@x.org>", 9, "Hello there")
+    assert got[1].body == "Only html & more" and len(got) == 4 and got[3].subject is None
+
+
+def test_redirects_and_cache(spark):
+    hops = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "x"), *[(f"n{i}", f"n{i + 1}") for i in range(9)]], "link string, to string")
+    links = spark.createDataFrame([("a",), ("x",), ("n0",), ("q",)], "link string")
+    assert {r.link: (r.final, r.n_hops) for r in enrich.followed(links, hops).collect()} == {"a": ("c", 2), "x": ("x", 0), "n0": ("n5", 5), "q": ("q", 0)}
+    dims = spark.createDataFrame([(1, ["b", "a"]), (0, ["a", "z"])], "ord int, key_domains array<string>")
+    assert enrich.flattened_domains(dims).first().key_domains == ["a", "z", "b"]
+    assert json.loads(enrich.as_json(links.limit(1)).first().json) == {"link": "a"}
+    assert profiles.from_cache(None, {"cvs": {"k": {"skills": ["x"]}}})[0].name == "k"
