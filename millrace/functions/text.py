@@ -163,8 +163,11 @@ def set_similarity(a: Column, b: Column) -> Column:
 
 
 def unescaped(x: Column) -> Column:
-    """The common named entities and all decimal character references below 128 that matter in feeds."""
-    for entity, plain in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]:
+    """The common named entities of feeds; the ampersand comes last, so that one level is undone at a time."""
+    for entity, plain in [
+        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"),
+        ("&middot;", "·"), ("&amp;", "&"),
+    ]:
         x = F.replace(x, F.lit(entity), F.lit(plain))
     return x
 

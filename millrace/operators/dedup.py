@@ -66,7 +66,10 @@ def unprocessed(mails: DataFrame, processed: DataFrame) -> DataFrame:
     return mails.dropDuplicates(["message_id"]).join(processed.select("message_id").distinct(), "message_id", "left_anti")
 
 
-def near_titles(df: DataFrame, threshold: float = 0.85, title: str = "title", company: str = "company", order: str = "ord", block: Column | None = None) -> DataFrame:
+def near_titles(
+    df: DataFrame, threshold: float = 0.85, title: str = "title", company: str = "company", order: str = "ord",
+    block: Column | None = None,
+) -> DataFrame:
     """``df`` without rows whose title is as similar as ``threshold`` to that of an earlier row that is kept, of the same company.
 
     A row depends on which earlier rows are kept, so a company's rows are folded in order. The rows come sorted from Spark, so the
@@ -99,7 +102,9 @@ def near_titles(df: DataFrame, threshold: float = 0.85, title: str = "title", co
 
 def title_classes(df: DataFrame, title: str = "title", block: str = "company", order: str = "ord") -> DataFrame:
     """ord, block, tokens, representative (the first row of the block with the same title words): a row for each title with words."""
-    rows = df.select(F.col(order).alias("ord"), F.col(block).alias("block"), F.array_sort(X.token_set(title)).alias("tokens")).where(F.size("tokens") > 0)
+    rows = df.select(
+        F.col(order).alias("ord"), F.col(block).alias("block"), F.array_sort(X.token_set(title)).alias("tokens"),
+    ).where(F.size("tokens") > 0)
     first = rows.groupBy("block", "tokens").agg(F.min("ord").alias("representative"))
     return rows.join(first, ["block", "tokens"]).select("ord", "block", "tokens", "representative")
 
@@ -110,13 +115,17 @@ def similar_pairs(df: DataFrame, least: float, title: str = "title", block: str
     Copies aren't multiplied into pairs: ``title_classes`` has the members. Pairs meet on a shared token (the rarest ones of each
     title suffice), so a block's pairs aren't all compared.
     """
-    rows = df.select(F.col(order).alias("ord"), F.col(block).alias("block"), F.array_sort(X.token_set(title)).alias("tokens")).where(F.size("tokens") > 0)
+    rows = df.select(
+        F.col(order).alias("ord"), F.col(block).alias("block"), F.array_sort(X.token_set(title)).alias("tokens"),
+    ).where(F.size("tokens") > 0)
     rows = rows.groupBy("block", "tokens").agg(F.min("ord").alias("ord"))
     counts = rows.select("block", F.explode("tokens").alias("token")).groupBy("block", "token").count()
     ranked = rows.withColumn("token", F.explode("tokens")).join(counts, ["block", "token"])
     place = F.row_number().over(Window.partitionBy("block", "ord").orderBy("count", "token"))
     # Two sets with similarity s share one of the first n - ceil(s n) + 1 tokens of any common order.
     ranked = ranked.withColumn("place", place).where(F.col("place") <= F.size("tokens") - F.ceil(F.size("tokens") * F.lit(least) - 1e-9) + 1)
-    a, b = ranked.select("block", "token", F.col("ord").alias("a"), F.col("tokens").alias("ta")), ranked.select("block", "token", F.col("ord").alias("b"), F.col("tokens").alias("tb"))
+    a, b = ranked.select(
+        "block", "token", F.col("ord").alias("a"), F.col("tokens").alias("ta"),
+    ), ranked.select("block", "token", F.col("ord").alias("b"), F.col("tokens").alias("tb"))
     met = a.join(b, ["block", "token"]).where("a < b").select("a", "b", X.set_similarity(F.col("ta"), F.col("tb")).alias("similarity"))
     return met.where(F.col("similarity") >= least).distinct()

@@ -26,7 +26,9 @@ def pool(jobs: DataFrame, most: int) -> DataFrame:
     top = jobs.orderBy(F.desc_nulls_last("relevance_score"), F.desc_nulls_last("extracted_date"), "id").limit(most)
     place = F.row_number().over(Window.orderBy(F.desc_nulls_last("relevance_score"), F.desc_nulls_last("extracted_date"), "id"))
     company = F.lower(X.strip(F.coalesce(F.nullif(F.col("company"), F.lit("")), F.lit("Unknown"))))
-    return top.withColumn("place", place).withColumn("__company", company).withColumn("slot", F.lit(None).cast("int")).withColumn("pass", F.lit(None).cast("string"))
+    return top.withColumn("place", place).withColumn("__company", company).withColumn("slot", F.lit(None).cast("int")).withColumn(
+        "pass", F.lit(None).cast("string"),
+    )
 
 
 def _take(rows: DataFrame, name: str, who: Column, slots: int, cap: int, limit: int, order: list[Column]) -> DataFrame:
@@ -45,7 +47,10 @@ def _take(rows: DataFrame, name: str, who: Column, slots: int, cap: int, limit:
     return rows.withColumn("pass", F.when(F.col("__now"), name).otherwise(F.col("pass"))).drop("__fits", "__used", "__turn", "__now")
 
 
-def main_digest(jobs: DataFrame, sent: DataFrame, limit: int = V.DIGEST_SIZE, min_score: float = V.DIGEST_SCORE, live: Column | None = None, most: int = 400) -> DataFrame:
+def main_digest(
+    jobs: DataFrame, sent: DataFrame, limit: int = V.DIGEST_SIZE, min_score: float = V.DIGEST_SCORE, live: Column | None = None,
+    most: int = 400,
+) -> DataFrame:
     """The digest's rows with slot and pass: saved ones, boards, aggregators, the best of the rest (boards before aggregators), and the
     demoted sources last. live: whether a row's link is alive; boards and saved rows aren't asked."""
     rows = pool(unsent(jobs, sent), most)
@@ -96,5 +101,8 @@ def rendered(digest: DataFrame) -> DataFrame:
     score = F.bround(F.coalesce(F.col("relevance_score"), F.lit(0.0)), 1)
     warn = F.when(F.coalesce(F.col("scam_risk"), F.lit(False)), " ⚠ check before applying").otherwise("")
     label = F.coalesce(F.concat(F.lit(" · "), X.cv_label("best_cv")), F.lit(""))
-    line = F.concat(F.lit("<b>"), esc("job_title"), F.lit("</b> · "), esc("company"), F.lit(" · "), score.cast("string"), F.lit("%"), label, F.lit(" · "), esc("source"), warn, F.lit('\n<a href="'), esc("link"), F.lit('">open</a>'))
+    line = F.concat(
+        F.lit("<b>"), esc("job_title"), F.lit("</b> · "), esc("company"), F.lit(" · "), score.cast("string"), F.lit("%"), label,
+        F.lit(" · "), esc("source"), warn, F.lit('\n<a href="'), esc("link"), F.lit('">open</a>'),
+    )
     return digest.select("slot", line.alias("line"))

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from millrace.functions import text as X
 
 
-def details(jobs: DataFrame, found: DataFrame, wanted: Column, sources: tuple[str, ...] = ("SmartRecruiters", "Workday"), budget: int = 60) -> DataFrame:
+def details(
+    jobs: DataFrame, found: DataFrame, wanted: Column, sources: tuple[str, ...] = ("SmartRecruiters", "Workday"), budget: int = 60,
+) -> DataFrame:
     """Descriptions from ``found`` (link, description) for the first ``budget`` postings that lack one; adds enriched and over_budget."""
     lacks = F.col("source").isin(*sources) & (X.strip(X.text("description")) == "") & (X.text("link") != "") & wanted
     first = jobs.where(lacks).orderBy("ord").limit(budget).select(F.col("ord").alias("__o"))
@@ -16,7 +18,9 @@ def details(jobs: DataFrame, found: DataFrame, wanted: Column, sources: tuple[st
     got = found.groupBy(F.col("link").alias("__l")).agg(F.first("description").alias("__d"))
     out = out.join(got, (F.col("link") == F.col("__l")) & F.col("__o").isNotNull(), "left")
     enriched = F.coalesce(F.col("__d") != "", F.lit(False))
-    return out.withColumn("enriched", enriched).withColumn("description", F.when(enriched, F.col("__d")).otherwise(F.col("description"))).drop("__o", "__l", "__d")
+    return out.withColumn("enriched", enriched).withColumn(
+        "description", F.when(enriched, F.col("__d")).otherwise(F.col("description")),
+    ).drop("__o", "__l", "__d")
 
 
 def mail_candidates(jobs: DataFrame, as_of: Column, days: int, prefix: str = "applied via email") -> DataFrame:
@@ -55,11 +59,17 @@ def matched(mails: DataFrame, jobs: DataFrame) -> DataFrame:
     return out.withColumn("job_id", F.coalesce("__a", "__b")).drop("__k", "__n", "__a", "__l", "__b")
 
 
-def job_link(html: Column | str, wanted: str = r"(?i)/(?:jobs?|careers?|apply|position)", skipped: str = r"(?i)unsubscribe|privacy|preferences|\.(?:png|gif|jpe?g|css)|facebook\.|twitter\.|instagram\.") -> Column:
+def job_link(
+    html: Column | str, wanted: str = r"(?i)/(?:jobs?|careers?|apply|position)",
+    skipped: str = r"(?i)unsubscribe|privacy|preferences|\.(?:png|gif|jpe?g|css)|facebook\.|twitter\.|instagram\.",
+) -> Column:
     """The posting's link among a mail's links: one on a known board, else the first that looks like a posting."""
     links = F.regexp_extract_all(X.text(html), F.lit("(?i)href=[\"']([^\"']+)[\"']"), F.lit(1))
     fit = F.filter(links, lambda u: ~F.regexp_like(u, F.lit(skipped)) & F.regexp_like(u, F.lit(wanted)))
-    known = F.filter(fit, lambda u: F.regexp_like(u, F.lit(r"(?i)linkedin\.com|greenhouse\.io|lever\.co|ashbyhq\.com|workday|smartrecruiters\.com|indeed\.com")))
+    known = F.filter(
+        fit,
+        lambda u: F.regexp_like(u, F.lit(r"(?i)linkedin\.com|greenhouse\.io|lever\.co|ashbyhq\.com|workday|smartrecruiters\.com|indeed\.com")),
+    )
     return F.coalesce(F.try_element_at(known, F.lit(1)), F.try_element_at(fit, F.lit(1)))
 
 

@@ -46,19 +46,30 @@ def yield_by_source(runs: DataFrame, as_of: Column, days: int) -> DataFrame:
 def concentration(run: DataFrame, warn: float = 0.9) -> DataFrame:
     """One row: total, n_sources, n_empty, the largest source, its share, and whether that is a warning."""
     by = run.groupBy("source").agg(F.sum("raw_count").alias("n"))
-    one = by.agg(F.sum("n").alias("total"), F.count("*").alias("n_sources"), F.count_if(F.col("n") == 0).alias("n_empty"), F.max("n").alias("most"), F.max_by("source", F.struct("n", "source")).alias("largest"))
+    one = by.agg(
+        F.sum("n").alias("total"), F.count("*").alias("n_sources"), F.count_if(F.col("n") == 0).alias("n_empty"), F.max("n").alias("most"),
+        F.max_by("source", F.struct("n", "source")).alias("largest"),
+    )
     share = F.coalesce(F.try_divide(F.col("most").cast("double"), F.col("total")), F.lit(0.0))
     return one.select("total", "n_sources", "n_empty", "largest", share.alias("share"), ((share >= warn) & (F.col("n_sources") > 1)).alias("warning"))
 
 
 def summary(run: DataFrame) -> DataFrame:
     """source, queries, raw_count, duration_s, status: sums by source, the most first."""
-    by = run.groupBy("source").agg(F.sum("queries").alias("queries"), F.sum("raw_count").alias("raw_count"), F.sum("duration_s").alias("duration_s"), F.max("error").alias("error"))
-    return by.select("source", "queries", "raw_count", "duration_s", status(F.col("raw_count"), F.col("error")).alias("status")).orderBy(F.desc("raw_count"), "source")
+    by = run.groupBy("source").agg(
+        F.sum("queries").alias("queries"), F.sum("raw_count").alias("raw_count"), F.sum("duration_s").alias("duration_s"),
+        F.max("error").alias("error"),
+    )
+    return by.select(
+        "source", "queries", "raw_count", "duration_s", status(F.col("raw_count"), F.col("error")).alias("status"),
+    ).orderBy(F.desc("raw_count"), "source")
 
 
 def summary_lines(run: DataFrame) -> DataFrame:
-    line = F.concat(F.rpad("source", 24, " "), F.lpad(F.col("queries").cast("string"), 6, " "), F.lpad(F.col("raw_count").cast("string"), 8, " "), F.lit("  "), F.col("status"))
+    line = F.concat(
+        F.rpad("source", 24, " "), F.lpad(F.col("queries").cast("string"), 6, " "), F.lpad(F.col("raw_count").cast("string"), 8, " "),
+        F.lit("  "), F.col("status"),
+    )
     return summary(run).select("source", line.alias("line"))
 
 

@@ -13,14 +13,23 @@ from pyspark.sql import functions as F
 from millrace.functions import text as X
 from millrace.functions import vocab as V
 
-BAD_PARTS = ["http", "href=", "<a ", "</", "&nbsp", "@media", "font-", "<!--", "px;", "color:", "margin", "padding", ".com/", "www.", "no. 07", "&amp", "style="]
+BAD_PARTS = [
+    "http", "href=", "<a ", "</", "&nbsp", "@media", "font-", "<!--", "px;", "color:", "margin", "padding", ".com/", "www.", "no. 07",
+    "&amp", "style=",
+]
 PROSE = [
     "your", "our", "you are", "thank", "time", "needs", "department", "selected", "interest", "national", "waitlisted", "capture", "spent", "reviewing",
     "feedback", "difference", "recruiting", "regarding", "applying", "applied", "application", "submitted", "received", "reviewed", "decided", "pursue",
     "marine storekeeper", "recruitment team", "talent team", "hiring team",
 ]
-TEAM_NAMES = ["Workday Notifications", "TalentHub", "Talent Acquisition", "Applications Team", "Hiring Team", "Recruitment Team", "Recruiting", "Recruiter", "Alerts", "Notifications", "HR", "Careers", "Jobs"]
-TENANT_HOSTS = ["myworkday.com", "recruitee.com", "ashbyhq.com", "greenhouse.io", "lever.co", "smartrecruiters.com", "jobvite.com", "icims.com", "taleo.net", "csod.com", "manatal.com", "applytojob.com", "pinpoint.email", "allibo.com"]
+TEAM_NAMES = [
+    "Workday Notifications", "TalentHub", "Talent Acquisition", "Applications Team", "Hiring Team", "Recruitment Team", "Recruiting",
+    "Recruiter", "Alerts", "Notifications", "HR", "Careers", "Jobs",
+]
+TENANT_HOSTS = [
+    "myworkday.com", "recruitee.com", "ashbyhq.com", "greenhouse.io", "lever.co", "smartrecruiters.com", "jobvite.com", "icims.com",
+    "taleo.net", "csod.com", "manatal.com", "applytojob.com", "pinpoint.email", "allibo.com",
+]
 SUBDOMAIN_HOSTS = ["talentadore.com", "talentlyft.com", "teamtailor-mail.com", "teamtailor.com", "talent-tailor.com"]
 BOARD_HOSTS = [("jobot.com", "Jobot"), ("mercor.com", "Mercor"), ("micro1.ai", "micro1"), ("tally.so", None)]
 GENERIC_LABELS = ["mail", "jobs", "noreply", "alerts", "talentadore", "talentlyft"]
@@ -49,7 +58,9 @@ def is_clean(x: Column, max_words: int = 8) -> Column:
 def good_title(x: Column) -> Column:
     cut = _tail_cut(x)
     low = F.lower(cut)
-    ok = F.length(cut).between(4, 70) & ~low.isin(V.STOP_TITLES) & ~F.substring_index(low, " ", 1).isin(V.BAD_FIRST_WORDS) & F.regexp_like(cut, F.lit("[A-Z]"))
+    ok = F.length(cut).between(4, 70) & ~low.isin(V.STOP_TITLES) & ~F.substring_index(low, " ", 1).isin(V.BAD_FIRST_WORDS) & F.regexp_like(
+        cut, F.lit("[A-Z]"),
+    )
     return F.coalesce(ok & is_clean(cut, 11), F.lit(False))
 
 
@@ -90,7 +101,10 @@ def company_of_sender(sender: Column) -> Column:
     by_host = F.when(host == "", None)
     for h in TENANT_HOSTS:
         own = label(host, h)
-        by_host = by_host.when(F.endswith(host, F.lit(h)), F.when((own != "") & ~own.isin("mail", "jobs", "hire", "hr", "noreply", "recruiting"), _capital(own)))
+        by_host = by_host.when(
+            F.endswith(host, F.lit(h)),
+            F.when((own != "") & ~own.isin("mail", "jobs", "hire", "hr", "noreply", "recruiting"), _capital(own)),
+        )
     for h, board in BOARD_HOSTS:
         by_host = by_host.when(F.contains(host, F.lit(h)), F.lit(board))
     by_host = by_host.otherwise(general)
@@ -123,20 +137,31 @@ def parsed(mails: DataFrame) -> DataFrame:
         subject_title = F.when(hit, group.get("t", F.lit(None).cast("string"))).otherwise(subject_title)
         subject_company = F.when(hit, group.get("c", F.lit(None).cast("string"))).otherwise(subject_company)
     guarded = lambda x: F.when(good_title(x), x)
-    rows = rows.withColumn("__t", F.coalesce(guarded(F.coalesce(title0, subject_title)), *[guarded(_group(head, p)) for p in V.BODY_TITLES], guarded(_group(s, r"applying for (?:the )?(.+?)(?: position| role|$)"))))
+    rows = rows.withColumn(
+        "__t",
+        F.coalesce(guarded(F.coalesce(title0, subject_title)), *[guarded(_group(head, p)) for p in V.BODY_TITLES], guarded(_group(s, r"applying for (?:the )?(.+?)(?: position| role|$)"))),
+    )
     by_sender = F.when(~X.any_of(F.lower(f), V.AGGREGATORS), company_of_sender(f))
     filled = lambda x: F.nullif(x, F.lit(""))
-    rows = rows.withColumn("__c", F.coalesce(filled(sent), filled(subject_company), *[filled(_trimmed(_group(head, p, fold=False))) for p in V.BODY_COMPANIES], filled(by_sender)))
+    rows = rows.withColumn(
+        "__c",
+        F.coalesce(filled(sent), filled(subject_company), *[filled(_trimmed(_group(head, p, fold=False))) for p in V.BODY_COMPANIES], filled(by_sender)),
+    )
     title = F.left(_tail_cut(X.strip(F.regexp_replace(X.collapse(F.col("__t")), r"\s*[-–]\s*[A-Z]?\d{4,}$", ""))), F.lit(80))
     company = X.strip(F.regexp_replace(F.regexp_replace(X.collapse(F.col("__c")), "^[\"']+|[\"']+$", ""), r"(?i)^(?:workday[.\s]*admin|workday|myworkday)\s+", ""))
     rows = rows.withColumn("__t", title).withColumn("__c", F.when(~X.any_of(F.lower(company), V.COMPANY_JUNK) & is_clean(company), company))
     told = gate(s, b, f) & F.col("__c").isNotNull()
     rows = rows.withColumn("title", F.when(told, F.coalesce(guarded(F.col("__t")), F.lit("Position (unknown)"))))
-    rows = rows.withColumn("company", F.when(told, F.col("__c"))).withColumn("status", F.when(told, F.when(is_rejection(s, b), "rejected").otherwise("applied")))
+    rows = rows.withColumn("company", F.when(told, F.col("__c"))).withColumn(
+        "status", F.when(told, F.when(is_rejection(s, b), "rejected").otherwise("applied")),
+    )
     return rows.drop("__s", "__b", "__f", "__t", "__c")
 
 
-def tracked(mails: DataFrame, processed: DataFrame, as_of: Column | None = None, since_days: int = 30, subjects: tuple[str, ...] = ("application", "applied", "applying", "indeed application")) -> DataFrame:
+def tracked(
+    mails: DataFrame, processed: DataFrame, as_of: Column | None = None, since_days: int = 30,
+    subjects: tuple[str, ...] = ("application", "applied", "applying", "indeed application"),
+) -> DataFrame:
     """New mails within the days whose subject names an application, parsed; one row for each message id."""
     from millrace.operators.dedup import unprocessed
 
@@ -148,7 +173,10 @@ def tracked(mails: DataFrame, processed: DataFrame, as_of: Column | None = None,
 def draft_fields(body: Column | str) -> Column:
     """map<string, string> of the 'Key: value' lines of a saved draft, keys in lower case; the first of a key counts."""
     lines = F.filter(F.split(X.text(body), r"\r?\n"), lambda x: F.regexp_like(x, F.lit(r"^\s*[A-Za-z][A-Za-z _-]{0,30}:\s*\S")))
-    pairs = F.transform(lines, lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("key"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("value")))
+    pairs = F.transform(
+        lines,
+        lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("key"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("value")),
+    )
     first = F.filter(pairs, lambda p, i: F.array_position(F.transform(pairs, lambda q: q["key"]), p["key"]) == i + 1)
     return F.map_from_entries(first)
 
@@ -161,5 +189,7 @@ def draft_posting(drafts: DataFrame) -> DataFrame:
     return rows.select(
         "message_id", F.coalesce(get("title", "position", "job title"), F.nullif(X.strip(X.text("subject")), F.lit("")), F.lit("Untitled")).alias("title"),
         F.coalesce(get("company", "employer"), F.lit("Unknown")).alias("company"), F.coalesce(get("location"), F.lit("Remote")).alias("location"),
-        get("salary", "pay").alias("salary"), X.canonical_url(link).alias("link"), X.collapse(X.text("body")).alias("description"), F.lit("Gmail Draft").alias("source"), F.col("date").alias("date_posted"),
+        get(
+            "salary", "pay",
+        ).alias("salary"), X.canonical_url(link).alias("link"), X.collapse(X.text("body")).alias("description"), F.lit("Gmail Draft").alias("source"), F.col("date").alias("date_posted"),
     )

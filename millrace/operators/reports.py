@@ -42,7 +42,9 @@ def listing(
         X.site_label("link", F.coalesce(F.nullif(F.col("source"), F.lit("")), F.lit("JSearch"))).alias("source"), day.alias("date"),
         _rounded(F.col("relevance_score")).alias("score"), X.industry("job_title", "description").alias("industry"),
         F.coalesce("seen_count", F.lit(1)).alias("seen_count"), (F.coalesce("seen_count", F.lit(1)) > 1).alias("relisted"),
-        X.origin("source").alias("origin"), X.inbox("source").alias("email_account"), mail_search("source", "source_message_id", "company", "job_title").alias("gmail_url"),
+        X.origin("source").alias("origin"), X.inbox("source").alias("email_account"), mail_search(
+            "source", "source_message_id", "company", "job_title",
+        ).alias("gmail_url"),
         "has_cover_letter", "apply_status", F.date_diff(F.to_date(as_of), day).alias("days_old"),
     )
     for name, value in (("source", source), ("industry", industry), ("origin", origin), ("email_account", inbox)):
@@ -54,10 +56,16 @@ def listing(
 def mail_search(source: str, message_id: str, company: str, title: str) -> Column:
     """A link that finds the mail a job came from; null for jobs that came from searches."""
     account = F.trim(F.regexp_extract(X.text(source), "^Email[^/]*/(.*)$", 1))
-    head = F.concat(F.lit("https://mail.google.com/mail/"), F.when(account != "", F.concat(F.lit("?authuser="), account)).otherwise(""), F.lit("#search/"))
+    head = F.concat(
+        F.lit("https://mail.google.com/mail/"), F.when(account != "", F.concat(F.lit("?authuser="), account)).otherwise(""),
+        F.lit("#search/"),
+    )
     mid = F.replace(F.regexp_replace(X.text(message_id), "^[<> ]+|[<> ]+$", ""), F.lit(" "), F.lit("%20"))
     by_words = F.concat(F.replace(X.text(company), F.lit(" "), F.lit("+")), F.lit("+"), F.array_join(F.slice(X.words(X.text(title)), 1, 3), "+"))
-    return F.when(X.origin(source) == "email", F.concat(head, F.when(X.text(message_id) != "", F.concat(F.lit("rfc822msgid:"), mid)).otherwise(by_words)))
+    return F.when(
+        X.origin(source) == "email",
+        F.concat(head, F.when(X.text(message_id) != "", F.concat(F.lit("rfc822msgid:"), mid)).otherwise(by_words)),
+    )
 
 
 def facets(jobs: DataFrame) -> DataFrame:
@@ -120,7 +128,10 @@ def _since(column: str, as_of: Column) -> Column:
 def weekly_numbers(jobs: DataFrame, letters: DataFrame, as_of: Column) -> DataFrame:
     """One row: jobs_found, avg_score, max_score, cover_letters."""
     week = jobs.where(_since("extracted_date", as_of))
-    one = week.agg(F.count("*").alias("jobs_found"), _rounded(F.avg("relevance_score")).alias("avg_score"), _rounded(F.max("relevance_score")).alias("max_score"))
+    one = week.agg(
+        F.count("*").alias("jobs_found"), _rounded(F.avg("relevance_score")).alias("avg_score"),
+        _rounded(F.max("relevance_score")).alias("max_score"),
+    )
     return one.crossJoin(letters.join(week.select(F.col("id").alias("job_id")), "job_id").agg(F.count("*").alias("cover_letters")))
 
 
@@ -140,9 +151,15 @@ def weekly_top(jobs: DataFrame, as_of: Column, k: int = 5) -> DataFrame:
 
 def weekly_message(numbers: DataFrame, top: DataFrame) -> DataFrame:
     """One row with the week's message."""
-    line = F.concat(F.lit("• "), F.col("title"), F.lit(" · "), X.text("company"), F.lit(" · "), F.bround("relevance_score", 1).cast("string"), F.lit("%"))
+    line = F.concat(
+        F.lit("• "), F.col("title"), F.lit(" · "), X.text("company"), F.lit(" · "), F.bround("relevance_score", 1).cast("string"),
+        F.lit("%"),
+    )
     lines = top.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col("relevance_score").alias("s"), (-F.col("id")).alias("i"), line.alias("l"))), False), lambda x: x["l"]), "\n").alias("lines"))
-    head = F.concat(F.lit("Week: "), F.col("jobs_found").cast("string"), F.lit(" jobs, average "), F.col("avg_score").cast("string"), F.lit("%, best "), F.col("max_score").cast("string"), F.lit("%"))
+    head = F.concat(
+        F.lit("Week: "), F.col("jobs_found").cast("string"), F.lit(" jobs, average "), F.col("avg_score").cast("string"),
+        F.lit("%, best "), F.col("max_score").cast("string"), F.lit("%"),
+    )
     return numbers.crossJoin(lines).select(F.concat(head, F.lit("\n"), F.col("lines")).alias("message"))
 
 
@@ -154,4 +171,7 @@ def letters(jobs: DataFrame, pitches: dict[str, str]) -> DataFrame:
     pitch = F.lit("")
     for name, line in pitches.items():
         pitch = F.when(F.col("best_cv") == name, line).otherwise(pitch)
-    return jobs.select("id", F.col("best_cv").alias("selected_cv"), F.format_string(LETTER, X.text("company"), X.text("job_title"), pitch).alias("letter"))
+    return jobs.select(
+        "id", F.col("best_cv").alias("selected_cv"),
+        F.format_string(LETTER, X.text("company"), X.text("job_title"), pitch).alias("letter"),
+    )

@@ -49,7 +49,10 @@ def _share(n: Column, skills: list[str]) -> Column:
 def best_variant(variants: list[Variant], merged: list[str] | None = None, synonyms: dict[str, list[str]] | None = None) -> Column:
     """struct<score, variant>: the best share of skills, the first variant on ties, raised for wanted titles and sectors; without any
     match the share of the merged skills."""
-    fields = F.struct(R.lowered("description", "title", "company").alias("low"), F.lower(X.text("title")).alias("title"), R.lowered("description", "company").alias("sector"))
+    fields = F.struct(
+        R.lowered("description", "title", "company").alias("low"), F.lower(X.text("title")).alias("title"),
+        R.lowered("description", "company").alias("sector"),
+    )
 
     def judge(x: Column) -> Column:
         scored = [F.struct(_share(matches(x["low"], list(v.skills), synonyms), list(v.skills)).alias("score"), F.lit(-k).alias("place"), F.lit(v.name).alias("variant")) for k, v in enumerate(variants) if v.skills]
@@ -58,8 +61,14 @@ def best_variant(variants: list[Variant], merged: list[str] | None = None, synon
         raised = lambda s, on, by: F.when((s > 0) & on, F.bround(F.least(F.lit(100.0), s * by), 1)).otherwise(s)
         boosted = lambda s: raised(s, X.any_of(x["title"], V.TITLE_BOOST), V.TITLE_FACTOR)
         in_sector = lambda s: raised(s, X.any_of(x["sector"], V.SECTOR_BOOST), V.SECTOR_FACTOR)
-        best = F.transform(F.array(F.array_max(F.array(*scored)) if scored else none), lambda t: F.struct(F.transform(F.array(boosted(t["score"])), in_sector)[0].alias("score"), F.when(t["score"] > 0, t["variant"]).alias("variant")))[0]
-        return F.transform(F.array(best), lambda t: F.struct(F.when(t["score"] > 0, t["score"]).otherwise(fallback).alias("score"), t["variant"].alias("variant")))[0]
+        best = F.transform(
+            F.array(F.array_max(F.array(*scored)) if scored else none),
+            lambda t: F.struct(F.transform(F.array(boosted(t["score"])), in_sector)[0].alias("score"), F.when(t["score"] > 0, t["variant"]).alias("variant")),
+        )[0]
+        return F.transform(
+            F.array(best),
+            lambda t: F.struct(F.when(t["score"] > 0, t["score"]).otherwise(fallback).alias("score"), t["variant"].alias("variant")),
+        )[0]
 
     empty = (X.text("description") == "") & (X.text("title") == "")
     nothing = F.struct(F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("variant"))
@@ -81,7 +90,10 @@ def final_score(score: Column, fields: list[str]) -> Column:
     return F.rint(score * factor).cast("int")
 
 
-def judged(postings: DataFrame, variants: list[Variant], merged: list[str] | None = None, synonyms: dict[str, list[str]] | None = None, min_score: float = 10, remote_only: bool = False) -> DataFrame:
+def judged(
+    postings: DataFrame, variants: list[Variant], merged: list[str] | None = None, synonyms: dict[str, list[str]] | None = None,
+    min_score: float = 10, remote_only: bool = False,
+) -> DataFrame:
     """All postings with base_score, best_cv, reject_reason, relevance_score and scam_risk, which are null for rejected ones."""
     fields = [c for c, t in postings.dtypes if t == "string"]
     out = X.bound(postings, __best=best_variant(variants, merged, synonyms))
@@ -122,4 +134,6 @@ def search_queries(skills: DataFrame, stop: list[str], limit: int = 20, packs: l
     for q in packs or []:
         query = query.union(rows.sparkSession.range(1).select(F.lit(q).alias("query")))
     n = F.size(X.words(F.col("query")))
-    return query.distinct().select("query", n.alias("n_words"), F.when(n >= 3, "specific").otherwise("broad").alias("tier")).orderBy(F.desc(F.length("query")), "query")
+    return query.distinct().select(
+        "query", n.alias("n_words"), F.when(n >= 3, "specific").otherwise("broad").alias("tier"),
+    ).orderBy(F.desc(F.length("query")), "query")

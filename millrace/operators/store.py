@@ -56,7 +56,9 @@ def fold_status(status: DataFrame, events: DataFrame) -> DataFrame:
     """
     told = events.where(~F.coalesce("status", F.lit("none")).isin("none", ""))
     by_job = told.groupBy("job_id").agg(
-        F.min_by("status", F.struct("ts", "status")).alias("first"), F.max(F.col("status") == "rejected").alias("rejected"), F.max(F.col("status") == "interviewing").alias("talked"), F.max("ts").alias("ts")
+        F.min_by(
+            "status", F.struct("ts", "status"),
+        ).alias("first"), F.max(F.col("status") == "rejected").alias("rejected"), F.max(F.col("status") == "interviewing").alias("talked"), F.max("ts").alias("ts")
     )
     met = status.withColumnRenamed("status", "now").join(by_job, "job_id", "full_outer")
     base = F.when(F.coalesce("now", F.lit("none")).isin("none", ""), F.coalesce("first", "now")).otherwise(F.col("now"))

@@ -76,7 +76,10 @@ KEY_SQL = f"{Q.normal_title('title')} || '|' || {Q.normal_company('company')}"
 
 @register(DECORATED + f"select job_id, {Q.normal_title('title')} as title_core, {Q.normal_company('company')} as company_core, {KEY_SQL} as dedup_key from dec")
 def normalize_title_company(spark, d):
-    return _decorated(spark, d).select("job_id", X.normal_title("title").alias("title_core"), X.normal_company("company").alias("company_core"), X.dedup_key("title", "company").alias("dedup_key"))
+    return _decorated(spark, d).select(
+        "job_id", X.normal_title("title").alias("title_core"), X.normal_company("company").alias("company_core"),
+        X.dedup_key("title", "company").alias("dedup_key"),
+    )
 
 
 LABELS = "(values (1,'master_cv_Sales-Engineer_2.docx'),(2,'cv_writer.pdf'),(3,'123.txt'),(4,''),(5,'A B_c 12')) as t(id, name)"
@@ -85,7 +88,10 @@ LABEL_SQL = "nullif(" + Q.collapse("regexp_replace(translate(regexp_replace(rege
 
 @register(f"select id, {LABEL_SQL} as label, translate(name, '<>:\"/\\|?*', '_________') as safe, case when length(name) > 8 then left(name, 8) || '…' else name end as short from {LABELS}")
 def cv_labels(spark, d):
-    return spark.sql(f"select * from {LABELS}").select("id", X.cv_label("name", "master_cv_").alias("label"), X.safe_filename("name").alias("safe"), X.shortened("name", 8, "…").alias("short"))
+    return spark.sql(f"select * from {LABELS}").select(
+        "id", X.cv_label("name", "master_cv_").alias("label"), X.safe_filename("name").alias("safe"),
+        X.shortened("name", 8, "…").alias("short"),
+    )
 
 
 @register(
@@ -312,7 +318,9 @@ def _pool_sql(where: str, most: int, sent: str = "already_sent") -> str:
 def _main_sql(limit: int) -> str:
     fit, agg = f"relevance_score >= {V.DIGEST_SCORE}", f"not ({BOARD}) and not {DEMOTED}"
     return (
-        _take_sql(1, "saved", SAVED, limit, limit, limit, "place") + _take_sql(2, "boards", f"{fit} and {BOARD}", V.BOARD_SLOTS, V.COMPANY_CAP, limit, "place")
+        _take_sql(1, "saved", SAVED, limit, limit, limit, "place") + _take_sql(
+            2, "boards", f"{fit} and {BOARD}", V.BOARD_SLOTS, V.COMPANY_CAP, limit, "place",
+        )
         + _take_sql(3, "aggregators", f"{fit} and {agg}", V.AGGREGATOR_SLOTS, V.COMPANY_CAP, limit, "place")
         + _take_sql(4, "wildcard", f"{fit} and ({BOARD} or ({agg}))", limit, V.COMPANY_CAP, limit, f"case when {BOARD} then 0 else 1 end, place")
         + _take_sql(5, "last_resort", f"{fit} and {DEMOTED}", limit, V.COMPANY_CAP, limit, "place")
@@ -372,7 +380,9 @@ def job_upsert(spark, d):
     rows = _keyed(spark, d)
     early = F.col("extracted_date") < F.lit("1998-01-01").cast("timestamp_ntz")
     first = store.upsert(spark.createDataFrame([], EMPTY_STORE), rows.where(early))
-    return store.upsert(first, rows.where(~early)).select("dedup_key", "company", "extracted_date", "relevance_score", "best_cv", "seen_count", "scam_risk")
+    return store.upsert(first, rows.where(~early)).select(
+        "dedup_key", "company", "extracted_date", "relevance_score", "best_cv", "seen_count", "scam_risk",
+    )
 
 
 @register(with_("v_jobs") + "select company as link, min(extracted_date) as first_seen, max(extracted_date) as last_seen from v_jobs group by 1")
@@ -389,7 +399,9 @@ def link_seen_merge(spark, d):
 )
 def status_fold(spark, d):
     rows = view(spark, d, "v_jobs").select(F.col("company").alias("job_id"), F.col("extracted_date").alias("ts"), "status")
-    return store.fold_status(spark.createDataFrame([], "job_id string, status string, updated_date timestamp_ntz"), rows).select("job_id", "status", "updated_date")
+    return store.fold_status(
+        spark.createDataFrame([], "job_id string, status string, updated_date timestamp_ntz"), rows,
+    ).select("job_id", "status", "updated_date")
 
 
 @register(with_("v_jobs") + "select company as job_id, arg_max(status, {'t': extracted_date, 's': status}) as status from v_jobs group by 1")
@@ -506,7 +518,10 @@ def csv_export(spark, d):
 def dashboard_listing(spark, d):
     jobs = view(spark, d, "v_jobs")
     out = reports.listing(jobs, _status(jobs), _letters(jobs), _at(), min_score=50)
-    return out.select("id", "title", "company", "source", "date", "score", "industry", "seen_count", "relisted", "has_cover_letter", "apply_status", "days_old")
+    return out.select(
+        "id", "title", "company", "source", "date", "score", "industry", "seen_count", "relisted", "has_cover_letter", "apply_status",
+        "days_old",
+    )
 
 
 @register(with_("v_docs") + f"select job_id, {Q.industry('title', 'description')} as industry from v_docs")
@@ -659,7 +674,9 @@ def mail_match(spark, d):
     jobs = view(spark, d, "v_jobs")
     even = F.col("id") % 2 == 0
     mails = jobs.where("id % 50 = 0").select(
-        F.col("id").alias("mid"), F.when(even, F.col("job_title")).otherwise("New").alias("title"), F.when(even, F.upper("company")).otherwise(F.col("company")).alias("company"),
+        F.col("id").alias("mid"), F.when(
+            even, F.col("job_title"),
+        ).otherwise("New").alias("title"), F.when(even, F.upper("company")).otherwise(F.col("company")).alias("company"),
         F.when(F.col("id") % 3 == 0, F.col("link")).otherwise("").alias("link"),
     )
     return enrich.matched(mails, jobs).select("mid", "job_id")
@@ -696,6 +713,14 @@ def internal_links(spark, d):
     return view(spark, d, "v_postings").select("job_id", filters.internal_url("link").alias("internal"))
 
 
+@register("select p_partkey as id, cast(least(5, (7 - p_partkey % 7) % 7) as int) as n_hops, cast(p_partkey + least(5, (7 - p_partkey % 7) % 7) as bigint) as final from part where p_partkey <= 500")
+def redirect_chain(spark, d):
+    rows = spark.read.parquet(f"{d}/part.parquet").where("p_partkey <= 500").select(F.col("p_partkey").cast("string").alias("link"))
+    hops = spark.range(1, 600).where("id % 7 <> 0").select(F.col("id").cast("string").alias("link"), (F.col("id") + 1).cast("string").alias("to"))
+    out = enrich.followed(rows, hops)
+    return out.select(F.col("link").cast("long").alias("id"), "n_hops", F.col("final").cast("long").alias("final"))
+
+
 @register()
 def page_text(spark, d):
     return view(spark, d, "v_postings").select("job_id", X.page_text("description").alias("text"))

@@ -92,7 +92,10 @@ def industry(title: str, description: str) -> str:
 def strip_html(x: str) -> str:
     out = x
     for _ in range(2):
-        for entity, plain in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]:
+        for entity, plain in [
+            ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"),
+            ("&middot;", "·"), ("&amp;", "&"),
+        ]:
             out = f"replace({out}, {q(entity)}, {q(plain)})"
         out = f"regexp_replace({out}, '<[^>]+>', ' ', 'g')"
     return collapse(out)

@@ -52,107 +52,215 @@ def keyword_match(rows: DataFrame, keywords: list[str], *columns: str) -> DataFr
 
 def greenhouse(payloads: DataFrame, company: str) -> DataFrame:
     x = _rows(payloads, "jobs", "title string, absolute_url string, content string, updated_at string, location struct<name: string>")
-    return _posting(x, "Greenhouse", title=_x("title"), company=F.lit(company), description=X.strip_html(_x("content")), link=_x("absolute_url"), location=_filled(_x("location.name"), F.lit("Not stated")), date_posted=_x("updated_at"))
+    return _posting(
+        x, "Greenhouse", title=_x("title"), company=F.lit(company), description=X.strip_html(_x("content")), link=_x("absolute_url"),
+        location=_filled(_x("location.name"), F.lit("Not stated")), date_posted=_x("updated_at"),
+    )
 
 
 def lever(payloads: DataFrame, company: str) -> DataFrame:
-    x = _rows(payloads, "", "text string, descriptionPlain string, description string, hostedUrl string, categories struct<commitment: string, location: string>")
+    x = _rows(
+        payloads, "",
+        "text string, descriptionPlain string, description string, hostedUrl string, categories struct<commitment: string, location: string>",
+    )
     body = X.strip_html(F.coalesce(F.nullif(_x("descriptionPlain"), F.lit("")), _x("description")))
-    return _posting(x, "Lever", title=_x("text"), company=F.lit(company), description=body, link=_x("hostedUrl"), location=_filled(_x("categories.location"), F.lit("Not stated")), salary=_x("categories.commitment"))
+    return _posting(
+        x, "Lever", title=_x("text"), company=F.lit(company), description=body, link=_x("hostedUrl"),
+        location=_filled(_x("categories.location"), F.lit("Not stated")), salary=_x("categories.commitment"),
+    )
 
 
 def ashby(payloads: DataFrame, company: str) -> DataFrame:
-    x = _rows(payloads, "jobs", "title string, descriptionPlain string, jobUrl string, location string, publishedAt string, compensation struct<summary: string>")
-    return _posting(x, "Ashby", title=_x("title"), company=F.lit(company), description=X.strip_html(_x("descriptionPlain")), link=_x("jobUrl"), location=_filled(_x("location"), F.lit("Not stated")), salary=_x("compensation.summary"), date_posted=_x("publishedAt"))
+    x = _rows(
+        payloads, "jobs",
+        "title string, descriptionPlain string, jobUrl string, location string, publishedAt string, compensation struct<summary: string>",
+    )
+    return _posting(
+        x, "Ashby", title=_x("title"), company=F.lit(company), description=X.strip_html(_x("descriptionPlain")), link=_x("jobUrl"),
+        location=_filled(_x("location"), F.lit("Not stated")), salary=_x("compensation.summary"), date_posted=_x("publishedAt"),
+    )
 
 
 def smart_recruiters(payloads: DataFrame, company: str, slug: str) -> DataFrame:
     x = _rows(payloads, "content", "id string, name string, releasedDate string, location struct<city: string, country: string>")
     place = F.nullif(F.concat_ws(", ", F.nullif(_x("location.city"), F.lit("")), F.nullif(_x("location.country"), F.lit(""))), F.lit(""))
-    return _posting(x, "SmartRecruiters", title=_x("name"), company=F.lit(company), link=F.concat(F.lit(f"https://jobs.smartrecruiters.com/{slug}/"), _x("id")), location=F.coalesce(place, F.lit("Not stated")), date_posted=_x("releasedDate"))
+    return _posting(
+        x, "SmartRecruiters", title=_x("name"), company=F.lit(company),
+        link=F.concat(F.lit(f"https://jobs.smartrecruiters.com/{slug}/"), _x("id")), location=F.coalesce(place, F.lit("Not stated")),
+        date_posted=_x("releasedDate"),
+    )
 
 
 def workday(payloads: DataFrame, company: str, site: str) -> DataFrame:
     x = _rows(payloads, "jobPostings", "title string, externalPath string, locationsText string, postedOn string, bulletFields array<string>")
-    return _posting(x, "Workday", title=_x("title"), company=F.lit(company), description=F.array_join(_x("bulletFields"), " "), link=F.concat(F.lit(site), _x("externalPath")), location=_filled(_x("locationsText"), F.lit("Not stated")), date_posted=_x("postedOn"))
+    return _posting(
+        x, "Workday", title=_x("title"), company=F.lit(company), description=F.array_join(_x("bulletFields"), " "),
+        link=F.concat(F.lit(site), _x("externalPath")), location=_filled(_x("locationsText"), F.lit("Not stated")),
+        date_posted=_x("postedOn"),
+    )
 
 
 def remote_ok(payloads: DataFrame, keywords: list[str] | None = None) -> DataFrame:
-    x = _rows(payloads, "", "position string, company string, description string, url string, tags array<string>, salary_min double, salary_max double, date string").where("x.position is not null")
-    rows = _posting(x.withColumn("__tags", F.array_join(_x("tags"), " ")), "RemoteOK", title=X.unescaped(_x("position")), company=X.unescaped(_x("company")), description=F.concat(F.left(X.strip_html(_x("description")), F.lit(2000)), F.lit(" "), F.coalesce("__tags", F.lit(""))), link=_x("url"), salary=X.salary_range(_x("salary_min"), _x("salary_max"), F.lit("USD")), date_posted=_x("date"))
+    x = _rows(
+        payloads, "",
+        "position string, company string, description string, url string, tags array<string>, salary_min double, salary_max double, date string",
+    ).where("x.position is not null")
+    rows = _posting(
+        x.withColumn("__tags", F.array_join(_x("tags"), " ")), "RemoteOK", title=X.unescaped(_x("position")),
+        company=X.unescaped(_x("company")),
+        description=F.concat(F.left(X.strip_html(_x("description")), F.lit(2000)), F.lit(" "), F.coalesce("__tags", F.lit(""))),
+        link=_x("url"), salary=X.salary_range(_x("salary_min"), _x("salary_max"), F.lit("USD")), date_posted=_x("date"),
+    )
     return keyword_match(rows, keywords or [], "title", "description")
 
 
 def remotive(payloads: DataFrame, keywords: list[str] | None = None) -> DataFrame:
-    x = _rows(payloads, "jobs", "title string, company_name string, description string, url string, salary string, tags array<string>, publication_date string")
-    rows = _posting(x, "Remotive", title=_x("title"), company=_x("company_name"), description=F.left(X.strip_html(_x("description")), F.lit(2000)), link=_x("url"), salary=X.tidy_salary(_x("salary")), date_posted=_x("publication_date"))
+    x = _rows(
+        payloads, "jobs",
+        "title string, company_name string, description string, url string, salary string, tags array<string>, publication_date string",
+    )
+    rows = _posting(
+        x, "Remotive", title=_x("title"), company=_x("company_name"), description=F.left(X.strip_html(_x("description")), F.lit(2000)),
+        link=_x("url"), salary=X.tidy_salary(_x("salary")), date_posted=_x("publication_date"),
+    )
     return keyword_match(rows, keywords or [], "title", "description")
 
 
 def arbeitnow(payloads: DataFrame) -> DataFrame:
     x = _rows(payloads, "data", "title string, company_name string, description string, url string, remote boolean, location string")
     x = x.where(F.coalesce(_x("remote"), F.lit(False)) | F.lower(X.text(_x("location"))).isin("", "remote", "worldwide"))
-    return _posting(x, "Arbeitnow", title=_x("title"), company=_x("company_name"), description=F.left(X.strip_html(_x("description")), F.lit(2000)), link=_x("url"), location=_x("location"))
+    return _posting(
+        x, "Arbeitnow", title=_x("title"), company=_x("company_name"), description=F.left(X.strip_html(_x("description")), F.lit(2000)),
+        link=_x("url"), location=_x("location"),
+    )
 
 
 def muse(payloads: DataFrame, keywords: list[str] | None = None) -> DataFrame:
-    x = _rows(payloads, "results", "name string, contents string, company struct<name: string>, locations array<struct<name: string>>, refs struct<landing_page: string>, publication_date string")
+    x = _rows(
+        payloads, "results",
+        "name string, contents string, company struct<name: string>, locations array<struct<name: string>>, refs struct<landing_page: string>, publication_date string",
+    )
     x = x.where((F.coalesce(F.size(_x("locations")), F.lit(0)) <= 0) | F.exists(_x("locations"), lambda p: F.contains(F.lower(X.text(p["name"])), F.lit("remote"))))
-    rows = _posting(x, "The Muse", title=_x("name"), company=_x("company.name"), description=F.left(X.strip_html(_x("contents")), F.lit(2000)), link=_x("refs.landing_page"), location=F.array_join(F.transform(_x("locations"), lambda p: p["name"]), ", "), date_posted=_x("publication_date"))
+    rows = _posting(
+        x, "The Muse", title=_x("name"), company=_x("company.name"), description=F.left(X.strip_html(_x("contents")), F.lit(2000)),
+        link=_x("refs.landing_page"), location=F.array_join(F.transform(_x("locations"), lambda p: p["name"]), ", "),
+        date_posted=_x("publication_date"),
+    )
     return keyword_match(rows, keywords or [], "title", "description")
 
 
 def jobicy(payloads: DataFrame) -> DataFrame:
-    x = _rows(payloads, "jobs", "jobTitle string, companyName string, jobDescription string, url string, jobGeo string, annualSalaryMin double, annualSalaryMax double, salaryCurrency string, pubDate string")
-    return _posting(x, "Jobicy", title=X.unescaped(_x("jobTitle")), company=_x("companyName"), description=F.left(X.strip_html(_x("jobDescription")), F.lit(2000)), link=_x("url"), location=_x("jobGeo"), salary=X.salary_range(_x("annualSalaryMin"), _x("annualSalaryMax"), F.coalesce(_x("salaryCurrency"), F.lit("USD"))), date_posted=_x("pubDate"))
+    x = _rows(
+        payloads, "jobs",
+        "jobTitle string, companyName string, jobDescription string, url string, jobGeo string, annualSalaryMin double, annualSalaryMax double, salaryCurrency string, pubDate string",
+    )
+    return _posting(
+        x, "Jobicy", title=X.unescaped(_x("jobTitle")), company=_x("companyName"),
+        description=F.left(X.strip_html(_x("jobDescription")), F.lit(2000)), link=_x("url"), location=_x("jobGeo"),
+        salary=X.salary_range(_x("annualSalaryMin"), _x("annualSalaryMax"), F.coalesce(_x("salaryCurrency"), F.lit("USD"))),
+        date_posted=_x("pubDate"),
+    )
 
 
 def himalayas(payloads: DataFrame) -> DataFrame:
-    x = _rows(payloads, "jobs", "title string, company string, companyName string, description string, url string, applicationLink string, minSalary double, maxSalary double")
+    x = _rows(
+        payloads, "jobs",
+        "title string, company string, companyName string, description string, url string, applicationLink string, minSalary double, maxSalary double",
+    )
     company = F.coalesce(F.get_json_object(_x("company"), "$.name"), _x("company"), _x("companyName"))
-    return _posting(x, "Himalayas", title=_x("title"), company=company, description=F.left(X.strip_html(_x("description")), F.lit(2000)), link=_filled(_x("url"), _x("applicationLink")), salary=X.salary_range(_x("minSalary"), _x("maxSalary"), F.lit("USD")))
+    return _posting(
+        x, "Himalayas", title=_x("title"), company=company, description=F.left(X.strip_html(_x("description")), F.lit(2000)),
+        link=_filled(_x("url"), _x("applicationLink")), salary=X.salary_range(_x("minSalary"), _x("maxSalary"), F.lit("USD")),
+    )
 
 
 def adzuna(payloads: DataFrame, country: str) -> DataFrame:
-    x = _rows(payloads, "results", "title string, description string, redirect_url string, company struct<display_name: string>, location struct<display_name: string>, salary_min double, salary_max double, created string")
+    x = _rows(
+        payloads, "results",
+        "title string, description string, redirect_url string, company struct<display_name: string>, location struct<display_name: string>, salary_min double, salary_max double, created string",
+    )
     sign = {"gb": "£", "us": "$", "ca": "$", "au": "$", "in": "₹"}.get(country, "€")
-    return _posting(x, "Adzuna", title=X.strip_html(_x("title")), company=_x("company.display_name"), description=X.strip_html(_x("description")), link=_x("redirect_url"), location=_x("location.display_name"), salary=X.salary_range(_x("salary_min"), _x("salary_max"), F.lit(sign)), date_posted=_x("created"))
+    return _posting(
+        x, "Adzuna", title=X.strip_html(_x("title")), company=_x("company.display_name"), description=X.strip_html(_x("description")),
+        link=_x("redirect_url"), location=_x("location.display_name"),
+        salary=X.salary_range(_x("salary_min"), _x("salary_max"), F.lit(sign)), date_posted=_x("created"),
+    )
 
 
 def jooble(payloads: DataFrame) -> DataFrame:
     x = _rows(payloads, "jobs", "title string, company string, snippet string, link string, location string, salary string, updated string")
-    return _posting(x, "Jooble", title=_x("title"), company=_x("company"), description=X.strip_html(_x("snippet")), link=_x("link"), location=_x("location"), salary=X.tidy_salary(_x("salary")), date_posted=_x("updated"))
+    return _posting(
+        x, "Jooble", title=_x("title"), company=_x("company"), description=X.strip_html(_x("snippet")), link=_x("link"),
+        location=_x("location"), salary=X.tidy_salary(_x("salary")), date_posted=_x("updated"),
+    )
 
 
 def federal_agency(payloads: DataFrame) -> DataFrame:
-    x = _rows(payloads, "stellenangebote", "titel string, beruf string, arbeitgeber string, refnr string, externeUrl string, arbeitsort struct<ort: string, region: string>, aktuelleVeroeffentlichungsdatum string")
+    x = _rows(
+        payloads, "stellenangebote",
+        "titel string, beruf string, arbeitgeber string, refnr string, externeUrl string, arbeitsort struct<ort: string, region: string>, aktuelleVeroeffentlichungsdatum string",
+    )
     place = F.nullif(F.concat_ws(", ", F.nullif(_x("arbeitsort.ort"), F.lit("")), F.nullif(_x("arbeitsort.region"), F.lit(""))), F.lit(""))
     link = _filled(_x("externeUrl"), F.concat(F.lit("https://www.arbeitsagentur.de/jobsuche/jobdetail/"), _x("refnr")))
-    return _posting(x, "Bundesagentur", title=_filled(_x("titel"), _x("beruf")), company=_x("arbeitgeber"), description=_filled(_x("beruf"), F.lit("")), link=link, location=F.coalesce(place, F.lit("Deutschland")), date_posted=_x("aktuelleVeroeffentlichungsdatum"))
+    return _posting(
+        x, "Bundesagentur", title=_filled(_x("titel"), _x("beruf")), company=_x("arbeitgeber"),
+        description=_filled(_x("beruf"), F.lit("")), link=link, location=F.coalesce(place, F.lit("Deutschland")),
+        date_posted=_x("aktuelleVeroeffentlichungsdatum"),
+    )
 
 
 def reed(payloads: DataFrame) -> DataFrame:
-    x = _rows(payloads, "results", "jobTitle string, employerName string, jobDescription string, jobUrl string, locationName string, minimumSalary double, maximumSalary double, date string")
-    return _posting(x, "Reed", title=_x("jobTitle"), company=_x("employerName"), description=X.strip_html(_x("jobDescription")), link=_x("jobUrl"), location=_x("locationName"), salary=X.salary_range(_x("minimumSalary"), _x("maximumSalary"), F.lit("£")), date_posted=_x("date"))
+    x = _rows(
+        payloads, "results",
+        "jobTitle string, employerName string, jobDescription string, jobUrl string, locationName string, minimumSalary double, maximumSalary double, date string",
+    )
+    return _posting(
+        x, "Reed", title=_x("jobTitle"), company=_x("employerName"), description=X.strip_html(_x("jobDescription")), link=_x("jobUrl"),
+        location=_x("locationName"), salary=X.salary_range(_x("minimumSalary"), _x("maximumSalary"), F.lit("£")), date_posted=_x("date"),
+    )
 
 
 def jsearch(payloads: DataFrame) -> DataFrame:
-    x = _rows(payloads, "data", "job_title string, employer_name string, job_description string, job_apply_link string, job_city string, job_country string, job_min_salary double, job_max_salary double, job_salary_currency string, job_publisher string, job_posted_at_datetime_utc string")
-    return _posting(x, F.coalesce(_x("job_publisher"), F.lit("JSearch")), title=_x("job_title"), company=_x("employer_name"), description=_x("job_description"), link=_x("job_apply_link"), location=F.concat_ws(", ", _x("job_city"), _x("job_country")), salary=X.salary_range(_x("job_min_salary"), _x("job_max_salary"), F.coalesce(_x("job_salary_currency"), F.lit("USD"))), date_posted=_x("job_posted_at_datetime_utc"))
+    x = _rows(
+        payloads, "data",
+        "job_title string, employer_name string, job_description string, job_apply_link string, job_city string, job_country string, job_min_salary double, job_max_salary double, job_salary_currency string, job_publisher string, job_posted_at_datetime_utc string",
+    )
+    return _posting(
+        x, F.coalesce(_x("job_publisher"), F.lit("JSearch")), title=_x("job_title"), company=_x("employer_name"),
+        description=_x("job_description"), link=_x("job_apply_link"), location=F.concat_ws(", ", _x("job_city"), _x("job_country")),
+        salary=X.salary_range(_x("job_min_salary"), _x("job_max_salary"), F.coalesce(_x("job_salary_currency"), F.lit("USD"))),
+        date_posted=_x("job_posted_at_datetime_utc"),
+    )
 
 
 def serp(payloads: DataFrame) -> DataFrame:
-    x = _rows(payloads, "jobs_results", "title string, company_name string, description string, location string, share_link string, apply_options array<struct<link: string>>, job_highlights array<struct<items: array<string>>>")
-    more = F.array_join(F.flatten(F.transform(F.coalesce(_x("job_highlights"), F.array().cast("array<struct<items: array<string>>>")), lambda h: F.coalesce(h["items"], F.array().cast("array<string>")))), " ")
+    x = _rows(
+        payloads, "jobs_results",
+        "title string, company_name string, description string, location string, share_link string, apply_options array<struct<link: string>>, job_highlights array<struct<items: array<string>>>",
+    )
+    more = F.array_join(
+        F.flatten(F.transform(F.coalesce(_x("job_highlights"), F.array().cast("array<struct<items: array<string>>>")), lambda h: F.coalesce(h["items"], F.array().cast("array<string>")))),
+        " ",
+    )
     link = F.coalesce(F.try_element_at(_x("apply_options"), F.lit(1))["link"], _x("share_link"))
-    return _posting(x, "Google Jobs", title=_x("title"), company=_x("company_name"), description=F.left(F.concat_ws(" ", _x("description"), more), F.lit(2000)), link=link, location=_x("location"))
+    return _posting(
+        x, "Google Jobs", title=_x("title"), company=_x("company_name"),
+        description=F.left(F.concat_ws(" ", _x("description"), more), F.lit(2000)), link=link, location=_x("location"),
+    )
 
 
 def actor_dataset(payloads: DataFrame, source: str) -> DataFrame:
     """Items of a scraping service's data set; both of its naming styles."""
-    x = _rows(payloads, "", "title string, positionName string, companyName string, company string, description string, descriptionText string, link string, url string, location string, salary string, salaryInfo array<string>, postedAt string")
+    x = _rows(
+        payloads, "",
+        "title string, positionName string, companyName string, company string, description string, descriptionText string, link string, url string, location string, salary string, salaryInfo array<string>, postedAt string",
+    )
     salary = _filled(_x("salary"), F.array_join(_x("salaryInfo"), " – "))
-    return _posting(x, source, title=_filled(_x("title"), _x("positionName")), company=_filled(_x("companyName"), _x("company")), description=F.left(X.strip_html(_filled(_x("descriptionText"), _x("description"))), F.lit(3000)), link=_filled(_x("link"), _x("url")), location=_x("location"), salary=salary, date_posted=_x("postedAt"))
+    return _posting(
+        x, source, title=_filled(_x("title"), _x("positionName")), company=_filled(_x("companyName"), _x("company")),
+        description=F.left(X.strip_html(_filled(_x("descriptionText"), _x("description"))), F.lit(3000)),
+        link=_filled(_x("link"), _x("url")), location=_x("location"), salary=salary, date_posted=_x("postedAt"),
+    )
 
 
 def rss(spark: SparkSession, path: str, source: str, company: str | None = None, keywords: list[str] | None = None) -> DataFrame:
@@ -162,7 +270,10 @@ def rss(spark: SparkSession, path: str, source: str, company: str | None = None,
     split = F.contains(_x("title"), F.lit(":")) & F.lit(company is None)
     title = F.when(split, X.strip(F.substr(_x("title"), F.instr(_x("title"), ":") + 1))).otherwise(_x("title"))
     name = F.when(split, X.strip(F.substring_index(_x("title"), ":", 1))).otherwise(F.lit(company or ""))
-    rows = _posting(x, source, title=title, company=name, description=X.strip_html(_x("description")), link=_x("link"), location=F.coalesce(F.col("x.`g:location`"), _x("location")), date_posted=_x("pubDate"))
+    rows = _posting(
+        x, source, title=title, company=name, description=X.strip_html(_x("description")), link=_x("link"),
+        location=F.coalesce(F.col("x.`g:location`"), _x("location")), date_posted=_x("pubDate"),
+    )
     return keyword_match(rows, keywords or [], "title", "description")
 
 
@@ -173,7 +284,10 @@ def guest_cards(pages: DataFrame, search_query: str = "") -> DataFrame:
     inner = lambda mark: X.strip_html(F.regexp_extract("card", rf"(?is)<[a-z0-9]+[^>]*class=\"[^\"]*{mark}[^\"]*\"[^>]*>(.*?)</", 1))
     link = X.unescaped(F.regexp_extract("card", r"(?is)<a[^>]*href=\"([^\"]+)\"", 1))
     rows = rows.withColumn("__title", inner("title")).where("__title <> ''")
-    found = _posting(rows, "LinkedIn", title=F.col("__title"), company=_filled(inner("subtitle"), F.lit("Unknown")), link=link, location=_filled(inner("location"), F.lit("Remote")), date_posted=F.regexp_extract("card", r"datetime=\"([^\"]+)\"", 1))
+    found = _posting(
+        rows, "LinkedIn", title=F.col("__title"), company=_filled(inner("subtitle"), F.lit("Unknown")), link=link,
+        location=_filled(inner("location"), F.lit("Remote")), date_posted=F.regexp_extract("card", r"datetime=\"([^\"]+)\"", 1),
+    )
     return found.withColumn("search_query", F.lit(search_query))
 
 

@@ -113,7 +113,9 @@ def test_status_events_in_order(spark):
     want = {}
     for job, _, e in events:
         now = want.get(job, "none")
-        want[job] = "rejected" if e == "rejected" else e if now in ("none", "") else "interviewing" if (now, e) == ("applied", "interviewing") else now
+        want[job] = "rejected" if e == "rejected" else e if now in ("none", "") else "interviewing" if (now, e) == (
+            "applied", "interviewing",
+        ) else now
     none = spark.createDataFrame([], "job_id long, status string, updated_date timestamp")
     half = spark.createDataFrame(events[:30], "job_id long, ts timestamp, status string")
     rest = spark.createDataFrame(events[30:], half.schema)
@@ -123,7 +125,10 @@ def test_status_events_in_order(spark):
 
 def test_stale_needs_three_empty_runs(spark):
     runs = [("a", d, n, None) for d, n in enumerate([5, 0, 0, 0])] + [("b", d, n, None) for d, n in enumerate([0, 0])] + [("c", d, n, e) for d, (n, e) in enumerate([(0, "x"), (0, "y"), (0, None)])] + [("d", d, n, None) for d, n in enumerate([0, 0, 1])]
-    df = spark.createDataFrame([(s, 1, n, 1.0, e, DAY + timedelta(days=d)) for s, d, n, e in runs], "source string, queries long, raw_count long, duration_s double, error string, run_at timestamp")
+    df = spark.createDataFrame(
+        [(s, 1, n, 1.0, e, DAY + timedelta(days=d)) for s, d, n, e in runs],
+        "source string, queries long, raw_count long, duration_s double, error string, run_at timestamp",
+    )
     assert sorted((x.source, x.last_error) for x in health.stale(df).collect()) == [("a", None), ("c", "y")]
     now = df.where("source = 'a'").limit(1).withColumn("raw_count", F.lit(3).cast("long"))
     assert [x.source for x in health.recovered(df, now).collect()] == ["a"]
@@ -132,6 +137,10 @@ def test_stale_needs_three_empty_runs(spark):
 
 
 def test_internal_addresses(spark):
-    urls = {"http://10.0.0.1/x": True, "http://127.0.0.1": True, "http://169.254.1.1/": True, "http://192.168.3.4": True, "http://172.20.0.1": True, "http://8.8.8.8/x": False, "https://example.org": False, "ftp://example.org": True, "": True, "http://[::1]/": True, "http://localhost:80/": True}
+    urls = {
+        "http://10.0.0.1/x": True, "http://127.0.0.1": True, "http://169.254.1.1/": True, "http://192.168.3.4": True,
+        "http://172.20.0.1": True, "http://8.8.8.8/x": False, "https://example.org": False, "ftp://example.org": True, "": True,
+        "http://[::1]/": True, "http://localhost:80/": True,
+    }
     df = spark.createDataFrame(list(urls.items()), "url string, want boolean")
     assert all(x.got == x.want for x in df.select("want", filters.internal_url("url").alias("got")).collect())

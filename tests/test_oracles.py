@@ -13,7 +13,10 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]:
+    for t in [
+        "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
+        "benchmark", "labels", "conversations",
+    ]:
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return con
 

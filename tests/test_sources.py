@@ -15,26 +15,50 @@ def rows(spark, reader, payload, *args):
 def test_board_shapes(spark):
     assert rows(spark, boards.lever, [{"text": "A", "descriptionPlain": "", "description": "<b>B</b>", "hostedUrl": "https://x.org/1?lever-source=a", "categories": {"location": "Oslo", "commitment": "Full-time"}}], "Co")[0] | {} == {
         "title": "A", "company": "Co", "description": "B", "link": "https://x.org/1?lever-source=a", "location": "Oslo", "salary": "Full-time", "source": "Lever", "date_posted": None}
-    a = rows(spark, boards.ashby, {"jobs": [{"title": "A", "descriptionPlain": "d", "jobUrl": "https://x.org/2", "location": "", "publishedAt": "2024-01-01", "compensation": None}]}, "Co")[0]
+    a = rows(
+        spark, boards.ashby,
+        {"jobs": [{"title": "A", "descriptionPlain": "d", "jobUrl": "https://x.org/2", "location": "", "publishedAt": "2024-01-01", "compensation": None}]},
+        "Co",
+    )[0]
     assert (a["location"], a["date_posted"]) == ("Not stated", "2024-01-01")
-    s = rows(spark, boards.smart_recruiters, {"content": [{"id": "7", "name": "A", "location": {"city": "Rome", "country": ""}}, {"id": "8", "name": "B"}]}, "Co", "co")
-    assert [(x["link"], x["location"]) for x in s] == [("https://jobs.smartrecruiters.com/co/7", "Rome"), ("https://jobs.smartrecruiters.com/co/8", "Not stated")]
-    w = rows(spark, boards.workday, {"jobPostings": [{"title": "A", "externalPath": "/job/1", "bulletFields": ["x", "y"]}]}, "Co", "https://co.example.org")[0]
+    s = rows(
+        spark, boards.smart_recruiters,
+        {"content": [{"id": "7", "name": "A", "location": {"city": "Rome", "country": ""}}, {"id": "8", "name": "B"}]}, "Co", "co",
+    )
+    assert [(x["link"], x["location"]) for x in s] == [
+        ("https://jobs.smartrecruiters.com/co/7", "Rome"), ("https://jobs.smartrecruiters.com/co/8", "Not stated"),
+    ]
+    w = rows(
+        spark, boards.workday, {"jobPostings": [{"title": "A", "externalPath": "/job/1", "bulletFields": ["x", "y"]}]}, "Co",
+        "https://co.example.org",
+    )[0]
     assert (w["description"], w["link"]) == ("x y", "https://co.example.org/job/1")
 
 
 def test_feed_shapes(spark):
-    ok = rows(spark, boards.remote_ok, [{"legal": "terms"}, {"position": "Dev &amp; Ops", "company": "X", "description": "<p>cloud</p>", "url": "https://r.org/1", "tags": ["aws"], "salary_min": 1000, "salary_max": 2000}], ["AWS"])
+    ok = rows(
+        spark, boards.remote_ok,
+        [{"legal": "terms"}, {"position": "Dev &amp; Ops", "company": "X", "description": "<p>cloud</p>", "url": "https://r.org/1", "tags": ["aws"], "salary_min": 1000, "salary_max": 2000}],
+        ["AWS"],
+    )
     assert [(x["title"], x["salary"]) for x in ok] == [("Dev & Ops", "USD 1,000 – 2,000")]
     assert rows(spark, boards.remote_ok, [{"position": "P", "description": "none"}], ["aws"]) == []
     assert [x["title"] for x in rows(spark, boards.arbeitnow, {"data": [{"title": "A", "remote": True}, {"title": "B", "location": "Bonn"}, {"title": "C", "location": ""}]})] == ["A", "C"]
     assert [x["title"] for x in rows(spark, boards.muse, {"results": [{"name": "A", "locations": [{"name": "Flexible / Remote"}]}, {"name": "B", "locations": [{"name": "Bonn"}]}, {"name": "C", "locations": []}]})] == ["A", "C"]
-    h = rows(spark, boards.himalayas, {"jobs": [{"title": "A", "company": '{"name": "Inner"}', "applicationLink": "https://h.org/a"}, {"title": "B", "company": "Plain", "url": "https://h.org/b"}]})
+    h = rows(
+        spark, boards.himalayas,
+        {"jobs": [{"title": "A", "company": '{"name": "Inner"}', "applicationLink": "https://h.org/a"}, {"title": "B", "company": "Plain", "url": "https://h.org/b"}]},
+    )
     assert [(x["company"], x["link"]) for x in h] == [("Inner", "https://h.org/a"), ("Plain", "https://h.org/b")]
-    assert rows(spark, boards.adzuna, {"results": [{"title": "A", "salary_min": 10, "salary_max": None, "company": {"display_name": "C"}}]}, "gb")[0]["salary"] == "£ 10+"
+    assert rows(
+        spark, boards.adzuna, {"results": [{"title": "A", "salary_min": 10, "salary_max": None, "company": {"display_name": "C"}}]}, "gb",
+    )[0]["salary"] == "£ 10+"
     b = rows(spark, boards.federal_agency, {"stellenangebote": [{"beruf": "Schlosser", "refnr": "9", "arbeitsort": {"ort": "Ulm"}}]})[0]
     assert (b["title"], b["link"], b["location"]) == ("Schlosser", "https://www.arbeitsagentur.de/jobsuche/jobdetail/9", "Ulm")
-    g = rows(spark, boards.serp, {"jobs_results": [{"title": "A", "share_link": "https://s.org/1", "apply_options": [], "job_highlights": [{"items": ["x", "y"]}], "description": "d"}]})[0]
+    g = rows(
+        spark, boards.serp,
+        {"jobs_results": [{"title": "A", "share_link": "https://s.org/1", "apply_options": [], "job_highlights": [{"items": ["x", "y"]}], "description": "d"}]},
+    )[0]
     assert (g["link"], g["description"]) == ("https://s.org/1", "d x y")
     for name in ("remotive", "jobicy", "jooble", "reed", "jsearch"):
         assert rows(spark, boards.READERS[name], {"jobs": []}) == []
@@ -47,7 +71,10 @@ def test_rss_and_cards(spark, tmp_path):
     html = '<ul><li><a class="l" href="https://l.org/1?trk=a"></a><h3 class="base-title"> Dev </h3><h4 class="base-subtitle">Co</h4><time datetime="2024-01-02">x</time></li><li><p>no</p></li></ul>'
     card = boards.guest_cards(spark.createDataFrame([(html,)], "html string"), "remote dev").collect()
     assert [(c.title, c.company, c.link, c.location, c.date_posted, c.search_query) for c in card] == [("Dev", "Co", "https://l.org/1", "Remote", "2024-01-02", "remote dev")]
-    web = spark.createDataFrame([("Acme hiring Dev in Oslo | LinkedIn", "https://www.linkedin.com/jobs/view/1", "b"), ("Jobs", "https://x.org/search?q=a", "b")], "title string, href string, body string")
+    web = spark.createDataFrame(
+        [("Acme hiring Dev in Oslo | LinkedIn", "https://www.linkedin.com/jobs/view/1", "b"), ("Jobs", "https://x.org/search?q=a", "b")],
+        "title string, href string, body string",
+    )
     assert [(r.title, r.company, r.source) for r in boards.search_results(web).collect()] == [("Dev", "Acme", "LinkedIn")]
 
 
@@ -61,7 +88,10 @@ def test_incremental_merges(spark, tmp_path):
     source = str(tmp_path / "in")
     merge = lambda old, batch: store.touch_links(old, batch)
     for n in range(3):
-        spark.range(5).select(F.concat(F.lit("l"), (F.col("id") % (n + 2)).cast("string")).alias("link"), F.make_timestamp(F.lit(2024), F.lit(1), F.lit(n + 1), F.lit(0), F.lit(0), F.lit(0)).alias("at")).write.mode("append").parquet(source)
+        spark.range(5).select(
+            F.concat(F.lit("l"), (F.col("id") % (n + 2)).cast("string")).alias("link"),
+            F.make_timestamp(F.lit(2024), F.lit(1), F.lit(n + 1), F.lit(0), F.lit(0), F.lit(0)).alias("at"),
+        ).write.mode("append").parquet(source)
         stream = spark.readStream.schema("link string, at timestamp").parquet(source)
         incremental.merge_batches(stream, str(tmp_path / "table"), merge, schema, str(tmp_path / "check"), once=True).awaitTermination()
     got = {r.link: (r.first_seen.day, r.last_seen.day) for r in incremental.read_table(spark, str(tmp_path / "table"), 3, schema).collect()}
@@ -75,7 +105,9 @@ def test_mails(spark):
         b"", None,
     ]
     got = mailbox.mails(spark.createDataFrame([(r,) for r in raw], "content binary")).collect()
-    assert (got[0].message_id, got[0].subject, got[0].sender, got[0].date.hour, got[0].body) == ("<1@x>", "Bewerbung für Dev", "Jos <jos@x.org>", 9, "Hello there")
+    assert (
+        got[0].message_id, got[0].subject, got[0].sender, got[0].date.hour, got[0].body,
+    ) == ("<1@x>", "Bewerbung für Dev", "Jos <jos@x.org>", 9, "Hello there")
     assert got[1].body == "Only html & more" and len(got) == 4 and got[3].subject is None
 
 

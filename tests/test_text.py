@@ -46,13 +46,18 @@ def test_html_and_pages(spark):
 
 
 def test_labels(spark):
-    assert value(spark, X.detail_api_url, "https://acme.wd3.myworkdayjobs.com/en-US/Careers/job/Berlin/X_1") == "https://acme.wd3.myworkdayjobs.com/wday/cxs/acme/Careers/job/Berlin/X_1"
+    assert value(
+        spark, X.detail_api_url, "https://acme.wd3.myworkdayjobs.com/en-US/Careers/job/Berlin/X_1",
+    ) == "https://acme.wd3.myworkdayjobs.com/wday/cxs/acme/Careers/job/Berlin/X_1"
     assert value(spark, X.inbox, "Email / me@gmail.com") == "me" and value(spark, X.inbox, "RemoteOK") == ""
     assert value(spark, X.site_label, "https://www.acme.io/jobs") == "Acme" and value(spark, X.site_label, "") == "JSearch"
 
 
 def test_drafts(spark):
-    df = spark.createDataFrame([("m", "Saved job", "Title: Pump Engineer\nCompany: Acme\nTitle: again\nLink: https://a.com/j?utm_source=x", "d"), ("n", None, "see https://b.org/1", "d")], "message_id string, subject string, body string, date string")
+    df = spark.createDataFrame(
+        [("m", "Saved job", "Title: Pump Engineer\nCompany: Acme\nTitle: again\nLink: https://a.com/j?utm_source=x", "d"), ("n", None, "see https://b.org/1", "d")],
+        "message_id string, subject string, body string, date string",
+    )
     got = {r.message_id: r for r in mail.draft_posting(df).collect()}
     assert (got["m"].title, got["m"].company, got["m"].link) == ("Pump Engineer", "Acme", "https://a.com/j")
     assert (got["n"].title, got["n"].company, got["n"].link) == ("Untitled", "Unknown", "https://b.org/1")
