@@ -171,35 +171,37 @@ def _unpacked(x: bytes) -> np.ndarray:
 
 
 def _spread(shared, window: int):
-    """Packs -> by pack and group: the documents' ids and numbers of windows, the gaps between the group's suffixes, and
+    """Packs -> by pack and group: the steps between the documents' ids and between the places of the group's suffixes, and
     their codes. Windows of hot codes are decided here and go out as group -1."""
 
     def send(pack: int, docs: list[tuple[int, list[np.ndarray]]]) -> Iterator[tuple]:
         plan, hot_codes, hot_first = shared.value
+        zip_ = zstandard.ZstdCompressor(level=1)
         ids = np.array([i for i, _ in docs], np.int64)
         sizes = np.array([len(c[0]) for _, c in docs], np.int64)
         codes = [np.concatenate(c) for c in zip(*(c for _, c in docs), strict=True)]
         group, own = plan.of(codes), codes[-1]
-        where = np.arange(len(own))
-        head = zlib.compress(np.stack([np.diff(ids, prepend=0), sizes]).tobytes(), 1)
+        where, doc = np.arange(len(own)), np.repeat(ids, sizes)
+        steps = lambda x: zip_.compress(np.diff(x, prepend=0).tobytes())  # noqa: E731  mostly zeros
         if len(hot_codes):
             at = np.minimum(np.searchsorted(hot_codes, own), len(hot_codes) - 1)
             hot = hot_codes[at] == own
-            again = np.flatnonzero(hot & (hot_first[at] < np.repeat(ids, sizes)))
+            again = np.flatnonzero(hot & (hot_first[at] < doc))
             if len(again):
-                yield pack, -1, head, _packed(np.diff(again, prepend=0)), b""
+                yield pack, -1, steps(doc[again]), _packed(np.diff(again, prepend=0)), b""
             where, group, own = where[~hot], group[~hot], own[~hot]
         order = np.argsort(group, kind="stable")
-        cuts = np.flatnonzero(np.diff(group[order], prepend=-2))
-        for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+        cuts = np.append(np.flatnonzero(np.diff(group[order], prepend=-2)), len(order))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             at = order[a:b]
-            yield pack, int(group[at[0]]), head, _packed(np.diff(where[at], prepend=0)), own[at].tobytes()
+            yield pack, int(group[at[0]]), steps(doc[where[at]]), _packed(np.diff(where[at], prepend=0)), own[at].tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for pack, ids, texts in zip(*batch.columns, strict=True):
-                if docs := list(_coded(ids.as_py(), texts.as_py(), window)):
-                    cols = zip(*send(pack.as_py(), docs), strict=True)
+                docs = list(_coded(ids.as_py(), texts.as_py(), window))
+                if rows := list(send(pack.as_py(), docs)) if docs else []:
+                    cols = zip(*rows, strict=True)
                     kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["pack", "grp", "docs", "gaps", "codes"])
 
@@ -208,12 +210,10 @@ def _spread(shared, window: int):
 
 def _repeats(rows: pd.DataFrame) -> pd.DataFrame:
     """One group's subtree: by pack the places whose node also has a leaf of a smaller doc_id."""
-    docs, places, codes = [], [], []
-    for head, gaps, own in zip(rows["docs"], rows["gaps"], rows["codes"], strict=True):
-        table = np.frombuffer(zlib.decompress(head), np.int64).reshape(2, -1)
-        at = np.cumsum(_unpacked(gaps))
-        docs.append(np.cumsum(table[0])[np.searchsorted(np.cumsum(table[1]), at, side="right")])
-        places.append(at.astype(np.uint32))
+    docs, places, codes, unzip = [], [], [], zstandard.ZstdDecompressor()
+    for steps, gaps, own in zip(rows["docs"], rows["gaps"], rows["codes"], strict=True):
+        docs.append(np.cumsum(np.frombuffer(unzip.decompress(steps), np.int64)))
+        places.append(np.cumsum(_unpacked(gaps)).astype(np.uint32))
         codes.append(np.frombuffer(own, np.uint64))
     if rows["grp"].iloc[0] >= 0:
         sizes = [len(x) for x in places]

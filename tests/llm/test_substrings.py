@@ -57,3 +57,9 @@ def test_empty(spark):
     assert S.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     one = S.remove_repeats(spark.createDataFrame([(1, "a b")], "doc_id long, text string")).collect()
     assert [tuple(r)[:4] for r in one] == [(1, 2, 0, "a b")]
+
+
+def test_every_window_is_hot(spark):
+    df = spark.createDataFrame([(i, "x " * 50) for i in range(40)], "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.n_removed for r in S.remove_repeats(df, group_rows=8).collect()}
+    assert got == {i: 50 * (i > 0) for i in range(40)}
