@@ -14,8 +14,6 @@ from millrace.functions import text as X
 from millrace.functions import vocab as V
 from millrace.operators import filters as R
 
-RANK = ["relevance_score", "extracted_date"]
-
 
 def unsent(jobs: DataFrame, sent: DataFrame) -> DataFrame:
     return jobs.join(sent.select(F.col("job_id").alias("__sent")).distinct(), F.col("id") == F.col("__sent"), "left_anti")
