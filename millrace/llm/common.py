@@ -2,39 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.functions.rounds import materialise, work_folder  # noqa: F401
+
 #: ASCII upper case to lower case; every other byte stays.
 LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def work_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the cluster's ``spark.checkpoint.dir``. Only where that is unset (local runs and tests) is a temporary
-    folder made and set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back.
-
-    This cuts the lineage in a way that survives lost executors: what follows rereads files and recomputes nothing.
-    """
-    spark = df.sparkSession
-    path = f"{work_folder(spark)}/millrace/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions_for(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
