@@ -25,22 +25,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import materialise, partitions_for, pick
+from millrace.llm.common import materialise, partitions_for
 
 EPS = 1e-9
-ROWS = "source string, chunk long, doc_id {id}, size long, source_size long, target double, copies long, fraction double, left boolean"
+ROWS = "row long, source string, chunk long, doc_id {id}, size long, source_size long, target double, copies long, fraction double, left boolean"
 
 
-def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size in words."""
-    rows = pick(docs, doc_id=id_col, source=source_col, text=text_col).select("doc_id", "source", F.col("text").cast("binary").alias("text"))
+def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """doc_id, source, size in words, row (``row_col`` or null)."""
+    row = (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).cast("binary").alias("text"), row)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = [len(t.split()) if t else 0 for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), batch.column(3)], ["doc_id", "source", "size", "row"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, source string, size long")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, source string, size long, row long")
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -116,10 +117,11 @@ def _settled(row: dict) -> dict:
     return row | {"copies": row["copies"] + round(row["fraction"]), "fraction": 0.0, "left": False}
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, chunk_rows: int = 2000, fan: int = 1000, seed: int = 7) -> DataFrame:
-    """A row for each document: doc_id, source, size, source_size, target (its source's), copies, taken (copies x size)."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, chunk_rows: int = 2000, fan: int = 1000, seed: int = 7, row_col: str | None = None) -> DataFrame:
+    """A row for each document: doc_id, source, size, source_size, target (its source's), copies, taken (copies x size); row if there is a ``row_col``,
+    an own number of each row, by which rows without a doc_id or with the same one are told apart."""
     spark = docs.sparkSession
-    sized = materialise(sizes(docs, id_col, text_col, source_col), "sizes")
+    sized = materialise(sizes(docs, id_col, text_col, source_col, row_col), "sizes")
     plan = materialise(targets(sized, weights, share, most), "targets")
     p = plan.withColumnRenamed("source", "of")
     rate = F.least(F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)), F.lit(float(most)))
@@ -127,7 +129,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     chunk = F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("n_docs") / chunk_rows))
     rows = rows.withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(0.0))
     rows = rows.select(
-        "source", chunk.cast("long").alias("chunk"), "doc_id", "size", "source_size", "target", F.floor("rate").alias("copies"),
+        "row", "source", chunk.cast("long").alias("chunk"), "doc_id", "size", "source_size", "target", F.floor("rate").alias("copies"),
         (F.col("rate") - F.floor("rate")).alias("fraction"), F.lit(False).alias("left"),
     )
     schema = ROWS.format(id=sized.schema["doc_id"].dataType.simpleString())
@@ -135,7 +137,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     done: list[DataFrame] = []
     while True:
         last = chunks <= 1
-        dealt = rows.repartition(partitions_for(spark), "source", "chunk").sortWithinPartitions("source", "chunk", "doc_id", "size")
+        dealt = rows.repartition(partitions_for(spark), "source", "chunk").sortWithinPartitions("source", "chunk", "doc_id", "size", "row")
         out = dealt.mapInArrow(_pivotal(seed + len(done), last), schema)
         if last:
             done.append(out)
@@ -146,4 +148,4 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     found = done[0]
     for x in done[1:]:
         found = found.unionByName(x)
-    return found.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return found.select(*["row"] * bool(row_col), "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
