@@ -2,13 +2,13 @@
 
 Base patterns give spans on their own. Four weak patterns propose parts: identifiers (user names, client ids), weak secrets
 (short pass words, auth values), opaque tokens, and endpoints. A weak part alone means nothing, so each opens a scope of
-``scope`` characters around it, and the scopes of a text are joined with the parts that start in them: a range frame over start positions
-counts, for every part, the identifiers, secrets and endpoints in reach. An identifier or a weak secret is reported only with its
+``scope`` characters around its span, whatever the span's length, and the scopes of a text are joined with the parts whose spans touch them: for every part
+and kind, the largest end of those that start no later and the least start of those that start no earlier tell what is in reach. An identifier or a weak secret is reported only with its
 complement (identifier and secret), an opaque token only with an identifier or an endpoint, an endpoint only with both an identifier and a
 secret. Base access keys count as identifiers, base assignments and hex values as secrets.
 
-How it scales: the texts are read once, and only matches are shuffled, by text. The interval join makes no pairs: a frame
-holds the parts of one scope, a few hundred characters.
+How it scales: the texts are read once, and only matches are shuffled, by text. The interval join makes no pairs: the frames
+only run on, once forwards and once backwards over a text's matches.
 
 Defined cases: null and empty texts have no spans; repeated rows each give a row; weak parts that overlap a base span are part of
 it; equal starts go by kind as listed; an empty table gives no rows; extra columns are ignored.
@@ -30,10 +30,10 @@ KINDS = [*BASE, "identifier", "weak_secret", "opaque", "endpoint"]
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]{24,}"
-IDENTIFIER = r"""(?i)(?<![a-z0-9])(?:user(?:_?name)?|login|client_?id|account_?id|access_?id|key_?id|tenant)["']?\x20{0,3}[:=]\x20{0,3}["']?[a-z0-9@._-]{3,80}"""
-WEAK_SECRET = r"""(?i)(?<![a-z0-9])(?:pass|pwd|pw|passphrase|auth|credentials?|signature|private_?key)["']?\x20{0,3}[:=]\x20{0,3}["']?[^\s"',;]{4,200}"""
-OPAQUE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,80}[0-9])(?=[a-z0-9+/_-]{0,80}[A-Z])(?=[A-Z0-9+/_-]{0,80}[a-z])[A-Za-z0-9+/_-]{32,200}={0,2}(?![A-Za-z0-9+/_=-])"
-ENDPOINT = r"""(?<![A-Za-z0-9+.-])(?:[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s"'<>]{3,300}|[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}:[0-9]{2,5}(?![0-9]))"""
+IDENTIFIER = r"""(?i)(?<![a-z0-9])(?:user(?:_?name)?|login|client_?id|account_?id|access_?id|key_?id|tenant)["']?\x20{0,3}[:=]\x20{0,3}["']?[a-z0-9@._-]{3,}+"""
+WEAK_SECRET = r"""(?i)(?<![a-z0-9])(?:pass|pwd|pw|passphrase|auth|credentials?|signature|private_?key)["']?\x20{0,3}[:=]\x20{0,3}["']?[^\s"',;]{4,}+"""
+OPAQUE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{32,}+={0,2}(?![A-Za-z0-9+/_=-])"
+ENDPOINT = r"""(?<![A-Za-z0-9+.-])(?:[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s"'<>]{3,}+|[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}:[0-9]{2,5}(?![0-9]))"""
 
 
 def _patterns(text: Column) -> list[tuple[str, Column, str]]:
@@ -64,10 +64,14 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
     found = S.located(pick(docs, doc_id=id_col, text=text_col), _patterns(F.col("text")), context=0).drop("left", "right")
     found = found.withColumn("kind", F.when(_valid(), F.col("kind")))
     found = S.free_of_base(found.withColumn("base", F.coalesce(F.col("kind").isin(BASE), F.lit(False))))
-    reach = Window.partitionBy("rid").orderBy("start").rangeBetween(-scope, scope)
-    kind = F.col("kind")
-    near = lambda *kinds: F.count_if(kind.isin(*kinds)).over(reach) > 0
-    found = found.withColumns({"ids": near("identifier", "access"), "secrets": near("weak_secret", "assign", "hex"), "opaques": near("opaque"), "ends": near("endpoint")})
+    kind, so_far = F.col("kind"), (Window.unboundedPreceding, Window.currentRow)
+    behind = Window.partitionBy("rid").orderBy("start").rangeBetween(*so_far)
+    ahead = Window.partitionBy("rid").orderBy(F.desc("start")).rangeBetween(*so_far)
+    of = {"ids": ["identifier", "access"], "secrets": ["weak_secret", "assign", "hex"], "opaques": ["opaque"], "ends": ["endpoint"]}
+    found = found.withColumns({f"{x}_end": F.max(F.when(kind.isin(kinds), F.col("end"))).over(behind) for x, kinds in of.items()})
+    found = found.withColumns({f"{x}_start": F.min(F.when(kind.isin(kinds), F.col("start"))).over(ahead) for x, kinds in of.items()})
+    near = lambda x: F.coalesce(F.col(f"{x}_end") >= F.col("start") - scope, F.lit(False)) | F.coalesce(F.col(f"{x}_start") <= F.col("end") + scope, F.lit(False))
+    found = found.withColumns({x: near(x) for x in of})
     linked = (
         F.when(kind == "identifier", F.col("secrets") | F.col("opaques"))
         .when(kind == "weak_secret", F.col("ids"))

@@ -53,3 +53,20 @@ def test_weak_parts_need_their_complements(spark):
 
 def test_empty(spark):
     assert X.summarise(X.find(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+
+
+def test_scope_is_around_the_span_and_lengths_are_open(spark):
+    jwt, path = "eyJh" + "aB3d" * 150, "x" * 600
+    opaque = "Zm9vYmFy" * 40 + "A1"
+    rows = [
+        (1, f"token: {jwt}\nuser=bob7"), (2, f"https://a.org/{path} user=bob7 pwd: hunter2"), (3, f"pwd: {path}\nuser=bob7"), (4, f"user=bob7 {opaque}"),
+        (5, f"token: {jwt} " + "far " * 60 + "user=bob7"), (6, "user=" + "z" * 200 + " pwd: hunter2"), (7, f"user=bob7 {'q' * 100}{opaque}"), (8, f"user=bob7 {path} pwd: hunter2"),
+    ]
+    got = {r.doc_id: r.spans for r in X.summarise(X.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got[1] == f"assign:0:{7 + len(jwt)},identifier:{8 + len(jwt)}:{17 + len(jwt)}"
+    assert got[2] == "endpoint:0:614,identifier:615:624,weak_secret:625:637"
+    assert got[3] == "weak_secret:0:605,identifier:606:615"
+    assert got[4] == f"identifier:0:9,opaque:10:{10 + len(opaque)}"
+    assert "identifier" not in got[5] and got[8] == ""
+    assert got[6] == "identifier:0:205,weak_secret:206:218"
+    assert got[7] == f"identifier:0:9,opaque:10:{110 + len(opaque)}"
