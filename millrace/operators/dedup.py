@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions import text as X
+from millrace.functions.rounds import materialise, settle
+
+#: Rows of a token of a block that one cell of the join holds.
+CELL_ROWS = 2000
 
 
 def first_wins(df: DataFrame, keys: list[Column], order: str | Column = "ord", exempt: Column | None = None) -> DataFrame:
@@ -72,31 +73,16 @@ def near_titles(
 ) -> DataFrame:
     """``df`` without rows whose title is as similar as ``threshold`` to that of an earlier row that is kept, of the same company.
 
-    A row depends on which earlier rows are kept, so a company's rows are folded in order. The rows come sorted from Spark, so the
-    fold holds only the distinct title sets it has kept, and equal titles, the usual hot case, were collapsed before.
+    Equal titles, the usual hot case, collapse first. The similar pairs of the others come from a join on their rarest tokens, and rounds over these
+    links decide in order: a row stays once all earlier ones like it are dropped, and goes once one of them stays.
     """
     block = X.normal_company(company) if block is None else block
-    rows = df.select(F.col(order).alias("ord"), block.alias("block"), F.array_sort(X.token_set(title)).alias("tokens"))
+    rows = df.select(F.col(order).alias("ord"), block.cast("string").alias("block"), F.array_sort(X.token_set(title)).alias("tokens"))
+    rows = rows.withColumn("block", F.concat(F.when(F.col("block").isNull(), "0").otherwise("1"), X.text("block")))  # rows without one are a block
     blank = rows.where(F.size("tokens") == 0).select("ord")
-    distinct = rows.where(F.size("tokens") > 0).groupBy("block", "tokens").agg(F.min("ord").alias("ord"))
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, kept = object(), []
-        for batch in batches:
-            out = []
-            for ord_, block_, tokens in zip(batch["ord"], batch["block"], batch["tokens"], strict=True):
-                if block_ != now:
-                    now, kept = block_, []
-                mine = frozenset(tokens)
-                # sets of very different sizes can't be similar
-                if not any(len(mine & k) >= threshold * len(mine | k) for k in kept if min(len(mine), len(k)) >= threshold * max(len(mine), len(k))):
-                    kept.append(mine)
-                    out.append(ord_)
-            yield pd.DataFrame({"ord": out})
-
-    dealt = distinct.repartition("block").sortWithinPartitions("block", "ord")
-    kept = dealt.mapInPandas(fold, f"ord {rows.schema['ord'].dataType.simpleString()}")
-    keep = kept.union(blank).withColumnRenamed("ord", "__kept")
+    distinct = materialise(rows.where(F.size("tokens") > 0).groupBy("block", "tokens").agg(F.min("ord").alias("ord")), "titles")
+    gone = settle(_similar(distinct, threshold)).withColumnRenamed("b", "ord")
+    keep = distinct.select("ord").join(gone, "ord", "left_anti").union(blank).withColumnRenamed("ord", "__kept")
     return df.join(keep, F.col(order) == F.col("__kept"), "left_semi")
 
 
@@ -119,13 +105,24 @@ def similar_pairs(df: DataFrame, least: float, title: str = "title", block: str
         F.col(order).alias("ord"), F.col(block).alias("block"), F.array_sort(X.token_set(title)).alias("tokens"),
     ).where(F.size("tokens") > 0)
     rows = rows.groupBy("block", "tokens").agg(F.min("ord").alias("ord"))
+    return _similar(rows, least)
+
+
+def _similar(rows: DataFrame, least: float) -> DataFrame:
+    """a, b, similarity: pairs of ``rows`` (block, tokens, ord) of a block with at least the similarity, each once.
+
+    Two sets with similarity s share one of the first n - ceil(s n) + 1 tokens of any common order; a pair meets at the first one only. The rows
+    of a token that more than ``CELL_ROWS`` of a block have are dealt to cells, each of which meets all of them.
+    """
     counts = rows.select("block", F.explode("tokens").alias("token")).groupBy("block", "token").count()
-    ranked = rows.withColumn("token", F.explode("tokens")).join(counts, ["block", "token"])
-    place = F.row_number().over(Window.partitionBy("block", "ord").orderBy("count", "token"))
-    # Two sets with similarity s share one of the first n - ceil(s n) + 1 tokens of any common order.
-    ranked = ranked.withColumn("place", place).where(F.col("place") <= F.size("tokens") - F.ceil(F.size("tokens") * F.lit(least) - 1e-9) + 1)
-    a, b = ranked.select(
-        "block", "token", F.col("ord").alias("a"), F.col("tokens").alias("ta"),
-    ), ranked.select("block", "token", F.col("ord").alias("b"), F.col("tokens").alias("tb"))
-    met = a.join(b, ["block", "token"]).where("a < b").select("a", "b", X.set_similarity(F.col("ta"), F.col("tb")).alias("similarity"))
-    return met.where(F.col("similarity") >= least).distinct()
+    ranked = rows.select("block", "ord", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(counts, ["block", "token"])
+    lead = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("count", "token"))), lambda x: x["token"]), F.lit(1), F.any_value("n") - F.ceil(F.any_value("n") * F.lit(least) - 1e-9).cast("int") + 1)
+    led = rows.join(ranked.groupBy("ord").agg(lead.alias("lead")), "ord").withColumn("token", F.explode("lead"))
+    cells = led.groupBy("block", "token").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("cells"), F.count("*").alias("of")).where("of > 1")
+    led = led.join(cells.drop("of"), ["block", "token"])
+    a = led.select("block", "token", F.col("ord").alias("a"), F.col("tokens").alias("ta"), F.col("lead").alias("la"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
+    b = led.select("block", "token", F.col("ord").alias("b"), F.col("tokens").alias("tb"), F.col("lead").alias("lb"), F.pmod(F.xxhash64("ord"), F.col("cells")).cast("int").alias("cell"))
+    sizes = F.least(F.size("ta"), F.size("tb")) >= F.greatest(F.size("ta"), F.size("tb")) * F.lit(least) - 1e-9
+    once = F.get(F.array_intersect("la", "lb"), F.lit(0)) == F.col("token")
+    met = a.join(b, ["block", "token", "cell"]).where(F.col("a") < F.col("b")).where(sizes & once)
+    return met.select("a", "b", X.set_similarity(F.col("ta"), F.col("tb")).alias("similarity")).where(F.col("similarity") >= least)

@@ -144,3 +144,28 @@ def test_internal_addresses(spark):
     }
     df = spark.createDataFrame(list(urls.items()), "url string, want boolean")
     assert all(x.got == x.want for x in df.select("want", filters.internal_url("url").alias("got")).collect())
+
+
+def test_titles_of_one_hot_block_meet_in_cells_and_no_task_folds_them(spark, monkeypatch):
+    import random
+
+    from millrace.operators import dedup
+
+    monkeypatch.setattr(dedup, "CELL_ROWS", 7)
+    r = random.Random(5)
+    titles = [" ".join(r.sample([f"tok{k}" for k in range(9)], r.randint(5, 8))) for _ in range(250)]
+    df = spark.createDataFrame([(i, t, None if i % 3 else "c") for i, t in enumerate(titles)], "ord long, title string, company string").repartition(3)
+    kept = []
+    for i, t in enumerate(titles):
+        own = frozenset(t.split())
+        if not any(len(own & k) / len(own | k) >= 0.85 and (i % 3 == 0) == (j % 3 == 0) for j, k in kept):
+            kept.append((i, own))
+    out = dedup.near_titles(df, block=dedup.F.col("company"))
+    assert sorted(x.ord for x in out.collect()) == [i for i, _ in kept]
+    assert "InPandas" not in out._jdf.queryExecution().toString()
+    pairs = dedup.similar_pairs(df.withColumn("company", dedup.F.lit("c")), 0.3).collect()
+    first = {}
+    for i, t in enumerate(titles):
+        first.setdefault(frozenset(t.split()), i)
+    want = sorted((i, j) for x, i in first.items() for y, j in first.items() if i < j and len(x & y) / len(x | y) >= 0.3)
+    assert sorted((x.a, x.b) for x in pairs) == want
