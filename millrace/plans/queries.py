@@ -187,12 +187,21 @@ FIELDS = ["title", "description", "company", "link", "location", "source"]
     f"{Q.non_english()} as non_english, {Q.any_of(Q.lowered('title'), V.DEV_TITLES)} as dev, {Q.remote(*FIELDS)} as remote from {POSTED}"
 )
 def posting_flags(spark, d):
-    return spark.sql(f"select * from {POSTED}").select(
+    return _flags(spark.sql(f"select * from {POSTED}"))
+
+
+def _flags(rows: DataFrame) -> DataFrame:
+    return rows.select(
         "job_id", filters.dealbreaker().alias("dealbreaker"), filters.geo_restricted().alias("geo"), filters.blocked_source().alias("blocked"), filters.scam_risk().alias("scam"),
         filters.us_located().alias("us"), filters.us_factor().alias("us_factor"), filters.non_english_title().alias("non_english"), filters.dev_titled().alias("dev"), filters.remote(*FIELDS).alias("remote"),
     )
 
 
+@register()
+def posting_flags_all(spark, d):
+    return _flags(view(spark, d, "v_docs"))
+
+
 @register(with_("v_postings") + f"select job_id, {Q.blocked()} as blocked, {Q.scam()} as scam from v_postings")
 def blocked_and_scam(spark, d):
     return view(spark, d, "v_postings").select("job_id", filters.blocked_source().alias("blocked"), filters.scam_risk().alias("scam"))
@@ -539,6 +548,13 @@ def similar_jobs(spark, d):
     return reports.similar(jobs, jobs.where("id in (1, 2, 3)"))
 
 
+@register()
+def similar_jobs_all(spark, d):
+    """The whole search: each row whose id is divisible by 100 asks."""
+    jobs = view(spark, d, "v_jobs")
+    return reports.similar(jobs, jobs.where("id % 100 = 0"))
+
+
 # --- source health ---
 
 RUN_END = "timestamp '2024-01-31 00:00:00'"
@@ -616,6 +632,11 @@ def mail_parse(spark, d):
     return mail.parsed(spark.sql(f"select * from {MAILS}")).select("message_id", "title", "company", "status")
 
 
+@register()
+def mail_parse_all(spark, d):
+    return mail.parsed(view(spark, d, "v_mail")).select("message_id", "title", "company", "status")
+
+
 # --- sources ---
 
 
@@ -721,6 +742,16 @@ def redirect_chain(spark, d):
     return out.select(F.col("link").cast("long").alias("id"), "n_hops", F.col("final").cast("long").alias("final"))
 
 
+@register()
+def redirect_chain_all(spark, d):
+    """Over the whole part table: each key that 7 doesn't divide leads to the next one."""
+    rows = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").cast("string").alias("link"))
+    hops = spark.read.parquet(f"{d}/part.parquet").where("p_partkey % 7 <> 0")
+    hops = hops.select(F.col("p_partkey").cast("string").alias("link"), (F.col("p_partkey") + 1).cast("string").alias("to"))
+    out = enrich.followed(rows, hops)
+    return out.select(F.col("link").cast("long").alias("id"), "n_hops", F.col("final").cast("long").alias("final"))
+
+
 @register()
 def page_text(spark, d):
     return view(spark, d, "v_postings").select("job_id", X.page_text("description").alias("text"))
@@ -728,7 +759,7 @@ def page_text(spark, d):
 
 @register()
 def letter_texts(spark, d):
-    return reports.letters(view(spark, d, "v_jobs").where("id < 100"), {"CV_A": "Pumps are my trade.", "CV_B": "I write about pumps."})
+    return reports.letters(view(spark, d, "v_jobs"), {"CV_A": "Pumps are my trade.", "CV_B": "I write about pumps."})
 
 
 # --- the flagship: postings, scored and capped ---

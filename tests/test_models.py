@@ -169,3 +169,19 @@ def test_titles_of_one_hot_block_meet_in_cells_and_no_task_folds_them(spark, mon
         first.setdefault(frozenset(t.split()), i)
     want = sorted((i, j) for x, i in first.items() for y, j in first.items() if i < j and len(x & y) / len(x | y) >= 0.3)
     assert sorted((x.a, x.b) for x in pairs) == want
+
+
+def test_queries_over_whole_tables(spark):
+    from millrace.plans.queries import QUERIES
+    from millrace.plans.views import view
+
+    sf = "/root/testdata/sf0.001"
+    rows = lambda name: QUERIES[name](spark, sf).collect()
+    keys = [r.p_partkey for r in spark.read.parquet(f"{sf}/part.parquet").collect()]
+    hops = lambda k: min(5, -k % 7, max(keys) + 1 - k)  # noqa: E731 the last key leads out of the table
+    assert sorted(map(tuple, rows("redirect_chain_all"))) == sorted((k, hops(k), k + hops(k)) for k in keys)
+    jobs = view(spark, sf, "v_jobs")
+    assert {r.id for r in rows("letter_texts")} == {r.id for r in jobs.select("id").collect()}
+    assert {r.seed for r in rows("similar_jobs_all")} == {r.id for r in jobs.where("id % 100 = 0").select("id").collect()}
+    assert {r.job_id for r in rows("posting_flags_all")} == {r.job_id for r in view(spark, sf, "v_docs").select("job_id").collect()}
+    assert len(rows("mail_parse_all")) == view(spark, sf, "v_mail").count()
