@@ -58,6 +58,35 @@ def test_tree_finds_every_link():
     assert {i: int(x) for i, x in enumerate(label)} == want
 
 
+@pytest.mark.parametrize("m", [1000, 4000, 16_000])
+def test_edges_stay_few_in_a_split_bucket(spark, m):
+    r = np.random.default_rng(3)
+    flips = [int(np.bitwise_or.reduce(np.uint64(1) << r.choice(64, 4, replace=False).astype(np.uint64))) for _ in range(2 * m)]
+    fps = list(dict.fromkeys(f - 2**64 if f >= 2**63 else f for f in flips))[:m]
+    nodes = spark.createDataFrame(list(enumerate(fps)), "node long, fp long").repartition(3)
+    edges = S.near_links(nodes, bucket_rows=256)
+    assert edges.count() <= 15 * m  # a tree for each of the 15 keys at most, however many cells
+    if m == 1000:
+        got = {x.node: x.component for x in S.components(edges).collect()}
+        assert {i: got.get(i, i) for i in range(m)} == brute_components([(i, f & (2**64 - 1)) for i, f in enumerate(fps)])
+
+
+def test_long_paths_settle_in_few_rounds(spark):
+    r = random.Random(6)
+    place = list(range(20_000))
+    r.shuffle(place)
+    edges = spark.createDataFrame(list(zip(place, place[1:], strict=False)), "u long, v long").repartition(4)
+    got = S.components(edges, max_rounds=20)
+    assert got.where("component <> 0").count() == 0 and got.count() == 19_999
+
+
+def test_null_ids_take_part_alone(spark):
+    text = " ".join(f"w{i}" for i in range(200))
+    rows = [(None, text), (5, text + " x"), (3, text + " y z"), (None, "other words here altogether now")]
+    got = {(r.doc_id, r.component_id) for r in S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), max_bits=12).collect()}
+    assert {(5, 3), (3, 3)} <= got and (None, None) in got
+
+
 def test_chain_and_star_components(spark):
     edges = [(i + 1, i) for i in range(40)] + [(200 + i, 100) for i in range(30)] + [(300, 100), (500, 500)]
     got = {r.node: r.component for r in S.components(spark.createDataFrame(edges, "u long, v long")).collect()}
