@@ -44,6 +44,8 @@ def settle(links: DataFrame) -> DataFrame:
     while not links.isEmpty():
         stay = links.select("a").distinct().join(links.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
         now = materialise(links.join(stay, "a", "left_semi").select("b").distinct(), "gone")
+        if now.isEmpty():
+            raise ValueError("links run in a circle")
         gone.append(now)
         links = materialise(links.join(now, "b", "left_anti").join(now.withColumnRenamed("b", "a"), "a", "left_anti").select("a", "b"), "links")
     found = links.select("b")
