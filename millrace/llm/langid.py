@@ -373,11 +373,11 @@ def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_fold: int = 2, **options) -> DataFrame:
-    """``docs`` without the rows that the models reject."""
+    """``docs`` without the rows that the models reject; without any labelled text nothing can be told, and all rows stay."""
     rows = _labelled(docs, id_col, text_col, lang_col, folds, held_fold)
     learnt = learn(rows.where("not held_out"), **options)
     if learnt is None:
-        return docs.limit(0)
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(learnt)
     place = docs.columns.index(text_col)
 

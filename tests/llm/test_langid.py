@@ -90,3 +90,4 @@ def test_nothing_to_learn(spark):
     rows = spark.createDataFrame([(1, "ab", None)], "doc_id long, text string, lang string")
     assert [tuple(r)[2:4] for r in L.predict(rows).collect()] == [("und", 0.0)]
     assert L.predict(rows.limit(0)).count() == 0
+    assert L.keep_identified(rows).count() == 1 and L.keep_identified(rows.limit(0)).count() == 0
