@@ -52,3 +52,15 @@ def settle(links: DataFrame) -> DataFrame:
     for x in gone:
         found = found.union(x)
     return found
+
+
+def materialise_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like ``materialise``, but bucketed by ``key``, so that later joins on it move only the other side."""
+    spark = df.sparkSession
+    tag = uuid.uuid4().hex
+    table, buckets = f"millrace_{name}_{tag}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(buckets, key).option("path", f"{work_folder(spark)}/millrace/{name}-{tag}").saveAsTable(table)
+    found = spark.table(table)
+    found.schema  # resolved now: the files stay when the name goes
+    spark.sql(f"drop table {table}")
+    return found
