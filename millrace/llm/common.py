@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.functions.rounds import materialise, work_folder  # noqa: F401
+from millrace.functions.rounds import materialise, materialise_by, work_folder  # noqa: F401
 
 #: ASCII upper case to lower case; every other byte stays.
 LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))

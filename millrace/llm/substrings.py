@@ -2,20 +2,20 @@
 
 Every word position with at least ``window`` words left is a suffix. Suffixes are split into groups by their leading words:
 first by one word, and where a group would be too large by 2, 4, 8 or ``window`` words, so that each group fits
-into memory. A group builds the part of the suffix tree below its prefix down to depth ``window``: sorted by their path
-codes, suffixes with equal paths are the leaves below one deep node, and a node with leaves of several documents is the end of a
-repeat. A leaf starts a repeated window if its node also has a leaf of a document with a smaller doc_id. Neighbouring repeated windows
-join to maximal repeats, and their words are removed.
+into memory. A group gets the leading ``window`` words of its suffixes and builds the part of the suffix tree that they span: suffixes in the order of their words, and the
+lengths of the prefixes that neighbours share. A run of neighbours that share ``window`` words is what lies below one deep node; if a node has leaves in several
+documents, those of all but the smallest doc_id start repeated windows. Neighbouring repeated windows join to maximal repeats, and their words are removed. Words are
+compared as they are; hashes only choose groups and spare work.
 
-How it scales: each scan packs its texts by a few megabytes, in the order of its files, so that the packs of all scans agree. The sizes of all
-prefixes are counted over the whole corpus, as fixed-size histograms that combine before the shuffle. Suffixes travel as arrays by pack and group,
-about nine bytes a suffix: the code of the path below the prefix, and the gap to the suffix before. What a group finds goes back to the packs the
-same way. A single passage with more than ``group_rows`` occurrences can't be split by a longer prefix; for such
-codes the smallest doc_id is found by an aggregation that combines in the tasks, and since each holds at least a
-fixed share of all suffixes, this list is bounded and sent to the readers of the texts, which then decide by themselves.
+How it scales:
 
-Codes are 64-bit hashes, met only by suffixes of the same group, so unequal windows meet with a probability of about
-suffixes^2 / (2^65 groups), 1e-5 for a billion suffixes.
+1. Texts are packed by a few megabytes and written once, bucketed by ``home`` (a few packs of one task), so that what is found comes back to the packs by joins that don't move the texts.
+2. A suffix without an equal elsewhere can't lie below a deep node. A pack sends the leading bits of the hashes of its distinct windows (sorted, two to three bytes each), by hash
+   range; back comes a bit for each: some other pack has it. The same pass counts all prefixes, as fixed-size histograms that are summed in slices.
+3. Only suffixes with an equal one travel, once for each pack and distinct window, with their words in the pack's own numbering (about 20 bytes). Places come back.
+
+A single window that stands in more than ``group_rows`` packs can't be split by a longer prefix; for such windows the smallest doc_id is found by an aggregation that
+combines in the tasks, and since each holds at least a fixed share of all, this list is bounded and sent to the readers of the texts, which then decide by themselves.
 
 Defined cases: a null text has no words; a text of fewer than ``window`` words loses none; repeats inside one document stay;
 rows with equal doc_id don't remove each other; rows with a null doc_id lose nothing and remove nothing; an empty table gives
@@ -25,6 +25,7 @@ no rows; extra columns are ignored.
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,11 +37,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import pick
+from millrace.llm.common import materialise, materialise_by, pick
 
-#: Bytes of text whose suffixes are packed together.
-PACK_BYTES = 4 << 20
+#: Bytes of text whose suffixes are packed together, packs that share a home, and bytes of a long text that are cut into words at once.
+PACK_BYTES, HOME_PACKS, PIECE = 4 << 20, 16, 1 << 20
+#: Parts that a histogram is summed in.
+SLICES = 64
 _ODD = [pow(0xD1B54A32D192ED03, 2 * k + 1, 1 << 64) for k in range(64)]
+BLANKS = b" \t\n\x0b\x0c\r"
 
 
 def depths_for(window: int) -> tuple[int, ...]:
@@ -48,13 +52,9 @@ def depths_for(window: int) -> tuple[int, ...]:
     return tuple(d for d in (1, 2, 4, 8) if d < window) + (window,)
 
 
-def word_codes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-
-
 def path_codes(words: np.ndarray, window: int) -> list[np.ndarray]:
     """For each depth the code of that many words, at each place where a window starts."""
-    n, out, total = len(words) - window + 1, [], np.uint64(0)
+    n, out, total = max(0, len(words) - window + 1), [], np.uint64(0)
     depths = depths_for(window)
     for k in range(window):
         total = total + words[k : k + n] * np.uint64(_ODD[k])
@@ -64,7 +64,7 @@ def path_codes(words: np.ndarray, window: int) -> list[np.ndarray]:
     return out
 
 
-def bins_for(chars: int, group_rows: int) -> int:
+def bits_for(chars: int, group_rows: int) -> int:
     """Bits of a histogram's bins: enough that a bin holds a small part of a group."""
     return min(20, max(12, int(chars * 4 // group_rows).bit_length()))
 
@@ -73,15 +73,19 @@ def _bins(codes: np.ndarray, bits: int) -> np.ndarray:
     return (codes >> np.uint64(64 - bits)).astype(np.int64)
 
 
+# --- packs ---
+
+
 def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) -> packs of documents: their ids, which of them are null, and the lengths of their texts; the texts."""
-    zip_, pack = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << 33
+    zip_, task, k = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << 33, 0
 
     def send(docs: list[tuple[int | None, bytes]]) -> pa.RecordBatch:
         ids = np.array([i or 0 for i, _ in docs], np.int64)
         table = np.stack([np.diff(ids, prepend=0), np.array([i is None for i, _ in docs], np.int64), np.array([len(t) for _, t in docs], np.int64)])
-        row = [pack, zlib.compress(table.tobytes(), 1), zip_.compress(b"".join(t for _, t in docs))]
-        return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *[pa.array([x], pa.binary()) for x in row[1:]]], ["pack", "ids", "texts"])
+        row = [task + k // HOME_PACKS, task + k, zlib.compress(table.tobytes(), 1), zip_.compress(b"".join(t for _, t in docs))]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, kinds, strict=True)], ["home", "pack", "ids", "texts"])
 
     held, size = [], 0
     for batch in batches:
@@ -90,46 +94,125 @@ def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size += 16 + len(text or b"")
             if size > PACK_BYTES:
                 yield send(held)
-                held, size, pack = [], 0, pack + 1
+                held, size, k = [], 0, k + 1
     if held:
         yield send(held)
 
 
-def _after_packs(work):
-    """``work`` over packs, in the task that makes them."""
-    return lambda batches: work(_packs(batches))
-
-
-def _opened(ids: bytes, texts: bytes) -> Iterator[tuple[int | None, list[bytes]]]:
-    """The documents of a pack and their words."""
+def _opened(ids: bytes, texts: bytes) -> Iterator[tuple[int | None, bytes]]:
+    """The documents of a pack and their texts."""
     table = np.frombuffer(zlib.decompress(ids), np.int64).reshape(3, -1)
     line, at = zstandard.ZstdDecompressor().decompress(texts), 0
     for doc, null, n in zip(np.cumsum(table[0]).tolist(), table[1].tolist(), table[2].tolist(), strict=True):
-        yield None if null else doc, line[at : at + n].split()
+        yield None if null else doc, line[at : at + n]
         at += n
 
 
-def _coded(ids: bytes, texts: bytes, window: int) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """The documents of a pack that have windows, and the path codes of these."""
-    for doc, words in _opened(ids, texts):
-        if doc is not None and len(words) >= window:
-            yield doc, path_codes(word_codes(words), window)
+def _pieces(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, about a megabyte at a time."""
+    at = 0
+    while at < len(text):
+        end = at + PIECE
+        while end < len(text) and text[end] not in BLANKS:
+            end += 1
+        yield text[at:end].split()
+        at = end
+
+
+class Pack:
+    """The suffixes of a pack: their places (counting all words of the pack), documents and path codes, and the words by number."""
+
+    def __init__(self, ids: bytes, texts: bytes, window: int) -> None:
+        number: defaultdict[bytes, int] = defaultdict()
+        number.default_factory = number.__len__
+        flat, places, docs, at = [], [], [], 0
+        for doc, text in _opened(ids, texts):
+            parts = [np.fromiter(map(number.__getitem__, words), np.int32, len(words)) for words in _pieces(text)]
+            n = sum(map(len, parts))
+            flat += parts
+            if doc is not None and n >= window:
+                places.append(np.arange(at, at + n - window + 1))
+                docs.append(np.full(n - window + 1, doc))
+            at += n
+        self.words = list(number)
+        self.flat = np.concatenate([*flat, np.zeros(0, np.int32)])
+        self.places = np.concatenate([*places, np.zeros(0, np.int64)])
+        self.docs = np.concatenate([*docs, np.zeros(0, np.int64)])
+        codes = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))[self.flat]
+        self.codes = [c[self.places] for c in path_codes(codes, window)]
+        self.window = window
+
+    def windows(self, at: np.ndarray) -> np.ndarray:
+        """The numbers of the words of these suffixes' windows."""
+        return self.flat[self.places[at][:, None] + np.arange(self.window)]
+
+    def cut(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct leading ``width`` bits of the windows' codes, in order; for each a suffix, and whether several documents have it; and where each suffix's are."""
+        short = self.codes[-1] >> np.uint64(64 - width)
+        own, first, back = np.unique(short, return_index=True, return_inverse=True)
+        low, high = np.full(len(own), np.iinfo(np.int64).max), np.full(len(own), np.iinfo(np.int64).min)
+        np.minimum.at(low, back, self.docs)
+        np.maximum.at(high, back, self.docs)
+        return own, first, low < high, back
+
+
+def _small(x: np.ndarray) -> bytes:
+    """Numbers below 2^32, byte by byte, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _large(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
 
+def _zipped(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+
+
+def _unzipped(x: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
+
+
+# --- which windows have an equal one, and how many suffixes begin alike ---
+
+
+def _shorts(window: int, bits: int, width: int, ranges: int):
+    """Packs -> by pack and hash range the gaps between the distinct codes' leading bits; as ranges below 0 slices of the histograms."""
+    names, kinds = ["range", "home", "pack", "data"], [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+
+    def rows(x: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*x, strict=True), kinds, strict=True)], names)
 
-def _histogram(window: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(depths_for(window)), 1 << bits), np.int64)
         for batch in batches:
-            for ids, texts in zip(batch.column("ids"), batch.column("texts"), strict=True):
-                for _, codes in _coded(ids.as_py(), texts.as_py(), window):
-                    for d, x in enumerate(codes):
-                        total[d] += np.bincount(_bins(x, bits), minlength=1 << bits)
-        d, b = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(d.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(total[d, b])], ["depth", "bin", "n"])
+            for home, number, ids, texts in zip(*batch.columns, strict=True):
+                pack = Pack(ids.as_py(), texts.as_py(), window)
+                own, first, _, _ = pack.cut(width)
+                for d, codes in enumerate(pack.codes):
+                    total[d] += np.bincount(_bins(codes[first], bits), minlength=1 << bits)
+                at = np.searchsorted(own, np.arange(1, ranges, dtype=np.uint64) << np.uint64(width - (ranges - 1).bit_length()))
+                parts = np.split(own, at)
+                if out := [(k, home.as_py(), number.as_py(), _small(np.diff(x.astype(np.int64) - (k << (width - (ranges - 1).bit_length())), prepend=0))) for k, x in enumerate(parts) if len(x)]:
+                    yield rows(out)
+        if total.any():
+            yield rows([(-1 - k, 0, 0, _zipped(x)) for k, x in enumerate(np.split(total.ravel(), len(total) * SLICES))])
 
     return run
 
 
+def _elsewhere(rows: pd.DataFrame) -> pd.DataFrame:
+    """A range -> for each pack the bits of those of its codes that another pack has; a slice -> its sum."""
+    if rows["range"].iloc[0] < 0:
+        total = sum(_unzipped(x, np.int64) for x in rows["data"])
+        return rows.iloc[:1].assign(data=[_zipped(total)])
+    codes = [np.cumsum(_large(x)) for x in rows["data"]]
+    own, n = np.unique(np.concatenate(codes), return_counts=True)
+    again = own[n > 1]
+    bits = [np.packbits(np.isin(x, again, assume_unique=True)).tobytes() for x in codes]
+    return rows.assign(data=bits)
+
+
 class Plan:
     """Which group a suffix goes to: ``group[depth][bin]``, or -1 if its prefix must be longer."""
 
@@ -159,123 +242,188 @@ class Plan:
         return out
 
 
-def _packed(x: np.ndarray) -> bytes:
-    """Small gaps as bytes, else wider."""
-    top = int(x.max(initial=0))
-    kind = np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32
-    return bytes([kind().itemsize]) + x.astype(kind).tobytes()
-
-
-def _unpacked(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, {1: np.uint8, 2: np.uint16, 4: np.uint32}[x[0]], offset=1).astype(np.int64)
-
-
-def _spread(shared, window: int):
-    """Packs -> by pack and group: the steps between the documents' ids and between the places of the group's suffixes, and
-    their codes. Windows of hot codes are decided here and go out as group -1."""
-
-    def send(pack: int, docs: list[tuple[int, list[np.ndarray]]]) -> Iterator[tuple]:
-        plan, hot_codes, hot_first = shared.value
-        zip_ = zstandard.ZstdCompressor(level=1)
-        ids = np.array([i for i, _ in docs], np.int64)
-        sizes = np.array([len(c[0]) for _, c in docs], np.int64)
-        codes = [np.concatenate(c) for c in zip(*(c for _, c in docs), strict=True)]
-        group, own = plan.of(codes), codes[-1]
-        where, doc = np.arange(len(own)), np.repeat(ids, sizes)
-        steps = lambda x: zip_.compress(np.diff(x, prepend=0).tobytes())  # noqa: E731  mostly zeros
-        if len(hot_codes):
-            at = np.minimum(np.searchsorted(hot_codes, own), len(hot_codes) - 1)
-            hot = hot_codes[at] == own
-            again = np.flatnonzero(hot & (hot_first[at] < doc))
-            if len(again):
-                yield pack, -1, steps(doc[again]), _packed(np.diff(again, prepend=0)), b""
-            where, group, own = where[~hot], group[~hot], own[~hot]
+# --- subtrees ---
+
+
+def distinct(pack: Pack, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the suffixes ``at``: the first one of each distinct window, and for each suffix the place of its window among these. Equal codes are
+    compared by words; a suffix whose words differ from the first one's counts as distinct."""
+    _, first, back = np.unique(pack.codes[-1][at], return_index=True, return_inverse=True)
+    other = np.flatnonzero((pack.windows(at) != pack.windows(at[first][back])).any(axis=1))
+    back[other] = len(first) + np.arange(len(other))
+    first = np.concatenate([first, other])
+    order = np.argsort(first)
+    turn = np.empty_like(order)
+    turn[order] = np.arange(len(order))
+    return at[first[order]], turn[back]
+
+
+def _spread(shared, window: int, width: int):
+    """Packs with the bits of their codes -> by pack and group: the smallest doc_id of each distinct window, the windows' words, and the places.
+    What the pack can decide alone goes out as group -1."""
+    names = ["home", "pack", "grp", "least", "places", "more", "words", "windows"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 5]
+
+    def send(home: int, number: int, pack: Pack, masks: list[dict]) -> Iterator[tuple]:
+        plan, hot = shared.value
+        own, _, several, back = pack.cut(width)
+        bits = [np.unpackbits(np.frombuffer(m["data"], np.uint8)) for m in sorted(masks, key=lambda m: m["range"])]
+        size = np.bincount((own >> np.uint64(width - shared_bits)).astype(np.int64), minlength=1 << shared_bits)
+        known = np.concatenate([*[b[:n] for b, n in zip(bits, size[size > 0].tolist(), strict=True)], np.zeros(0, np.uint8)]) > 0
+        at = np.flatnonzero((known | several)[back])
+        if not len(at):
+            return
+        first, of = distinct(pack, at)
+        least = np.full(len(first), np.iinfo(np.int64).max)
+        np.minimum.at(least, of, pack.docs[at])
+        if hot:
+            codes = pack.codes[-1][first].tolist()
+            for k, code in enumerate(codes):
+                if code in hot:
+                    line = b" ".join(pack.words[w] for w in pack.windows(first[k : k + 1])[0])
+                    least[k] = min(int(least[k]), hot[code].get(line, int(least[k])))
+        gone = pack.docs[at] > least[of]
+        if gone.any():
+            yield home, number, -1, b"", _small(np.diff(pack.places[at[gone]], prepend=0)), b"", b"", b""
+        is_hot = np.array([c in hot for c in pack.codes[-1][first].tolist()]) if hot else np.zeros(len(first), bool)
+        group = plan.of([c[first] for c in pack.codes])
+        group[is_hot] = -1
+        lead = np.zeros(len(at), bool)
+        lead[np.unique(of, return_index=True)[1]] = True  # a window's first place; first ascends
+        more_of, more_at = of[~lead], pack.places[at[~lead]]
         order = np.argsort(group, kind="stable")
         cuts = np.append(np.flatnonzero(np.diff(group[order], prepend=-2)), len(order))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            at = order[a:b]
-            yield pack, int(group[at[0]]), steps(doc[where[at]]), _packed(np.diff(where[at], prepend=0)), own[at].tobytes()
+        turn = np.empty_like(order)
+        by_group = np.argsort(group[more_of], kind="stable")
+        more_cuts = np.searchsorted(group[more_of][by_group], np.append(group[order][cuts[:-1]], np.iinfo(np.int32).max))
+        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            part = order[a:b]
+            if group[part[0]] < 0:
+                continue
+            turn[part] = np.arange(len(part))
+            rest = by_group[more_cuts[k] : more_cuts[k + 1]]
+            names_, ids = np.unique(pack.windows(first[part]), return_inverse=True)
+            ids = ids.reshape(len(part), window).astype(np.uint16 if len(names_) <= 1 << 16 else np.uint32)
+            yield (
+                home, number, int(group[part[0]]), _zipped(np.diff(least[part], prepend=0)), _small(np.diff(pack.places[first[part]], prepend=0)),
+                _small(np.concatenate([turn[more_of[rest]], more_at[rest]])), zstandard.ZstdCompressor(level=1).compress(b" ".join(pack.words[w] for w in names_)),
+                bytes([ids.itemsize]) + zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(ids.T).tobytes()),
+            )
+
+    shared_bits = shared.value[0].range_bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for pack, ids, texts in zip(*batch.columns, strict=True):
-                docs = list(_coded(ids.as_py(), texts.as_py(), window))
-                if rows := list(send(pack.as_py(), docs)) if docs else []:
-                    cols = zip(*rows, strict=True)
-                    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["pack", "grp", "docs", "gaps", "codes"])
+            for home, number, ids, texts, masks in zip(*batch.columns, strict=True):
+                rows = list(send(home.as_py(), number.as_py(), Pack(ids.as_py(), texts.as_py(), window), masks.as_py() or []))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return run
+
+
+def subtree(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes' order by their words, and how many leading words each shares with the one before it (0 for the first)."""
+    order = np.lexsort(windows.T[::-1])
+    ahead = windows[order]
+    shared = np.zeros(len(order), np.int64)
+    if len(order) > 1:
+        shared[1:] = np.logical_and.accumulate(ahead[1:] == ahead[:-1], axis=1).sum(axis=1)
+    return order, shared
+
+
+def deep_nodes(shared: np.ndarray, depth: int) -> np.ndarray:
+    """Where the leaves of each node of at least the depth begin, in the suffixes' order; a suffix without such a node is one by itself."""
+    return np.flatnonzero(shared < depth) if len(shared) else np.zeros(0, np.int64)
+
+
+def _repeats(window: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """One group's subtree: by pack the places whose node also has a leaf of a smaller doc_id."""
+        if rows["grp"].iloc[0] < 0:
+            return rows[["home", "pack", "places"]]
+        number: defaultdict[bytes, int] = defaultdict()
+        number.default_factory = number.__len__
+        least, tables = [], []
+        for steps, words, data in zip(rows["least"], rows["words"], rows["windows"], strict=True):
+            names = zstandard.ZstdDecompressor().decompress(words).split(b" ")
+            ids = _unzipped(data[1:], np.uint16 if data[0] == 2 else np.uint32).reshape(window, -1).T
+            tables.append(np.fromiter(map(number.__getitem__, names), np.int32, len(names))[ids])
+            least.append(np.cumsum(_unzipped(steps, np.int64)))
+        sizes = [len(x) for x in least]
+        doc, table = np.concatenate(least), np.concatenate(tables)
+        del tables
+        order, shared = subtree(table)
+        node = deep_nodes(shared, window)
+        first = np.empty_like(doc)
+        first[order] = np.repeat(np.minimum.reduceat(doc[order], node), np.diff(np.append(node, len(doc))))
+        found = []
+        for home, pack, places, more, again in zip(rows["home"], rows["pack"], rows["places"], rows["more"], np.split(doc > first, np.cumsum(sizes)[:-1]), strict=True):
+            if again.any():
+                of, at = _large(more).reshape(2, -1)
+                gone = np.sort(np.concatenate([np.cumsum(_large(places))[again], at[again[of]]]))
+                found.append((home, pack, _small(np.diff(gone, prepend=0))))
+        return pd.DataFrame({"home": np.array([x[0] for x in found], np.int64), "pack": np.array([x[1] for x in found], np.int64), "places": [x[2] for x in found]})
 
     return run
 
 
-def _repeats(rows: pd.DataFrame) -> pd.DataFrame:
-    """One group's subtree: by pack the places whose node also has a leaf of a smaller doc_id."""
-    docs, places, codes, unzip = [], [], [], zstandard.ZstdDecompressor()
-    for steps, gaps, own in zip(rows["docs"], rows["gaps"], rows["codes"], strict=True):
-        docs.append(np.cumsum(np.frombuffer(unzip.decompress(steps), np.int64)))
-        places.append(np.cumsum(_unpacked(gaps)).astype(np.uint32))
-        codes.append(np.frombuffer(own, np.uint64))
-    if rows["grp"].iloc[0] >= 0:
-        sizes = [len(x) for x in places]
-        doc, code = np.concatenate(docs), np.concatenate(codes)
-        order = np.argsort(code, kind="stable")
-        code = code[order]
-        node = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-        least = np.empty_like(doc)
-        least[order] = np.repeat(np.minimum.reduceat(doc[order], node), np.diff(np.append(node, len(code))))
-        again = np.split(doc > least, np.cumsum(sizes)[:-1])
-        places = [p[a] for p, a in zip(places, again, strict=True)]
-    found = [(p, x.tobytes()) for p, x in zip(rows["pack"], places, strict=True) if len(x)]
-    return pd.DataFrame({"pack": np.array([p for p, _ in found], np.int64), "places": [x for _, x in found]})
-
-
-def _hot_codes(rows: DataFrame, plan: Plan, window: int, group_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """The codes with more than a quarter of ``group_rows`` suffixes among the bins that no prefix makes small enough, and
-    the smallest doc_id of each: at most four for each ``group_rows`` suffixes."""
-    shared = rows.sparkSession.sparkContext.broadcast(plan.hot_bins)
+def _hot_windows(packs: DataFrame, plan: Plan, window: int, group_rows: int) -> dict[int, dict[bytes, int]]:
+    """By code and words the smallest doc_id of the windows that more than a quarter of ``group_rows`` packs have, among the bins that no prefix makes
+    small enough: at most four for each ``group_rows`` windows."""
+    shared = packs.sparkSession.sparkContext.broadcast(plan.hot_bins)
     bits = plan.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts in zip(batch.column("ids"), batch.column("texts"), strict=True):
-                docs = [(i, c[-1][shared.value[_bins(c[-1], bits)]]) for i, c in _coded(ids.as_py(), texts.as_py(), window)]
-                own = np.concatenate([c for _, c in docs] or [np.zeros(0, np.uint64)])
-                if len(own):
-                    of = np.repeat(np.array([i for i, _ in docs], np.int64), [len(c) for _, c in docs])
-                    order = np.argsort(own, kind="stable")
-                    code, first, n = np.unique(own[order], return_index=True, return_counts=True)
-                    least = np.minimum.reduceat(of[order], first)
-                    yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(least), pa.array(n)], ["code", "first", "n"])
-
-    found = rows.mapInArrow(_after_packs(run), "code long, first long, n long").groupBy("code").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
-    table = found.where(F.col("n") > group_rows // 4).toArrow()
-    codes = table["code"].to_numpy().view(np.uint64)
-    order = np.argsort(codes)
-    return codes[order], table["first"].to_numpy()[order]
+            for ids, texts in zip(batch.column(0), batch.column(1), strict=True):
+                pack = Pack(ids.as_py(), texts.as_py(), window)
+                first, of = distinct(pack, np.flatnonzero(shared.value[_bins(pack.codes[-1], bits)]))
+                at = np.flatnonzero(shared.value[_bins(pack.codes[-1], bits)])
+                least = np.full(len(first), np.iinfo(np.int64).max)
+                np.minimum.at(least, of, pack.docs[at])
+                lines = [b" ".join(pack.words[w] for w in x) for x in pack.windows(first)]
+                cols = [pa.array(pack.codes[-1][first].view(np.int64)), pa.array(lines, pa.binary()), pa.array(least)]
+                yield pa.RecordBatch.from_arrays(cols, ["code", "words", "least"])
+
+    found = packs.select("ids", "texts").mapInArrow(run, "code long, words binary, least long")
+    found = found.groupBy("code", "words").agg(F.min("least").alias("least"), F.count("*").alias("n")).where(F.col("n") > group_rows // 4)
+    out: dict[int, dict[bytes, int]] = {}
+    for r in found.collect():  # bounded, as said above
+        out.setdefault(r["code"] % (1 << 64), {})[bytes(r["words"])] = r["least"]
+    return out
+
+
+# --- removal ---
 
 
 def _removed(kind: str, window: int):
-    """(pack, ids, texts, places) -> a row for each document."""
+    """(ids, texts, places) -> a row for each document."""
     span = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts, places in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
-                again = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in places.as_py() or ()] or [np.zeros(0, np.uint32)]))
+            for ids, texts, places in zip(*batch.columns, strict=True):
+                again = np.unique(np.concatenate([*[np.cumsum(_large(x)) for x in places.as_py() or ()], np.zeros(0, np.int64)]))
                 docs, n_words, n_removed, kept, spans, at = [], [], [], [], [], 0
-                for doc, words in _opened(ids.as_py(), texts.as_py()):
-                    n = max(0, len(words) - window + 1) if doc is not None else 0
-                    a, b = np.searchsorted(again, [at, at + n])
-                    edge = np.zeros(len(words) + 1, np.int32)
-                    edge[again[a:b] - at] += 1  # a place is in one group only
-                    edge[again[a:b] - at + window] -= 1
+                for doc, text in _opened(ids.as_py(), texts.as_py()):
+                    parts = list(_pieces(text)) if len(text) <= PIECE else None
+                    n = len(parts[0]) if parts else sum(map(len, _pieces(text)))
+                    edge = np.zeros(n + 1, np.int32)
+                    own = again[slice(*np.searchsorted(again, [at, at + n]))] - at
+                    edge[own] += 1
+                    edge[own + window] -= 1
                     gone, at = np.cumsum(edge)[:-1] > 0, at + n
                     turn = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
                     docs.append(doc)
-                    n_words.append(len(words))
+                    n_words.append(n)
                     n_removed.append(int(gone.sum()))
                     spans.append([{"start": int(x), "words": int(y - x)} for x, y in zip(turn[::2], turn[1::2], strict=True)])
-                    kept.append(b" ".join(words if not len(turn) else [w for w, g in zip(words, gone.tolist(), strict=True) if not g]))
+                    lines, k = [], 0
+                    for words in parts or _pieces(text):
+                        own, k = gone[k : k + len(words)], k + len(words)
+                        lines += [b" ".join(w for w, g in zip(words, own.tolist(), strict=True) if not g) if own.any() else b" ".join(words)]
+                    kept.append(b" ".join(x for x in lines if x))
                 cols = [pa.array(docs, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, span)]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_removed", "kept", "repeats"])
 
@@ -287,18 +435,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the maximal removed spans as first word and number of words)."""
     spark = docs.sparkSession
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    packs = rows.mapInArrow(_packs, "pack long, ids binary, texts binary")  # the same ones in every scan of the same files
-    bits = bins_for(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, group_rows)
-    counted = rows.mapInArrow(_after_packs(_histogram(window, bits)), "depth int, bin int, n long").groupBy("depth", "bin").agg(F.sum("n").alias("n"))
-    counts = np.zeros((len(depths_for(window)), 1 << bits), np.int64)
-    table = counted.toArrow()  # a row for each depth and bin at most
-    counts[table["depth"].to_numpy(), table["bin"].to_numpy()] = table["n"].to_numpy()
-    plan = Plan(counts, group_rows)
-    hot = _hot_codes(rows, plan, window, group_rows) if plan.hot_bins.any() else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    shared = spark.sparkContext.broadcast((plan, *hot))
-    spread = rows.mapInArrow(_after_packs(_spread(shared, window)), "pack long, grp int, docs binary, gaps binary, codes binary")
+    packs = materialise_by(rows.mapInArrow(_packs, "home long, pack long, ids binary, texts binary"), "packs", "home")
+    chars = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = bits_for(chars, group_rows)
+    # A pair of unlike windows shares its leading bits once in 256 windows at most; ranges hold about group_rows of them.
+    width = min(64, max(24, (chars // 4 + 1).bit_length() + 8))
+    range_bits = min(16, max(0, (chars // 6 // group_rows).bit_length()))
+    width = min(width, 31 + range_bits)
+    shorts = packs.mapInArrow(_shorts(window, bits, width, 1 << range_bits), "range int, home long, pack long, data binary")
+    shorts = materialise(shorts.groupBy("range").applyInPandas(_elsewhere, "range int, home long, pack long, data binary"), "elsewhere")
+    counts = np.zeros((len(depths_for(window)) * SLICES, (1 << bits) // SLICES), np.int64)
+    for r in shorts.where("range < 0").select("range", "data").collect():  # slices of fixed-size histograms
+        counts[-1 - r["range"]] = _unzipped(bytes(r["data"]), np.int64)
+    plan = Plan(counts.reshape(len(depths_for(window)), -1), group_rows)
+    plan.range_bits = range_bits
+    hot = _hot_windows(packs, plan, window, group_rows) if plan.hot_bins.any() else {}
+    shared = spark.sparkContext.broadcast((plan, hot))
+    own = lambda c: F.filter(c, lambda x: x["pack"] == F.col("pack"))
+    masks = shorts.where("range >= 0").groupBy("home").agg(F.collect_list(F.struct("pack", "range", "data")).alias("masks"))
+    met = packs.join(masks.hint("shuffle_hash"), "home").select("home", "pack", "ids", "texts", own("masks").alias("masks"))
+    spread = met.mapInArrow(_spread(shared, window, width), "home long, pack long, grp int, least binary, places binary, more binary, words binary, windows binary")
     salt = F.when(F.col("grp") < 0, F.col("pack")).otherwise(0)
-    found = spread.groupBy("grp", salt.alias("salt")).applyInPandas(_repeats, "pack long, places binary")
-    found = found.groupBy("pack").agg(F.collect_list("places").alias("places"))  # as large as the pack's own windows at most
-    met = packs.join(found, "pack", "left").select("pack", "ids", "texts", "places")
-    return met.mapInArrow(*_removed("long", window))
+    found = spread.groupBy("grp", salt.alias("salt")).applyInPandas(_repeats(window), "home long, pack long, places binary")
+    found = found.groupBy("home").agg(F.collect_list(F.struct("pack", "places")).alias("found"))  # as large as the packs' own windows at most
+    back = packs.join(found.hint("shuffle_hash"), "home", "left").select("ids", "texts", F.transform(own("found"), lambda x: x["places"]).alias("places"))
+    return back.mapInArrow(*_removed("long", window))

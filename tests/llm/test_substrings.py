@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from millrace.llm import substrings as S
 
@@ -44,15 +45,69 @@ def test_against_brute_force(spark, group_rows):
 
 
 def test_groups_stay_small():
-    import numpy as np
-
-    words = S.word_codes([b"a b c d e f g h i j k l m".split()[k % 13] for k in range(3000)] + [b"%d" % k for k in range(9000)])
-    codes = S.path_codes(words, 13)
+    rng = np.random.default_rng(1)
+    words = rng.integers(0, 2**63, 13, dtype=np.uint64)[np.arange(3000) % 13]
+    codes = S.path_codes(np.concatenate([words, rng.integers(0, 2**63, 9000, dtype=np.uint64)]), 13)
     counts = np.array([np.bincount(S._bins(c, 16), minlength=1 << 16) for c in codes])
     group = S.Plan(counts, 500).of(codes)
     assert group.min() >= 0 and np.bincount(group).max() <= 500
 
 
+def test_subtree_has_the_deep_nodes():
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        table = rng.integers(0, 3, (rng.integers(1, 60), 5)).astype(np.int32)
+        order, shared = S.subtree(table)
+        rows = [tuple(table[i]) for i in order]
+        assert rows == sorted(map(tuple, table.tolist()))
+        want = [0] + [next((k for k in range(5) if a[k] != b[k]), 5) for a, b in zip(rows, rows[1:], strict=False)]
+        assert shared.tolist() == want
+        for depth in (1, 3, 5):
+            assert len(S.deep_nodes(shared, depth)) == len({r[:depth] for r in rows})
+
+
+def maximal(docs, window=13):
+    """By brute force the maximal runs of words in repeated windows: (doc_id, first word, words)."""
+    words = [(t or "").split() for _, t in docs]
+    first = {}
+    for (i, _), w in zip(docs, words, strict=True):
+        for k in range(len(w) - window + 1):
+            first[tuple(w[k : k + window])] = min(first.get(tuple(w[k : k + window]), i), i)
+    out = []
+    for (i, _), w in zip(docs, words, strict=True):
+        gone = [any(first.get(tuple(w[k : k + window]), i) < i for k in range(max(0, j - window + 1), j + 1) if k + window <= len(w)) for j in range(len(w))]
+        out += [(i, j, next((e for e in range(j, len(w)) if not gone[e]), len(w)) - j) for j in range(len(w)) if gone[j] and (not j or not gone[j - 1])]
+    return sorted(out)
+
+
+def test_maximal_repeats_and_equal_codes(spark, monkeypatch):
+    """Also where unlike windows have equal codes: words decide."""
+    docs = [(i, t) for i, (_, t) in enumerate(cases())]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(2)
+    spans = lambda: sorted((r.doc_id, s.start, s.words) for r in S.remove_repeats(df, group_rows=300).collect() for s in r.repeats)
+    assert spans() == maximal(docs)
+
+
+def test_equal_codes_of_unlike_windows():
+    import zlib
+
+    import zstandard
+
+    texts = [b" ".join(b"%d" % (k % 7 + j) for k in range(40)) for j in range(3)]
+    table = np.stack([np.ones(3, np.int64), np.zeros(3, np.int64), np.array([len(t) for t in texts])])
+    pack = S.Pack(zlib.compress(table.tobytes()), zstandard.compress(b"".join(texts)), 13)
+    pack.codes = [c * np.uint64(0) for c in pack.codes]
+    first, of = S.distinct(pack, np.arange(len(pack.docs)))
+    got, own = pack.windows(first[of]), pack.windows(np.arange(len(pack.docs)))
+    assert (got == own).all()
+
+
+def test_long_texts_are_cut_at_blanks(monkeypatch):
+    monkeypatch.setattr(S, "PIECE", 5)
+    text = b" ab  cdefghij k\tl\n\nmnopq r"
+    assert [w for part in S._pieces(text) for w in part] == text.split()
+
+
 def test_empty(spark):
     assert S.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     one = S.remove_repeats(spark.createDataFrame([(1, "a b")], "doc_id long, text string")).collect()
