@@ -6,9 +6,13 @@ n-grams that any language has, and beside each its log probability in every lang
 look-up serves all languages. A second table holds the back-off weights of the contexts. A text goes to the language with the
 lowest cross-entropy per symbol; it is rejected when that cross-entropy lies above the language's calibrated limit.
 
+The limits are calibrated on labelled documents that no model has seen. How far a document's cross-entropy lies above its language's median is measured in units of
+sqrt(a^2 + ``NOISE``^2 / symbols), a being the language's own spread, since short texts vary more; the limit is the conformal quantile of these distances over all calibration documents,
+so about ``reject_rate`` of documents in the known languages are rejected.
+
 How it scales: the models are fitted on a bounded sample of labelled rows (about ``train_docs`` and ``calibrate_docs`` for each
-language, chosen by hash), counted in tasks and combined in a shuffle. The tables therefore don't grow with the
-corpus. Prediction is one narrow pass over the whole texts, in blocks of bounded size; a very long text is cut into
+language, chosen by hash), each language in a task of its own. A language stops to learn when it has its share of ``cells``, so the tables, which go through the driver, have
+about ``cells`` numbers however many languages and documents there are. Prediction is one narrow pass over the whole texts, in blocks of bounded size; a very long text is cut into
 blocks that carry their context over.
 
 Defined cases: null, empty and letterless texts are ``und`` with score 0, rejected; ties go to the language that sorts first; rows
@@ -22,6 +26,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,12 +36,12 @@ from millrace.llm.common import materialise, pick
 ORDER = 5
 #: Symbols that are scored at once.
 BLOCK = 1 << 18
-#: Types that a task holds for a language before it passes them on.
-HELD = 400_000
+#: Types that are held before equal ones are summed.
+HELD = 100_000
 #: Documents that are scored together.
 ROWS = 500
-#: What a text of one symbol may have above its language's limit, in nats per symbol.
-SHORT = 3.0
+#: The spread of a symbol's cross-entropy in nats, neighbours taken together.
+NOISE = 2.5
 _STEPS = [pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(ORDER)]
 _SYMBOLS: np.ndarray | None = None
 
@@ -248,80 +253,91 @@ def _types(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[:, first], np.bincount(back, n, len(first)).astype(np.int64)
 
 
-def _count(langs: dict[str, int]):
-    """(lang, text) -> language, count and the sums of each order-ORDER type; a task combines up to ``HELD`` types."""
-    names = ["lang", "n", *[f"s{k}" for k in range(1, ORDER + 1)], *[f"c{k}" for k in range(2, ORDER + 1)]]
+def _counted(most: int):
+    """All (lang, place, text) of a language -> its order-ORDER types: their sums and those of their contexts, and their counts. Documents come in the order of
+    their places, until there are ``most`` types."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        parts, held = [], 0
+        for text in rows.sort_values(["place", "text"])["text"]:
+            s = symbols(text)
+            for at in range(0, len(s), BLOCK):
+                sums = suffix_sums(s[max(0, at - ORDER) : at + BLOCK])
+                before = [np.concatenate([[Models._start(k)], x[:-1]]).astype(np.uint64) for k, x in enumerate(sums[:-1], 1)]
+                table = np.stack([*sums, *before])[:, min(at, ORDER) :]
+                parts.append(_types(table, np.ones(table.shape[1])))
+                held += len(parts[-1][1])
+            if parts and held > len(parts[0][1]) + min(HELD, most):
+                parts = [_types(np.concatenate([t for t, _ in parts], axis=1), np.concatenate([n for _, n in parts]))]
+                held = len(parts[0][1])
+                if held > most:
+                    break
+        if not parts:
+            return pd.DataFrame({"lang": [], "sums": [], "counts": []})
+        table, n = _types(np.concatenate([t for t, _ in parts], axis=1), np.concatenate([n for _, n in parts]))
+        return pd.DataFrame({"lang": rows["lang"].iloc[:1], "sums": [table.tobytes()], "counts": [n.tobytes()]})
 
-        def out(lang: str, rows: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            cols = [pa.array(np.full(len(n), langs[lang], np.int32)), pa.array(n), *[pa.array(r.view(np.int64)) for r in rows]]
-            return pa.RecordBatch.from_arrays(cols, names)
+    return run
 
-        for batch in _sliced(batches):
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = symbols(text)
-                for at in range(0, len(s), BLOCK):
-                    part = s[max(0, at - ORDER) : at + BLOCK]
-                    sums = suffix_sums(part)
-                    before = [np.concatenate([[Models._start(k)], x[:-1]]).astype(np.uint64) for k, x in enumerate(sums[:-1], 1)]
-                    rows = np.stack([*sums, *before])[:, min(at, ORDER) :]
-                    own = held.setdefault(lang, [])
-                    own.append(_types(rows, np.ones(rows.shape[1])))
-                    if sum(len(n) for _, n in own) > HELD:
-                        rows, n = _types(np.concatenate([r for r, _ in own], axis=1), np.concatenate([n for _, n in own]))
-                        own[:] = [(rows, n)]
-                        if len(n) > HELD // 2:
-                            yield out(lang, rows, n)
-                            own.clear()
-        for lang, own in held.items():
-            if own:
-                yield out(lang, *_types(np.concatenate([r for r, _ in own], axis=1), np.concatenate([n for _, n in own])))
 
-    return run
+Limits = dict[str, tuple[float, float, float]]
 
 
-def learn(rows: DataFrame, train_docs: int = 2000, calibrate_docs: int = 500, spread: float = 6.0, slack: float = 1.0) -> tuple[Models, dict[str, float]] | None:
-    """Models and rejection limits (cross-entropy in nats per symbol) from ``rows`` (doc_id, lang, text), or None.
+def accepted_at(limits: Limits, lang: str, nats: float, n: int) -> bool:
+    """Whether a text of n symbols with this cross-entropy is within its language's limit; a language without one has none."""
+    if lang not in limits:
+        return True
+    middle, own, times = limits[lang]
+    return nats <= middle + times * (own**2 + NOISE**2 / n) ** 0.5
 
-    The limit of a language is the mean over its calibration documents plus ``spread`` standard deviations, and at
-    least ``slack`` above the mean; short texts, whose cross-entropy varies more, get ``SHORT`` / sqrt(symbols) besides.
-    """
+
+def calibrated(checked: list[tuple[str, float, int]], reject_rate: float) -> Limits:
+    """By language the median cross-entropy, its own spread and how many spreads above the median the limit lies, from (lang, nats, symbols) of documents
+    that no model has seen. With fewer of them than 1 / reject_rate the limit lies at the farthest of them, at six spreads at least."""
+    found: Limits = {}
+    far = []
+    for lang in sorted({x for x, _, _ in checked}):
+        nats, n = np.array([[y, k] for x, y, k in checked if x == lang]).T
+        middle = float(np.median(nats))
+        long = nats[n >= np.median(n)]
+        own = max(0.01, 1.4826 * float(np.median(np.abs(long - np.median(long)))))
+        found[lang] = (middle, own, 0.0)
+        far.append((nats - middle) / np.sqrt(own**2 + NOISE**2 / n))
+    far = np.sort(np.concatenate([*far, np.zeros(0)]))
+    rank = int(np.ceil((len(far) + 1) * (1 - reject_rate)))
+    times = float(far[rank - 1]) if rank <= len(far) else max(6.0, float(far[-1])) if len(far) else 0.0
+    return {lang: (middle, own, times) for lang, (middle, own, _) in found.items()}
+
+
+def learn(rows: DataFrame, train_docs: int = 2000, calibrate_docs: int = 500, reject_rate: float = 0.001, cells: int = 1 << 25) -> tuple[Models, Limits] | None:
+    """Models and rejection limits from ``rows`` (doc_id, lang, text), or None."""
     named = rows.where("lang is not null and text is not null")
     counts = {r["lang"]: r["count"] for r in named.groupBy("lang").count().collect()}
     if not counts:
         return None
     # Each row has a place in 0..1 by hash; a language's first places train, the next ones calibrate.
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    per_row = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, float(n))])[F.col("lang")]
-    sample = materialise(named.withColumn("place", place * per_row).where(F.col("place") < train_docs + calibrate_docs), "sample")
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (train_docs + calibrate_docs) / n))])[F.col("lang")]
+    sample = materialise(named.withColumn("place", place).where(F.col("place") < share).select("lang", "text", (F.col("place") / share).alias("place")), "sample")
+    trained = F.col("place") < train_docs / (train_docs + calibrate_docs)
     langs = sorted(counts)
-    train = sample.where(F.col("place") < train_docs)
-    sums = [f"s{k}" for k in range(1, ORDER + 1)] + [f"c{k}" for k in range(2, ORDER + 1)]
-    schema = "lang int, n long, " + ", ".join(f"{c} long" for c in sums)
-    counted = train.select("lang", "text").mapInArrow(_count({x: i for i, x in enumerate(langs)}), schema)
-    top = f"s{ORDER}"
-    table = counted.groupBy("lang", top).agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in sums if c != top]).toArrow()
-    lang_of = table["lang"].to_numpy()
-    cols = {c: table[c].to_numpy().view(np.uint64) for c in sums}
+    # A table has a number for each type and language, orders and contexts together about 3.5 for each type of the highest order.
+    most = int(cells / 3.5 / len(langs) ** 2)
+    table = sample.where(trained).groupBy("lang").applyInPandas(_counted(most), "lang string, sums binary, counts binary").toArrow().to_pylist()
+    found = {r["lang"]: r for r in table}
     counts = []
-    for i in range(len(langs)):
-        at = lang_of == i
-        suffixes = np.stack([cols[f"s{k}"][at] for k in range(1, ORDER + 1)])
-        contexts = np.stack([np.zeros(at.sum(), np.uint64), *[cols[f"c{k}"][at] for k in range(2, ORDER + 1)]])
-        counts.append((suffixes, contexts, table["n"].to_numpy()[at]))
+    for lang in langs:
+        r = found.get(lang)
+        sums = np.frombuffer(r["sums"], np.uint64).reshape(2 * ORDER - 1, -1) if r else np.zeros((2 * ORDER - 1, 0), np.uint64)
+        counts.append((sums[:ORDER], np.concatenate([np.zeros((1, sums.shape[1]), np.uint64), sums[ORDER:]]), np.frombuffer(r["counts"], np.int64) if r else np.zeros(0, np.int64)))
     models = Models(langs, counts)
-    checked = predict_with(sample.where((F.col("place") >= train_docs) | (F.floor("place") % 4 == 0)), models, {}, ["lang"])
-    limits = {}
-    for r in checked.where("nats is not null").groupBy("lang").agg(F.avg("nats").alias("m"), F.coalesce(F.stddev_pop("nats"), F.lit(0.0)).alias("d")).collect():
-        limits[r["lang"]] = r["m"] + max(slack, spread * r["d"])
-    return models, limits
+    checked = predict_with(sample.where(~trained), models, {}, ["lang"]).where("nats is not null")
+    return models, calibrated([(r["lang"], r["nats"], r["symbols"]) for r in checked.select("lang", "nats", "symbols").collect()], reject_rate)
 
 
-def _predicted(models: Models | None, limits: dict[str, float], texts: list[str | None]) -> tuple[list, np.ndarray, list, list]:
-    """lang_pred, score, nats and accepted of each text."""
-    preds, scores, nats, accepted = ["und"] * len(texts), np.zeros(len(texts)), [None] * len(texts), [False] * len(texts)
+def _predicted(models: Models | None, limits: Limits, texts: list[str | None]) -> tuple[list, np.ndarray, list, list, np.ndarray]:
+    """lang_pred, score, nats and accepted of each text, and its symbols."""
+    preds, scores, nats, accepted, n = ["und"] * len(texts), np.zeros(len(texts)), [None] * len(texts), [False] * len(texts), np.zeros(len(texts), np.int64)
     if models:
         total, n = models.totals(texts)
         some = np.flatnonzero(n)
@@ -332,8 +348,8 @@ def _predicted(models: Models | None, limits: dict[str, float], texts: list[str
         scores[some] = 1 / np.exp(odds).sum(axis=1)
         for i, b, m in zip(some.tolist(), best.tolist(), (-mean.max(axis=1)).tolist(), strict=True):
             preds[i], nats[i] = models.langs[b], m
-            accepted[i] = bool(m <= limits.get(models.langs[b], float("inf")) + SHORT / n[i] ** 0.5)
-    return preds, scores, nats, accepted
+            accepted[i] = bool(accepted_at(limits, models.langs[b], m, int(n[i])))
+    return preds, scores, nats, accepted, n
 
 
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,17 +359,18 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, ROWS)
 
 
-def predict_with(rows: DataFrame, models: Models | None, limits: dict[str, float], keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``rows`` (which has text) plus lang_pred, score, nats and accepted."""
+def predict_with(rows: DataFrame, models: Models | None, limits: Limits, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of ``rows`` (which has text) plus lang_pred, score, nats, accepted and symbols."""
     shared = rows.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _sliced(batches):
-            preds, scores, nats, accepted = _predicted(shared.value, limits, batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(preds), pa.array(scores), pa.array(nats, pa.float64()), pa.array(accepted)], [*keep, "lang_pred", "score", "nats", "accepted"])
+            preds, scores, nats, accepted, n = _predicted(shared.value, limits, batch.column(0).to_pylist())
+            cols = [pa.array(preds), pa.array(scores), pa.array(nats, pa.float64()), pa.array(accepted), pa.array(n)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *cols], [*keep, "lang_pred", "score", "nats", "accepted", "symbols"])
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.select("text", *keep).mapInArrow(run, f"{kinds}, lang_pred string, score double, nats double, accepted boolean")
+    return rows.select("text", *keep).mapInArrow(run, f"{kinds}, lang_pred string, score double, nats double, accepted boolean, symbols long")
 
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int, held_fold: int) -> DataFrame:
@@ -362,7 +379,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds:
 
 
 def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_fold: int = 2, **options) -> DataFrame:
-    """doc_id, held_out, lang_pred, score (0 to 1), nats (cross-entropy per symbol), accepted: a row for each document.
+    """doc_id, held_out, lang_pred, score (0 to 1), nats (cross-entropy per symbol), accepted, symbols: a row for each document.
 
     Only rows that aren't held out (crc32(doc_id as text) mod ``folds`` is not ``held_fold``) are learnt from.
     """

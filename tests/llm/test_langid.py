@@ -38,7 +38,7 @@ def kneser_ney(texts, order=L.ORDER):
 
 def fitted(spark, by_lang):
     rows = spark.createDataFrame([(i, x, t) for i, (x, t) in enumerate((x, t) for x, ts in by_lang.items() for t in ts)], "doc_id long, lang string, text string")
-    return L.learn(rows.repartition(3))
+    return L.learn(rows.repartition(3), calibrate_docs=0)
 
 
 def test_equals_the_textbook(spark):
@@ -52,7 +52,7 @@ def test_equals_the_textbook(spark):
         known = [i for i, c in enumerate(s[L.ORDER - 1 :]) if c in {x for t in texts for x in L.symbols(t).tolist()}]
         got = models.log_p(L.symbols(text))[:, 0]
         np.testing.assert_allclose(got[known], np.log(np.array(want)[known]), rtol=1e-4)
-    assert set(limits) == {"xx"}
+    assert limits == {}
 
 
 def test_blocks_give_the_same_sums(spark, monkeypatch):
@@ -91,3 +91,34 @@ def test_nothing_to_learn(spark):
     assert [tuple(r)[2:4] for r in L.predict(rows).collect()] == [("und", 0.0)]
     assert L.predict(rows.limit(0)).count() == 0
     assert L.keep_identified(rows).count() == 1 and L.keep_identified(rows.limit(0)).count() == 0
+
+
+def test_rejection_is_calibrated_on_unseen_documents(spark):
+    """Texts of unknown languages are rejected, about one in a thousand known ones is."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = random.Random(3)
+    strange = ["".join(r.choice("qxzjkvwy") for _ in range(6)) for _ in range(300)]
+    odd = [(90_000 + i, " ".join(r.choice(strange) for _ in range(n)), "en", "s") for i, n in enumerate([20, 50, 100, 300] * 10)]
+    rows = docs.drop("n_chars").unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string, source string").where("doc_id % 1 = 0"))
+    learnt = L.learn(L._labelled(docs, "doc_id", "text", "lang", 4, 2).where("not held_out"))
+    got = L.predict_with(L.pick(rows, doc_id="doc_id", text="text"), *learnt, ["doc_id"]).collect()
+    assert not any(x.accepted for x in got if x.doc_id >= 90_000)
+    known = [x.accepted for x in got if x.doc_id < 90_000 and x.symbols > 0]
+    assert sum(known) >= 0.99 * len(known)
+    z = np.abs(np.random.default_rng(1).standard_normal(4000))
+    limits = L.calibrated([("xx", 1.4 + 0.1 * float(x), 10**6) for x in z], 0.01)
+    assert abs(np.mean([not L.accepted_at(limits, "xx", 1.4 + 0.1 * float(x), 10**6) for x in z]) - 0.01) < 0.002
+
+
+def test_many_languages_share_the_cells(spark):
+    r = random.Random(5)
+    rows = []
+    for k in range(100):
+        words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 7))) for _ in range(40)]
+        rows += [(1000 * k + i, f"l{k:03d}", " ".join(r.choice(words) for _ in range(40))) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(4)
+    train = docs.where("doc_id % 1000 < 9")
+    models, limits = L.learn(train, cells=8_000_000)
+    assert sum(x.size for x in models.logs) + sum(x.size for x in models.backs) <= 1.5 * 8_000_000
+    got = L.predict_with(docs.where("doc_id % 1000 >= 9"), models, limits, ["lang"]).collect()
+    assert len(got) == 300 and np.mean([x.lang == x.lang_pred for x in got]) >= 0.97
