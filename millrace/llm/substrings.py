@@ -1,8 +1,9 @@
 """Repeated passages by prefix-partitioned suffix trees over words.
 
-Every word position with at least ``window`` words left is a suffix. Suffixes are split into groups by their leading words:
-first by one word, and where a group would be too large by 2, 4, 8 or ``window`` words, so that each group fits
-into memory. A group gets the leading ``window`` words of its suffixes and builds the part of the suffix tree that they span: suffixes in the order of their words, and the
+Every word position with at least ``window`` words left is a suffix, and what is asked of it is its window, its leading ``window`` words. Suffixes are split into groups by
+variable-length prefixes: a window goes by the suffix within it whose leading four words have the least hash (its anchor); where too many have such an anchor, by the one with the least
+eight words; else by all its words; so that each group fits into memory. Equal windows have equal anchors and meet. Ten windows in a row mostly share their anchor, so a group gets
+stretches of text instead of each suffix' words. It builds the part of the suffix tree that its suffixes span: the suffixes in the order of their words, and the
 lengths of the prefixes that neighbours share. A run of neighbours that share ``window`` words is what lies below one deep node; if a node has leaves in several
 documents, those of all but the smallest doc_id start repeated windows. Neighbouring repeated windows join to maximal repeats, and their words are removed. Words are
 compared as they are; hashes only choose groups and spare work.
@@ -12,7 +13,7 @@ How it scales:
 1. Texts are packed by a few megabytes and written once, bucketed by ``home`` (a few packs of one task), so that what is found comes back to the packs by joins that don't move the texts.
 2. A suffix without an equal elsewhere can't lie below a deep node. A pack sends the leading bits of the hashes of its distinct windows (sorted, two to three bytes each), by hash
    range; back comes a bit for each: some other pack has it. The same pass counts all prefixes, as fixed-size histograms that are summed in slices.
-3. Only suffixes with an equal one travel, once for each pack and distinct window, with their words in the pack's own numbering (about 20 bytes). Places come back.
+3. Only suffixes with an equal one travel, once for each pack and distinct window, as stretches of text by group (about four words for each suffix). Places come back.
 
 A single window that stands in more than ``group_rows`` packs can't be split by a longer prefix; for such windows the smallest doc_id is found by an aggregation that
 combines in the tasks, and since each holds at least a fixed share of all, this list is bounded and sent to the readers of the texts, which then decide by themselves.
@@ -40,27 +41,32 @@ from pyspark.sql import functions as F
 from millrace.llm.common import materialise, materialise_by, pick
 
 #: Bytes of text whose suffixes are packed together, packs that share a home, and bytes of a long text that are cut into words at once.
-PACK_BYTES, HOME_PACKS, PIECE = 4 << 20, 16, 1 << 20
+PACK_BYTES, HOME_PACKS, PIECE = 2 << 20, 16, 1 << 20
 #: Parts that a histogram is summed in.
 SLICES = 64
+#: Windows whose words are compared at once.
+ROWS = 1 << 15
 _ODD = [pow(0xD1B54A32D192ED03, 2 * k + 1, 1 << 64) for k in range(64)]
 BLANKS = b" \t\n\x0b\x0c\r"
 
 
 def depths_for(window: int) -> tuple[int, ...]:
     """The lengths of prefixes in words."""
-    return tuple(d for d in (1, 2, 4, 8) if d < window) + (window,)
+    return tuple(d for d in (4, 8) if d < window) + (window,)
 
 
-def path_codes(words: np.ndarray, window: int) -> list[np.ndarray]:
-    """For each depth the code of that many words, at each place where a window starts."""
-    n, out, total = max(0, len(words) - window + 1), [], np.uint64(0)
-    depths = depths_for(window)
+def path_codes(words: np.ndarray, window: int, places: np.ndarray) -> list[np.ndarray]:
+    """For each depth and each of the windows at ``places`` the least code of that many words in a row within the window."""
+    out, total = [], np.zeros(len(words), np.uint64)
     for k in range(window):
-        total = total + words[k : k + n] * np.uint64(_ODD[k])
-        if k + 1 in depths:
+        total[: max(0, len(words) - k)] += words[k:] * np.uint64(_ODD[k])
+        if k + 1 in depths_for(window):
             x = (total ^ (total >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25)
-            out.append(x ^ (x >> np.uint64(28)))
+            x = x ^ (x >> np.uint64(28))
+            least = x[places]
+            for shift in range(1, window - k):
+                np.minimum(least, x[places + shift], out=least)
+            out.append(least)
     return out
 
 
@@ -139,7 +145,7 @@ class Pack:
         self.places = np.concatenate([*places, np.zeros(0, np.int64)])
         self.docs = np.concatenate([*docs, np.zeros(0, np.int64)])
         codes = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))[self.flat]
-        self.codes = [c[self.places] for c in path_codes(codes, window)]
+        self.codes = path_codes(codes, window, self.places)
         self.window = window
 
     def windows(self, at: np.ndarray) -> np.ndarray:
@@ -249,7 +255,9 @@ def distinct(pack: Pack, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the suffixes ``at``: the first one of each distinct window, and for each suffix the place of its window among these. Equal codes are
     compared by words; a suffix whose words differ from the first one's counts as distinct."""
     _, first, back = np.unique(pack.codes[-1][at], return_index=True, return_inverse=True)
-    other = np.flatnonzero((pack.windows(at) != pack.windows(at[first][back])).any(axis=1))
+    copies = np.flatnonzero(first[back] != np.arange(len(at)))
+    other = [x[(pack.windows(at[x]) != pack.windows(at[first[back[x]]])).any(axis=1)] for x in np.split(copies, range(ROWS, len(copies), ROWS))]
+    other = np.concatenate(other)
     back[other] = len(first) + np.arange(len(other))
     first = np.concatenate([first, other])
     order = np.argsort(first)
@@ -258,10 +266,21 @@ def distinct(pack: Pack, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[first[order]], turn[back]
 
 
+def stretches(starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places that the windows at the ascending ``starts`` cover, each once, and where each window starts among these."""
+    new = np.concatenate([[True], np.diff(starts) > window])
+    begin = starts[new]
+    end = starts[np.append(np.flatnonzero(new)[1:] - 1, len(starts) - 1)] + window
+    ahead = np.concatenate([[0], np.cumsum(end - begin)])
+    run = np.cumsum(new) - 1
+    places = np.arange(ahead[-1]) + np.repeat(begin - ahead[:-1], end - begin)
+    return places, starts - begin[run] + ahead[run]
+
+
 def _spread(shared, window: int, width: int):
     """Packs with the bits of their codes -> by pack and group: the smallest doc_id of each distinct window, the windows' words, and the places.
     What the pack can decide alone goes out as group -1."""
-    names = ["home", "pack", "grp", "least", "places", "more", "words", "windows"]
+    names = ["home", "pack", "grp", "least", "places", "more", "starts", "text"]
     kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 5]
 
     def send(home: int, number: int, pack: Pack, masks: list[dict]) -> Iterator[tuple]:
@@ -302,12 +321,11 @@ def _spread(shared, window: int, width: int):
                 continue
             turn[part] = np.arange(len(part))
             rest = by_group[more_cuts[k] : more_cuts[k + 1]]
-            names_, ids = np.unique(pack.windows(first[part]), return_inverse=True)
-            ids = ids.reshape(len(part), window).astype(np.uint16 if len(names_) <= 1 << 16 else np.uint32)
+            covered, starts = stretches(pack.places[first[part]], window)
             yield (
                 home, number, int(group[part[0]]), _zipped(np.diff(least[part], prepend=0)), _small(np.diff(pack.places[first[part]], prepend=0)),
-                _small(np.concatenate([turn[more_of[rest]], more_at[rest]])), zstandard.ZstdCompressor(level=1).compress(b" ".join(pack.words[w] for w in names_)),
-                bytes([ids.itemsize]) + zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(ids.T).tobytes()),
+                _small(np.concatenate([turn[more_of[rest]], more_at[rest]])), _small(np.diff(starts, prepend=0)),
+                zstandard.ZstdCompressor(level=3).compress(b" ".join(map(pack.words.__getitem__, pack.flat[covered].tolist()))),
             )
 
     shared_bits = shared.value[0].range_bits
@@ -345,10 +363,10 @@ def _repeats(window: int):
         number: defaultdict[bytes, int] = defaultdict()
         number.default_factory = number.__len__
         least, tables = [], []
-        for steps, words, data in zip(rows["least"], rows["words"], rows["windows"], strict=True):
-            names = zstandard.ZstdDecompressor().decompress(words).split(b" ")
-            ids = _unzipped(data[1:], np.uint16 if data[0] == 2 else np.uint32).reshape(window, -1).T
-            tables.append(np.fromiter(map(number.__getitem__, names), np.int32, len(names))[ids])
+        for steps, starts, text in zip(rows["least"], rows["starts"], rows["text"], strict=True):
+            words = zstandard.ZstdDecompressor().decompress(text).split(b" ")
+            ids = np.fromiter(map(number.__getitem__, words), np.int32, len(words))
+            tables.append(ids[np.cumsum(_large(starts))[:, None] + np.arange(window)])
             least.append(np.cumsum(_unzipped(steps, np.int64)))
         sizes = [len(x) for x in least]
         doc, table = np.concatenate(least), np.concatenate(tables)
@@ -454,7 +472,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = lambda c: F.filter(c, lambda x: x["pack"] == F.col("pack"))
     masks = shorts.where("range >= 0").groupBy("home").agg(F.collect_list(F.struct("pack", "range", "data")).alias("masks"))
     met = packs.join(masks.hint("shuffle_hash"), "home").select("home", "pack", "ids", "texts", own("masks").alias("masks"))
-    spread = met.mapInArrow(_spread(shared, window, width), "home long, pack long, grp int, least binary, places binary, more binary, words binary, windows binary")
+    spread = met.mapInArrow(_spread(shared, window, width), "home long, pack long, grp int, least binary, places binary, more binary, starts binary, text binary")
     salt = F.when(F.col("grp") < 0, F.col("pack")).otherwise(0)
     found = spread.groupBy("grp", salt.alias("salt")).applyInPandas(_repeats(window), "home long, pack long, places binary")
     found = found.groupBy("home").agg(F.collect_list(F.struct("pack", "places")).alias("found"))  # as large as the packs' own windows at most

@@ -47,7 +47,8 @@ def test_against_brute_force(spark, group_rows):
 def test_groups_stay_small():
     rng = np.random.default_rng(1)
     words = rng.integers(0, 2**63, 13, dtype=np.uint64)[np.arange(3000) % 13]
-    codes = S.path_codes(np.concatenate([words, rng.integers(0, 2**63, 9000, dtype=np.uint64)]), 13)
+    words = np.concatenate([words, rng.integers(0, 2**63, 9000, dtype=np.uint64)])
+    codes = S.path_codes(words, 13, np.arange(len(words) - 12))
     counts = np.array([np.bincount(S._bins(c, 16), minlength=1 << 16) for c in codes])
     group = S.Plan(counts, 500).of(codes)
     assert group.min() >= 0 and np.bincount(group).max() <= 500
@@ -102,6 +103,13 @@ def test_equal_codes_of_unlike_windows():
     assert (got == own).all()
 
 
+def test_stretches_cover_the_windows():
+    starts = np.array([3, 4, 9, 30, 31, 70])
+    places, at = S.stretches(starts, 13)
+    assert places.tolist() == [*range(3, 22), *range(30, 44), *range(70, 83)]
+    assert places[at].tolist() == starts.tolist()
+
+
 def test_long_texts_are_cut_at_blanks(monkeypatch):
     monkeypatch.setattr(S, "PIECE", 5)
     text = b" ab  cdefghij k\tl\n\nmnopq r"
