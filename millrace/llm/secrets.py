@@ -2,16 +2,17 @@
 
 Base patterns give spans on their own. Four weak patterns propose parts: identifiers (user names, client ids), weak secrets
 (short pass words, auth values), opaque tokens, and endpoints. A weak part alone means nothing, so each opens a scope of
-``scope`` characters around its span, whatever the span's length, and the scopes of a text are joined with the parts whose spans touch them: for every part
-and kind, the largest end of those that start no later and the least start of those that start no earlier tell what is in reach. An identifier or a weak secret is reported only with its
+``scope`` characters around its span, whatever the span's length, and the scopes of a text are joined with the parts that end or begin in them: for every part
+and kind, the nearest end at or before its start and the nearest start at or after its end tell what is in reach. A part is never its own complement: what overlaps it doesn't count, and
+a weak part within a longer one (a token within its own address or assignment) is part of that. An identifier or a weak secret is reported only with its
 complement (identifier and secret), an opaque token only with an identifier or an endpoint, an endpoint only with both an identifier and a
 secret. Base access keys count as identifiers, base assignments and hex values as secrets.
 
-How it scales: the texts are read once, and only matches are shuffled, by text. The interval join makes no pairs: the frames
-only run on, once forwards and once backwards over a text's matches.
+How it scales: the texts are read once, and only matches are shuffled, by text. The interval join makes no pairs: every match becomes two events, its start and its end,
+and the frames only run on, once forwards and once backwards over a text's events.
 
 Defined cases: null and empty texts have no spans; repeated rows each give a row; weak parts that overlap a base span are part of
-it; equal starts go by kind as listed; an empty table gives no rows; extra columns are ignored.
+it; of weak parts with equal spans the first kind as listed counts; equal starts go by kind as listed; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -64,14 +65,18 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
     found = S.located(pick(docs, doc_id=id_col, text=text_col), _patterns(F.col("text")), context=0).drop("left", "right")
     found = found.withColumn("kind", F.when(_valid(), F.col("kind")))
     found = S.free_of_base(found.withColumn("base", F.coalesce(F.col("kind").isin(BASE), F.lit(False))))
-    kind, so_far = F.col("kind"), (Window.unboundedPreceding, Window.currentRow)
-    behind = Window.partitionBy("rid").orderBy("start").rangeBetween(*so_far)
-    ahead = Window.partitionBy("rid").orderBy(F.desc("start")).rangeBetween(*so_far)
+    found = S.free_of_wider(found.withColumn("rank", S.ranked(KINDS, F.col("kind"))), F.col("kind").isNotNull() & ~F.col("base")).drop("rank")
+    kind, ends, so_far = F.col("kind"), F.col("event") == "end", (Window.unboundedPreceding, Window.currentRow)
+    events = F.explode(F.array(F.struct(F.lit("start").alias("event"), F.col("start").alias("at")), F.struct(F.lit("end").alias("event"), F.col("end").alias("at"))))
+    behind = Window.partitionBy("rid").orderBy("at").rangeBetween(*so_far)
+    ahead = Window.partitionBy("rid").orderBy(F.desc("at")).rangeBetween(*so_far)
     of = {"ids": ["identifier", "access"], "secrets": ["weak_secret", "assign", "hex"], "opaques": ["opaque"], "ends": ["endpoint"]}
-    found = found.withColumns({f"{x}_end": F.max(F.when(kind.isin(kinds), F.col("end"))).over(behind) for x, kinds in of.items()})
-    found = found.withColumns({f"{x}_start": F.min(F.when(kind.isin(kinds), F.col("start"))).over(ahead) for x, kinds in of.items()})
-    near = lambda x: F.coalesce(F.col(f"{x}_end") >= F.col("start") - scope, F.lit(False)) | F.coalesce(F.col(f"{x}_start") <= F.col("end") + scope, F.lit(False))
-    found = found.withColumns({x: near(x) for x in of})
+    found = found.withColumn("x", events).select("*", "x.*").drop("x")
+    found = found.withColumns({f"{x}_end": F.max(F.when(kind.isin(kinds) & ends, F.col("at"))).over(behind) for x, kinds in of.items()})
+    found = found.withColumns({f"{x}_start": F.min(F.when(kind.isin(kinds) & ~ends, F.col("at"))).over(ahead) for x, kinds in of.items()})
+    # A start tells what ends before it, an end what starts after it.
+    near = lambda x: F.when(ends, F.col(f"{x}_start") <= F.col("end") + scope).otherwise(F.col(f"{x}_end") >= F.col("start") - scope)
+    found = found.groupBy("rid", "doc_id", "kind", "start", "end", "match", "base").agg(*[F.coalesce(F.bool_or(near(x)), F.lit(False)).alias(x) for x in of])
     linked = (
         F.when(kind == "identifier", F.col("secrets") | F.col("opaques"))
         .when(kind == "weak_secret", F.col("ids"))

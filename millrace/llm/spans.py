@@ -51,6 +51,16 @@ def free_of_base(found: DataFrame) -> DataFrame:
     return found.where(F.col("kind").isNull() | F.col("base") | clear).drop("reach", "ahead")
 
 
+def free_of_wider(found: DataFrame, open_to: Column, overlaps: bool = False) -> DataFrame:
+    """``found`` without the rows of ``open_to`` that lie within another row of ``open_to`` which starts before, or at the same place and is longer or else of the earlier kind by
+    ``rank``; with overlaps: that overlap such a row, whether or not that one stays itself."""
+    before = Window.partitionBy("rid").orderBy("start", F.desc("end"), "rank").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.coalesce(F.max(F.when(open_to, F.col("end"))).over(before), F.lit(0))
+    found = found.withColumn("reach", reach).withColumn("open", open_to)
+    clear = F.col("reach") <= F.col("start") if overlaps else F.col("reach") < F.col("end")
+    return found.where(~F.coalesce("open", F.lit(False)) | clear).drop("reach", "open")
+
+
 def joined(kept: Column, order: list[str], kinds: list[str]) -> Column:
     """kind:start:end of the spans that are ``kept``, comma-joined, in the order of ``order``, of which rank is the kind's place."""
     names = F.array(*[F.lit(k) for k in kinds])

@@ -70,3 +70,48 @@ def test_scope_is_around_the_span_and_lengths_are_open(spark):
     assert "identifier" not in got[5] and got[8] == ""
     assert got[6] == "identifier:0:205,weak_secret:206:218"
     assert got[7] == f"identifier:0:9,opaque:10:{110 + len(opaque)}"
+
+
+def test_a_part_is_not_its_own_complement(spark):
+    token = "aB3dEf6hIj9kLm2nOp5qRs8tUv1wXy4zAb7c"
+    rows = [
+        (1, f"client_id: {token} only an id"), (2, f"wss://h.{token}"), (3, f"auth: {token} alone"), (4, f"client_id: {token} pwd: hunter2"), (5, f"wss://h.{token} user=bob7 pwd: hunter2"),
+        (6, f"wss://h.{token} user=bob7"), (7, f"{token} user=bob7 user=bob8"), (8, "user=bob7 " * 3),
+    ]
+    got = {r.doc_id: r.spans for r in X.summarise(X.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got[1] == got[2] == got[3] == got[6] == got[8] == ""
+    assert got[4] == "identifier:0:47,weak_secret:48:60" and got[5] == "endpoint:0:44,identifier:45:54,weak_secret:55:67"
+    assert got[7] == "opaque:0:36,identifier:37:46,identifier:47:56"
+
+
+def linked(parts, scope=160):
+    """By brute force over all pairs; parts: (kind, start, end)."""
+    of = {"ids": ["identifier", "access"], "secrets": ["weak_secret", "assign", "hex"], "opaques": ["opaque"], "ends": ["endpoint"]}
+    base = [p for p in parts if p[0] in X.BASE]
+    weak = [p for p in parts if p[0] not in X.BASE and all(p[2] <= b[1] or b[2] <= p[1] for b in base)]
+    before = lambda q, p: (q[1], -q[2], X.KINDS.index(q[0])) < (p[1], -p[2], X.KINDS.index(p[0]))
+    weak = [p for p in weak if not any(before(q, p) and q[2] >= p[2] for q in weak)]
+    out = list(base)
+    for p in weak:
+        near = lambda x: any(q[0] in of[x] and (q[2] <= p[1] <= q[2] + scope or p[2] <= q[1] <= p[2] + scope) for q in base + weak)  # noqa: B023, E731
+        ok = {
+            "identifier": near("secrets") or near("opaques"), "weak_secret": near("ids"), "opaque": near("ids") or near("ends"),
+            "endpoint": near("ids") and (near("secrets") or near("opaques")),
+        }[p[0]]
+        out += [p] if ok else []
+    return sorted(out, key=lambda p: (p[1], X.KINDS.index(p[0])))
+
+
+def test_linking_against_brute_force(spark):
+    from millrace.llm import spans as S
+    from pyspark.sql import functions as F
+
+    r = random.Random(8)
+    bits = ["user=bob7", "pwd: hunter2", "wss://h.example.org/x", "db.local:5432", "aB3dEf6hIj9kLm2nOp5qRs8tUv1wXy4z", "token=abcdef1", "AKIA" + "A1" * 8, "client_id: aB3dEf6hIj9kLm2nOp5qRs8tUv1wXy4z", "far " * 30, "x " * 20, "\n"]
+    rows = [(i, " ".join(r.choice(bits) for _ in range(r.randint(1, 14)))) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    parts = {}
+    for x in S.located(df, X._patterns(F.col("text")), context=0).where("kind is not null").where(X._valid()).collect():
+        parts.setdefault(x.doc_id, []).append((x.kind, x.start, x.end))
+    got = {x.doc_id: x.spans for x in X.summarise(X.find(df)).collect()}
+    assert got == {i: ",".join(f"{k}:{a}:{b}" for k, a, b in linked(parts.get(i, []))) for i, _ in rows}
