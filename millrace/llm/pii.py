@@ -7,9 +7,12 @@ votes and features of form. A proposed span is kept if the classifier finds it l
 of the base patterns) always stay.
 
 How it scales: the texts are read once; only proposals are shuffled. Both models are fitted on counts of vote and feature
-patterns, of which there are at most as many as combinations of their values (3^5 votes, and 3^5 x 1,344 with the
+patterns, of which there are at most as many as combinations of their values (3^5 votes, and 3^5 x 1,536 with the
 features), whatever the corpus' size. The fitted weights become a column expression.
 
+Added spans never overlap: one that overlaps a base span goes, and of those that the classifier keeps, one that overlaps a kept one which starts before it (or at the same place and is
+longer, or of the earlier kind as listed) goes. ``mask`` replaces just the spans that ``find`` gives; base spans that overlap one another are replaced together, under the name of the first.
+
 Defined cases: null and empty texts have no spans; repeated rows each give a row; equal starts go by kind as listed; an
 empty table gives no rows; a corpus without proposals trains nothing and keeps the base; extra columns are ignored by
 ``find`` and kept by ``mask``.
@@ -19,10 +22,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
-from math import exp
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from millrace.llm import spans as S
 from millrace.llm.common import free_name, materialise, pick
@@ -43,8 +47,22 @@ SPELT_EMAIL = r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,40} ?[\[(](?:at|AT)[\])] ?[A
 PERSON = r"(?<![\p{L}])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme)\.? \p{Lu}[\p{L}'-]{1,30}(?: \p{Lu}[\p{L}'-]{1,30})?"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
-TOP_DOMAINS = "com|org|net|edu|gov|io|de|fr|es|uk|eu|info|co|us|ch|at|it|nl|be"
-GIVEN_NAMES = "James|Mary|John|Anna|Maria|Peter|Paul|Thomas|Michael|Laura|Sophie|Marie|Pierre|Hans|Klaus|Carlos|Juan|Ana|Elena|David|Sarah|Robert|Linda|Jean|Luis"
+# Gazetteers of frequent top-level domains, given names and country calling codes.
+TOP_DOMAINS = (
+    "com|org|net|edu|gov|mil|int|info|biz|name|pro|io|ai|co|me|tv|app|dev|eu|uk|us|ca|au|nz|ie|in|za|de|at|ch|li|fr|be|nl|lu|es|pt|it|gr|pl|cz|sk|hu|ro|bg|si|hr|rs|ua|ru|"
+    "se|no|dk|fi|is|ee|lv|lt|tr|il|ae|jp|cn|kr|tw|hk|sg|my|th|vn|id|ph|br|mx|ar|cl|pe"
+)
+GIVEN_NAMES = (
+    "James|John|Robert|Michael|William|David|Richard|Joseph|Thomas|Charles|Christopher|Daniel|Matthew|Anthony|Mark|Donald|Steven|Paul|Andrew|Joshua|Kenneth|Kevin|Brian|George|Edward|"
+    "Mary|Patricia|Jennifer|Linda|Elizabeth|Barbara|Susan|Jessica|Sarah|Karen|Lisa|Nancy|Betty|Margaret|Sandra|Ashley|Kimberly|Emily|Donna|Michelle|Carol|Amanda|Dorothy|Melissa|Laura|"
+    "Hans|Klaus|Peter|Wolfgang|Jürgen|Stefan|Andreas|Uwe|Ralf|Dieter|Anna|Ursula|Monika|Petra|Sabine|Renate|Helga|Karin|Brigitte|Heike|"
+    "Jean|Pierre|Michel|Philippe|Alain|Jacques|Marie|Sophie|Nathalie|Isabelle|Sylvie|Catherine|Françoise|Camille|Claire|"
+    "José|Juan|Carlos|Luis|Manuel|Antonio|Francisco|Javier|Miguel|Pedro|María|Carmen|Ana|Isabel|Elena|Lucía|Pilar|Dolores|Rosa|Maria"
+)
+CALLING_CODES = (
+    "1|7|20|27|30|31|32|33|34|36|39|40|41|43|44|45|46|47|48|49|51|52|54|55|56|57|58|60|61|62|63|64|65|66|81|82|84|86|90|91|92|98|212|213|216|234|254|351|352|353|354|358|370|371|372|"
+    "380|385|386|420|421|852|886|966|971|972"
+)
 PLACEHOLDERS = r"(?i)^(?:0\.0\.0\.0|127\.0\.0\.1|255\.255\.255\.255|1\.2\.3\.4|123-45-6789|000-.*|no-?reply@.*|user(?:name)?@.*)$"
 CUES = r"(?i)(?:e-?mail|mailto|contact|reach|write|phone|tel|call|fax|mobile|card|visa|credit|address|host|client|ssn|social|born|name|signed)[^\n]*$"
 COUNTER_CUES = r"(?i)(?:version|release|isbn|invoice|order|serial|sku|part no|ticket|section|figure)[^\n]{0,12}$"
@@ -90,7 +108,7 @@ def votes(c: Named) -> list[Column]:
     listed = (
         F.when(kind.isin("email", "spelt_email") & _like(match, rf"\b(?:{TOP_DOMAINS})$"), 1)
         .when((kind == "person") & _like(match, rf"\b(?:{GIVEN_NAMES})\b"), 1)
-        .when((kind == "phone") & _like(match, r"^\+(?:1|33|34|44|49)(?![0-9])"), 1)
+        .when((kind == "phone") & _like(match, rf"^\+(?:{CALLING_CODES})(?![0-9])"), 1)
         .otherwise(0)
     )
     cue = F.when(_like(left, COUNTER_CUES), -1).when(_like(left, CUES), 1).otherwise(0)
@@ -111,64 +129,44 @@ def features(c: Named) -> list[Column]:
 FEATURE_SIZES = [len(KINDS), 4, 4, 4, 3]
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], float]], rounds: int = 50, prior: float = 2.0) -> tuple[float, list[list[dict[int, float]]]]:
-    """Expectation-maximisation over vote patterns and their counts: the share of true spans, and by labeler and class how
+def estimate(votes_given: np.ndarray, counts: np.ndarray, rounds: int = 50, prior: float = 2.0) -> tuple[float, np.ndarray]:
+    """Expectation-maximisation over vote patterns (a row each, of -1, 0 and 1) and their counts: the share of true spans, and [labeler, class, vote + 1] how
     often each vote is given. It starts from labelers that are right more often than not."""
-    votes_ = (-1, 0, 1)
-    start = [{-1: 0.5, 0: 0.3, 1: 0.2}, {-1: 0.15, 0: 0.35, 1: 0.5}]
-    share, rates = 0.5, [[dict(start[0]), dict(start[1])] for _ in range(len(patterns[0][0]) if patterns else 0)]
+    start = np.array([[0.5, 0.3, 0.2], [0.15, 0.35, 0.5]])
+    given = votes_given[:, :, None] == np.array([-1, 0, 1])
+    share, rates = 0.5, np.tile(start, (votes_given.shape[1], 1, 1))
     for _ in range(rounds):
-        held = [[{v: prior * start[y][v] for v in votes_} for y in (0, 1)] for _ in rates]
-        true = total = 0.0
-        for votes_given, n in patterns:
-            p = posterior(votes_given, share, rates)
-            true, total = true + n * p, total + n
-            for labeler, v in enumerate(votes_given):
-                held[labeler][1][v] += n * p
-                held[labeler][0][v] += n * (1 - p)
-        share = min(0.99, max(0.01, (true + prior) / (total + 2 * prior)))
-        rates = [[{v: h[y][v] / sum(h[y].values()) for v in votes_} for y in (0, 1)] for h in held]
-    return share, rates
-
-
-def posterior(votes_given: tuple[int, ...], share: float, rates: list[list[dict[int, float]]]) -> float:
-    """The probability that a span with these votes is true."""
-    yes, no = share, 1 - share
-    for labeler, v in enumerate(votes_given):
-        yes *= rates[labeler][1][v]
-        no *= rates[labeler][0][v]
+        p = posterior(votes_given, share, rates)
+        held = prior * start + np.stack([np.einsum("n,nlv->lv", counts * q, given) for q in (1 - p, p)], axis=1)
+        share = min(0.99, max(0.01, ((counts * p).sum() + prior) / (counts.sum() + 2 * prior)))
+        rates = held / held.sum(axis=2, keepdims=True)
+    return float(share), rates
+
+
+def posterior(votes_given: np.ndarray, share: float, rates: np.ndarray) -> np.ndarray:
+    """The probability of each pattern that a span with these votes is true."""
+    each = rates[np.arange(votes_given.shape[1])[None], :, votes_given + 1].prod(axis=1)
+    yes, no = share * each[:, 1], (1 - share) * each[:, 0]
     return yes / (yes + no)
 
 
-def _inputs(given: tuple[int, ...], form: tuple[int, ...]) -> list[int]:
-    """The places of the classifier's active inputs."""
-    out, at = [], 0
-    for v in given:
-        out.append(at + v + 1)
-        at += 3
-    for v, size in zip(form, FEATURE_SIZES, strict=True):
-        out.append(at + v)
-        at += size
-    return out
+def _inputs(given: np.ndarray, form: np.ndarray) -> np.ndarray:
+    """The places of the classifier's active inputs, a row for each pattern."""
+    return np.hstack([given + 1 + 3 * np.arange(given.shape[1]), form + 3 * given.shape[1] + np.concatenate([[0], np.cumsum(FEATURE_SIZES)[:-1]])])
 
 
-def train_classifier(rows: list[tuple[tuple[int, ...], tuple[int, ...], float, float]], rounds: int = 200, rate: float = 0.5, decay: float = 1e-3) -> list[float]:
-    """Weights of a logistic regression on (votes, features, count, probability of being true)."""
-    weights = [0.0] * (3 * 5 + sum(FEATURE_SIZES))
-    total = sum(r[2] for r in rows)
-    places = [_inputs(v, f) for v, f, _, _ in rows]
+def train_classifier(given: np.ndarray, form: np.ndarray, counts: np.ndarray, true: np.ndarray, rounds: int = 200, rate: float = 0.5, decay: float = 1e-3) -> np.ndarray:
+    """Weights of a logistic regression on patterns of votes and features, their counts and probabilities of being true."""
+    places, size = _inputs(given, form), 3 * given.shape[1] + sum(FEATURE_SIZES)
+    weights, part = np.zeros(size), counts / counts.sum()
     for _ in range(rounds):
-        slope = [decay * w for w in weights]
-        for at, (_, _, n, p) in zip(places, rows, strict=True):
-            guess = 1 / (1 + exp(-sum(weights[k] for k in at)))
-            for k in at:
-                slope[k] += n / total * (guess - p)
-        weights = [w - rate * s for w, s in zip(weights, slope, strict=True)]
+        wrong = part * (1 / (1 + np.exp(-weights[places].sum(axis=1))) - true)
+        weights = weights - rate * (decay * weights + np.bincount(places.ravel(), np.repeat(wrong, places.shape[1]), size))
     return weights
 
 
-def _probability(weights: list[float], c: Named) -> Column:
-    table, at, terms = F.array(*[F.lit(w) for w in weights]), 1, []
+def _probability(weights: np.ndarray, c: Named) -> Column:
+    table, at, terms = F.array(*[F.lit(float(w)) for w in weights]), 1, []
     for k in range(5):
         terms.append(F.element_at(table, c(f"v{k}") + 1 + at))
         at += 3
@@ -189,28 +187,30 @@ def propose(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return _judged(S.located(pick(docs, doc_id=id_col, text=text_col), _proposals(F.col("text"))))
 
 
-def fit(proposals: DataFrame) -> list[float] | None:
+def fit(proposals: DataFrame) -> np.ndarray | None:
     """The classifier's weights, from counts of patterns; None without proposals."""
     names = [f"v{k}" for k in range(5)] + [f"f{k}" for k in range(5)]
     counted = proposals.where("kind is not null").groupBy(*names).agg(F.count("*").alias("n")).collect()
     if not counted:
         return None
-    rows = [(tuple(r[c] for c in names[:5]), tuple(r[c] for c in names[5:]), r["n"]) for r in counted]
-    by_votes: dict[tuple[int, ...], float] = {}
-    for v, _, n in rows:
-        by_votes[v] = by_votes.get(v, 0) + n
-    share, rates = estimate(sorted(by_votes.items()))
-    return train_classifier([(v, f, n, posterior(v, share, rates)) for v, f, n in sorted(rows)])
+    table = np.array(sorted(tuple(r) for r in counted))
+    given, form, n = table[:, :5], table[:, 5:10], table[:, 10].astype(float)
+    by_votes, back = np.unique(given, axis=0, return_inverse=True)
+    share, rates = estimate(by_votes, np.bincount(back.ravel(), n))
+    return train_classifier(given, form, n, posterior(given, share, rates))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """rid, doc_id, kind, start, end, match, base, probability: the spans kept, and a row with null kind for each text without any."""
     proposals = materialise(propose(docs, id_col, text_col), "proposals")
     weights = fit(proposals)
-    likely = _probability(weights, F.col) if weights else F.lit(0.0)
+    likely = _probability(weights, F.col) if weights is not None else F.lit(0.0)
     kept = S.free_of_base(proposals.withColumn("probability", likely))
     keep = F.col("base") | (~F.col("kind").isin(BASE) & (F.col("probability") >= threshold))
-    return kept.select("rid", "doc_id", F.when(keep, F.col("kind")).alias("kind"), "start", "end", "match", "base", "probability")
+    kept = kept.withColumn("kind", F.when(keep, F.col("kind"))).withColumn("rank", S.ranked(KINDS, F.col("kind")))
+    added = F.col("kind").isNotNull() & ~F.col("base")
+    wider = S.free_of_wider(kept, added, overlaps=True)
+    return wider.select("rid", "doc_id", "kind", "start", "end", "match", "base", "probability")
 
 
 def summarise(found: DataFrame) -> DataFrame:
@@ -223,39 +223,21 @@ def summarise(found: DataFrame) -> DataFrame:
 
 
 def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``docs`` with every kept span of personal data replaced by its kind in angle brackets, kind after kind.
+    """``docs`` with the spans that ``find`` gives replaced by their kinds in angle brackets.
 
-    The weights are fitted on the proposals of all texts; the texts themselves are rewritten in place, without a shuffle.
+    Rows are numbered and written first, since the numbers must stay when a task is run again; the spans come back to the texts by number.
     """
-    weights = fit(materialise(propose(docs, id_col, text_col), "proposals"))
-    if weights is None:
-        return docs
-    names = [free_name(docs, n) for n in ("__text", "__m", "__g")]
-    text, m, g = (F.col(n) for n in names)
-    none = F.array().cast("array<string>")
-    out = docs.withColumn(names[0], docs[text_col])
-    for kind, guard, pattern in _proposals(text):
-        out = out.withColumn(names[1], F.when(guard, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none))
-        out = out.withColumn(names[2], F.when(F.size(m) > 0, F.split(text, pattern, -1)).otherwise(none))
-        parts = F.arrays_zip(m.alias("m"), g.alias("g"), F.slice(g, 2, F.greatest(F.size(m), F.lit(1))).alias("h"))
-        told = F.transform(parts, _teller(kind, weights, threshold))
-        out = out.withColumn(names[0], F.when(F.size(m) > 0, F.array_join(told, "")).otherwise(text)).drop(*names[1:])
-    return out.select(*[text.alias(c) if c == text_col else out[c] for c in docs.columns])
-
-
-def _teller(kind: str, weights: list[float], threshold: float):
-    return lambda x: F.concat(F.coalesce(x["g"], F.lit("")), _told(kind, x, weights, threshold))
-
-
-def _told(kind: str, x: Column, weights: list[float], threshold: float) -> Column:
-    """What stands for the match x: the mask, or the match itself."""
-    given = {"kind": F.lit(kind), "match": x["m"], "left": F.right(x["g"], F.lit(40)), "right": F.left(F.coalesce(x["h"], F.lit("")), F.lit(40))}
-    base = F.coalesce(base_valid(given.__getitem__), F.lit(False))
-    if kind in BASE:
-        keep = base
-    else:
-        given["base"] = base
-        given |= {f"v{k}": v.cast("int") for k, v in enumerate(votes(given.__getitem__))}
-        given |= {f"f{k}": f.cast("int") for k, f in enumerate(features(given.__getitem__))}
-        keep = _probability(weights, given.__getitem__) >= threshold
-    return F.when(x["m"].isNull(), F.lit("")).when(keep, F.lit(f"<{kind.upper()}>")).otherwise(x["m"])
+    row, spans = free_name(docs, "__row"), free_name(docs, "__spans")
+    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = find(numbered, row, text_col, threshold).where("kind is not null").withColumn("rank", S.ranked(KINDS, F.col("kind")))
+    # Base spans that overlap are replaced as one.
+    before = Window.partitionBy("doc_id").orderBy("start", F.desc("end"), "rank").rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("part", (F.coalesce(F.max("end").over(before), F.lit(0)) <= F.col("start")).cast("int"))
+    found = found.withColumn("part", F.sum("part").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    found = found.groupBy("doc_id", "part").agg(F.min(F.struct("start", -F.col("end"), "rank", "kind")).alias("first"), F.max("end").alias("end"))
+    found = found.groupBy(F.col("doc_id").alias(row)).agg(F.array_sort(F.collect_list(F.struct(F.col("first.start").alias("start"), "end", F.col("first.kind").alias("kind")))).alias(spans))
+    met, text, x = numbered.join(found, row, "left"), F.col(text_col), F.col(spans)
+    ends = F.concat(F.array(F.lit(0).cast(found.schema[spans].dataType.elementType["end"].dataType)), F.transform(x, lambda s: s["end"]))
+    told = F.zip_with(x, F.slice(ends, 1, F.size(x)), lambda s, at: F.concat(F.substr(text, (at + 1).cast("int"), (s["start"] - at).cast("int")), F.lit("<"), F.upper(s["kind"]), F.lit(">")))
+    masked = F.when(x.isNull(), text).otherwise(F.concat(F.array_join(told, ""), F.substr(text, (F.element_at(ends, -1) + 1).cast("int"))))
+    return met.select(*[masked.alias(c) if c == text_col else met[c] for c in docs.columns])

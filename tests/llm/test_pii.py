@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from millrace.llm import pii as P
@@ -60,14 +61,25 @@ def test_reliabilities_are_found():
         v = tuple((1 if (r.random() < h) == y else -1) for h in hits)
         counts[v] = counts.get(v, 0) + 1
         truth.setdefault(v, []).append(y)
-    share, rates = P.estimate(sorted(counts.items()))
+    patterns = np.array(sorted(counts))
+    share, rates = P.estimate(patterns, np.array([counts[tuple(v)] for v in patterns.tolist()], float))
     assert share == pytest.approx(0.6, abs=0.06)
     for h, rate in zip(hits, rates, strict=True):
-        assert rate[1][1] == pytest.approx(h, abs=0.08)
-    right = sum((P.posterior(v, share, rates) > 0.5) == y for v, ys in truth.items() for y in ys)
+        assert rate[1][2] == pytest.approx(h, abs=0.08)
+    likely = P.posterior(patterns, share, rates)
+    right = sum((p > 0.5) == y for v, p in zip(patterns.tolist(), likely, strict=True) for y in truth[tuple(v)])
     assert right >= 0.88 * 4000
 
 
+def test_classifier_learns_what_the_votes_say():
+    rng = np.random.default_rng(4)
+    given, form = rng.integers(-1, 2, (400, 5)), np.stack([rng.integers(0, n, 400) for n in P.FEATURE_SIZES], axis=1)
+    true = 1 / (1 + np.exp(-(2.0 * given[:, 0] + given[:, 2])))
+    weights = P.train_classifier(given, form, rng.integers(1, 50, 400).astype(float), true, rounds=2000)
+    guess = 1 / (1 + np.exp(-weights[P._inputs(given, form)].sum(axis=1)))
+    assert np.abs(guess - true).mean() < 0.05
+
+
 def test_method_adds_and_masks(spark):
     rows = [(i, f"Contact us by e-mail: user{i}.x@mail{i}.com, or phone: +1 (619) 555-00{i:02d} now") for i in range(40)]
     rows += [(100 + i, f"Please call (212) 555-12{i:02d} today") for i in range(20)]
@@ -86,3 +98,25 @@ def test_empty(spark):
     assert P.summarise(P.find(df)).count() == 0 and P.mask(df).count() == 0
     one = spark.createDataFrame([(1, "no data")], "doc_id long, text string")
     assert [tuple(r) for r in P.summarise(P.find(one)).collect()] == [(1, 0, 0, 0, 0, "", "")]
+
+
+def test_added_spans_never_overlap_and_masks_are_the_spans(spark):
+    r = random.Random(2)
+    bits = ["Call Dr. Anna Smith", "jo.doe (at) mail (dot) com", "(212) 555-1234", "212-555-1234-99", "123-45-6789", "a.b@c.de", "4111 1111 1111 1111", "+1 (619) 555-0053", "Mr Paul.Jones [at] x.org", "é", "words"]
+    rows = [(i, "".join(r.choice(bits) + r.choice([" ", "", ", "]) for _ in range(12)), "own") for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kind string").repartition(3)
+    spans, texts = {}, {i: t for i, t, _ in rows}
+    for x in P.find(df).where("kind is not null").collect():
+        spans.setdefault(x.doc_id, []).append((x.start, x.end, x.kind, x.base))
+        assert texts[x.doc_id][x.start : x.end] == x.match
+    masked = {x.doc_id: x.text for x in P.mask(df).collect()}
+    for i, t, _ in rows:
+        own = sorted(spans.get(i, []), key=lambda s: (s[0], -s[1], P.KINDS.index(s[2])))
+        added = [s for s in own if not s[3]]
+        assert all(a[1] <= b[0] or b[1] <= a[0] for a in added for b in own if a is not b)
+        out, at = [], 0
+        for a, b, kind, _ in own:
+            if a >= at:
+                out += [t[at:a], f"<{kind.upper()}>"]
+            at = max(at, b)
+        assert masked[i] == "".join(out) + t[at:]
