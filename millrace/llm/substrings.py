@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import materialise, materialise_by, pick
 
-#: Bytes of text whose suffixes are packed together, packs that share a home, and bytes of a long text that are cut into words at once.
-PACK_BYTES, HOME_PACKS, PIECE = 2 << 20, 16, 1 << 20
+#: Bytes of text whose suffixes are packed together (compressed, less than what makes an object huge to the JVM), packs that share a home, and bytes of a long text that are cut into words at once.
+PACK_BYTES, HOME_PACKS, PIECE = 1 << 20, 16, 1 << 20
 #: Parts that a histogram is summed in.
 SLICES = 64
 #: Windows whose words are compared at once.
