@@ -2,16 +2,17 @@
 
 A further component turns the largest inner product into the smallest distance; all vectors are rotated by one random
 rotation, so that a few leading components tell about the whole distance. Lists come from k-means. A query probes its
-nearest lists. In a list, distances grow column block by column block; after each block a hypothesis test compares the
+nearest lists: first its own, which gives the distance of its k-th best so far, then the others, which start from that distance. In a list, distances grow column block by column block; after each block a hypothesis test compares the
 partial distance, scaled up to all components, with the distance of the query's k-th best, and candidates that are too far with high confidence are abandoned.
-The survivors' inner products are computed in full, in double precision on the original vectors.
+The survivors' inner products are computed in full, in double precision on the original vectors, and only those that beat the k-th best so far are passed on.
 
 How it scales: equal vectors collapse to one with its ``k + 1`` smallest ids (no more can be among the k nearest), so a hot
 vector is one row; queries with equal vectors are searched once. Centroids are fitted on a bounded sample
 (``sample_rows``); every vector is indexed. Lists above ``list_rows`` vectors are dealt to several tasks, and so are their
-queries above ``query_rows``. Only the best k + 1 of each task are shuffled.
+queries above ``query_rows``. Only what may be among a query's best k + 1 is shuffled. What grows fastest is the work on data without clusters: there nearly half of the lists must be probed for
+the recall asked for, so that with queries in proportion to the rows the scan is quadratic, however early candidates are abandoned.
 
-Defined cases: vectors that are null, zero, of another length than most, or that hold a null or non-finite component take no part, nor do
+Defined cases: vectors that are null, zero, of another length than most (the smaller one of equally frequent lengths), or that hold a null or non-finite component take no part, nor do
 rows with a null id; repeated ids with equal vectors count once; an id with several vectors takes part with each of them; ties go to the smaller id; fewer
 candidates than k give them all; an empty table gives no rows; extra columns are ignored.
 """
@@ -113,20 +114,23 @@ class Space:
         return np.hstack([vecs, np.zeros((len(vecs), 1))]) @ self.turn
 
 
-def scan(queries: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, row) that may be among the query's k nearest, by the adaptive dimension scan; queries ascend."""
+def scan(queries: np.ndarray, rows: np.ndarray, k: int, limit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, row) that may be among the query's k nearest, by the adaptive dimension scan; queries ascend. limit: the squared distances
+    of the queries' k-th best elsewhere."""
     n, dims = rows.shape
-    if n <= 2 * k:
+    limit = np.full(len(queries), np.inf) if limit is None else limit
+    if n <= 2 * k and not np.isfinite(limit).all():
         return np.repeat(np.arange(len(queries)), n), np.tile(np.arange(n), len(queries))
     edges = [*range(0, dims, COLUMNS), dims]
     partial = np.zeros((len(queries), n))
-    of, at, limit = None, None, np.full(len(queries), np.inf)
+    of, at = None, None
     for a, b in zip(edges, edges[1:], strict=False):
         if of is None:  # all pairs are left
             q, r = queries[:, a:b], rows[:, a:b]
             partial += (q**2).sum(axis=1)[:, None] + (r**2).sum(axis=1) - 2 * q @ r.T
-            best = np.argpartition(partial, k - 1, axis=1)[:, :k]
-            limit = np.minimum(limit, ((rows[best] - queries[:, None]) ** 2).sum(axis=2).max(axis=1))
+            if n > 2 * k:
+                best = np.argpartition(partial, k - 1, axis=1)[:, :k]
+                limit = np.minimum(limit, ((rows[best] - queries[:, None]) ** 2).sum(axis=2).max(axis=1))
         else:
             partial += ((rows[at, a:b] - queries[of, a:b]) ** 2).sum(axis=1)
         slack = (1 + (EPSILON / np.sqrt(b) if b < dims else 1e-9)) ** 2
@@ -142,7 +146,7 @@ def scan(queries: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.
 
 
 def _search(shared, k: int):
-    """(cell, rows) with (cell, queries) -> the best k of each query in the cell."""
+    """(cell, rows) with (cell, queries) -> the best k of each query in the cell that may be among its best k so far."""
 
     def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"query": np.zeros(0, np.int64), "row": np.zeros(0, np.int64), "score": np.zeros(0)})
@@ -153,10 +157,14 @@ def _search(shared, k: int):
         vecs = np.stack([np.frombuffer(v) for v in rows["vec"]])
         asked = np.stack([np.frombuffer(v) for v in queries["vec"]])
         turned, turned_queries = space.rows(vecs), space.queries(asked)
+        least_score = queries["kth"].to_numpy(np.float64)
+        limit = (asked**2).sum(axis=1) + space.longest - 2 * np.where(np.isnan(least_score), -np.inf, least_score)
         out, step = [], max(1, PAIRS // len(rows))
         for a in range(0, len(asked), step):
-            of, at = scan(turned_queries[a : a + step], turned, k)
+            of, at = scan(turned_queries[a : a + step], turned, k, limit[a : a + step] * (1 + 1e-9) + 1e-9)
             score = np.einsum("ij,ij->i", asked[a + of], vecs[at])
+            keep = ~(score < least_score[a + of])
+            of, at, score = of[keep], at[keep], score[keep]
             order = np.lexsort((least[at], -score, of))
             of, at, score = of[order], at[order], score[order]
             place = np.arange(len(of)) - np.searchsorted(of, of)
@@ -222,8 +230,10 @@ def search(
     dims = usual["n"] if usual else 0
     own = rows.mapInArrow(_collapsed(k, dims), "key binary, vec binary, ids array<long>")
     own = own.groupBy("key").agg(F.first("vec").alias("vec"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
-    own = materialise(own.select(F.col("ids")[0].alias("least"), "key", "vec", "ids").withColumn("did", F.xxhash64("key")), "vectors")
-    asked = materialise(rows.where(is_query).mapInArrow(_keyed(dims), "query_id long, key binary").distinct().withColumn("did", F.xxhash64("key")), "queries")
+    # Vectors are numbered as they are written, so that joins are on exact, short keys.
+    own = materialise(own.select(F.col("ids")[0].alias("least"), "key", "vec", "ids", F.monotonically_increasing_id().alias("did")), "vectors")
+    asked = rows.where(is_query).mapInArrow(_keyed(dims), "query_id long, key binary").distinct()
+    asked = materialise(asked.join(own.select("key", "did"), "key").drop("key"), "queries")
     n = own.count()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not n:
@@ -245,19 +255,15 @@ def search(
     sizes = np.zeros(lists, np.int64)
     for r in placed.groupBy("list").count().collect():  # a row for each list at most
         sizes[r["list"]] = r["count"]
-    searched = own.join(asked.select("key").distinct(), "key", "left_semi").select("did", "vec")
-    searched = searched.mapInArrow(_listed(shared, sizes, probes, 2 * k + 2), more).select("did", "vec", F.explode("lists").alias("list"))
-    searched = materialise(searched, "probes")
-    asked_sizes = np.zeros(lists, np.int64)
-    for r in searched.groupBy("list").count().collect():
-        asked_sizes[r["list"]] = r["count"]
-    parts = lambda x, most: F.element_at(F.array(*[F.lit(int(v)) for v in np.maximum(1, -(-x // most))]), F.col("list") + 1)
-    row_parts, query_parts = parts(sizes, list_rows), parts(asked_sizes, query_rows)
-    cell = lambda r, q: F.concat_ws(":", "list", r, q).alias("cell")
-    spread = placed.withColumn("r", F.pmod(F.xxhash64("did"), row_parts)).withColumn("q", F.explode(F.sequence(F.lit(0), query_parts - 1)))
-    met = searched.withColumn("q", F.pmod(F.xxhash64("did"), query_parts)).withColumn("r", F.explode(F.sequence(F.lit(0), row_parts - 1)))
-    left, right = spread.select("did", "vec", "least", cell("r", "q")), met.select("did", "vec", cell("r", "q"))
-    found = left.groupBy("cell").cogroup(right.groupBy("cell")).applyInPandas(_search(shared, k + 1), "query long, row long, score double")
+    searched = own.join(asked.select("did").distinct(), "did", "left_semi").select("did", "vec")
+    searched = materialise(searched.mapInArrow(_listed(shared, sizes, probes, 2 * k + 2), more), "probes")
+    home = searched.select("did", "vec", F.slice("lists", 1, 1).alias("lists"), F.lit(None).cast("double").alias("kth"))
+    found = materialise(_scanned(shared, placed, home, sizes, k, list_rows, query_rows), "home")
+    # The k-th best of what is found at home, where there are k.
+    kth = Window.partitionBy("query").orderBy(F.desc("score"))
+    kth = found.withColumn("place", F.row_number().over(kth)).where(F.col("place") == k + 1).select(F.col("query").alias("did"), F.col("score").alias("kth"))
+    away = searched.select("did", "vec", F.slice("lists", 2, lists).alias("lists")).join(kth, "did", "left")
+    found = found.union(_scanned(shared, placed, away, sizes, k, list_rows, query_rows))
     ids = own.select(F.col("did").alias("row"), "least", "ids")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "least")
     found = found.join(ids, "row").withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
@@ -267,6 +273,21 @@ def search(
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _scanned(shared, placed: DataFrame, searched: DataFrame, sizes: np.ndarray, k: int, list_rows: int, query_rows: int) -> DataFrame:
+    """query, row, score: the best k + 1 of each of the ``searched`` (did, vec, lists, kth) in each of its lists' parts."""
+    searched = searched.select("did", "vec", "kth", F.explode("lists").alias("list"))
+    asked_sizes = np.zeros(len(sizes), np.int64)
+    for r in searched.groupBy("list").count().collect():  # a row for each list at most
+        asked_sizes[r["list"]] = r["count"]
+    parts = lambda x, most: F.element_at(F.array(*[F.lit(int(v)) for v in np.maximum(1, -(-x // most))]), F.col("list") + 1)
+    row_parts, query_parts = parts(sizes, list_rows), parts(asked_sizes, query_rows)
+    cell = lambda r, q: F.concat_ws(":", "list", r, q).alias("cell")
+    spread = placed.withColumn("r", F.pmod(F.xxhash64("did"), row_parts)).withColumn("q", F.explode(F.sequence(F.lit(0), query_parts - 1)))
+    met = searched.withColumn("q", F.pmod(F.xxhash64("did"), query_parts)).withColumn("r", F.explode(F.sequence(F.lit(0), row_parts - 1)))
+    left, right = spread.select("did", "vec", "least", cell("r", "q")), met.select("did", "vec", "kth", cell("r", "q"))
+    return left.groupBy("cell").cogroup(right.groupBy("cell")).applyInPandas(_search(shared, k + 1), "query long, row long, score double")
+
+
 def _longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.RecordBatch.from_arrays([pa.array([float((np.frombuffer(v) ** 2).sum()) for v in batch.column(0).to_pylist()], pa.float64())], ["x"])

@@ -56,3 +56,17 @@ def test_few_rows(spark):
     assert {q: [i for i, _ in x] for q, x in result(A.search(df)).items()} == {0: [20, 3], 20: [3, 0]}
     assert A.search(df.limit(0)).count() == 0
     assert A.search(df.where("vec_id = 0")).count() == 0
+
+
+def test_limits_from_elsewhere_abandon_what_is_farther():
+    rng = np.random.default_rng(7)
+    rows, queries = rng.standard_normal((3000, 65)), rng.standard_normal((20, 65))
+    d = ((queries[:, None] - rows[None]) ** 2).sum(axis=2)
+    near = np.sort(d, axis=1)[:, 20]
+    of, at = A.scan(queries, rows, 21)
+    tight_of, tight_at = A.scan(queries, rows, 21, near * 0.5)
+    assert len(tight_of) < 0.2 * len(of) and (d[tight_of, tight_at] <= near[tight_of] * 0.5).all()
+    want = {(q, r) for q in range(20) for r in np.flatnonzero(d[q] <= near[q])}
+    assert len(want & set(zip(of.tolist(), at.tolist(), strict=True))) >= 0.97 * len(want)
+    few_of, few_at = A.scan(queries, rows[:30], 21, near * 0.9)
+    assert (d[few_of, few_at] <= near[few_of] * 0.9).all()
