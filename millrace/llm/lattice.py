@@ -102,30 +102,27 @@ def default_vocabulary() -> str:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(train, text) -> word, training count (0 for words that only other documents have)."""
+    """(train, text) -> word, training count (0 for words that only other documents have), count in all documents."""
     counts: Counter[bytes] = Counter()
-    other: set[bytes] = set()
+    other: Counter[bytes] = Counter()
 
     def out() -> pa.RecordBatch:
-        words = [*counts, *(other - counts.keys())]
-        n = [*counts.values(), *[0] * (len(words) - len(counts))]
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], ["word", "c"])
+        words = [*counts, *(other.keys() - counts.keys())]
+        cols = [pa.array(words, pa.binary()).cast(pa.string()), pa.array([counts[w] for w in words], pa.int64()), pa.array([counts[w] + other[w] for w in words], pa.int64())]
+        return pa.RecordBatch.from_arrays(cols, ["word", "c", "seen"])
 
     for batch in batches:
         for train, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if train:
-                counts.update(words_of(text))
-            else:
-                other.update(words_of(text))
+            (counts if train else other).update(words_of(text))
             if len(counts) + len(other) > FLUSH:
                 yield out()
-                counts, other = Counter(), set()
+                counts, other = Counter(), Counter()
     yield out()
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word, c over ``docs`` (train boolean, text binary)."""
-    return docs.select("train", "text").mapInArrow(_count_words, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    """word, c over the training documents and seen over all of ``docs`` (train boolean, text binary)."""
+    return docs.select("train", "text").mapInArrow(_count_words, "word string, c long, seen long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("seen").alias("seen"))
 
 
 def train_lattice(words: DataFrame, n_ends: int, vocabulary: str) -> tuple[PieceLattice, float]:
@@ -148,7 +145,7 @@ def train_lattice(words: DataFrame, n_ends: int, vocabulary: str) -> tuple[Piece
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
-    counted = words.where("c > 0").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counted = words.where("c > 0").select("word", "c").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     counts = np.zeros(len(pieces))
     for row in counted.collect():  # one row for each piece of the vocabulary at most
         counts[row["id"]] = row["n"]
@@ -208,9 +205,9 @@ def _score_documents(shared, end: tuple[int, float]):
 
 
 def _least_count(words: DataFrame, most: int) -> int:
-    """A count that at most ``most`` words reach; found from a histogram of fixed size."""
-    step = F.floor(F.log2("c") * 16)
-    rows = words.where("c > 0").groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("c")).collect()
+    """How often a word must be seen, training documents or not, so that at most ``most`` words are; found from a histogram of fixed size."""
+    step = F.floor(F.log2("seen") * 16)
+    rows = words.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("seen").alias("c")).collect()
     least, held = (1 << 62), 0
     for r in sorted(rows, key=lambda r: -r["step"]):
         held += r["n"]
@@ -233,12 +230,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     total = words.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     n, v = (total["n"] or 0) + n_ends, total["v"] + (n_ends > 0)
     lattice, end = train_lattice(words, n_ends, vocabulary or default_vocabulary())
-    top = words.where(F.col("c") >= _least_count(words, head_words)).collect()
+    top = words.where(F.col("seen") >= _least_count(words, head_words)).collect()
     head = {r["word"].encode(): (int(r["c"] > 0), log10(r["c"] + 0.5), lattice.word(r["word"])) for r in top}
     shared, shared_head = spark.sparkContext.broadcast(lattice), spark.sparkContext.broadcast(head)
     schema = f"uid long, word string, tf int, doc_id {rows.schema['doc_id'].dataType.simpleString()}, train boolean, n_tokens long, known long, base double, ln_p0 double"
     parts = rows.mapInArrow(_score_documents(shared_head, (n_ends, end)), schema)
-    scored = words.mapInArrow(_with_lattice(shared), "word string, c long, ln_p double")
+    scored = words.select("word", "c").mapInArrow(_with_lattice(shared), "word string, c long, ln_p double")
     met = parts.join(scored, "word", "left")
     tf = F.col("tf")
     sums = met.groupBy("uid").agg(

@@ -42,3 +42,31 @@ def test_against_brute_force(spark):
         by = {x.doc_id: x.score for x in got}
         assert math.isclose(by[60], by[61]) and by[62] < by[61]
     assert L.score_texts(df.limit(0)).count() == 0
+
+
+def test_document_scores_are_sums_over_all_segmentations(spark):
+    """The whole score: by brute force over the segmentations of every word, and the end of the text."""
+    r = random.Random(9)
+    docs = [(i, " ".join(r.choice(["ab", "ba", "aba", "Babe", "cab", "new", "x"] if i % 3 else ["held", "ab"]) for _ in range(r.randint(0, 12)))) for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    train = [t for i, t in docs if zlib.crc32(str(i).encode()) % 5 != 1]
+    counts = Counter(w for t in train for w in t.lower().split())
+    words = spark.createDataFrame([(w, n, n) for w, n in counts.items()], "word string, c long, seen long")
+    lattice, end = L.train_lattice(words, len(train), L.default_vocabulary())
+    model, pieces, byte_ids = L._vocabulary(L.default_vocabulary())
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+    n = Counter()
+    for w, c in counts.items():
+        for p in sp.encode(w):
+            n[p] += c
+    usable = [i for i, p in enumerate(pieces) if L.MARK not in p[1:] and p not in ("<unk>", "<s>", "</s>") and i not in byte_ids]
+    total = sum(n[i] for i in usable) + sum(n[i] for i in byte_ids) + len(train) + L.SMOOTH * (len(usable) + 257)
+    weights = {pieces[i]: math.log((n[i] + L.SMOOTH) / total) for i in usable}
+    assert math.isclose(end, math.log((len(train) + L.SMOOTH) / total))
+    for head in (2, 50_000):
+        got = {x.doc_id: x.score for x in L.score_texts(df, head_words=head).collect()}
+        for i, t in docs:
+            want = end + sum(math.log(all_segmentations(L.MARK + w, weights)) for w in t.lower().split())
+            assert math.isclose(got[i], want / math.log(10), rel_tol=1e-9)
