@@ -4,8 +4,8 @@ P(grade <= g) = logistic(threshold_g - w . x): one weight vector for all grades
 plus the exponential of a free number). x marks the hashed words of a text and the hashed endings of its words. The model gives
 the expected grade and the tail probabilities P(grade >= g), by which documents are selected.
 
-How it scales: fitting takes a bounded sample of the labelled rows (``train_rows``, chosen by hash); each round is a Spark
-job in which tasks sum up gradients of fixed size, and the driver takes a step of limited-memory BFGS. Grading is one narrow pass over the whole texts.
+How it scales: fitting takes a bounded sample of the labelled rows (``train_rows``, chosen by hash), whose features are made in many tasks and fitted in one by limited-memory BFGS,
+to a slope below ``SETTLED``; a fit that hasn't got there in ``rounds`` evaluations says so. Grading is one narrow pass over the whole texts.
 
 Defined cases: null and empty texts have no features and get the thresholds' own grade; labels without a document, or with a
 null grade, train nothing; repeated labels train once each; without labels every document gets null grades and isn't
@@ -14,6 +14,7 @@ selected; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ from millrace.llm.common import LOWER_BYTES, materialise, pick
 BITS = 18
 #: ASCII punctuation, which words lose at both ends.
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: The largest slope of the mean likelihood at which a fit has settled, and rows whose gradients are summed at once.
+SETTLED, ROWS = 1e-4, 2000
 #: Rows up to which the chosen labels are broadcast; the sample's own bound is ``train_rows``.
 BROADCAST_ROWS = 100_000
 
@@ -75,20 +78,33 @@ class Ordinal:
         return np.concatenate([by_weight, by_step, [-np.log(p).sum()]])
 
 
-def _sums(shared):
+def _fitted(grades: int, rounds: int, penalty: float):
+    """All (grade, bag) of the sample, in one task -> the weights and steps, and whether they have settled."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0
+        grade, bags = [], []
         for batch in batches:
-            if batch.num_rows:
-                bags = [np.frombuffer(b, np.uint32) for b in batch.column(1).to_pylist()]
-                total = total + shared.value.gradient(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), bags)
-        if not np.isscalar(total):
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+            grade += batch.column(0).to_pylist()
+            bags += [np.frombuffer(b, np.uint32) for b in batch.column(1).to_pylist()]
+        if not grade:
+            return
+        model, own = Ordinal(grades), np.array(grade)
+
+        def slope(x: np.ndarray) -> tuple[float, np.ndarray]:
+            """The mean negative log likelihood with its penalty, and the gradient."""
+            model.weights, model.steps = x[: 1 << BITS], x[1 << BITS :]
+            total = sum(model.gradient(own[at : at + ROWS], bags[at : at + ROWS]) for at in range(0, len(own), ROWS)) / len(own)
+            by_x = total[:-1]
+            by_x[: 1 << BITS] += penalty * model.weights
+            return float(total[-1] + penalty / 2 * (model.weights**2).sum()), by_x
+
+        x, settled = minimise(slope, np.concatenate([np.zeros(1 << BITS), [-2.0], np.zeros(grades - 2)]), rounds)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()), pa.array([settled])], ["x", "settled"])
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, rounds: int = 40, penalty: float = 1e-3) -> Ordinal | None:
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, rounds: int = 100, penalty: float = 1e-3) -> Ordinal | None:
     """The model from ``docs`` (doc_id, text) and ``labels`` (doc_id, grade: 0, 1, ..)."""
     spark = docs.sparkSession
     labels = labels.where("grade is not null and doc_id is not null")
@@ -106,34 +122,23 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, rounds: in
 
     met = docs.join(few, "doc_id").select(F.col("grade").cast("int"), F.col("text").cast("binary"))
     rows = materialise(met.mapInArrow(bags, "grade int, bag binary"), "features")
-    n = rows.count()
-    if not n:
+    grades = max(2, int(about["top"]) + 1)
+    found = rows.sort("grade", "bag").coalesce(1).mapInArrow(_fitted(grades, rounds, penalty), "x binary, settled boolean").first()
+    if found is None:
         return None
-    model = Ordinal(max(2, int(about["top"]) + 1))
-
-    def slope(x: np.ndarray) -> tuple[float, np.ndarray]:
-        """The mean negative log likelihood with its penalty, and the gradient."""
-        model.weights, model.steps = x[: 1 << BITS], x[1 << BITS :]
-        shared = spark.sparkContext.broadcast(model)
-        # Tasks' sums meet in a few tasks first, so that the driver gets a fixed number of them.
-        parts = rows.mapInArrow(_sums(shared), "sums binary").repartition(4).mapInArrow(_added, "sums binary").collect()
-        total = np.sum([np.frombuffer(r["sums"]) for r in parts], axis=0) / n
-        shared.unpersist()
-        by_x = total[:-1]
-        by_x[: 1 << BITS] += penalty * model.weights
-        return float(total[-1] + penalty / 2 * (model.weights**2).sum()), by_x
-
-    x = minimise(slope, np.concatenate([np.zeros(1 << BITS), [-2.0], np.zeros(model.grades - 2)]), rounds)
+    if not found["settled"]:
+        warnings.warn(f"the grades' model hasn't settled in {rounds} evaluations", stacklevel=2)
+    model, x = Ordinal(grades), np.frombuffer(bytes(found["x"]))
     model.weights, model.steps = x[: 1 << BITS], x[1 << BITS :]
     return model
 
 
-def minimise(slope, x: np.ndarray, rounds: int, memory: int = 8) -> np.ndarray:
-    """Limited-memory BFGS with halved steps; ``slope`` is called ``rounds`` times at most."""
+def minimise(slope, x: np.ndarray, rounds: int, memory: int = 8) -> tuple[np.ndarray, bool]:
+    """Limited-memory BFGS with halved steps; ``slope`` is called ``rounds`` times at most. Also whether the slope has become ``SETTLED``."""
     value, by_x = slope(x)
     moves: list[tuple[np.ndarray, np.ndarray]] = []
     calls = 1
-    while calls < rounds and np.abs(by_x).max() > 1e-7:
+    while calls < rounds and np.abs(by_x).max() > SETTLED:
         way, shares = by_x.copy(), []
         for s, y in reversed(moves):
             shares.append((s @ way) / (s @ y))
@@ -149,21 +154,11 @@ def minimise(slope, x: np.ndarray, rounds: int, memory: int = 8) -> np.ndarray:
                 break
             size /= 2
         else:
-            return x
+            return x, False
         if -size * way @ (by_after - by_x) > 1e-12:
             moves = [*moves, (-size * way, by_after - by_x)][-memory:]
         x, value, by_x = x - size * way, after, by_after
-    return x
-
-
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = None
-    for batch in batches:
-        for x in batch.column(0).to_pylist():
-            x = np.frombuffer(x)
-            total = x if total is None else total + x
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+    return x, bool(np.abs(by_x).max() <= SETTLED)
 
 
 def grade(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 2, likely: float = 0.5, **options) -> DataFrame:

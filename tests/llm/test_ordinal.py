@@ -48,3 +48,44 @@ def test_no_labels_and_no_rows(spark):
     none = spark.createDataFrame([], "doc_id long, grade int")
     assert [tuple(r) for r in Q.grade(docs, none).collect()] == [(1, None, None, False, None)]
     assert Q.grade(docs.limit(0), none).count() == 0
+
+
+def dense_fit(x, grade, grades, penalty, rounds=4000, rate=0.5):
+    """The same model by plain gradient descent over dense features."""
+    w, cut = np.zeros(x.shape[1]), np.linspace(1.0, -1.0, grades - 1)  # tails fall with g: P(>= g) = s(w.x + cut_g)
+    for _ in range(rounds):
+        tail = np.hstack([np.ones((len(x), 1)), 1 / (1 + np.exp(-(x @ w)[:, None] - cut[None])), np.zeros((len(x), 1))])
+        at = np.arange(len(x))
+        up, low = tail[at, grade], tail[at, grade + 1]
+        du, dl = up * (1 - up) / (up - low), low * (1 - low) / (up - low)
+        w += rate * ((du - dl) @ x / len(x) - penalty * w)
+        for g in range(1, grades):
+            cut[g - 1] += rate * (du[grade == g].sum() - dl[grade == g - 1].sum()) / len(x)
+    return 1 / (1 + np.exp(-(x @ w)[:, None] - cut[None]))
+
+
+def test_equals_a_dense_fit(spark):
+    rng = np.random.default_rng(6)
+    words = [f"w{k}" for k in range(12)]
+    docs, grades = [], []
+    for i in range(400):
+        own = [w for w in words if rng.random() < 0.4]
+        docs.append((i, " ".join(own)))
+        grades.append((i, int(np.clip(round(len(set(own) & set(words[:4])) - len(set(own) & set(words[4:7])) + rng.normal()), 0, 3))))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.tails for r in Q.grade(frame, spark.createDataFrame(grades, "doc_id long, grade int"), penalty=0.01, rounds=300).collect()}
+    bags = [Q.features(t.encode()) for _, t in docs]
+    names = np.unique(np.concatenate(bags))
+    x = np.array([np.isin(names, b) for b in bags], float)
+    want = dense_fit(x, np.array([g for _, g in grades]), 4, 0.01)
+    np.testing.assert_allclose(np.array([got[i] for i, _ in docs]), want, atol=0.02)
+    assert all(t == sorted(t, reverse=True) for t in got.values())
+
+
+def test_an_unsettled_fit_says_so(spark):
+    import pytest
+
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 3}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 3) for i in range(60)], "doc_id long, grade int")
+    with pytest.warns(UserWarning, match="settled"):
+        Q.grade(docs, labels, rounds=2).collect()
