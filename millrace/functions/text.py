@@ -40,9 +40,11 @@ def words(x: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(x, BLANK, " "), " "), lambda w: w != "")
 
 
-def any_of(x: Column, phrases: list[str]) -> Column:
-    """Whether the lower-cased text holds any phrase, with no regard to word boundaries. The text is made once, not once a phrase."""
-    return F.exists(F.array(x), lambda t: reduce(lambda a, b: a | b, [F.contains(t, F.lit(p)) for p in phrases]))
+def any_of(x: Column | str, phrases: list[str]) -> Column:
+    """Whether the lower-cased text holds any phrase, with no regard to word boundaries. A column given by name is searched in generated code; an
+    expression is made once a row, not once a phrase."""
+    holds = lambda t: reduce(lambda a, b: a | b, [F.contains(t, F.lit(p)) for p in phrases])
+    return holds(F.col(x)) if isinstance(x, str) else F.exists(F.array(x), holds)
 
 
 def bound(df: DataFrame, **columns: Column) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,16 +17,30 @@ def lowered(*columns: str) -> Column:
     return F.lower(F.concat_ws(" ", *[X.text(c) for c in columns]))
 
 
-def dealbreaker() -> Column:
-    return X.any_of(lowered("title", "description"), V.DEALBREAKERS)
+#: Gives the lower-cased text of some columns: an expression, or the name of a column that holds it.
+Low = Callable[..., Column | str]
 
 
-def geo_restricted() -> Column:
+def lowered_once(df: DataFrame, *groups: tuple[str, ...]) -> tuple[DataFrame, Low]:
+    """``df`` with the lower-cased texts of the groups of columns, each made once a row, and how predicates get at them."""
+    names = {g: f"__low{k}" for k, g in enumerate(dict.fromkeys(groups))}
+    return X.bound(df, **{n: lowered(*g) for g, n in names.items()}), lambda *columns: names.get(columns) or lowered(*columns)
+
+
+#: The groups of columns that the rules look at.
+RULE_FIELDS = [("title", "description"), ("title", "description", "location"), ("title", "description", "company"), ("title",)]
+
+
+def dealbreaker(low: Low = lowered) -> Column:
+    return X.any_of(low("title", "description"), V.DEALBREAKERS)
+
+
+def geo_restricted(low: Low = lowered) -> Column:
     """A stated permit requirement, or a refusal to sponsor, without an offer to sponsor or worldwide eligibility."""
-    x = lowered("title", "description", "location")
+    x = low("title", "description", "location")
     refused = X.any_of(x, V.NO_SPONSOR)
     open_ = X.any_of(x, V.WORLDWIDE) | (X.any_of(x, V.SPONSOR) & ~refused)
-    return ~open_ & (refused | X.any_of(x, V.PERMIT_NEEDED))
+    return (refused | X.any_of(x, V.PERMIT_NEEDED)) & ~open_
 
 
 def _bad_host(host: Column) -> Column:
@@ -34,16 +49,18 @@ def _bad_host(host: Column) -> Column:
 
 def blocked_source() -> Column:
     """A known fake board by name, or one of its destinations in the link or, for job pages, in the description."""
+    has_url = lambda c: F.contains(F.lower(X.text(c)), F.lit("://"))
     named = X.any_of(X.squash(F.concat_ws(" ", X.text("source"), X.text("company"), X.text("link"))), V.BLOCKED_BOARDS)
-    in_link = F.exists(X.urls_in("link"), lambda u: _bad_host(u["host"]))
+    in_link = F.when(has_url("link"), F.exists(X.urls_in("link"), lambda u: _bad_host(u["host"]))).otherwise(False)
     job_page = lambda u: X.host_in(u["host"], V.FREE_HOSTS) & F.regexp_like(u["path"], F.lit("(?i)" + V.JOB_PATH))
-    in_text = F.exists(X.urls_in("description"), lambda u: X.host_in(u["host"], V.FUNNEL_HOSTS) | job_page(u))
+    in_text = F.when(has_url("description"), F.exists(X.urls_in("description"), lambda u: X.host_in(u["host"], V.FUNNEL_HOSTS) | job_page(u))).otherwise(False)
     return named | in_link | in_text
 
 
-def scam_risk() -> Column:
-    phrases = X.any_of(lowered("title", "description", "company"), V.SCAM_PHRASES)
-    return phrases | F.exists(X.urls_in(F.concat_ws(" ", X.text("link"), X.text("description"))), lambda u: _bad_host(u["host"]))
+def scam_risk(low: Low = lowered) -> Column:
+    phrases = X.any_of(low("title", "description", "company"), V.SCAM_PHRASES)
+    both = F.concat_ws(" ", X.text("link"), X.text("description"))
+    return phrases | F.when(F.contains(both, F.lit("://")), F.exists(X.urls_in(both), lambda u: _bad_host(u["host"]))).otherwise(False)
 
 
 def us_located(location: Column | str = "location") -> Column:
@@ -52,22 +69,22 @@ def us_located(location: Column | str = "location") -> Column:
     return X.any_of(low, V.US_NAMES) | F.exists(F.split(X.text(location), "[,/|]"), lambda p: head(p).isin([*V.US_STATES, "US"]))
 
 
-def us_factor() -> Column:
-    x = lowered("title", "description", "location")
-    return F.when(X.any_of(x, V.SPONSOR) | X.any_of(x, V.WORLDWIDE), 1.0).when(us_located(), V.US_FACTOR).otherwise(1.0)
+def us_factor(low: Low = lowered) -> Column:
+    x = low("title", "description", "location")
+    return F.when(us_located(), F.when(X.any_of(x, V.SPONSOR) | X.any_of(x, V.WORLDWIDE), 1.0).otherwise(V.US_FACTOR)).otherwise(1.0)
 
 
 def non_english_title() -> Column:
     return F.regexp_like(F.lower(X.text("title")), F.lit(r"(^|[^\p{L}\p{N}_])(?:" + "|".join(V.NON_ENGLISH_TITLES) + ")"))
 
 
-def dev_titled() -> Column:
-    return X.any_of(F.lower(X.text("title")), V.DEV_TITLES)
+def dev_titled(low: Low = lowered) -> Column:
+    return X.any_of(low("title"), V.DEV_TITLES)
 
 
-def remote(*columns: str) -> Column:
+def remote(*columns: str, low: Low = lowered) -> Column:
     """A remote word anywhere in the posting's fields."""
-    return X.any_of(lowered(*columns), V.REMOTE_WORDS)
+    return X.any_of(low(*columns), V.REMOTE_WORDS)
 
 
 def remote_description(column: str = "description") -> Column:
@@ -129,15 +146,15 @@ def within_budget(df: DataFrame, active: Column, most: int, order: str = "ord")
     return df.crossJoin(F.broadcast(last)).where(active | F.coalesce(F.col(order) > F.col("__last"), F.lit(False))).drop("__last")
 
 
-def reject_reason(score: Column, fields: list[str], min_score: float = 10, remote_only: bool = False) -> Column:
+def reject_reason(score: Column, fields: list[str], min_score: float = 10, remote_only: bool = False, low: Low = lowered) -> Column:
     """The first reason to drop a posting, or null; saved sources are only ever dropped as blocked."""
     saved = X.text("source").isin(V.SAVED_SOURCES)
     free = lambda x: ~saved & x
     steps = [(blocked_source(), "blocked_source")]
-    steps += [(free(~remote(*fields)), "not_remote")] if remote_only else []
+    steps += [(free(~remote(*fields, low=low)), "not_remote")] if remote_only else []
     steps += [
-        (free(dealbreaker()), "dealbreaker"), (free(geo_restricted()), "geo_restricted"), (free(non_english_title()), "non_english"),
-        (free((score < V.DEV_KEEP_SCORE) & dev_titled()), "pure_programming"), (free(score < min_score), "below_min_score"),
+        (free(dealbreaker(low)), "dealbreaker"), (free(geo_restricted(low)), "geo_restricted"), (free(non_english_title()), "non_english"),
+        (free((score < V.DEV_KEEP_SCORE) & dev_titled(low)), "pure_programming"), (free(score < min_score), "below_min_score"),
     ]
     return reduce(lambda c, s: c.when(*s), steps[1:], F.when(*steps[0]))
 

@@ -46,12 +46,11 @@ def _share(n: Column, skills: list[str]) -> Column:
     return F.bround(F.least(F.lit(100.0), n / F.lit(float(min(len(skills), V.SKILLS_COUNTED))) * 100), 1)
 
 
-def best_variant(variants: list[Variant], merged: list[str] | None = None, synonyms: dict[str, list[str]] | None = None) -> Column:
+def best_variant(variants: list[Variant], merged: list[str] | None = None, synonyms: dict[str, list[str]] | None = None, low: R.Low = R.lowered) -> Column:
     """struct<score, variant>: the best share of skills, the first variant on ties, raised for wanted titles and sectors; without any
     match the share of the merged skills."""
     fields = F.struct(
-        R.lowered("description", "title", "company").alias("low"), F.lower(X.text("title")).alias("title"),
-        R.lowered("description", "company").alias("sector"),
+        X.col(low("description", "title", "company")).alias("low"), X.col(low("title")).alias("title"), X.col(low("description", "company")).alias("sector"),
     )
 
     def judge(x: Column) -> Column:
@@ -83,9 +82,10 @@ def letter_variant(description: Column | str, variants: list[Variant], default:
     return F.when(top["n"] > 0, top["variant"]).otherwise(default)
 
 
-def final_score(score: Column, fields: list[str]) -> Column:
+def final_score(score: Column, fields: list[str], low: R.Low = R.lowered, scam: Column | None = None) -> Column:
     """The rounded score after the downranks for US locations, on-site work and scam signs; saved sources have none."""
-    factor = R.us_factor() * F.when(R.remote(*fields), 1.0).otherwise(V.ON_SITE_FACTOR) * F.when(R.scam_risk(), V.SCAM_FACTOR).otherwise(1.0)
+    scam = R.scam_risk(low) if scam is None else scam
+    factor = R.us_factor(low) * F.when(R.remote(*fields, low=low), 1.0).otherwise(V.ON_SITE_FACTOR) * F.when(scam, V.SCAM_FACTOR).otherwise(1.0)
     factor = F.when(X.text("source").isin(V.SAVED_SOURCES), 1.0).otherwise(factor)
     return F.rint(score * factor).cast("int")
 
@@ -95,13 +95,28 @@ def judged(
     min_score: float = 10, remote_only: bool = False,
 ) -> DataFrame:
     """All postings with base_score, best_cv, reject_reason, relevance_score and scam_risk, which are null for rejected ones."""
-    fields = [c for c, t in postings.dtypes if t == "string"]
-    out = X.bound(postings, __best=best_variant(variants, merged, synonyms))
-    out = out.withColumns({"base_score": F.col("__best.score"), "best_cv": F.col("__best.variant")}).drop("__best")
-    out = X.bound(out, reject_reason=R.reject_reason(F.col("base_score"), fields, min_score, remote_only))
+    out, fields, low = _judged(postings, variants, merged, synonyms, min_score, remote_only)
     kept = F.col("reject_reason").isNull()
     saved = X.text("source").isin(V.SAVED_SOURCES)
-    return X.bound(out, relevance_score=F.when(kept, final_score(F.col("base_score"), fields)), scam_risk=F.when(kept, ~saved & R.scam_risk()))
+    out = X.bound(out, __scam=F.when(kept, R.scam_risk(low)))
+    out = out.withColumn("relevance_score", F.when(kept, final_score(F.col("base_score"), fields, low, F.col("__scam"))))
+    return out.withColumn("scam_risk", F.when(kept, ~saved & F.col("__scam"))).select(*postings.columns, "base_score", "best_cv", "reject_reason", "relevance_score", "scam_risk")
+
+
+def rejected(
+    postings: DataFrame, variants: list[Variant], merged: list[str] | None = None, synonyms: dict[str, list[str]] | None = None,
+    min_score: float = 10, remote_only: bool = False,
+) -> DataFrame:
+    """Only the reject_reason of each posting, for counts: nothing else is computed."""
+    return _judged(postings, variants, merged, synonyms, min_score, remote_only)[0].select("reject_reason")
+
+
+def _judged(postings: DataFrame, variants, merged, synonyms, min_score, remote_only) -> tuple[DataFrame, list[str], R.Low]:
+    fields = [c for c, t in postings.dtypes if t == "string"]
+    out, low = R.lowered_once(postings, *R.RULE_FIELDS, tuple(fields), ("description", "title", "company"), ("description", "company"))
+    out = X.bound(out, __best=best_variant(variants, merged, synonyms, low))
+    out = out.withColumns({"base_score": F.col("__best.score"), "best_cv": F.col("__best.variant")}).drop("__best")
+    return X.bound(out, reject_reason=R.reject_reason(F.col("base_score"), fields, min_score, remote_only, low)), fields, low
 
 
 def kept(judged_: DataFrame, order: str = "ord") -> DataFrame:

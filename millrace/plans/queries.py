@@ -247,7 +247,7 @@ def score_and_reject(spark, d):
 
 @register(SCORED + f", j as (select {_reason_sql(40)} as reason from scored) select reason, count(*) as n from j where reason is not null group by reason")
 def reject_summary(spark, d):
-    return filters.reject_report(score.judged(view(spark, d, "v_docs"), VARIANTS, MERGED, min_score=40))
+    return filters.reject_report(score.rejected(view(spark, d, "v_docs"), VARIANTS, MERGED, min_score=40))
 
 
 SKILLS = ["Copper Wire", "antique brass", "tin"]
