@@ -181,3 +181,10 @@ BAD_FIRST_WORDS = [
     "you", "us", "it", "confirmation", "follow", "review", "application", "landed", "update", "thank", "received", "submitted", "no-reply", "no",
 ]
 STOP_TITLES = ["this", "the", "a", "an", "our", "your", "that", "it", "them", "you", "us", "future positions", "this position", "the position", "this role", "the role", "these", "any", "position (unknown)"]
+
+# --- searches -----------------------------------------------------------------------------------------------------------
+# Which tier of queries each source gets, and how many of them (None: all).
+SOURCE_QUERIES = [
+    ("JSearch", "specific", None), ("Free aggregators", None, None), ("LinkedIn", "specific", 5), ("SerpAPI", "specific", 5), ("Apify", "specific", 3),
+    ("DuckDuckGo", "broad", 10),
+]

@@ -152,3 +152,14 @@ def search_queries(skills: DataFrame, stop: list[str], limit: int = 20, packs: l
     return query.distinct().select(
         "query", n.alias("n_words"), F.when(n >= 3, "specific").otherwise("broad").alias("tier"),
     ).orderBy(F.desc(F.length("query")), "query")
+
+
+def planned(queries: DataFrame, plan: list[tuple[str, str | None, int | None]] | None = None) -> DataFrame:
+    """source, query, place: what each source is asked, in order, of ``queries`` (query, tier): those of its tier, the longest first, as many as its quota."""
+    from pyspark.sql.window import Window
+
+    plan = V.SOURCE_QUERIES if plan is None else plan
+    sources = F.explode(F.array(*[F.struct(F.lit(s).alias("source"), F.lit(t).cast("string").alias("want"), F.lit(n).cast("int").alias("most")) for s, t, n in plan])).alias("x")
+    rows = queries.select("query", "tier", sources).select("query", "tier", "x.*").where("want is null or want = tier")
+    place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc(F.length("query")), "query"))
+    return rows.withColumn("place", place).where("most is null or place <= most").select("source", "query", "place")

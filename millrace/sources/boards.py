@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
+from millrace.functions.rounds import materialise
 
 POSTING = "title string, company string, description string, link string, location string, salary string, source string, date_posted string"
 
@@ -22,7 +23,7 @@ def _rows(payloads: DataFrame, path: str, item: str) -> DataFrame:
     without them."""
     schema = f"array<struct<{item}>>" if not path else f"struct<{path}: array<struct<{item}>>>"
     parsed = F.from_json("payload", schema)
-    return payloads.select("*", F.explode(parsed if not path else parsed[path]).alias("x"))
+    return payloads.select("*", F.posexplode(parsed if not path else parsed[path]).alias("__place", "x"))
 
 
 def _posting(rows: DataFrame, source: str | Column, **fields: Column) -> DataFrame:
@@ -44,13 +45,22 @@ def _filled(*columns: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns])
 
 
-def keyword_match(rows: DataFrame, keywords: list[str], *columns: str) -> DataFrame:
+#: Characters of a description that are kept.
+DESCRIPTION = 2000
+
+
+def keyword_match(rows: DataFrame, keywords: list[str], *columns: str | Column) -> DataFrame:
     """Rows that hold any keyword; all without keywords."""
     low = F.lower(F.concat_ws(" ", *[X.text(c) for c in columns]))
     return rows.where(X.any_of(low, [k.lower() for k in keywords])) if keywords else rows
 
 
-def greenhouse(payloads: DataFrame, company: str) -> DataFrame:
+def cut(rows: DataFrame, most: int = DESCRIPTION) -> DataFrame:
+    """``rows`` with the descriptions shortened; after whatever looks at whole ones."""
+    return rows.withColumn("description", F.left("description", F.lit(most)))
+
+
+def greenhouse(payloads: DataFrame, company: str | Column) -> DataFrame:
     x = _rows(payloads, "jobs", "title string, absolute_url string, content string, updated_at string, location struct<name: string>")
     return _posting(
         x, "Greenhouse", title=_x("title"), company=F.lit(company), description=X.strip_html(_x("content")), link=_x("absolute_url"),
@@ -58,7 +68,7 @@ def greenhouse(payloads: DataFrame, company: str) -> DataFrame:
     )
 
 
-def lever(payloads: DataFrame, company: str) -> DataFrame:
+def lever(payloads: DataFrame, company: str | Column) -> DataFrame:
     x = _rows(
         payloads, "",
         "text string, descriptionPlain string, description string, hostedUrl string, categories struct<commitment: string, location: string>",
@@ -70,7 +80,7 @@ def lever(payloads: DataFrame, company: str) -> DataFrame:
     )
 
 
-def ashby(payloads: DataFrame, company: str) -> DataFrame:
+def ashby(payloads: DataFrame, company: str | Column) -> DataFrame:
     x = _rows(
         payloads, "jobs",
         "title string, descriptionPlain string, jobUrl string, location string, publishedAt string, compensation struct<summary: string>",
@@ -81,17 +91,17 @@ def ashby(payloads: DataFrame, company: str) -> DataFrame:
     )
 
 
-def smart_recruiters(payloads: DataFrame, company: str, slug: str) -> DataFrame:
+def smart_recruiters(payloads: DataFrame, company: str | Column, slug: str | Column) -> DataFrame:
     x = _rows(payloads, "content", "id string, name string, releasedDate string, location struct<city: string, country: string>")
     place = F.nullif(F.concat_ws(", ", F.nullif(_x("location.city"), F.lit("")), F.nullif(_x("location.country"), F.lit(""))), F.lit(""))
     return _posting(
         x, "SmartRecruiters", title=_x("name"), company=F.lit(company),
-        link=F.concat(F.lit(f"https://jobs.smartrecruiters.com/{slug}/"), _x("id")), location=F.coalesce(place, F.lit("Not stated")),
+        link=F.concat(F.lit("https://jobs.smartrecruiters.com/"), F.lit(slug), F.lit("/"), _x("id")), location=F.coalesce(place, F.lit("Not stated")),
         date_posted=_x("releasedDate"),
     )
 
 
-def workday(payloads: DataFrame, company: str, site: str) -> DataFrame:
+def workday(payloads: DataFrame, company: str | Column, site: str | Column) -> DataFrame:
     x = _rows(payloads, "jobPostings", "title string, externalPath string, locationsText string, postedOn string, bulletFields array<string>")
     return _posting(
         x, "Workday", title=_x("title"), company=F.lit(company), description=F.array_join(_x("bulletFields"), " "),
@@ -101,29 +111,29 @@ def workday(payloads: DataFrame, company: str, site: str) -> DataFrame:
 
 
 def remote_ok(payloads: DataFrame, keywords: list[str] | None = None) -> DataFrame:
+    """Keywords are looked for in titles, whole descriptions and tags."""
     x = _rows(
         payloads, "",
         "position string, company string, description string, url string, tags array<string>, salary_min double, salary_max double, date string",
     ).where("x.position is not null")
-    rows = _posting(
-        x.withColumn("__tags", F.array_join(_x("tags"), " ")), "RemoteOK", title=X.unescaped(_x("position")),
-        company=X.unescaped(_x("company")),
-        description=F.concat(F.left(X.strip_html(_x("description")), F.lit(2000)), F.lit(" "), F.coalesce("__tags", F.lit(""))),
+    x = keyword_match(x, keywords or [], X.unescaped(X.text("x.position")), X.strip_html("x.description"), F.array_join(_x("tags"), " "))
+    return cut(_posting(
+        x, "RemoteOK", title=X.unescaped(_x("position")), company=X.unescaped(_x("company")), description=X.strip_html(_x("description")),
         link=_x("url"), salary=X.salary_range(_x("salary_min"), _x("salary_max"), F.lit("USD")), date_posted=_x("date"),
-    )
-    return keyword_match(rows, keywords or [], "title", "description")
+    ))
 
 
 def remotive(payloads: DataFrame, keywords: list[str] | None = None) -> DataFrame:
+    """Keywords are looked for in titles, whole descriptions and tags."""
     x = _rows(
         payloads, "jobs",
         "title string, company_name string, description string, url string, salary string, tags array<string>, publication_date string",
     )
-    rows = _posting(
-        x, "Remotive", title=_x("title"), company=_x("company_name"), description=F.left(X.strip_html(_x("description")), F.lit(2000)),
+    x = keyword_match(x, keywords or [], "x.title", X.strip_html("x.description"), F.array_join(_x("tags"), " "))
+    return cut(_posting(
+        x, "Remotive", title=_x("title"), company=_x("company_name"), description=X.strip_html(_x("description")),
         link=_x("url"), salary=X.tidy_salary(_x("salary")), date_posted=_x("publication_date"),
-    )
-    return keyword_match(rows, keywords or [], "title", "description")
+    ))
 
 
 def arbeitnow(payloads: DataFrame) -> DataFrame:
@@ -140,13 +150,13 @@ def muse(payloads: DataFrame, keywords: list[str] | None = None) -> DataFrame:
         payloads, "results",
         "name string, contents string, company struct<name: string>, locations array<struct<name: string>>, refs struct<landing_page: string>, publication_date string",
     )
-    x = x.where((F.coalesce(F.size(_x("locations")), F.lit(0)) <= 0) | F.exists(_x("locations"), lambda p: F.contains(F.lower(X.text(p["name"])), F.lit("remote"))))
+    x = x.where((F.coalesce(F.size(_x("locations")), F.lit(0)) <= 0) | F.exists(_x("locations"), lambda p: X.any_of(F.lower(X.text(p["name"])), ["remote", "flexible", "anywhere"])))
     rows = _posting(
-        x, "The Muse", title=_x("name"), company=_x("company.name"), description=F.left(X.strip_html(_x("contents")), F.lit(2000)),
+        x, "The Muse", title=_x("name"), company=_x("company.name"), description=X.strip_html(_x("contents")),
         link=_x("refs.landing_page"), location=F.array_join(F.transform(_x("locations"), lambda p: p["name"]), ", "),
         date_posted=_x("publication_date"),
     )
-    return keyword_match(rows, keywords or [], "title", "description")
+    return cut(keyword_match(rows, keywords or [], "title", "description"))
 
 
 def jobicy(payloads: DataFrame) -> DataFrame:
@@ -315,7 +325,43 @@ def companies(rows: DataFrame) -> DataFrame:
     return rows.where(F.lower("ats").isin(*READERS, "successfactors") & (X.text("slug") != ""))
 
 
+def scan(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings of all companies' boards, and a row for each board (source, queries, raw_count, error) for the run history.
+
+    payloads: name, ats, slug, site, payload (null where fetching failed) and error (what went wrong then). A board that failed or that can't be read
+    is told in the second frame and takes nothing from the others; payloads of boards without a reader are told too.
+    """
+    name, slug, site = F.col("name"), F.col("slug"), X.text("site")
+    arguments = {"greenhouse": (name,), "lever": (name,), "ashby": (name,), "smartrecruiters": (name, slug), "workday": (name, site)}
+    payloads = payloads.withColumn("ats", F.lower("ats"))
+    unread = F.when(X.text("error") != "", F.col("error")).when(~F.col("ats").isin(*arguments), "no reader").when(F.get_json_object("payload", "$").isNull(), "unreadable")
+    marked = payloads.withColumn("__error", unread)
+    fine = marked.where("__error is null").drop("error", "__error")
+    found = [READERS[ats](fine.where(F.col("ats") == ats), *given).withColumn("ats", F.lit(ats)) for ats, given in arguments.items()]
+    postings = reduce(DataFrame.unionByName, found)
+    boards = marked.groupBy("ats", F.col("name").alias("company")).agg(F.count("*").alias("queries"), F.max("__error").alias("error"))
+    counts = postings.groupBy("ats", "company").agg(F.count("*").alias("raw_count"))
+    boards = boards.withColumn("company", X.collapse(X.text("company"))).join(counts, ["ats", "company"], "left")
+    return postings, boards.select(F.concat_ws(" / ", "ats", "company").alias("source"), "queries", F.coalesce("raw_count", F.lit(0)).alias("raw_count"), "error")
+
+
 def union_of(frames: list[DataFrame]) -> DataFrame:
-    """All postings with their order: the frames' order, then a number within each."""
-    marked = [f.withColumn("ord", F.lit(k << 40) + F.monotonically_increasing_id() % (1 << 40)) for k, f in enumerate(frames)]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), marked)
+    """All postings with their order ``ord``: the frames' order, then by what a posting holds, so that reruns agree whatever the partitions. Equal
+    postings of a frame get different numbers."""
+    marked = [f.withColumn("__frame", F.lit(k)) for k, f in enumerate(frames)]
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), marked)
+    return numbered(both, [F.col("__frame"), *[F.col(c) for c in both.columns if c != "__frame"]]).drop("__frame")
+
+
+def numbered(df: DataFrame, order: list[Column], name: str = "ord") -> DataFrame:
+    """``df`` with the rows' places in the order, from 0: rows are sorted by ranges, and only the ranges' sizes go through the driver."""
+    part, spark = "__part", df.sparkSession
+    held = materialise(df.sort(*order).withColumn(part, F.spark_partition_id()).withColumn(name, F.monotonically_increasing_id()), "numbered")
+    sizes = {r[part]: (r["n"], r["first"]) for r in held.groupBy(part).agg(F.count("*").alias("n"), F.min(name).alias("first")).collect()}
+    ahead, moves = 0, []
+    for k in sorted(sizes):
+        n, first = sizes[k]
+        moves.append((k, ahead - first))
+        ahead += n
+    moves_ = spark.createDataFrame(moves, f"{part} int, __move long")
+    return held.join(F.broadcast(moves_), part).withColumn(name, F.col(name) + F.col("__move")).drop(part, "__move")

@@ -119,3 +119,44 @@ def test_redirects_and_cache(spark):
     assert enrich.flattened_domains(dims).first().key_domains == ["a", "z", "b"]
     assert json.loads(enrich.as_json(links.limit(1)).first().json) == {"link": "a"}
     assert profiles.from_cache(None, {"cvs": {"k": {"skills": ["x"]}}})[0].name == "k"
+
+
+def test_keywords_match_whole_descriptions_and_tags_before_the_cut(spark):
+    late = "<p>" + "word " * 600 + "turbine</p>"
+    ok = [{"position": "A", "description": late}, {"position": "B", "description": "x", "tags": ["Turbine"]}, {"position": "C", "description": "x"}]
+    got = rows(spark, boards.remote_ok, ok, ["turbine"])
+    assert [(x["title"], len(x["description"])) for x in got] == [("A", 2000), ("B", 1)]
+    got = rows(spark, boards.remotive, {"jobs": [{"title": "A", "description": late}, {"title": "B", "tags": ["turbine"]}, {"title": "C"}]}, ["Turbine"])
+    assert [x["title"] for x in got] == ["A", "B"] and len(got[0]["description"]) == 2000
+    got = rows(spark, boards.muse, {"results": [{"name": "A", "contents": late, "locations": [{"name": "Anywhere"}]}, {"name": "B", "contents": "x"}]}, ["turbine"])
+    assert [(x["title"], len(x["description"])) for x in got] == [("A", 2000)]
+
+
+def test_one_board_that_fails_takes_nothing_from_the_others(spark):
+    data = [
+        ("A", "greenhouse", "a", None, '{"jobs": [{"title": "P"}, {"title": "Q"}]}', None), ("B", "Lever", "b", None, '[{"text": "R"}]', ""), ("C", "lever", "c", None, "<html>", None),
+        ("D", "workday", "d", "https://d.org", None, "TimeoutError"), ("E", "other", "e", None, "{}", None), ("F", "ashby", "f", None, "{}", None),
+    ]
+    postings, report = boards.scan(spark.createDataFrame(data, "name string, ats string, slug string, site string, payload string, error string"))
+    assert sorted((r.title, r.company) for r in postings.collect()) == [("P", "A"), ("Q", "A"), ("R", "B")]
+    assert {r.source: (r.queries, r.raw_count, r.error) for r in report.collect()} == {
+        "greenhouse / A": (1, 2, None), "lever / B": (1, 1, None), "lever / C": (1, 0, "unreadable"), "workday / D": (1, 0, "TimeoutError"), "other / E": (1, 0, "no reader"), "ashby / F": (1, 0, None),
+    }
+
+
+def test_union_has_one_order(spark):
+    frames = [spark.range(1000).select((F.col("id") % 7).cast("string").alias("title"), F.lit("x").alias("company")).repartition(n) for n in (150, 5)]
+    got = boards.union_of(frames)
+    both = sorted((r.ord, r.title) for r in got.collect())
+    assert [o for o, _ in both] == list(range(2000)) and [t for _, t in both[:1000]] == sorted(t for _, t in both[:1000])
+    again = boards.union_of([f.repartition(3) for f in frames])
+    assert sorted((r.ord, r.title) for r in again.collect()) == both
+
+
+def test_sources_get_their_quotas(spark):
+    from millrace.operators import score
+
+    queries = spark.createDataFrame([(f"remote skill number {i:02d}", "specific") for i in range(8)] + [(f"remote s{i:02d}", "broad") for i in range(14)], "query string, tier string")
+    got = score.planned(queries).groupBy("source").agg(F.count("*").alias("n"), F.max("place").alias("last")).collect()
+    assert {r.source: r.n for r in got} == {"JSearch": 8, "Free aggregators": 22, "LinkedIn": 5, "SerpAPI": 5, "Apify": 3, "DuckDuckGo": 10}
+    assert all(r.n == r["last"] for r in got)
