@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,12 +12,13 @@ from millrace.functions import text as X
 from millrace.functions import vocab as V
 from millrace.operators import dedup, digest, enrich, filters, health, mail, reports, score, store
 from millrace.operators.score import Variant
+from millrace.plans import readers
 from millrace.plans import sql as Q
 from millrace.plans.views import AS_OF, view, with_
 from millrace.sources import boards
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(readers.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(readers.ORACLE_SQL)
 NOW = f"timestamp '{AS_OF}'"
 
 
@@ -135,13 +137,15 @@ def seen_link_anti(spark, d):
 
 
 BLOCK = "lang || '/' || company"
+FOLD_SQL = (
+    "g as (select block, list({'o': ord, 't': toks} order by ord) l from t where len(toks) > 0 group by block), "
+    f"f as (select list_reduce(l, lambda acc, x: case when len(list_filter(acc, lambda k: {Q.jaccard('k.t', 'x[1].t')} >= 0.85)) > 0 then acc else list_concat(acc, x) end) r from (select list_transform(l, lambda e: [e]) l from g)) "
+)
 
 
 @register(
     with_("v_docs") + f", t as (select ord, {BLOCK} block, {Q.tokens('title')} toks from v_docs), "
-    "g as (select block, list({'o': ord, 't': toks} order by ord) l from t where len(toks) > 0 group by block), "
-    f"f as (select list_reduce(l, lambda acc, x: case when len(list_filter(acc, lambda k: {Q.jaccard('k.t', 'x[1].t')} >= 0.85)) > 0 then acc else list_concat(acc, x) end) r from (select list_transform(l, lambda e: [e]) l from g)) "
-    "select unnest(r).o as job_id from f union all select ord from t where len(toks) = 0"
+    + FOLD_SQL + "select unnest(r).o as job_id from f union all select ord from t where len(toks) = 0"
 )
 def near_duplicates(spark, d):
     rows = view(spark, d, "v_docs")
@@ -182,10 +186,13 @@ POSTED = (
 FIELDS = ["title", "description", "company", "link", "location", "source"]
 
 
-@register(
+FLAGS_SQL = (
     f"select job_id, {Q.dealbreaker()} as dealbreaker, {Q.geo()} as geo, {Q.blocked()} as blocked, {Q.scam()} as scam, {Q.us_located()} as us, {Q.us_factor()} as us_factor, "
-    f"{Q.non_english()} as non_english, {Q.any_of(Q.lowered('title'), V.DEV_TITLES)} as dev, {Q.remote(*FIELDS)} as remote from {POSTED}"
+    f"{Q.non_english()} as non_english, {Q.any_of(Q.lowered('title'), V.DEV_TITLES)} as dev, {Q.remote(*FIELDS)} as remote from "
 )
+
+
+@register(FLAGS_SQL + POSTED)
 def posting_flags(spark, d):
     return _flags(spark.sql(f"select * from {POSTED}"))
 
@@ -197,7 +204,7 @@ def _flags(rows: DataFrame) -> DataFrame:
     )
 
 
-@register()
+@register(with_("v_docs") + FLAGS_SQL + "v_docs")
 def posting_flags_all(spark, d):
     return _flags(view(spark, d, "v_docs"))
 
@@ -348,7 +355,18 @@ def digest_direct(spark, d):
     return digest.direct_digest(jobs, _sent(jobs)).select("id", "slot", "pass")
 
 
-@register()
+def _again(sql: str) -> str:
+    """The same steps under other names."""
+    return re.sub(r"\b([dfgh][0-9])\b", r"z\1", sql)
+
+
+DIRECT_SQL = _pool_sql(f"{BOARD} and relevance_score >= {V.DIGEST_SCORE}", 200) + _take_sql(1, "direct", "true", V.DIRECT_SIZE, V.COMPANY_CAP, V.DIRECT_SIZE, "place")
+
+
+@register(
+    with_("v_jobs") + DIRECT_SQL + ", picked as (select id, slot, pass from d1 where slot is not null)" + _again(_pool_sql("id not in (select id from picked)", 400) + _main_sql(10))
+    + " select id, slot, pass from picked union all select id, slot, pass from zd5 where slot is not null"
+)
 def digest_two_stage(spark, d):
     jobs = view(spark, d, "v_jobs")
     return digest.both_digests(jobs, _sent(jobs)).select("id", "slot", "pass")
@@ -360,7 +378,14 @@ def letters_topk(spark, d):
     return digest.letter_candidates(jobs, jobs.where("id % 5 = 0").select(F.col("id").alias("job_id")), 3).select("id")
 
 
-@register()
+ESC = lambda c: f"replace(replace(replace(coalesce({c}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+LINE_SQL = (
+    f"concat('<b>', {ESC('j.job_title')}, '</b> · ', {ESC('j.company')}, ' · ', cast(round_even(coalesce(j.relevance_score, 0), 1) as varchar), '% · ', "
+    f"{LABEL_SQL.replace('name', 'j.best_cv').replace('master_cv_', '')}, ' · ', {ESC('j.source')}, case when j.scam_risk then ' ⚠ check before applying' else '' end, chr(10), '<a href=\"', {ESC('j.link')}, '\">open</a>')"
+)
+
+
+@register(with_("v_jobs") + _pool_sql("true", 400) + _main_sql(V.DIGEST_SIZE) + f" select slot, {LINE_SQL} as line from d5 join v_jobs j using (id) where slot is not null")
 def digest_lines(spark, d):
     jobs = view(spark, d, "v_jobs")
     return digest.rendered(digest.main_digest(jobs, _sent(jobs)))
@@ -492,7 +517,12 @@ def weekly_scores(spark, d):
     return reports.weekly_numbers(jobs, _letters(jobs), _at())
 
 
-@register()
+@register(
+    with_("v_jobs") + f", n as (select count(*) jobs, round_even(coalesce(avg(relevance_score), 0), 1) a, round_even(coalesce(max(relevance_score), 0), 1) m from v_jobs where {WEEK}), "
+    f"t as (select * from v_jobs where {WEEK} order by relevance_score desc, id limit 5), "
+    "l as (select string_agg(concat('• ', case when length(job_title) > 45 then left(job_title, 45) || '…' else job_title end, ' · ', company, ' · ', cast(round_even(relevance_score, 1) as varchar), '%'), chr(10) order by relevance_score desc, id) lines from t) "
+    "select concat('Week: ', jobs, ' jobs, average ', a, '%, best ', m, '%', chr(10), lines) as message from n, l"
+)
 def weekly_message(spark, d):
     jobs = view(spark, d, "v_jobs")
     return reports.weekly_message(reports.weekly_numbers(jobs, _letters(jobs), _at()), reports.weekly_top(jobs, _at()))
@@ -538,17 +568,20 @@ def industry(spark, d):
     return view(spark, d, "v_docs").select("job_id", X.industry("title", "description").alias("industry"))
 
 
-@register(
+SIMILAR_SQL = (
     with_("v_jobs") + ", w as (select id seed, unnest(list_distinct(list_filter(list_transform(string_split(job_title, ' '), lambda x: lower(x)), lambda x: length(x) > 3 and x not in "
-    + Q.in_list(reports.STOP_WORDS) + "))) word from v_jobs where id in (1, 2, 3)), m as (select distinct seed, j.id, relevance_score from w join v_jobs j on contains(lower(job_title), word) and j.id <> seed) "
+    + Q.in_list(reports.STOP_WORDS) + "))) word from v_jobs where {seeds}), m as (select distinct seed, j.id, relevance_score from w join v_jobs j on contains(lower(job_title), word) and j.id <> seed) "
     "select seed, id, relevance_score as score, place from (select *, cast(row_number() over (partition by seed order by relevance_score desc, id) as int) place from m) where place <= 8"
 )
+
+
+@register(SIMILAR_SQL.format(seeds="id in (1, 2, 3)"))
 def similar_jobs(spark, d):
     jobs = view(spark, d, "v_jobs")
     return reports.similar(jobs, jobs.where("id in (1, 2, 3)"))
 
 
-@register()
+@register(SIMILAR_SQL.format(seeds="id % 100 = 0"))
 def similar_jobs_all(spark, d):
     """The whole search: each row whose id is divisible by 100 asks."""
     jobs = view(spark, d, "v_jobs")
@@ -687,14 +720,14 @@ def web_results(spark, d):
 
 
 @register(
-    with_("v_jobs") + ", m as (select id mid, case when id % 2 = 0 then job_title else 'New' end title, case when id % 2 = 0 then upper(company) else company end company, case when id % 3 = 0 then link else '' end link from v_jobs where id % 50 = 0), "
+    with_("v_jobs") + ", m as (select id mid, case when id % 2 = 0 then job_title else 'New' end title, case when id % 2 = 0 then upper(company) else company end company, case when id % 3 = 0 then link else '' end link from v_jobs), "
     "byn as (select lower(job_title) t, lower(company) c, min(id) a from v_jobs group by 1, 2), byl as (select link, min(id) b from v_jobs group by 1) "
     "select mid, coalesce(a, b) as job_id from m left join byn on lower(m.title) = t and lower(m.company) = c left join byl on m.link = byl.link"
 )
 def mail_match(spark, d):
     jobs = view(spark, d, "v_jobs")
     even = F.col("id") % 2 == 0
-    mails = jobs.where("id % 50 = 0").select(
+    mails = jobs.select(
         F.col("id").alias("mid"), F.when(
             even, F.col("job_title"),
         ).otherwise("New").alias("title"), F.when(even, F.upper("company")).otherwise(F.col("company")).alias("company"),
@@ -742,7 +775,10 @@ def redirect_chain(spark, d):
     return out.select(F.col("link").cast("long").alias("id"), "n_hops", F.col("final").cast("long").alias("final"))
 
 
-@register()
+@register(
+    "with p as (select p_partkey k, max(p_partkey) over () top from part), n as (select k, least(5, (7 - k % 7) % 7, top + 1 - k) h from p) "
+    "select k as id, cast(h as int) as n_hops, cast(k + h as bigint) as final from n"
+)
 def redirect_chain_all(spark, d):
     """Over the whole part table: each key that 7 doesn't divide leads to the next one."""
     rows = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").cast("string").alias("link"))
@@ -752,12 +788,22 @@ def redirect_chain_all(spark, d):
     return out.select(F.col("link").cast("long").alias("id"), "n_hops", F.col("final").cast("long").alias("final"))
 
 
-@register()
+def _page_sql(x: str) -> str:
+    x = f"regexp_replace({x}, '(?is)<!--.*?-->', ' ', 'g')"
+    for tag in ("script", "style", "nav", "header", "footer", "noscript", "svg", "form"):
+        x = f"regexp_replace({x}, '(?is)<{tag}\\b.*?</{tag}\\s*>', ' ', 'g')"
+    return f"left({Q.strip_html(x)}, 3000)"
+
+
+@register(with_("v_postings") + f"select job_id, {_page_sql('description')} as text from v_postings")
 def page_text(spark, d):
     return view(spark, d, "v_postings").select("job_id", X.page_text("description").alias("text"))
 
 
-@register()
+@register(
+    with_("v_jobs") + "select id, best_cv as selected_cv, concat('Dear hiring team at ', company, ',', chr(10), chr(10), 'I am applying for the position of ', job_title, '. ', "
+    "case best_cv when 'CV_A' then 'Pumps are my trade.' when 'CV_B' then 'I write about pumps.' else '' end, chr(10), chr(10), 'Kind regards') as letter from v_jobs"
+)
 def letter_texts(spark, d):
     return reports.letters(view(spark, d, "v_jobs"), {"CV_A": "Pumps are my trade.", "CV_B": "I write about pumps."})
 
@@ -765,7 +811,15 @@ def letter_texts(spark, d):
 # --- the flagship: postings, scored and capped ---
 
 
-@register()
+FACTORED = f"cast(round_even(base_score * {FACTOR_SQL}, 0) as int)"
+
+
+@register(
+    with_("v_docs") + f", ex as (select * from (select *, row_number() over (partition by {KEY_SQL} order by ord) rn from v_docs) where rn = 1), t as (select ord, {BLOCK} block, {Q.tokens('title')} toks from ex), "
+    + FOLD_SQL + ", kept as (select unnest(r).o o from f union all select ord from t where len(toks) = 0), src as (select * from ex where ord in (select o from kept))" + _score_sql()
+    + f", j as (select *, {_reason_sql(10)} as reject_reason from scored), r as (select *, {FACTORED} relevance from j where reject_reason is null), "
+    "p as (select *, cast(row_number() over (partition by company order by relevance desc, ord) as int) place from r) select job_id, company, title, relevance as relevance_score, best_cv, place from p where place <= 2"
+)
 def daily_search(spark, d):
     """Canonical links, first-wins and near-duplicate removal, scores and reasons, then two postings a company at most."""
     from pyspark.sql.window import Window
