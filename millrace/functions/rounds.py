@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +24,32 @@ def work_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_open: list[list[tuple[DataFrame, str]]] = []
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    for steps in _open:
+        steps.append((df, path))
+    return df
+
+
+@contextmanager
+def passing_steps(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What is materialised inside is deleted at the end, save what is given to the function that this yields. For work that ends inside,
+    so that nothing lazy needs the steps any more."""
+    steps: list[tuple[DataFrame, str]] = []
+    kept: list[DataFrame] = []
+    _open.append(steps)
+    try:
+        yield lambda df: kept.append(df) or df
+    finally:
+        _open.remove(steps)
+        for df, path in steps:
+            if not any(df is k for k in kept):
+                where = spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back.
 
@@ -30,7 +58,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_folder(spark)}/millrace/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _written(spark.read.schema(df.schema).parquet(path), path)
+
+
+def materialise_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like ``materialise``, but bucketed by ``key``, so that later joins on it move only the other side."""
+    spark = df.sparkSession
+    tag = uuid.uuid4().hex
+    table, buckets = f"millrace_{name}_{tag}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{work_folder(spark)}/millrace/{name}-{tag}"
+    df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(table)
+    found = spark.table(table)
+    found.schema  # resolved now: the files stay when the name goes
+    spark.sql(f"drop table {table}")
+    return _written(found, path)
 
 
 def settle(links: DataFrame) -> DataFrame:
@@ -53,14 +94,3 @@ def settle(links: DataFrame) -> DataFrame:
         found = found.union(x)
     return found
 
-
-def materialise_by(df: DataFrame, name: str, key: str) -> DataFrame:
-    """Like ``materialise``, but bucketed by ``key``, so that later joins on it move only the other side."""
-    spark = df.sparkSession
-    tag = uuid.uuid4().hex
-    table, buckets = f"millrace_{name}_{tag}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.format("parquet").bucketBy(buckets, key).option("path", f"{work_folder(spark)}/millrace/{name}-{tag}").saveAsTable(table)
-    found = spark.table(table)
-    found.schema  # resolved now: the files stay when the name goes
-    spark.sql(f"drop table {table}")
-    return found
