@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.rounds import passing_steps
 from millrace.llm.common import materialise, pick
 
 ORDER = 5
@@ -318,9 +319,14 @@ def learn(rows: DataFrame, train_docs: int = 2000, calibrate_docs: int = 500, re
     # Each row has a place in 0..1 by hash; a language's first places train, the next ones calibrate.
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (train_docs + calibrate_docs) / n))])[F.col("lang")]
-    sample = materialise(named.withColumn("place", place).where(F.col("place") < share).select("lang", "text", (F.col("place") / share).alias("place")), "sample")
-    trained = F.col("place") < train_docs / (train_docs + calibrate_docs)
-    langs = sorted(counts)
+    with passing_steps(rows.sparkSession):
+        sample = materialise(named.withColumn("place", place).where(F.col("place") < share).select("lang", "text", (F.col("place") / share).alias("place")), "sample")
+        return _learnt(sample, sorted(counts), train_docs / (train_docs + calibrate_docs), reject_rate, cells)
+
+
+def _learnt(sample: DataFrame, langs: list[str], train_share: float, reject_rate: float, cells: int) -> tuple[Models, Limits]:
+    """From the ``sample`` (lang, text, place): the first ``train_share`` of the places train, the others calibrate."""
+    trained = F.col("place") < train_share
     # A table has a number for each type and language, orders and contexts together about 3.5 for each type of the highest order.
     most = int(cells / 3.5 / len(langs) ** 2)
     table = sample.where(trained).groupBy("lang").applyInPandas(_counted(most), "lang string, sums binary, counts binary").toArrow().to_pylist()

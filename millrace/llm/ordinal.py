@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.rounds import passing_steps
 from millrace.llm.common import LOWER_BYTES, materialise, pick
 
 #: Bits of a feature's hash.
@@ -107,30 +108,31 @@ def _fitted(grades: int, rounds: int, penalty: float):
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, rounds: int = 100, penalty: float = 1e-3) -> Ordinal | None:
     """The model from ``docs`` (doc_id, text) and ``labels`` (doc_id, grade: 0, 1, ..)."""
     spark = docs.sparkSession
-    labels = labels.where("grade is not null and doc_id is not null")
-    about = labels.agg(F.count("*").alias("n"), F.max("grade").alias("top")).first()
-    if not about["n"]:
-        return None
-    share = min(1.0, train_rows / about["n"])
-    chosen = materialise(labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))), "labels")
-    few = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
-
-    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [features(t).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["grade", "bag"])
-
-    met = docs.join(few, "doc_id").select(F.col("grade").cast("int"), F.col("text").cast("binary"))
-    rows = materialise(met.mapInArrow(bags, "grade int, bag binary"), "features")
-    grades = max(2, int(about["top"]) + 1)
-    found = rows.sort("grade", "bag").coalesce(1).mapInArrow(_fitted(grades, rounds, penalty), "x binary, settled boolean").first()
-    if found is None:
-        return None
-    if not found["settled"]:
-        warnings.warn(f"the grades' model hasn't settled in {rounds} evaluations", stacklevel=2)
-    model, x = Ordinal(grades), np.frombuffer(bytes(found["x"]))
-    model.weights, model.steps = x[: 1 << BITS], x[1 << BITS :]
-    return model
+    with passing_steps(spark):
+        labels = labels.where("grade is not null and doc_id is not null")
+        about = labels.agg(F.count("*").alias("n"), F.max("grade").alias("top")).first()
+        if not about["n"]:
+            return None
+        share = min(1.0, train_rows / about["n"])
+        chosen = materialise(labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))), "labels")
+        few = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
+
+        def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = [features(t).tobytes() for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["grade", "bag"])
+
+        met = docs.join(few, "doc_id").select(F.col("grade").cast("int"), F.col("text").cast("binary"))
+        rows = materialise(met.mapInArrow(bags, "grade int, bag binary"), "features")
+        grades = max(2, int(about["top"]) + 1)
+        found = rows.sort("grade", "bag").coalesce(1).mapInArrow(_fitted(grades, rounds, penalty), "x binary, settled boolean").first()
+        if found is None:
+            return None
+        if not found["settled"]:
+            warnings.warn(f"the grades' model hasn't settled in {rounds} evaluations", stacklevel=2)
+        model, x = Ordinal(grades), np.frombuffer(bytes(found["x"]))
+        model.weights, model.steps = x[: 1 << BITS], x[1 << BITS :]
+        return model
 
 
 def minimise(slope, x: np.ndarray, rounds: int, memory: int = 8) -> tuple[np.ndarray, bool]:

@@ -225,18 +225,19 @@ def summarise(found: DataFrame) -> DataFrame:
 def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """``docs`` with the spans that ``find`` gives replaced by their kinds in angle brackets.
 
-    Rows are numbered and written first, since the numbers must stay when a task is run again; the spans come back to the texts by number.
+    The spans come back to the texts by the texts' SHA-256, so equal texts are masked alike and nothing depends on the order of rows.
     """
-    row, spans = free_name(docs, "__row"), free_name(docs, "__spans")
-    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    found = find(numbered, row, text_col, threshold).where("kind is not null").withColumn("rank", S.ranked(KINDS, F.col("kind")))
+    key, spans = free_name(docs, "__key"), free_name(docs, "__spans")
+    keyed = docs.withColumn(key, F.sha2(F.col(text_col).cast("binary"), 256))
+    found = find(keyed, key, text_col, threshold).where("kind is not null").select("doc_id", "kind", "start", "end").distinct()
+    found = found.withColumn("rank", S.ranked(KINDS, F.col("kind")))
     # Base spans that overlap are replaced as one.
     before = Window.partitionBy("doc_id").orderBy("start", F.desc("end"), "rank").rowsBetween(Window.unboundedPreceding, -1)
     found = found.withColumn("part", (F.coalesce(F.max("end").over(before), F.lit(0)) <= F.col("start")).cast("int"))
     found = found.withColumn("part", F.sum("part").over(before.rowsBetween(Window.unboundedPreceding, 0)))
     found = found.groupBy("doc_id", "part").agg(F.min(F.struct("start", -F.col("end"), "rank", "kind")).alias("first"), F.max("end").alias("end"))
-    found = found.groupBy(F.col("doc_id").alias(row)).agg(F.array_sort(F.collect_list(F.struct(F.col("first.start").alias("start"), "end", F.col("first.kind").alias("kind")))).alias(spans))
-    met, text, x = numbered.join(found, row, "left"), F.col(text_col), F.col(spans)
+    found = found.groupBy(F.col("doc_id").alias(key)).agg(F.array_sort(F.collect_list(F.struct(F.col("first.start").alias("start"), "end", F.col("first.kind").alias("kind")))).alias(spans))
+    met, text, x = keyed.join(found, key, "left"), F.col(text_col), F.col(spans)
     ends = F.concat(F.array(F.lit(0).cast(found.schema[spans].dataType.elementType["end"].dataType)), F.transform(x, lambda s: s["end"]))
     told = F.zip_with(x, F.slice(ends, 1, F.size(x)), lambda s, at: F.concat(F.substr(text, (at + 1).cast("int"), (s["start"] - at).cast("int")), F.lit("<"), F.upper(s["kind"]), F.lit(">")))
     masked = F.when(x.isNull(), text).otherwise(F.concat(F.array_join(told, ""), F.substr(text, (F.element_at(ends, -1) + 1).cast("int"))))

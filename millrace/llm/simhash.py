@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.rounds import passing_steps
 from millrace.llm.common import LOWER_BYTES, materialise, partitions_for, pick
 
 #: Hashes whose bits are unpacked at once.
@@ -224,22 +225,23 @@ def near_links(nodes: DataFrame, max_bits: int = 4, bucket_rows: int = 8192) ->
 
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """node, component (the smallest node reachable) for each node of ``edges`` (u, v)."""
-    edges = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges")
-    state = None
-    for _ in range(max_rounds):
-        both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("low"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("low"))
-        small = large.join(low, "u").where("v > low").select(F.col("v").alias("u"), F.col("low").alias("v")).union(low.select("u", "low"))
-        edges = materialise(small.distinct(), "edges")
-        after = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 998_244_353)).first())
-        if after == state:
-            break
-        state = after
-    else:
-        raise RuntimeError(f"components have not settled in {max_rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    with passing_steps(edges.sparkSession) as keep:
+        edges = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges")
+        state = None
+        for _ in range(max_rounds):
+            both = edges.union(edges.select("v", "u"))
+            low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("low"))
+            large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+            low = large.groupBy("u").agg(F.min("v").alias("low"))
+            small = large.join(low, "u").where("v > low").select(F.col("v").alias("u"), F.col("low").alias("v")).union(low.select("u", "low"))
+            edges = materialise(small.distinct(), "edges")
+            after = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 998_244_353)).first())
+            if after == state:
+                break
+            state = after
+        else:
+            raise RuntimeError(f"components have not settled in {max_rounds} rounds")
+        return keep(edges).select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
 def grouped(prints: DataFrame, max_bits: int = 4, bucket_rows: int = 8192) -> DataFrame:
