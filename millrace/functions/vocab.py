@@ -188,3 +188,30 @@ SOURCE_QUERIES = [
     ("JSearch", "specific", None), ("Free aggregators", None, None), ("LinkedIn", "specific", 5), ("SerpAPI", "specific", 5), ("Apify", "specific", 3),
     ("DuckDuckGo", "broad", 10),
 ]
+
+# --- application mails: parts that no title or company has, senders, hosts of boards -----------------------------------------
+BAD_PARTS = [
+    "http", "href=", "<a ", "</", "&nbsp", "@media", "font-", "<!--", "px;", "color:", "margin", "padding", ".com/", "www.", "no. 07",
+    "&amp", "style=",
+]
+PROSE = [
+    "your", "our", "you are", "thank", "time", "needs", "department", "selected", "interest", "national", "waitlisted", "capture", "spent", "reviewing",
+    "feedback", "difference", "recruiting", "regarding", "applying", "applied", "application", "submitted", "received", "reviewed", "decided", "pursue",
+    "marine storekeeper", "recruitment team", "talent team", "hiring team",
+]
+TEAM_NAMES = [
+    "Workday Notifications", "TalentHub", "Talent Acquisition", "Applications Team", "Hiring Team", "Recruitment Team", "Recruiting",
+    "Recruiter", "Alerts", "Notifications", "HR", "Careers", "Jobs",
+]
+TENANT_HOSTS = [
+    "myworkday.com", "recruitee.com", "ashbyhq.com", "greenhouse.io", "lever.co", "smartrecruiters.com", "jobvite.com", "icims.com",
+    "taleo.net", "csod.com", "manatal.com", "applytojob.com", "pinpoint.email", "allibo.com",
+]
+SUBDOMAIN_HOSTS = ["talentadore.com", "talentlyft.com", "teamtailor-mail.com", "teamtailor.com", "talent-tailor.com"]
+BOARD_HOSTS = [("jobot.com", "Jobot"), ("mercor.com", "Mercor"), ("micro1.ai", "micro1"), ("tally.so", None)]
+GENERIC_LABELS = ["mail", "jobs", "noreply", "alerts", "talentadore", "talentlyft"]
+
+STYLE_RULES = [
+    r"(?i)@(?:media|import|font-face|-ms-viewport|viewport|charset)[^{;]*\{[^}]*\}", r"(?i)@import[^;]*;", r"[.#][\w.\- ]+\s*\{[^}]*\}", r"[\w.\-]+\s*\{[^}]*\}",
+    r"\{[^}]*\}", r"https?://\S+",
+]

@@ -13,36 +13,9 @@ from pyspark.sql import functions as F
 from millrace.functions import text as X
 from millrace.functions import vocab as V
 
-BAD_PARTS = [
-    "http", "href=", "<a ", "</", "&nbsp", "@media", "font-", "<!--", "px;", "color:", "margin", "padding", ".com/", "www.", "no. 07",
-    "&amp", "style=",
-]
-PROSE = [
-    "your", "our", "you are", "thank", "time", "needs", "department", "selected", "interest", "national", "waitlisted", "capture", "spent", "reviewing",
-    "feedback", "difference", "recruiting", "regarding", "applying", "applied", "application", "submitted", "received", "reviewed", "decided", "pursue",
-    "marine storekeeper", "recruitment team", "talent team", "hiring team",
-]
-TEAM_NAMES = [
-    "Workday Notifications", "TalentHub", "Talent Acquisition", "Applications Team", "Hiring Team", "Recruitment Team", "Recruiting",
-    "Recruiter", "Alerts", "Notifications", "HR", "Careers", "Jobs",
-]
-TENANT_HOSTS = [
-    "myworkday.com", "recruitee.com", "ashbyhq.com", "greenhouse.io", "lever.co", "smartrecruiters.com", "jobvite.com", "icims.com",
-    "taleo.net", "csod.com", "manatal.com", "applytojob.com", "pinpoint.email", "allibo.com",
-]
-SUBDOMAIN_HOSTS = ["talentadore.com", "talentlyft.com", "teamtailor-mail.com", "teamtailor.com", "talent-tailor.com"]
-BOARD_HOSTS = [("jobot.com", "Jobot"), ("mercor.com", "Mercor"), ("micro1.ai", "micro1"), ("tally.so", None)]
-GENERIC_LABELS = ["mail", "jobs", "noreply", "alerts", "talentadore", "talentlyft"]
-
-_STYLE = [
-    r"(?i)@(?:media|import|font-face|-ms-viewport|viewport|charset)[^{;]*\{[^}]*\}", r"(?i)@import[^;]*;", r"[.#][\w.\- ]+\s*\{[^}]*\}", r"[\w.\-]+\s*\{[^}]*\}",
-    r"\{[^}]*\}", r"https?://\S+",
-]
-
-
 def clean_body(body: Column | str) -> Column:
     """The body without style rules and links."""
-    return X.collapse(reduce(lambda x, p: F.regexp_replace(x, p, " "), _STYLE, X.text(body)))
+    return X.collapse(reduce(lambda x, p: F.regexp_replace(x, p, " "), V.STYLE_RULES, X.text(body)))
 
 
 def _tail_cut(x: Column) -> Column:
@@ -51,7 +24,7 @@ def _tail_cut(x: Column) -> Column:
 
 def is_clean(x: Column, max_words: int = 8) -> Column:
     low = F.lower(x)
-    ok = F.length(x).between(2, 80) & (F.size(X.words(x)) <= max_words) & ~X.any_of(low, BAD_PARTS + PROSE)
+    ok = F.length(x).between(2, 80) & (F.size(X.words(x)) <= max_words) & ~X.any_of(low, V.BAD_PARTS + V.PROSE)
     return F.coalesce(ok & F.regexp_like(x, F.lit("^[A-Za-z0-9\"'(]")) & F.regexp_like(x, F.lit("[A-Za-z]")), F.lit(False))
 
 
@@ -94,23 +67,23 @@ def company_of_sender(sender: Column) -> Column:
     person = F.regexp_like(name, F.lit("^[A-Z][a-z]+ [A-Z][a-z]+$"))
     host = F.lower(F.regexp_extract(sender, r"@([\w.\-]+)", 1))
     label = lambda h, suffix: F.substring_index(F.replace(h, F.lit("." + suffix), F.lit("")), ".", -1)
-    named = reduce(lambda x, t: X.strip(F.regexp_replace(x, rf"(?i)\s*{t}.*$", "")), TEAM_NAMES, name)
+    named = reduce(lambda x, t: X.strip(F.regexp_replace(x, rf"(?i)\s*{t}.*$", "")), V.TEAM_NAMES, name)
     parts = F.split(F.replace(host, F.lit("www."), F.lit("")), r"\.")
     second = F.when(F.size(parts) >= 2, F.element_at(parts, -2))
-    general = F.when((F.length(second) > 2) & ~second.isin(GENERIC_LABELS), _capital(second))
+    general = F.when((F.length(second) > 2) & ~second.isin(V.GENERIC_LABELS), _capital(second))
     by_host = F.when(host == "", None)
-    for h in TENANT_HOSTS:
+    for h in V.TENANT_HOSTS:
         own = label(host, h)
         by_host = by_host.when(
             F.endswith(host, F.lit(h)),
             F.when((own != "") & ~own.isin("mail", "jobs", "hire", "hr", "noreply", "recruiting"), _capital(own)),
         )
-    for h, board in BOARD_HOSTS:
+    for h, board in V.BOARD_HOSTS:
         by_host = by_host.when(F.contains(host, F.lit(h)), F.lit(board))
     by_host = by_host.otherwise(general)
     from_name = F.when(F.length(named) > 1, named).otherwise(by_host)
     out = None
-    for h in SUBDOMAIN_HOSTS:
+    for h in V.SUBDOMAIN_HOSTS:
         own = F.substring_index(F.regexp_replace(host, r"\.?" + h.replace(".", r"\.") + "$", ""), ".", -1)
         fits = F.endswith(host, F.lit(h)) & (F.length(own) > 1) & ~own.isin("mail", "jobs", "hr", "noreply", "no-reply", "career", "careers", "apply")
         out = F.when(fits, _capital(own)) if out is None else out.when(fits, _capital(own))
