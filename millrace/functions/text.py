@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -164,14 +165,23 @@ def set_similarity(a: Column, b: Column) -> Column:
 # --- html, labels, previews ---
 
 
+#: Characters of named entities, from the standard library's table of HTML 4 names.
+_ENTITIES = {name: chr(code) for name, code in sorted(name2codepoint.items())} | {"apos": "'"}
+
+
 def unescaped(x: Column) -> Column:
-    """The common named entities of feeds; the ampersand comes last, so that one level is undone at a time."""
-    for entity, plain in [
-        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"),
-        ("&middot;", "·"), ("&amp;", "&"),
-    ]:
-        x = F.replace(x, F.lit(entity), F.lit(plain))
-    return x
+    """Entities, named and numbered in either base, as their characters; one level is undone at a time. Unknown names stay."""
+    table = F.create_map(*[F.lit(v) for pair in _ENTITIES.items() for v in pair])
+
+    def decoded(part: Column) -> Column:
+        name = F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{0,30});", 1)
+        code = F.when(F.regexp_like(name, F.lit("^#[xX]")), F.conv(F.substr(name, F.lit(3)), 16, 10)).otherwise(F.substr(name, F.lit(2))).try_cast("int")
+        fits = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.when(F.startswith(name, F.lit("#")), F.when(fits, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))).otherwise(F.try_element_at(table, name))
+        return F.when(char.isNotNull(), F.concat(char, F.substr(part, F.length(name) + 2))).otherwise(F.concat(F.lit("&"), part))
+
+    parts = F.split(x, "&")
+    return F.when(F.contains(x, F.lit("&")), F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), decoded), ""))).otherwise(x)
 
 
 def strip_html(x: Column | str) -> Column:

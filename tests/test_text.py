@@ -61,3 +61,15 @@ def test_drafts(spark):
     got = {r.message_id: r for r in mail.draft_posting(df).collect()}
     assert (got["m"].title, got["m"].company, got["m"].link) == ("Pump Engineer", "Acme", "https://a.com/j")
     assert (got["n"].title, got["n"].company, got["n"].link) == ("Untitled", "Unknown", "https://b.org/1")
+
+
+def test_entities(spark):
+    import html
+
+    from millrace.functions import text as X
+    from pyspark.sql import functions as F
+
+    rows = ["a &lt;b&gt; &amp;lt; &quot;c&quot; &#39;d&apos;", "&eacute;t&eacute; &euro;5 &#8364; &#x20AC; &#X1F600; &hellip;", "&unknown; & &; &#0; &#xD800; x&y", "plain", "", "&amp;amp;amp;", "&nbsp;|&copy;&middot;"]
+    got = [r[0] for r in spark.createDataFrame([(r,) for r in rows], "x string").select(X.unescaped(F.col("x"))).collect()]
+    want = [html.unescape(r) for r in rows]
+    assert got[:2] == want[:2] and got[3:] == want[3:] and got[2] == rows[2]
