@@ -11,7 +11,6 @@ from pyspark.sql.window import Window
 from millrace.functions import text as X
 
 #: Seeds whose words are broadcast together.
-SEEDS_AT_ONCE = 1000
 STOP_WORDS = ["the", "and", "for", "with", "remote", "senior", "junior", "lead", "staff", "principal", "from", "home"]
 
 
@@ -101,21 +100,23 @@ def exported(jobs: DataFrame, status: DataFrame) -> DataFrame:
 
 
 def similar(jobs: DataFrame, seeds: DataFrame, k: int = 8) -> DataFrame:
-    """seed, id, score, place: for each seed (id, job_title) the k best other jobs whose title holds one of its words.
+    """seed, id, score, place: for each seed (id, job_title) the k best other jobs whose title holds one of its words, also within a longer word.
 
-    Jobs are matched by substring, so the seeds are broadcast, in blocks of about SEEDS_AT_ONCE; only the best k of each seed are
-    shuffled.
+    A title's words meet the seeds' words by their parts (all substrings of the distinct words), so nothing is compared pair by pair. Of a word only the best
+    k + 1 jobs can be among a seed's k best; they are chosen before seeds meet jobs, so a word that many titles and seeds hold makes no pairs of them.
     """
-    word = F.explode(F.array_distinct(F.filter(F.transform(X.words(X.text("job_title")), F.lower), lambda w: (F.length(w) > 3) & ~w.isin(STOP_WORDS))))
-    asked = seeds.select(F.col("id").alias("seed"), word.alias("word")).groupBy("seed").agg(F.collect_set("word").alias("words"))
-    blocks = max(1, -(-asked.count() // SEEDS_AT_ONCE))
-    found = []
-    for block in range(blocks):
-        some = asked.where(F.pmod(F.xxhash64("seed"), F.lit(blocks)) == block)
-        met = jobs.join(F.broadcast(some), F.exists("words", lambda w: F.contains(F.lower("job_title"), w)) & (F.col("id") != F.col("seed")))
-        place = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc_nulls_last("relevance_score"), "id"))
-        found.append(met.withColumn("place", place).where(F.col("place") <= k).select("seed", "id", F.col("relevance_score").alias("score"), "place"))
-    return reduce(DataFrame.unionByName, found)
+    words = lambda t: F.array_distinct(F.transform(X.words(X.text(t)), F.lower))
+    asked = seeds.select(F.col("id").alias("seed"), F.explode(F.filter(words("job_title"), lambda w: (F.length(w) > 3) & ~w.isin(STOP_WORDS))).alias("word"))
+    titled = jobs.select("id", "relevance_score", F.explode(words("job_title")).alias("token"))
+    best = lambda by: F.row_number().over(Window.partitionBy(by).orderBy(F.desc_nulls_last("relevance_score"), "id"))
+    top = titled.withColumn("n", best("token")).where(F.col("n") <= k + 1).drop("n")
+    starts = F.sequence(F.lit(1), F.greatest(F.length("token") - 3, F.lit(1)))
+    parts = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(4), F.greatest(F.length("token") - i + 1, F.lit(4))), lambda n: F.substr("token", i, n))))
+    holds = titled.select("token").distinct().where(F.length("token") > 3).select("token", F.explode(F.array_distinct(parts)).alias("word"))
+    holds = holds.join(asked.select("word").distinct(), "word")
+    top = holds.join(top, "token").select("word", "id", "relevance_score").distinct().withColumn("n", best("word")).where(F.col("n") <= k + 1)
+    met = asked.join(top, "word").where("id <> seed").select("seed", "id", "relevance_score").distinct().withColumn("place", best("seed"))
+    return met.where(F.col("place") <= k).select("seed", "id", F.col("relevance_score").alias("score"), "place")
 
 
 # --- the week ---

@@ -185,3 +185,21 @@ def test_queries_over_whole_tables(spark):
     assert {r.seed for r in rows("similar_jobs_all")} == {r.id for r in jobs.where("id % 100 = 0").select("id").collect()}
     assert {r.job_id for r in rows("posting_flags_all")} == {r.job_id for r in view(spark, sf, "v_docs").select("job_id").collect()}
     assert len(rows("mail_parse_all")) == view(spark, sf, "v_mail").count()
+
+
+def test_similar_jobs_against_all_pairs(spark):
+    import random
+
+    from millrace.operators import reports
+
+    r = random.Random(3)
+    words = ["pump", "pumps", "valve", "engineer", "Engineering", "of", "senior", "bioengineer", "x" * 30, "Valves/pumps"]
+    jobs = [(i, " ".join(r.choice(words) for _ in range(r.randint(0, 4))), float(r.randint(0, 9)) if i % 7 else None) for i in range(200)]
+    df = spark.createDataFrame(jobs, "id long, job_title string, relevance_score double").repartition(3)
+    got = {(x.seed, x.place): x.id for x in reports.similar(df, df.where("id % 10 = 0"), k=5).collect()}
+    want = {}
+    for seed, title, _ in jobs[::10]:
+        own = {w.lower() for w in title.split() if len(w) > 3} - set(reports.STOP_WORDS)
+        met = [(-s if s is not None else 99, i) for i, t, s in jobs if i != seed and any(w in t.lower() for w in own)]
+        want |= {(seed, k + 1): i for k, (_, i) in enumerate(sorted(met)[:5])}
+    assert got == want
