@@ -11,11 +11,11 @@ from millrace.functions import text as X
 def details(
     jobs: DataFrame, found: DataFrame, wanted: Column, sources: tuple[str, ...] = ("SmartRecruiters", "Workday"), budget: int = 60,
 ) -> DataFrame:
-    """Descriptions from ``found`` (link, description) for the first ``budget`` postings that lack one; adds enriched and over_budget."""
+    """Descriptions from ``found`` (link, description; of several for a link the greatest text) for the first ``budget`` postings that lack one; adds enriched and over_budget."""
     lacks = F.col("source").isin(*sources) & (X.strip(X.text("description")) == "") & (X.text("link") != "") & wanted
     first = jobs.where(lacks).orderBy("ord").limit(budget).select(F.col("ord").alias("__o"))
     out = jobs.join(first, F.col("ord") == F.col("__o"), "left").withColumn("over_budget", lacks & F.col("__o").isNull())
-    got = found.groupBy(F.col("link").alias("__l")).agg(F.first("description").alias("__d"))
+    got = found.groupBy(F.col("link").alias("__l")).agg(F.max("description").alias("__d"))  # of several the last in order of text
     out = out.join(got, (F.col("link") == F.col("__l")) & F.col("__o").isNotNull(), "left")
     enriched = F.coalesce(F.col("__d") != "", F.lit(False))
     return out.withColumn("enriched", enriched).withColumn(
@@ -31,7 +31,7 @@ def mail_candidates(jobs: DataFrame, as_of: Column, days: int, prefix: str = "ap
 
 
 def first_found(jobs: DataFrame, steps: list[tuple[str, DataFrame]], least: int = 150, most: int = 3000) -> DataFrame:
-    """Adds text and text_from: the first step's (id, text) that is long enough, else the title."""
+    """Adds text and text_from: the first step's (id, text; of several for an id the greatest text) that is long enough, else the title."""
     out, chosen, told = jobs, F.lit(None).cast("string"), F.lit(None).cast("string")
     for k, (name, found) in enumerate(steps):
         one = found.groupBy(F.col("id").alias(f"__i{k}")).agg(F.max("text").alias(f"__t{k}"))

@@ -160,3 +160,18 @@ def test_sources_get_their_quotas(spark):
     got = score.planned(queries).groupBy("source").agg(F.count("*").alias("n"), F.max("place").alias("last")).collect()
     assert {r.source: r.n for r in got} == {"JSearch": 8, "Free aggregators": 22, "LinkedIn": 5, "SerpAPI": 5, "Apify": 3, "DuckDuckGo": 10}
     assert all(r.n == r["last"] for r in got)
+
+
+def test_incremental_merges_rewrite_touched_buckets_only(spark, tmp_path):
+    import os
+
+    schema, source, table = "link string, first_seen timestamp, last_seen timestamp", str(tmp_path / "in"), str(tmp_path / "table")
+    for n, keys in enumerate([range(40), [3], [3, 100]]):
+        spark.createDataFrame([(f"l{k}",) for k in keys], "link string").withColumn("at", F.make_timestamp(F.lit(2024), F.lit(1), F.lit(n + 1), F.lit(0), F.lit(0), F.lit(0))).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("link string, at timestamp").parquet(source)
+        incremental.merge_batches(stream, table, store.touch_links, schema, str(tmp_path / "check"), once=True, key="link", buckets=8).awaitTermination()
+    got = {r.link: (r.first_seen.day, r.last_seen.day) for r in incremental.read_table(spark, table, 3, schema).collect()}
+    assert got == {f"l{k}": (1, 3 if k == 3 else 1) for k in range(40)} | {"l100": (3, 3)}
+    folders = {v: [x for x in os.listdir(f"{table}/data/{v}") if x.startswith("__bucket")] for v in sorted(os.listdir(f"{table}/data"))}
+    assert len(folders["v0000000002"]) <= 1 and len(folders["v0000000003"]) <= 2
+    assert len(folders["v0000000001"]) == 7 and incremental.read_table(spark, table, 2, schema).count() == 40
