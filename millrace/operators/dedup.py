@@ -46,6 +46,11 @@ def boards(df: DataFrame, title: str = "title", company: str = "company", order:
     return first_wins(full, [F.lower(title), F.lower(company)], order)
 
 
+def by_name(df: DataFrame, title: str = "title", company: str = "company", order: str = "ord") -> DataFrame:
+    """By title and company as they are written; null counts as empty."""
+    return first_wins(df, [X.text(title), X.text(company)], order)
+
+
 def by_link(df: DataFrame, link: str = "link", order: str = "ord") -> DataFrame:
     """By link; rows without one all stay."""
     return first_wins(df, [F.col(link)], order, exempt=X.text(link) == "")

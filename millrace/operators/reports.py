@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions import text as X
 
-#: Seeds whose words are broadcast together.
+#: Words that no search uses.
 STOP_WORDS = ["the", "and", "for", "with", "remote", "senior", "junior", "lead", "staff", "principal", "from", "home"]
 
 

@@ -829,3 +829,6 @@ def daily_search(spark, d):
     kept = score.judged(rows, VARIANTS, MERGED, min_score=10).where("reject_reason is null")
     place = F.row_number().over(Window.partitionBy("company").orderBy(F.desc("relevance_score"), "ord"))
     return kept.withColumn("place", place).where("place <= 2").select("job_id", "company", "title", "relevance_score", "best_cv", "place")
+
+
+from millrace.plans import more  # noqa: E402, F401  the further queries register themselves here

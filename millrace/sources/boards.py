@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as X
 from millrace.functions.rounds import materialise
+from millrace.operators.dedup import first_wins
 
 POSTING = "title string, company string, description string, link string, location string, salary string, source string, date_posted string"
 
@@ -302,7 +303,7 @@ def guest_cards(pages: DataFrame, search_query: str = "") -> DataFrame:
 
 
 def search_results(results: DataFrame) -> DataFrame:
-    """Postings of web search results (title, href, body); pages that list many jobs go."""
+    """Postings of web search results (title, href, body; with ``ord``: only the first of each link); pages that list many jobs go."""
     listing = F.regexp_like(F.lower(X.text("href")), F.lit(r"/(?:search|jobs/?$|q-|browse|categories)|[?&](?:q|keywords)="))
     name = F.regexp_replace(X.text("title"), r"\s*[|–-]\s*(?:LinkedIn|Indeed(?:\.com)?|Glassdoor|Greenhouse|Lever|Workable)\s*$", "")
     pair = lambda p, a, b: (F.regexp_extract(name, p, a), F.regexp_extract(name, p, b))
@@ -310,6 +311,7 @@ def search_results(results: DataFrame) -> DataFrame:
     title = F.coalesce(*[F.nullif(t, F.lit("")) for t, _ in cases], name)
     company = F.coalesce(*[F.nullif(c, F.lit("")) for _, c in cases], F.lit("Unknown"))
     x = results.where(~listing & (X.text("href") != ""))
+    x = first_wins(x, [X.canonical_url("href")]) if "ord" in results.columns else x
     return _posting(x, X.site_label("href", F.lit("DuckDuckGo")), title=title, company=company, description=F.col("body"), link=F.col("href"))
 
 
