@@ -31,7 +31,7 @@ BITS = 18
 #: ASCII punctuation, which words lose at both ends.
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: The largest slope of the mean likelihood at which a fit has settled, and rows whose gradients are summed at once.
-SETTLED, ROWS = 1e-4, 2000
+SETTLED, ROWS = 1e-4, 5000
 #: Rows up to which the chosen labels are broadcast; the sample's own bound is ``train_rows``.
 BROADCAST_ROWS = 100_000
 
@@ -61,11 +61,15 @@ class Ordinal:
 
     def gradient(self, grade: np.ndarray, bags: list[np.ndarray]) -> np.ndarray:
         """Of the summed negative log likelihood: by weight, by step, and that sum itself."""
-        flat, sizes = np.concatenate(bags).astype(np.int64), np.array([len(b) for b in bags])
+        return self.slope(grade, *laid_out(bags))
+
+    def slope(self, grade: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """``gradient`` of bags that are laid out."""
         run = np.concatenate([[0.0], np.cumsum(self.weights[flat])])
         ends = np.cumsum(sizes)
-        tail = np.hstack([np.ones((len(bags), 1)), self.tails(run[ends] - run[ends - sizes]), np.zeros((len(bags), 1))])
-        at = np.arange(len(bags))
+        n = len(sizes)
+        tail = np.hstack([np.ones((n, 1)), self.tails(run[ends] - run[ends - sizes]), np.zeros((n, 1))])
+        at = np.arange(n)
         upper, lower = tail[at, grade], tail[at, grade + 1]  # P(>= grade), P(>= grade + 1)
         p = np.maximum(upper - lower, 1e-12)
         du, dl = upper * (1 - upper) / p, lower * (1 - lower) / p
@@ -79,22 +83,27 @@ class Ordinal:
         return np.concatenate([by_weight, by_step, [-np.log(p).sum()]])
 
 
+def laid_out(bags: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The bags' features in one line, and their numbers."""
+    return np.concatenate(bags).astype(np.int64), np.array([len(b) for b in bags])
+
+
 def _fitted(grades: int, rounds: int, penalty: float):
     """All (grade, bag) of the sample, in one task -> the weights and steps, and whether they have settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grade, bags = [], []
-        for batch in batches:
-            grade += batch.column(0).to_pylist()
-            bags += [np.frombuffer(b, np.uint32) for b in batch.column(1).to_pylist()]
-        if not grade:
+        parts, n = [], 0
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+            parts.append((batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), *laid_out([np.frombuffer(b, np.uint32) for b in batch.column(1).to_pylist()])))
+            n += batch.num_rows
+        if not n:
             return
-        model, own = Ordinal(grades), np.array(grade)
+        model = Ordinal(grades)
 
         def slope(x: np.ndarray) -> tuple[float, np.ndarray]:
             """The mean negative log likelihood with its penalty, and the gradient."""
             model.weights, model.steps = x[: 1 << BITS], x[1 << BITS :]
-            total = sum(model.gradient(own[at : at + ROWS], bags[at : at + ROWS]) for at in range(0, len(own), ROWS)) / len(own)
+            total = sum(model.slope(*part) for part in parts) / n
             by_x = total[:-1]
             by_x[: 1 << BITS] += penalty * model.weights
             return float(total[-1] + penalty / 2 * (model.weights**2).sum()), by_x
@@ -125,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, rounds: in
         met = docs.join(few, "doc_id").select(F.col("grade").cast("int"), F.col("text").cast("binary"))
         rows = materialise(met.mapInArrow(bags, "grade int, bag binary"), "features")
         grades = max(2, int(about["top"]) + 1)
-        found = rows.sort("grade", "bag").coalesce(1).mapInArrow(_fitted(grades, rounds, penalty), "x binary, settled boolean").first()
+        found = rows.coalesce(1).sortWithinPartitions("grade", "bag").mapInArrow(_fitted(grades, rounds, penalty), "x binary, settled boolean").first()
         if found is None:
             return None
         if not found["settled"]:
