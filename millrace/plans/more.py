@@ -214,12 +214,15 @@ def kept_order(spark, d):
     return boards.numbered(kept.select("job_id", "ord", "relevance_score"), [F.desc("relevance_score"), F.col("ord")], "place").select("job_id", "relevance_score", "place")
 
 
+FEW_BOARDS = f"(not ({P.BOARD}) or id % 1500 = 0)"
+
+
 @register(
-    with_("v_jobs").replace("from orders join", "from (select * from orders where o_orderpriority not like '1%') orders join") + P._pool_sql("true", 400) + P._main_sql(V.DIGEST_SIZE)
+    with_("v_jobs") + P._pool_sql(FEW_BOARDS, 400) + P._main_sql(V.DIGEST_SIZE)
     + f", n as (select count_if(pass = 'boards') b, count_if(pass = 'aggregators') a from d5 where slot is not null) select 'boards' as quota, {V.BOARD_SLOTS} - b as missing from n where b < {V.BOARD_SLOTS} union all select 'aggregators', {V.AGGREGATOR_SLOTS} - a from n where a < {V.AGGREGATOR_SLOTS}"
 )
 def digest_shortfall(spark, d):
-    jobs = view(spark, d, "v_jobs").where("source <> 'Greenhouse' or id % 5000 = 0").where("not (job_title like '% 1-%')")
+    jobs = view(spark, d, "v_jobs").where(FEW_BOARDS)
     return digest.shortfall(digest.main_digest(jobs, P._sent(jobs)))
 
 
