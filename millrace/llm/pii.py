@@ -28,9 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.functions.text import bound
 from millrace.llm import spans as S
 from millrace.llm.common import free_name, materialise, pick
 
+#: Characters of the parts that a text is cut into before spans are replaced, so that a long text isn't run through for every span.
+CHUNK = 4096
 #: Gives the column of a name: one of a frame, or a field of what is at hand.
 Named = Callable[[str], Column]
 BASE = ["email", "ip", "card", "phone"]
@@ -237,8 +240,20 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     found = found.withColumn("part", F.sum("part").over(before.rowsBetween(Window.unboundedPreceding, 0)))
     found = found.groupBy("doc_id", "part").agg(F.min(F.struct("start", -F.col("end"), "rank", "kind")).alias("first"), F.max("end").alias("end"))
     found = found.groupBy(F.col("doc_id").alias(key)).agg(F.array_sort(F.collect_list(F.struct(F.col("first.start").alias("start"), "end", F.col("first.kind").alias("kind")))).alias(spans))
+    chunks = free_name(docs, "__chunks")
     met, text, x = keyed.join(found, key, "left"), F.col(text_col), F.col(spans)
-    ends = F.concat(F.array(F.lit(0).cast(found.schema[spans].dataType.elementType["end"].dataType)), F.transform(x, lambda s: s["end"]))
-    told = F.zip_with(x, F.slice(ends, 1, F.size(x)), lambda s, at: F.concat(F.substr(text, (at + 1).cast("int"), (s["start"] - at).cast("int")), F.lit("<"), F.upper(s["kind"]), F.lit(">")))
-    masked = F.when(x.isNull(), text).otherwise(F.concat(F.array_join(told, ""), F.substr(text, (F.element_at(ends, -1) + 1).cast("int"))))
+    starts = F.sequence(F.lit(0), F.floor(F.length(text) / CHUNK).cast("int"))
+    met = bound(met, **{chunks: F.when(x.isNotNull(), F.transform(starts, lambda k: F.substr(text, k * CHUNK + 1, F.lit(CHUNK))))})
+    ends = F.concat(F.array(F.lit(0)), F.transform(x, lambda s: s["end"].cast("int")))
+    piece = lambda a, b: _piece(F.col(chunks), a, b)
+    told = F.zip_with(x, F.slice(ends, 1, F.size(x)), lambda s, at: F.concat(piece(at, s["start"].cast("int")), F.lit("<"), F.upper(s["kind"]), F.lit(">")))
+    masked = F.when(x.isNull(), text).otherwise(F.concat(F.array_join(told, ""), piece(F.element_at(ends, -1), F.length(text))))
     return met.select(*[masked.alias(c) if c == text_col else met[c] for c in docs.columns])
+
+
+def _piece(chunks: Column, a: Column, b: Column) -> Column:
+    """The characters from a to before b of the text that the chunks make up."""
+    first, last = F.floor(a / CHUNK).cast("int"), F.floor(b / CHUNK).cast("int")
+    at = lambda k: F.coalesce(F.get(chunks, k), F.lit(""))
+    across = F.concat(F.substr(at(first), a % CHUNK + 1), F.array_join(F.slice(chunks, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), F.substr(at(last), F.lit(1), b % CHUNK))
+    return F.when(first == last, F.substr(at(first), a % CHUNK + 1, b - a)).otherwise(across)

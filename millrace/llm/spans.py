@@ -43,7 +43,8 @@ def located(rows: DataFrame, patterns: list[tuple[str, Column, str]], context: i
 def free_of_base(found: DataFrame) -> DataFrame:
     """``found`` (rid, start, end, base) without the rows that aren't base and overlap one that is."""
     before = Window.partitionBy("rid").orderBy("start", F.desc("base"), "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("rid").orderBy("start", F.desc("base"), "end", "kind").rowsBetween(1, Window.unboundedFollowing)
+    # Backwards, since a frame that runs to the end is made anew for every row.
+    after = Window.partitionBy("rid").orderBy(F.desc("start"), "base", F.desc("end"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
     reach = F.coalesce(F.max(F.when(F.col("base"), F.col("end"))).over(before), F.lit(0))
     ahead = F.min(F.when(F.col("base"), F.col("start"))).over(after)
     found = found.withColumn("reach", reach).withColumn("ahead", ahead)

@@ -100,7 +100,9 @@ def test_empty(spark):
     assert [tuple(r) for r in P.summarise(P.find(one)).collect()] == [(1, 0, 0, 0, 0, "", "")]
 
 
-def test_added_spans_never_overlap_and_masks_are_the_spans(spark):
+@pytest.mark.parametrize("chunk", [4096, 3])
+def test_added_spans_never_overlap_and_masks_are_the_spans(spark, monkeypatch, chunk):
+    monkeypatch.setattr(P, "CHUNK", chunk)
     r = random.Random(2)
     bits = ["Call Dr. Anna Smith", "jo.doe (at) mail (dot) com", "(212) 555-1234", "212-555-1234-99", "123-45-6789", "a.b@c.de", "4111 1111 1111 1111", "+1 (619) 555-0053", "Mr Paul.Jones [at] x.org", "é", "words"]
     rows = [(i, "".join(r.choice(bits) + r.choice([" ", "", ", "]) for _ in range(12)), "own") for i in range(150)]
