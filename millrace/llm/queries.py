@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import ann, decontaminate, langid, lattice, mixing, ordinal, pii, secrets, simhash, substrings
+from millrace.llm import ann, decontaminate, langid, lattice, mixing, ordinal, phrases, pii, resample, secrets, simhash, substrings, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,19 @@ def op10_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score_texts(_table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(_table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_language_id": op2_language_id,
@@ -79,6 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_grades": op7_quality_grades,
     "op9_decontamination": op9_decontamination,
     "op10_lattice_scores": op10_lattice_scores,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_token_counts": op12_token_counts,
+    "op13_collocations": op13_collocations,
 }
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ORACLE_SQL: dict[str, str] = {
@@ -101,4 +117,19 @@ ORACLE_SQL: dict[str, str] = {
         select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, cast(coalesce(len(items), 0) as bigint) as n_items,
             sha256(coalesce(array_to_string(items, ','), '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
         from n left join h using (r) left join t using (r)""",
+    "op13_collocations": rf"""
+        with p as (select coalesce(lang, 'und') lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) p from documents),
+        w as (select lang, regexp_extract_all(p, '[^\x20\x09]+') w from p),
+        n as (select lang, cast(sum(len(w)) as bigint) n from w group by lang),
+        g as (select lang, k, array_to_string(w[i : i + k - 1], ' ') phrase from (select lang, w, k, unnest(range(1, len(w) - k + 2)) i from w, (select unnest(range(1, 6)) k) where len(w) >= k)),
+        f as (select lang, k, phrase, count(*) a from g group by all having count(*) >= 100),
+        c as (select lang, k, phrase, a, string_split(phrase, ' ') s from f where k > 1),
+        j as (select *, array_to_string(s[: cut], ' ') x, array_to_string(s[cut + 1 :], ' ') y from (select *, unnest(range(1, k)) cut from c)),
+        e as (select j.lang, j.phrase, j.k, j.a, cut, u.a l, v.a r, n, cast(1000::hugeint * j.a * n // (u.a::hugeint * v.a) as bigint) score
+            from j join f u on u.lang = j.lang and u.phrase = x join f v on v.lang = j.lang and v.phrase = y join n on n.lang = j.lang),
+        b as (select * from e qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+        o as (select distinct lang, array_to_string(s[i : i + z - 1], ' ') phrase, a from (select *, unnest(range(1, k - z + 2)) i from (select *, unnest(range(2, k)) z from c where k > 2))),
+        m as (select lang, phrase, max(a) most from o group by all),
+        d as (select b.*, row_number() over (partition by b.lang order by score desc, b.a desc, b.phrase) as "rank" from b left join m using (lang, phrase) where most is null or 100 * most < 100 * b.a)
+        select lang, "rank", phrase, a, l, r, n, score from d where "rank" <= 2000""",
 }
