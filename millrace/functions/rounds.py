@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,26 +26,27 @@ def work_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-_open: list[list[tuple[DataFrame, str]]] = []
+#: The lists of steps of the contexts that are open in this thread, the outermost first.
+_open: ContextVar[tuple[list[tuple[DataFrame, str]], ...]] = ContextVar("open steps", default=())
 
 
 def _written(df: DataFrame, path: str) -> DataFrame:
-    for steps in _open:
+    for steps in _open.get():
         steps.append((df, path))
     return df
 
 
 @contextmanager
 def passing_steps(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """What is materialised inside is deleted at the end, save what is given to the function that this yields. For work that ends inside,
-    so that nothing lazy needs the steps any more."""
+    """What is materialised inside, by this thread, is deleted at the end, save what is given to the function that this yields. For work that ends
+    inside, so that nothing lazy needs the steps any more. Other threads' steps are theirs."""
     steps: list[tuple[DataFrame, str]] = []
     kept: list[DataFrame] = []
-    _open.append(steps)
+    before = _open.set((*_open.get(), steps))
     try:
         yield lambda df: kept.append(df) or df
     finally:
-        _open.remove(steps)
+        _open.reset(before)
         for df, path in steps:
             if not any(df is k for k in kept):
                 where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -67,30 +70,62 @@ def materialise_by(df: DataFrame, name: str, key: str) -> DataFrame:
     tag = uuid.uuid4().hex
     table, buckets = f"millrace_{name}_{tag}", int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = f"{work_folder(spark)}/millrace/{name}-{tag}"
-    df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(table)
-    found = spark.table(table)
-    found.schema  # resolved now: the files stay when the name goes
-    spark.sql(f"drop table {table}")
+    try:
+        df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(table)
+        found = spark.table(table)
+        found.schema  # resolved now: the files stay when the name goes
+    finally:
+        spark.sql(f"drop table if exists {table}")
     return _written(found, path)
 
 
-def settle(links: DataFrame) -> DataFrame:
+#: Links that one task settles to the end.
+FEW_LINKS = 200_000
+
+
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All links that are left -> b of the rows that go: each row is decided once all rows before it are."""
+    after: dict[object, list[object]] = {}
+    waits: dict[object, int] = {}
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            after.setdefault(a, []).append(b)
+            waits[b] = waits.get(b, 0) + 1
+    ready, gone, done = [a for a in after if a not in waits], set(), 0
+    while ready:
+        a = ready.pop()
+        done += 1
+        for b in after.get(a, ()):
+            waits[b] -= 1
+            if a not in gone:
+                gone.add(b)
+            if not waits[b]:
+                ready.append(b)
+    if done < len(after.keys() | waits.keys()):
+        raise ValueError("links run in a circle")
+    if kind is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(list(gone), kind)], ["b"])
+
+
+def settle(links: DataFrame, few: int = FEW_LINKS) -> DataFrame:
     """b of the rows that go, each once. links (a, b): b is like a, and a comes before b.
 
     In order, a row goes if one that is like it and comes before stays. In each round the rows that nothing before is left for stay, and what is
-    like them goes; the first row of all is one of these, so each round settles some.
+    like them goes; the first row of all is one of these, so each round settles some. Rounds settle all but long chains soon; the last ``few`` links, a
+    fixed bound, are settled in order by one task, so that a chain costs no round a link. Only a chain of more than ``few`` links takes more rounds, one for every second link beyond.
     """
     gone: list[DataFrame] = []
     links = materialise(links.select("a", "b").distinct(), "links")
-    while not links.isEmpty():
+    while (left := links.count()) > few:
         stay = links.select("a").distinct().join(links.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
         now = materialise(links.join(stay, "a", "left_semi").select("b").distinct(), "gone")
         if now.isEmpty():
             raise ValueError("links run in a circle")
         gone.append(now)
         links = materialise(links.join(now, "b", "left_anti").join(now.withColumnRenamed("b", "a"), "a", "left_anti").select("a", "b"), "links")
-    found = links.select("b")
+    found = links.select("b").limit(0) if not left else links.coalesce(1).mapInArrow(_in_order, f"b {links.schema['b'].dataType.simpleString()}")
     for x in gone:
         found = found.union(x)
     return found
-

@@ -88,6 +88,7 @@ def near_titles(
     distinct = materialise(rows.where(F.size("tokens") > 0).groupBy("block", "tokens").agg(F.min("ord").alias("ord")), "titles")
     gone = settle(_similar(distinct, threshold)).withColumnRenamed("b", "ord")
     keep = distinct.select("ord").join(gone, "ord", "left_anti").union(blank).withColumnRenamed("ord", "__kept")
+    keep = materialise(keep, "kept")  # its size is known then: few enough ids are broadcast, and the rows stay where they are
     return df.join(keep, F.col(order) == F.col("__kept"), "left_semi")
 
 
