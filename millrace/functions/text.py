@@ -41,9 +41,21 @@ def words(x: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(x, BLANK, " "), " "), lambda w: w != "")
 
 
-def any_of(x: Column | str, phrases: list[str]) -> Column:
+class Searched:
+    """A lower-cased text in which phrases have been looked up: the places of those that it holds, and all phrases' places."""
+
+    def __init__(self, places: Column, ids: dict[str, int]) -> None:
+        self.places, self.ids = places, ids
+
+    def any_of(self, phrases: list[str]) -> Column:
+        return F.arrays_overlap(self.places, F.array(*[F.lit(self.ids[p]) for p in phrases])) if phrases else F.lit(False)
+
+
+def any_of(x: Column | str | Searched, phrases: list[str]) -> Column:
     """Whether the lower-cased text holds any phrase, with no regard to word boundaries. A column given by name is searched in generated code; an
     expression is made once a row, not once a phrase."""
+    if isinstance(x, Searched):
+        return x.any_of(phrases)
     holds = lambda t: reduce(lambda a, b: a | b, [F.contains(t, F.lit(p)) for p in phrases])
     return holds(F.col(x)) if isinstance(x, str) else F.exists(F.array(x), holds)
 

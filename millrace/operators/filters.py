@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as X
 from millrace.functions import vocab as V
+from millrace.operators import terms
 
 
 def lowered(*columns: str) -> Column:
@@ -17,14 +18,20 @@ def lowered(*columns: str) -> Column:
     return F.lower(F.concat_ws(" ", *[X.text(c) for c in columns]))
 
 
-#: Gives the lower-cased text of some columns: an expression, or the name of a column that holds it.
-Low = Callable[..., Column | str]
+#: Gives the lower-cased text of some columns: an expression, the name of a column that holds it, or its phrases.
+Low = Callable[..., "Column | str | X.Searched"]
 
+#: The phrases that rules and scores look for in lower-cased fields.
+RULE_PHRASES = [
+    *V.DEALBREAKERS, *V.NO_SPONSOR, *V.WORLDWIDE, *V.SPONSOR, *V.PERMIT_NEEDED, *V.SCAM_PHRASES, *V.DEV_TITLES, *V.REMOTE_WORDS, *V.TITLE_BOOST, *V.SECTOR_BOOST,
+]
 
-def lowered_once(df: DataFrame, *groups: tuple[str, ...]) -> tuple[DataFrame, Low]:
-    """``df`` with the lower-cased texts of the groups of columns, each made once a row, and how predicates get at them."""
-    names = {g: f"__low{k}" for k, g in enumerate(dict.fromkeys(groups))}
-    return X.bound(df, **{n: lowered(*g) for g, n in names.items()}), lambda *columns: names.get(columns) or lowered(*columns)
+
+def lowered_once(df: DataFrame, *groups: tuple[str, ...], more: list[str] | None = None) -> tuple[DataFrame, Low]:
+    """``df`` with the phrases (``RULE_PHRASES`` and ``more``) that the lower-cased texts of the groups of columns hold, looked up in one pass a row, and how
+    predicates get at them."""
+    out, of = terms.searched_once(df, list(groups), [*RULE_PHRASES, *(more or [])])
+    return out, lambda *columns: of(*columns) or lowered(*columns)
 
 
 #: The groups of columns that the rules look at.

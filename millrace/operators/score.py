@@ -29,11 +29,13 @@ def expanded(skill: str, synonyms: dict[str, list[str]] | None = None) -> list[s
     return [low, *[s.lower().strip() for s in (synonyms or {}).get(low, [])]]
 
 
-def matches(low: Column, skills: list[str], synonyms: dict[str, list[str]] | None = None) -> Column:
+def matches(low: Column | X.Searched, skills: list[str], synonyms: dict[str, list[str]] | None = None) -> Column:
     """How many skills occur in the lower-cased text, by themselves or by a synonym."""
     named = [expanded(s, synonyms) for s in skills if s]
     if not named:
         return F.lit(0)
+    if isinstance(low, X.Searched):
+        return reduce(lambda a, b: a + b, [low.any_of(terms).cast("int") for terms in named])
 
     def count(t: Column) -> Column:
         hits = [reduce(lambda a, b: a | b, [F.contains(t, F.lit(x)) for x in terms]).cast("int") for terms in named]
@@ -49,11 +51,9 @@ def _share(n: Column, skills: list[str]) -> Column:
 def best_variant(variants: list[Variant], merged: list[str] | None = None, synonyms: dict[str, list[str]] | None = None, low: R.Low = R.lowered) -> Column:
     """struct<score, variant>: the best share of skills, the first variant on ties, raised for wanted titles and sectors; without any
     match the share of the merged skills."""
-    fields = F.struct(
-        X.col(low("description", "title", "company")).alias("low"), X.col(low("title")).alias("title"), X.col(low("description", "company")).alias("sector"),
-    )
+    fields = {"low": low("description", "title", "company"), "title": low("title"), "sector": low("description", "company")}
 
-    def judge(x: Column) -> Column:
+    def judge(x) -> Column:
         scored = [F.struct(_share(matches(x["low"], list(v.skills), synonyms), list(v.skills)).alias("score"), F.lit(-k).alias("place"), F.lit(v.name).alias("variant")) for k, v in enumerate(variants) if v.skills]
         none = F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("place"), F.lit(None).cast("string").alias("variant"))
         fallback = _share(matches(x["low"], merged, synonyms), merged) if merged else F.lit(0.0)
@@ -71,7 +71,24 @@ def best_variant(variants: list[Variant], merged: list[str] | None = None, synon
 
     empty = (X.text("description") == "") & (X.text("title") == "")
     nothing = F.struct(F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("variant"))
-    return F.when(empty, nothing).otherwise(F.transform(F.array(fields), judge)[0])
+    looked_up = all(isinstance(x, X.Searched) for x in fields.values())
+    once = judge(fields) if looked_up else F.transform(F.array(F.struct(*[X.col(x).alias(n) for n, x in fields.items()])), judge)[0]
+    return F.when(empty, nothing).otherwise(once)
+
+
+#: The groups of columns that scores look at.
+SCORE_FIELDS = [("description", "title", "company"), ("title",), ("description", "company")]
+
+
+def _all_terms(variants: list[Variant], merged: list[str] | None, synonyms: dict[str, list[str]] | None) -> list[str]:
+    return [t for s in [*(s for v in variants for s in v.skills), *(merged or [])] if s for t in expanded(s, synonyms)]
+
+
+def scored(postings: DataFrame, variants: list[Variant], merged: list[str] | None = None, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
+    """``postings`` with base_score and best_cv, see ``best_variant``."""
+    out, low = R.lowered_once(postings, *SCORE_FIELDS, more=_all_terms(variants, merged, synonyms))
+    out = X.bound(out, __best=best_variant(variants, merged, synonyms, low))
+    return out.select(*postings.columns, F.col("__best.score").alias("base_score"), F.col("__best.variant").alias("best_cv"))
 
 
 def letter_variant(description: Column | str, variants: list[Variant], default: str = "Primary") -> Column:
@@ -113,7 +130,7 @@ def rejected(
 
 def _judged(postings: DataFrame, variants, merged, synonyms, min_score, remote_only) -> tuple[DataFrame, list[str], R.Low]:
     fields = [c for c, t in postings.dtypes if t == "string"]
-    out, low = R.lowered_once(postings, *R.RULE_FIELDS, tuple(fields), ("description", "title", "company"), ("description", "company"))
+    out, low = R.lowered_once(postings, *R.RULE_FIELDS, tuple(fields), *SCORE_FIELDS, more=_all_terms(variants, merged, synonyms))
     out = X.bound(out, __best=best_variant(variants, merged, synonyms, low))
     out = out.withColumns({"base_score": F.col("__best.score"), "best_cv": F.col("__best.variant")}).drop("__best")
     return X.bound(out, reject_reason=R.reject_reason(F.col("base_score"), fields, min_score, remote_only, low)), fields, low

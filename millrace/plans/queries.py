@@ -7,10 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from millrace.functions import text as X
 from millrace.functions import vocab as V
-from millrace.operators import dedup, digest, enrich, filters, health, mail, reports, score, store
+from millrace.operators import dedup, digest, enrich, filters, health, mail, reports, score, store, terms
 from millrace.operators.score import Variant
 from millrace.plans import readers
 from millrace.plans import sql as Q
@@ -242,8 +243,8 @@ SCORED = with_("v_docs") + ", src as (select * from v_docs)" + _score_sql()
 
 @register(SCORED + "select job_id, base_score as score, best_cv from scored")
 def score_best_variant(spark, d):
-    out = X.bound(view(spark, d, "v_docs"), b=score.best_variant(VARIANTS, MERGED))
-    return out.select("job_id", F.col("b.score").alias("score"), F.col("b.variant").alias("best_cv"))
+    out = score.scored(view(spark, d, "v_docs"), VARIANTS, MERGED)
+    return out.select("job_id", F.col("base_score").alias("score"), "best_cv")
 
 
 @register(SCORED + f", j as (select *, {_reason_sql(40)} as reject_reason from scored) select job_id, base_score, best_cv, reject_reason, case when reject_reason is null then cast(round_even(base_score * {FACTOR_SQL}, 0) as int) end as relevance_score from j")
@@ -257,6 +258,35 @@ def reject_summary(spark, d):
     return filters.reject_report(score.rejected(view(spark, d, "v_docs"), VARIANTS, MERGED, min_score=40))
 
 
+TITLE_WORDS = "regexp_extract_all(lower(title), '[a-z]{5,}')"
+TERMS_SQL = with_("v_docs") + f", low as (select job_id, lower(coalesce(description, '')) low from v_docs), terms as (select distinct term from (select unnest({TITLE_WORDS}) term from v_docs)) "
+
+
+def _title_words(spark, d):
+    return view(spark, d, "v_docs").select("company", F.explode(F.regexp_extract_all(F.lower(X.text("title")), F.lit("[a-z]{5,}"), F.lit(0))).alias("term"))
+
+
+@register(TERMS_SQL + "select job_id, count(*) as n_terms, md5(string_agg(term, ' ' order by term)) as terms_md5 from low join terms on contains(low, term) group by job_id")
+def skill_terms(spark, d):
+    met = terms.found(view(spark, d, "v_docs"), _title_words(spark, d), "job_id", "description")
+    return met.groupBy("job_id").agg(F.count("*").alias("n_terms"), F.md5(F.array_join(F.array_sort(F.collect_list("term")), " ").cast("binary")).alias("terms_md5"))
+
+
+@register(
+    TERMS_SQL + ", own as (select distinct coalesce(company, '') variant, term skill from (select company, unnest(" + TITLE_WORDS + ") term from v_docs) where length(term) >= 9), "
+    "sizes as (select variant, count(*) size from own group by variant), syn as (select distinct skill base, skill term from own union select skill, left(skill, 7) from own), "
+    "met as (select distinct job_id, base from low join syn on contains(low, term)), n as (select job_id, variant, count(*) n from met join own on base = skill group by all), "
+    f"s as (select job_id, variant, round_even(least(100.0::double, n / least({float(V.SKILLS_COUNTED)}::double, size::double) * 100), 1) score from n join sizes using (variant)) "
+    "select job_id, score, variant from s qualify row_number() over (partition by job_id order by score desc, variant) = 1"
+)
+def profile_scores(spark, d):
+    """Profiles are a table: the longer title words of each source; a word's beginning is its synonym."""
+    own = _title_words(spark, d).where("length(term) >= 9").select(X.text("company").alias("variant"), F.col("term").alias("skill")).distinct()
+    places = own.select("variant").distinct().withColumn("place", F.dense_rank().over(Window.orderBy("variant")))
+    synonyms = own.select("skill", F.left("skill", F.lit(7)).alias("term")).distinct()
+    return terms.profile_scores(view(spark, d, "v_docs"), own.join(places, "variant"), synonyms, "job_id", "description", V.SKILLS_COUNTED)
+
+
 SKILLS = ["Copper Wire", "antique brass", "tin"]
 
 
