@@ -215,3 +215,11 @@ STYLE_RULES = [
     r"(?i)@(?:media|import|font-face|-ms-viewport|viewport|charset)[^{;]*\{[^}]*\}", r"(?i)@import[^;]*;", r"[.#][\w.\- ]+\s*\{[^}]*\}", r"[\w.\-]+\s*\{[^}]*\}",
     r"\{[^}]*\}", r"https?://\S+",
 ]
+
+# Where a page's description stands, the first that fits wins; elements that never belong to it; hosts whose pages need a login.
+PAGE_SELECTORS = [
+    ".posting-body", ".job__description", "#content .section", ".ashby-job-posting-description", '[data-ui="job-description"]', ".job-description", ".description",
+    '[class*="jobDescription"]', '[class*="job-detail"]', '[class*="posting-body"]', "main article", "main", "article",
+]
+PAGE_NOISE = ["script", "style", "nav", "footer", "header", "noscript"]
+UNREADABLE_HOSTS = ["myworkday.com", "workday.com", "linkedin.com", "taleo.net", "csod.com", "icims.com"]

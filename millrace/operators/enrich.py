@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions import markup
 from millrace.functions import text as X
+from millrace.functions import vocab as V
 
 
 def details(
@@ -43,6 +47,13 @@ def first_found(jobs: DataFrame, steps: list[tuple[str, DataFrame]], least: int
     return out.drop(*[f"__{c}{k}" for k in range(len(steps)) for c in "it"])
 
 
+def scraped(html: Column | str, url: Column | str, selectors: list[str] | None = None, noise: list[str] | None = None, least: int = 150, most: int = 3000) -> Column:
+    """The description in a posting's page; null without a link, on hosts that can't be read, and where no selector has more than ``least`` characters."""
+    unreadable = F.regexp_like(F.lower(X.text(url)), F.lit("|".join(re.escape(h) for h in V.UNREADABLE_HOSTS)))
+    page = F.when((X.text(url) != "") & ~unreadable, X.col(html))
+    return markup.description(page, selectors or V.PAGE_SELECTORS, noise or V.PAGE_NOISE, least, most)
+
+
 def snippets(results: DataFrame, most: int = 3000) -> DataFrame:
     """id, text: the bodies of the search results (id, place, body), joined in order."""
     bodies = F.transform(F.array_sort(F.collect_list(F.struct("place", "body"))), lambda x: x["body"])

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.functions import markup
 from millrace.functions import text as X
 from millrace.functions import vocab as V
 from millrace.operators import dedup, digest, enrich, filters, health, mail, reports, score, store, terms
@@ -830,6 +831,38 @@ def page_text(spark, d):
     return view(spark, d, "v_postings").select("job_id", X.page_text("description").alias("text"))
 
 
+# Pages in other hands' templates: containers of one tag name within each other, a first match that is too short, hosts that can't be read.
+TEMPLATES = (
+    "select page_id, case page_id % 7 when 0 then 'https://acme.MyWorkday.com/x' when 6 then '' else url end url, case page_id % 5 "
+    "when 1 then concat('<div id=\"a\"><div class=\"wide job-description x\"><div><div>', inner_, '</div></div><div>tail of ', page_id, '</div></div><div>after</div></div>') "
+    "when 2 then concat('<div class=\"posting-body\"><b>short</b></div><main><p>head</p><article><div>', inner_, '</div></article></main>') "
+    "when 3 then concat('<section class=\"acme-jobDescriptionBox\"><section>', inner_, '</section><nav>no</nav><section>end</section></section><section>after</section>') "
+    "when 4 then concat('<div id=\"content\"><div><div class=\"section\">', inner_, '</div></div></div>') else html end html, inner_ from (select page_id, url, html, regexp_extract(html, '(?s)<article>(.*)</article>', 1) inner_ from pages)"
+)
+
+
+@register(
+    f"with t as ({TEMPLATES}), a as (select page_id, url, page_id % 5 k, {Q.strip_html('inner_')} a from t), "
+    "b as (select page_id, url, case k when 1 then trim(a || ' tail of ' || page_id) when 3 then trim(a || ' end') when 2 then case when length(a) > 150 then a else trim('head ' || a) end else a end x from a) "
+    "select page_id, case when url <> '' and not contains(lower(url), 'workday.com') and length(x) > 150 then left(x, 3000) end as text from b"
+)
+def scraped_pages(spark, d):
+    spark.read.parquet(f"{d}/pages.parquet").createOrReplaceTempView("pages")
+    return spark.sql(TEMPLATES).select("page_id", enrich.scraped("html", "url").alias("text"))
+
+
+@register(
+    "with i as (select page_id, unnest(regexp_extract_all(html, '<li>(<a href=\"[^\"]*\">[^<]*</a>)</li>', 1)) c from pages) "
+    "select page_id, regexp_extract(c, 'href=\"([^\"]*)\"', 1) as link, trim(regexp_extract(c, '>([^<]*)<', 1)) as name, count(*) as n from i group by all"
+)
+def page_links(spark, d):
+    """The records of all list items, within lists within list items."""
+    pages = spark.read.parquet(f"{d}/pages.parquet")
+    nested = F.concat(F.lit("<ul><li class=outer><b>menu</b>"), F.col("html"), F.lit("</li></ul>"))
+    rows = pages.select("page_id", F.inline(markup.records(nested, "li li", {"name": ("a", None), "link": ("a[href]", "href")})))
+    return rows.groupBy("page_id", "link", "name").agg(F.count("*").alias("n"))
+
+
 @register(
     with_("v_jobs") + "select id, best_cv as selected_cv, concat('Dear hiring team at ', company, ',', chr(10), chr(10), 'I am applying for the position of ', job_title, '. ', "
     "case best_cv when 'CV_A' then 'Pumps are my trade.' when 'CV_B' then 'I write about pumps.' else '' end, chr(10), chr(10), 'Kind regards') as letter from v_jobs"

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions import markup
 from millrace.functions import text as X
 from millrace.functions.rounds import materialise
 from millrace.operators.dedup import first_wins
@@ -288,16 +289,18 @@ def rss(spark: SparkSession, path: str, source: str, company: str | None = None,
     return keyword_match(rows, keywords or [], "title", "description")
 
 
+#: The fields of a search page's card, where they stand: text of an element, or an attribute.
+CARD_FIELDS = {
+    "title": ('h3[class*="title" i], span[class*="title" i]', None), "company": ('h4[class*="subtitle" i], a[class*="subtitle" i]', None), "link": ("a[href]", "href"),
+    "location": ('[class*="location" i]', None), "date_posted": ("time", "datetime"),
+}
+
+
 def guest_cards(pages: DataFrame, search_query: str = "") -> DataFrame:
-    """Postings of a search page's cards (html): a list item each; cards without a title go."""
-    card = F.explode(F.regexp_extract_all(X.text("html"), F.lit(r"(?is)<li\b.*?</li>"), F.lit(0)))
-    rows = pages.select(card.alias("card"))
-    inner = lambda mark: X.strip_html(F.regexp_extract("card", rf"(?is)<[a-z0-9]+[^>]*class=\"[^\"]*{mark}[^\"]*\"[^>]*>(.*?)</", 1))
-    link = X.unescaped(F.regexp_extract("card", r"(?is)<a[^>]*href=\"([^\"]+)\"", 1))
-    rows = rows.withColumn("__title", inner("title")).where("__title <> ''")
+    """Postings of a search page's cards (html): each list item, nested ones too; cards without a title go."""
+    rows = pages.select(F.inline(markup.records("html", "li", CARD_FIELDS))).where("title <> ''")
     found = _posting(
-        rows, "LinkedIn", title=F.col("__title"), company=_filled(inner("subtitle"), F.lit("Unknown")), link=link,
-        location=_filled(inner("location"), F.lit("Remote")), date_posted=F.regexp_extract("card", r"datetime=\"([^\"]+)\"", 1),
+        rows, "LinkedIn", title=F.col("title"), company=F.coalesce("company", F.lit("Unknown")), link=F.col("link"), location=F.coalesce("location", F.lit("Remote")), date_posted=F.col("date_posted"),
     )
     return found.withColumn("search_query", F.lit(search_query))
 
