@@ -6,12 +6,12 @@ language, stored as the varint-coded runs of zeros between its ones. A phrase's
 longer phrase, its popcount the number of occurrences in the shard, and the sum of popcounts over all shards the number in the corpus.
 
 1. Words: popcounts are summed over shards; words below the least count, and all phrases with them, are out.
-2. Pairs: the words at the shifted ones of all bitmaps of a shard are looked up at once (a shard has hundreds of thousands of different pairs), which gives the
-   popcounts of all pairs; they are summed over shards, and each shard learns which of its pairs are frequent in the corpus.
-3. Longer phrases: each shard extends its frequent pairs depth-first, by words that make a frequent pair with the last one, by shift, AND and popcount; sums are taken over shards again.
+2. Pairs and triples: a shard has hundreds of thousands of different ones, most of them once, and a bitmap each would cost more than the text. So the words at the shifted ones of all
+   bitmaps are looked up at once, which gives the popcounts of all pairs, then of all triples of two frequent pairs. They are summed over shards, and each shard learns which of its own are frequent in the corpus.
+3. Longer phrases: each shard extends its frequent triples depth-first by shift, AND and popcount, by words that make a frequent triple with the last two; sums are taken over shards again.
 
-How it scales: a shard gives a word, a pair or a phrase one row, so no key of the three sums can hold more rows than there are shards, however frequent it is.
-Bitmaps are shuffled by shard, twice, never by word. A task holds one shard. Nothing is collected or broadcast but the number of words of each language where Spark finds it small. From a position come three longer phrases at most.
+How it scales: a shard gives a word or a phrase one row, so no key of the sums can hold more rows than there are shards, however frequent it is.
+Bitmaps are shuffled by shard, three times, never by word. A task holds one shard. Nothing is collected or broadcast but the number of words of each language where Spark finds it small. From a position come four phrases at most.
 Ranks are cut by language in the tasks before rows meet.
 
 Defined cases: null and empty texts have no words; a null language is ``und``; repeated rows count again; equal scores go by count, then by the phrase's bytes; ties between cuts go to the shortest first part; an
@@ -234,59 +234,85 @@ def _ids(rows: dict[int, pa.Table]) -> np.ndarray:
     return rows[0].column("id").to_numpy()[np.argsort(rows[0].column("no").to_numpy())]
 
 
+def _local(rows: dict[int, pa.Table], ids: np.ndarray, *columns: str) -> list[np.ndarray]:
+    """Words of the frequent pairs or triples, counted from 1 in the order of their numbers in the shard."""
+    by_id = np.argsort(ids)
+    return [by_id[np.searchsorted(ids, rows[2].column(c).to_numpy(), sorter=by_id)] + 1 for c in columns]
+
+
+def _runs(shard: int, n: np.ndarray, **words: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(n), 50_000):
+        part = slice(k, k + 50_000)
+        cols = [pa.array(np.full(len(n[part]), shard)), *[pa.array(w[part]) for w in words.values()], pa.array(n[part])]
+        yield pa.RecordBatch.from_arrays(cols, ["shard", *words, "n"])
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shards -> shard, a, b, n: the popcounts of all pairs of frequent words."""
     for shard, rows in _shards(batches):
-        if not rows[0].num_rows:
-            continue
-        _, places, first = _positions(rows)
-        ids, at = _ids(rows), _transposed(places, first)
-        met = np.flatnonzero((at[:-1] > 0) & (at[1:] > 0))
-        both, n = np.unique(at[met].astype(np.int64) * (len(ids) + 1) + at[met + 1], return_counts=True)
-        a, b = ids[both // (len(ids) + 1) - 1], ids[both % (len(ids) + 1) - 1]
-        for k in range(0, len(both), 50_000):
-            s = slice(k, k + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[s]), shard)), pa.array(a[s]), pa.array(b[s]), pa.array(n[s])], ["shard", "a", "b", "n"])
+        if rows[0].num_rows:
+            _, places, first = _positions(rows)
+            ids, at = _ids(rows), _transposed(places, first)
+            met = np.flatnonzero((at[:-1] > 0) & (at[1:] > 0))
+            both, n = np.unique(at[met].astype(np.int64) * len(first) + at[met + 1], return_counts=True)
+            yield from _runs(shard, n, a=ids[both // len(first) - 1], b=ids[both % len(first) - 1])
+
+
+def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shards with their frequent pairs -> shard, a, b, c, n: the popcounts of all triples of two frequent pairs."""
+    for shard, rows in _shards(batches):
+        if rows[2].num_rows:
+            _, places, first = _positions(rows)
+            ids, at = _ids(rows), _transposed(places, first).astype(np.int64)
+            a, b = _local(rows, ids, "a", "b")
+            known = np.sort(a * len(first) + b)
+            keys = at[:-1] * len(first) + at[1:]
+            pair = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            pair = np.where(known[pair] == keys, pair + 1, 0)  # the frequent pair that starts at each position, from 1
+            met = np.flatnonzero((pair[:-1] > 0) & (pair[1:] > 0))
+            both, n = np.unique(pair[met] * (len(known) + 1) + pair[met + 1], return_counts=True)
+            left, right = known[both // (len(known) + 1) - 1], known[both % (len(known) + 1) - 1]
+            yield from _runs(shard, n, a=ids[left // len(first) - 1], b=ids[right // len(first) - 1], c=ids[right % len(first) - 1])
 
 
 def _deepened(longest: int):
-    """Shards with their frequent pairs -> lang, phrase, k, n: the popcounts of all phrases of 2 to ``longest`` words that are made of frequent pairs."""
+    """Shards with their frequent triples -> lang, phrase, k, n: the popcounts of all phrases of 4 to ``longest`` words that are made of frequent triples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _shards(batches):
             if not rows[2].num_rows:
                 continue
             _, places, first = _positions(rows)
-            ids, at = _ids(rows), _transposed(places, first)
-            by_id = np.argsort(ids)
-            local = lambda c: by_id[np.searchsorted(ids, rows[2].column(c).to_numpy(), sorter=by_id)].tolist()  # noqa: B023, E731
-            follow: dict[int, set[int]] = defaultdict(set)
-            for a, b in zip(local("a"), local("b"), strict=True):
-                follow[a].add(b)
-            names = [None] * len(ids)
-            for no, lang, word in zip(np.argsort(np.argsort(rows[0].column("no").to_numpy())), rows[0].column("lang").to_pylist(), rows[0].column("word").to_pylist(), strict=True):
-                names[no] = (lang, word)
-            bitmaps: dict[int, Bitmap] = {}
+            ids = _ids(rows)
+            triples = list(zip(*(x.tolist() for x in _local(rows, ids, "a", "b", "c")), strict=True))
+            follow: dict[tuple[int, int], list[int]] = defaultdict(list)
+            for a, b, c in triples:
+                follow[a, b].append(c)
+            order = np.argsort(rows[0].column("no").to_numpy())
+            names = [x.take(pa.array(order)).to_pylist() for x in (rows[0].column("lang"), rows[0].column("word"))]
+            bitmaps: dict[tuple[int, ...], Bitmap] = {}
 
             def bitmap(word: int) -> Bitmap:
-                if word not in bitmaps:  # noqa: B023
-                    bitmaps[word] = Bitmap.of(places[first[word] : first[word + 1]])  # noqa: B023
-                return bitmaps[word]  # noqa: B023
+                if (word,) not in bitmaps:  # noqa: B023
+                    bitmaps[word,] = Bitmap.of(places[first[word - 1] : first[word]])  # noqa: B023
+                return bitmaps[word,]  # noqa: B023
 
             out: list[tuple[str, str, int, int]] = []
-            stack = [([a], bitmap(a)) for a in follow]
-            while stack:
-                path, own = stack.pop()
-                nexts = follow[path[-1]]
-                if len(nexts) > 3:  # only those that stand there
-                    nexts = nexts.intersection((at[own.positions() + 1] - 1).tolist())  # noqa: B023
-                moved = own.shifted()
-                for word in nexts:
-                    longer = moved & bitmap(word)
-                    if n := longer.popcount():
-                        to = [*path, word]
-                        out.append((names[word][0], " ".join(names[w][1] for w in to), len(to), n))
-                        if len(to) < longest and word in follow:
+            for a, b in list(follow):
+                stack = [((a, b), bitmap(a).shifted() & bitmap(b))] if any((b, c) in follow for c in follow[a, b]) else []
+                while stack:
+                    path, own = stack.pop()
+                    moved = own.shifted()
+                    for word in follow[path[-2:]]:
+                        to = (*path, word)
+                        deeper = len(to) < longest and to[-2:] in follow
+                        if len(to) == 3 and not deeper:
+                            continue  # counted before
+                        longer = moved & bitmap(word)
+                        n = longer.popcount()
+                        if n and len(to) > 3:
+                            out.append((names[0][word - 1], " ".join(names[1][w - 1] for w in to), len(to), n))
+                        if n and deeper:
                             stack.append((to, longer))
                 if len(out) >= 20_000:
                     yield _phrases(out)
@@ -302,18 +328,33 @@ def _phrases(out: list[tuple[str, str, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], ["lang", "phrase", "k", "n"])
 
 
-def _gathered(words: DataFrame, bitmaps: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """The frequent words, bitmaps and frequent pairs of a shard as kinds 0, 1 and 2, one shard after the other."""
+def _gathered(words: DataFrame, bitmaps: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """The frequent words, bitmaps and frequent pairs or triples of a shard as kinds 0, 1 and 2, one shard after the other."""
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    rows = words.select("shard", F.lit(0).alias("kind"), "no", "id", *(["lang", "word"] if pairs is not None else [none("string", "lang"), none("string", "word")]), none("binary", "gaps"), none("long", "a"), none("long", "b"))
+    rows = words.select("shard", F.lit(0).alias("kind"), "no", "id", "lang", "word", none("binary", "gaps"), *[none("long", c) for c in "abc"])
     rows = rows.unionByName(bitmaps.select("shard", F.lit(1).alias("kind"), "no", "gaps"), allowMissingColumns=True)
-    if pairs is not None:
-        rows = rows.unionByName(pairs.select("shard", F.lit(2).alias("kind"), "a", "b"), allowMissingColumns=True)
+    if runs is not None:
+        rows = rows.unionByName(runs.drop("f").withColumn("kind", F.lit(2)), allowMissingColumns=True)
     return rows.repartition(partitions_for(words.sparkSession), "shard").sortWithinPartitions("shard", "kind")
 
 
+def _frequent(runs: DataFrame, words: list[str], least: int, name: str) -> DataFrame:
+    """The runs (shard, words, n) that occur ``least`` times in all shards, with f, how often."""
+    summed = runs.withColumn("f", F.sum("n").over(Window.partitionBy(*words))).where(F.col("f") >= least)
+    return materialise(summed.select("shard", *words, "f"), name)
+
+
+def _named(runs: DataFrame, words: list[str], known: DataFrame) -> DataFrame:
+    """lang, phrase, k, a of each of the runs once."""
+    out = runs.select(*words, "f").distinct()
+    names = known.select("id", "lang", "word").distinct()
+    for c in words:
+        out = out.join(names.select(F.col("id").alias(c), F.col("word").alias(f"word_{c}"), *[F.col("lang")] * (c == words[0])), c)
+    return out.select("lang", F.concat_ws(" ", *[f"word_{c}" for c in words]).alias("phrase"), F.lit(len(words)).alias("k"), F.col("f").alias("a"))
+
+
 def count_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 5, least: int = 100, shard_words: int = 4_000_000) -> tuple[DataFrame, DataFrame]:
-    """lang, phrase, k, a: all phrases of 1 to ``longest`` words that occur ``least`` times or more, and how often; and lang, n: the words of each language."""
+    """lang, phrase, k, a: all phrases of 1 to ``longest`` (3 or more) words that occur ``least`` times or more, and how often; and lang, n: the words of each language."""
     rows = pick(docs, lang=lang_col, text=text_col).select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
     bitmaps = materialise(rows.mapInArrow(_fill(shard_words), BITMAPS), "bitmaps")
     words = bitmaps.groupBy("lang").agg(F.sum("n").alias("n"))
@@ -322,13 +363,14 @@ def count_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     light = bitmaps.select("shard", "no", "lang", "word", "n")
     known = light.withColumn("f", F.sum("n").over(by_word)).withColumn("id", F.min(uid).over(by_word)).where(F.col("f") >= least)
     known = materialise(known.select("shard", "no", "id", "lang", "word", "f"), "words")
-    pairs = _gathered(known, bitmaps).mapInArrow(_pairs, "shard long, a long, b long, n long")
-    frequent = pairs.withColumn("f", F.sum("n").over(Window.partitionBy("a", "b"))).where(F.col("f") >= least)
-    frequent = materialise(frequent.select("shard", "a", "b"), "pairs")
-    found = _gathered(known, bitmaps, frequent).mapInArrow(_deepened(longest), "lang string, phrase string, k int, n long")
+    two, three = ["a", "b"], ["a", "b", "c"]
+    pairs = _frequent(_gathered(known, bitmaps).mapInArrow(_pairs, "shard long, a long, b long, n long"), two, least, "pairs")
+    triples = _frequent(_gathered(known, bitmaps, pairs).mapInArrow(_triples, "shard long, a long, b long, c long, n long"), three, least, "triples")
+    found = _gathered(known, bitmaps, triples).mapInArrow(_deepened(longest), "lang string, phrase string, k int, n long")
     longer = found.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
     single = known.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("k"), F.col("f").alias("a")).distinct()
-    return materialise(single.unionByName(longer), "phrases"), words
+    counted = single.unionByName(_named(pairs, two, known)).unionByName(_named(triples, three, known)).unionByName(longer)
+    return materialise(counted, "phrases"), words
 
 
 def _run(first: Column, size: Column) -> Column:
