@@ -95,14 +95,13 @@ class Bitmap:
 
     def shifted(self) -> Bitmap:
         """All bits one place on."""
-        over = (self.words >> np.uint64(63)).astype(bool)
-        moved = self.words << np.uint64(1)
-        if not over.any():
-            return Bitmap(self.at, moved)
-        at = np.union1d(self.at, self.at[over] + 1)
-        words = np.zeros(len(at), np.uint64)
-        words[np.searchsorted(at, self.at)] = moved
-        words[np.searchsorted(at, self.at[over] + 1)] |= np.uint64(1)
+        over = self.at[(self.words >> np.uint64(63)) > 0] + 1  # words that get a bit from the one before
+        at, words = self.at, self.words << np.uint64(1)
+        if len(over):
+            to = np.searchsorted(at, over)
+            new = at[np.minimum(to, len(at) - 1)] != over
+            at, words = np.insert(at, to[new], over[new]), np.insert(words, to[new], np.uint64(0))
+            words[np.searchsorted(at, over)] |= np.uint64(1)
         return Bitmap(at, words)
 
     def __and__(self, other: Bitmap) -> Bitmap:
@@ -285,25 +284,31 @@ def _deepened(longest: int):
             _, places, first = _positions(rows)
             ids = _ids(rows)
             triples = list(zip(*(x.tolist() for x in _local(rows, ids, "a", "b", "c")), strict=True))
-            follow: dict[tuple[int, int], list[int]] = defaultdict(list)
+            follow: dict[tuple[int, int], set[int]] = defaultdict(set)
             for a, b, c in triples:
-                follow[a, b].append(c)
+                follow[a, b].add(c)
             order = np.argsort(rows[0].column("no").to_numpy())
             names = [x.take(pa.array(order)).to_pylist() for x in (rows[0].column("lang"), rows[0].column("word"))]
-            bitmaps: dict[tuple[int, ...], Bitmap] = {}
+            bitmaps: dict[int, Bitmap] = {}
+            at = _transposed(places, first)
 
             def bitmap(word: int) -> Bitmap:
-                if (word,) not in bitmaps:  # noqa: B023
-                    bitmaps[word,] = Bitmap.of(places[first[word - 1] : first[word]])  # noqa: B023
-                return bitmaps[word,]  # noqa: B023
+                if word not in bitmaps:  # noqa: B023
+                    bitmaps[word] = Bitmap.of(places[first[word - 1] : first[word]])  # noqa: B023
+                return bitmaps[word]  # noqa: B023
 
             out: list[tuple[str, str, int, int]] = []
-            for a, b in list(follow):
-                stack = [((a, b), bitmap(a).shifted() & bitmap(b))] if any((b, c) in follow for c in follow[a, b]) else []
+            moved_a, last = None, 0
+            for a, b in sorted(follow):
+                if a != last:
+                    moved_a, last = bitmap(a).shifted(), a
+                stack = [((a, b), moved_a & bitmap(b))] if any((b, c) in follow for c in follow[a, b]) else []
                 while stack:
                     path, own = stack.pop()
-                    moved = own.shifted()
-                    for word in follow[path[-2:]]:
+                    moved, nexts = own.shifted(), follow[path[-2:]]
+                    if len(nexts) > 2:  # only those that stand there
+                        nexts = sorted(set(at[own.positions() + 1].tolist()).intersection(nexts))  # noqa: B023
+                    for word in nexts:
                         to = (*path, word)
                         deeper = len(to) < longest and to[-2:] in follow
                         if len(to) == 3 and not deeper:
