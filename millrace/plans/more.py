@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as X
 from millrace.functions import vocab as V
-from millrace.operators import dedup, digest, enrich, filters, health, mail, reports, score, store
+from millrace.functions.rounds import materialise
+from millrace.operators import dedup, digest, enrich, filters, health, index, mail, reports, score, store
 from millrace.plans import queries as P
 from millrace.plans import readers
 from millrace.plans import sql as Q
 from millrace.plans.queries import NOW, VARIANTS, register
 from millrace.plans.views import view, with_
-from millrace.sources import boards
+from millrace.sources import boards, paged
 
 # --- text ---
 
@@ -77,6 +78,43 @@ def search_snippets(spark, d):
     return enrich.snippets(rows.select(F.col("conv_id").alias("id"), F.col("turn").alias("place"), F.col("text").alias("body")))
 
 
+# Every page asks for two of its own phrases, for words of its own in another order, or for a word that no page has.
+_W = "regexp_extract_all(lower(coalesce({x}, '')), '[\\p{{L}}\\p{{N}}]+')"
+ASKED = (
+    "select job_id qid, case job_id % 3 when 0 then [array_to_string(w[6:8], ' '), array_to_string(w[10:11], ' ')] when 1 then [concat_ws(' ', w[9], w[6], w[12])] else [concat_ws(' ', w[6], 'zzqx')] end phrases from d"
+)
+PHRASES_SQL = (
+    with_("v_postings") + f", t as (select job_id, {P._page_sql('description')} x from v_postings), d as (select job_id, {_W.format(x='x')} w from t), q0 as ({ASKED}), "
+    f"q1 as (select qid, list_filter(list_transform(phrases, lambda p: {_W.format(x='p')}), lambda p: len(p) > 0) ps from q0), q as (select qid, list_filter(ps, lambda p, i: list_position(ps, p) = i) ps from q1), p as (select qid, unnest(range(1, len(ps) + 1)) k, unnest(ps) p from q), "
+    "o as (select p.qid, p.k, d.job_id id, p.p, i from p join d on list_has_all(d.w, p.p), unnest(range(1, len(d.w) - len(p.p) + 2)) u(i) where d.w[i : i + len(p.p) - 1] = p.p), "
+    "e as (select qid, id, count(distinct k) has, count(*) n, min(i - 1) filter (where k = 1) pos from o group by all), "
+    "x as (select e.* from e join q using (qid) where has = len(ps)), "
+    "b as (select qid, d.job_id id, list_distinct(flatten(ps)) ws, w from q join d on list_has_all(w, flatten(ps)) where len(ps) > 0 and qid not in (select qid from x)), "
+    "c as (select qid, id, len(list_filter(w, lambda y: list_contains(ws, y))) n, list_min(list_transform(ws, lambda y: list_position(w, y))) - 1 pos from b), "
+    "r as (select qid, id, n, pos, false broad from x union all select qid, id, n, pos, true from c), f as (select *, row_number() over (partition by qid order by n desc, id) rank from r qualify rank <= 5) "
+)
+
+
+def _looked_up(spark, d):
+    pages = materialise(view(spark, d, "v_postings").select("job_id", X.page_text("description").alias("x")), "pages")
+    w = index.words("x")
+    part = lambda a, n: F.array_join(F.slice(w, a, n), " ")
+    one = lambda k: F.get(w, F.lit(k - 1))
+    asked = F.when(F.col("job_id") % 3 == 0, F.array(part(6, 3), part(10, 2))).when(F.col("job_id") % 3 == 1, F.array(F.concat_ws(" ", one(9), one(6), one(12)))).otherwise(F.array(F.concat_ws(" ", one(6), F.lit("zzqx"))))
+    return pages, index.search(index.build(pages, "job_id", "x"), pages.select(F.col("job_id").alias("qid"), asked.alias("phrases")))
+
+
+@register(PHRASES_SQL + "select qid, cast(rank as int) as rank, id, cast(pos as int) as \"at\", cast(n as bigint) as n, broad from f")
+def phrase_lookup(spark, d):
+    return _looked_up(spark, d)[1]
+
+
+@register(PHRASES_SQL + ", s as (select qid, rank, array_to_string(w[greatest(pos - 5, 0) + 1 : greatest(pos - 5, 0) + 30], ' ') body from f join d on d.job_id = f.id) select qid, left(string_agg(body, ' ' order by rank), 3000) as text from s group by qid")
+def phrase_snippets(spark, d):
+    pages, found = _looked_up(spark, d)
+    return index.snippets(found, pages, "job_id", "x")
+
+
 # --- runs and searches ---
 
 
@@ -118,6 +156,46 @@ def board_scan(spark, d):
     return boards.scan(named("A", "greenhouse").union(named("B", "lever")).union(broken))[1]
 
 
+# Sixty boards of three kinds: short pages and totals with more behind them, refusals, failures.
+PAGED = (
+    "select *, case k when 0 then 'smartrecruiters' when 1 then 'workday' else 'jsearch' end kind, case k when 2 then n div 40 else 0 end query, case k when 0 then n div 100 * 100 when 1 then n div 20 * 20 else n % 40 div 10 + 1 end start from "
+    "(select o_orderkey id, o_custkey % 60 no, o_custkey % 60 % 3 k, concat('b', o_custkey % 60) board, row_number() over (partition by o_custkey % 60 order by o_orderkey) - 1 n, count(*) over (partition by o_custkey % 60) total from orders)"
+)
+PAGED_SQL = "with p as (" + PAGED.replace(" div ", " // ") + "), failed as (select distinct board, case k when 0 then 'HTTP 500' else 'HTTP 401' end error from p where k = 0 and no % 15 = 0 and start = 100 or k = 1 and no % 5 = 0) "
+
+
+def _paged_scan(spark, d):
+    spark.read.parquet(f"{d}/orders.parquet").createOrReplaceTempView("orders")
+    rows = spark.sql(PAGED).where("not (k = 0 and no % 4 = 0 and start = 100 and n % 100 >= 60)")
+    item = {
+        "content": "named_struct('id', cast(id as string), 'name', concat('Job ', id))", "jobPostings": "named_struct('title', concat('Job ', id), 'externalPath', concat('/job/', id))",
+        "data": "named_struct('job_title', concat('Job ', id), 'employer_name', board, 'job_apply_link', concat('https://j.org/', id))",
+    }
+    lists = {name: F.transform(F.array_sort(F.collect_list(F.expr(f"struct(n, {x} as x)"))), lambda e: e["x"]) for name, x in item.items()}
+    grouped = rows.groupBy("no", "k", "board", "kind", "query", "start").agg(*[x.alias(name) for name, x in lists.items()], F.max("total").alias("own"))
+    total = F.when(F.col("start") > 0, 0).otherwise(F.expr("if(no % 4 = 0, 45, own)"))
+    json = F.when(F.col("k") == 0, F.to_json(F.struct("content"))).when(F.col("k") == 1, F.to_json(F.struct("jobPostings", total.alias("total")))).otherwise(F.to_json(F.struct("data")))
+    status = F.expr(
+        "case when k = 0 and no % 15 = 0 and start = 100 then 500 when k = 1 and no % 5 = 0 and start = 0 then 401 when k = 2 and no % 4 = 0 and query = 2 and start = 2 then 429 when k = 2 and no % 5 = 0 and query = 1 and start = 1 then 500 else 200 end"
+    )
+    pages = grouped.select("board", "kind", F.col("query").cast("int").alias("query"), F.col("start").cast("long").alias("start"), status.cast("int").alias("status"), json.alias("payload"))
+    return paged.read(spark, paged.record(pages, "pages"), most=240, pages=3)
+
+
+@register(
+    PAGED_SQL + "select board as company, 'Job ' || id as title, case k when 0 then 'https://jobs.smartrecruiters.com/' || board || '/' || id when 1 then 'https://' || board || '.wd5.myworkdayjobs.com/External/job/' || id else 'https://j.org/' || id end as link, "
+    "case k when 0 then 'SmartRecruiters' when 1 then 'Workday' else 'JSearch' end as source from p where board not in (select board from failed) and case k when 0 then n < 240 and (no % 4 <> 0 or n < 160) when 1 then n < case when no % 4 = 0 then 60 else 240 end "
+    "else n % 40 < 30 and not (no % 4 = 0 and (query > 2 or query = 2 and start >= 2)) and not (no % 5 = 0 and query = 1 and start = 1) end"
+)
+def paged_boards(spark, d):
+    return boards.paged(_paged_scan(spark, d)).select("company", "title", "link", "source")
+
+
+@register(PAGED_SQL + "select board, error from failed")
+def paged_failures(spark, d):
+    return _paged_scan(spark, d).where("error is not null").select("board", "error")
+
+
 # --- edits of stored rows ---
 
 

@@ -350,6 +350,15 @@ def scan(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     return postings, boards.select(F.concat_ws(" / ", "ats", "company").alias("source"), "queries", F.coalesce("raw_count", F.lit(0)).alias("raw_count"), "error")
 
 
+def paged(pages: DataFrame) -> DataFrame:
+    """The postings of the pages that a scan of paged boards has found (see ``sources.paged``); failures have none."""
+    of = lambda kind: pages.where((F.col("kind") == kind) & F.col("payload").isNotNull())
+    board = F.col("board")
+    site = F.concat(F.lit("https://"), board, F.lit(".wd5.myworkdayjobs.com/External"))
+    found = [smart_recruiters(of("smartrecruiters"), board, board), workday(of("workday"), board, site), jsearch(of("jsearch"))]
+    return reduce(DataFrame.unionByName, found)
+
+
 def union_of(frames: list[DataFrame]) -> DataFrame:
     """All postings with their order ``ord``: the frames' order, then by what a posting holds, so that reruns agree whatever the partitions. Equal
     postings of a frame get different numbers."""
