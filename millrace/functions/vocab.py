@@ -223,3 +223,13 @@ PAGE_SELECTORS = [
 ]
 PAGE_NOISE = ["script", "style", "nav", "footer", "header", "noscript"]
 UNREADABLE_HOSTS = ["myworkday.com", "workday.com", "linkedin.com", "taleo.net", "csod.com", "icims.com"]
+
+# Networks that are not public (true), and public ones within them (false); the longest prefix counts.
+NETWORKS = {
+    "0.0.0.0/8": True, "10.0.0.0/8": True, "127.0.0.0/8": True, "169.254.0.0/16": True, "172.16.0.0/12": True, "192.0.0.0/24": True, "192.0.0.9/32": False, "192.0.0.10/32": False,
+    "192.0.2.0/24": True, "192.168.0.0/16": True, "198.18.0.0/15": True, "198.51.100.0/24": True, "203.0.113.0/24": True, "224.0.0.0/4": True, "240.0.0.0/4": True,
+    "::ffff:0:0/96": False, "::/8": True, "100::/8": True, "200::/7": True, "400::/6": True, "800::/5": True, "1000::/4": True, "4000::/3": True, "6000::/3": True, "8000::/3": True,
+    "a000::/3": True, "c000::/3": True, "e000::/4": True, "f000::/5": True, "f800::/6": True, "fe00::/9": True, "2001::/23": True, "2001:1::1/128": False, "2001:1::2/128": False,
+    "2001:3::/32": False, "2001:4:112::/48": False, "2001:20::/28": False, "2001:30::/28": False, "2001:db8::/32": True, "2002::/16": True, "3fff::/20": True, "fc00::/7": True,
+    "fe80::/10": True, "ff00::/8": True,
+}

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions import addresses
 from millrace.functions import text as X
 from millrace.functions import vocab as V
 from millrace.operators import terms
@@ -133,13 +134,10 @@ def link_live() -> Column:
 
 
 def internal_url(url: Column | str) -> Column:
-    """Not http(s), no host, or a literal address of a private, loopback, link-local, reserved or multicast range."""
+    """Not http(s), no host, or a literal address, in any form, of a network that is not public (``NETWORKS``)."""
     host = F.regexp_extract(F.lower(X.text(url)), r"^https?://(?:[^/@?#]*@)?(\[[^\]]*\]|[^/:?#]*)", 1)
-    part = lambda k: F.try_element_at(F.split(host, r"\."), F.lit(k)).try_cast("int")
-    a, b = part(1), part(2)
-    literal = F.regexp_like(host, F.lit(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"))
-    private = a.isin(0, 10, 127) | (a >= 224) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 100) & b.between(64, 127))
-    return (host == "") | (host == "localhost") | (literal & private) | F.regexp_like(host, F.lit(r"^\[(::1?|f[cd]|fe[89ab]|ff)"))
+    inside = addresses.verdict(addresses.number(host), V.NETWORKS)
+    return (host == "") | (host == "localhost") | F.coalesce(inside, F.lit(False))
 
 
 def within_budget(df: DataFrame, active: Column, most: int, order: str = "ord") -> DataFrame:

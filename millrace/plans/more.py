@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.functions import addresses
 from millrace.functions import text as X
 from millrace.functions import vocab as V
 from millrace.functions.rounds import materialise
@@ -115,6 +116,47 @@ def phrase_snippets(spark, d):
     return index.snippets(found, pages, "job_id", "x")
 
 
+# Addresses near the borders of networks, in five text forms.
+OCTETS = (
+    "select id, k, case id % 9 when 0 then 10 when 1 then 127 when 2 then 169 when 3 then 172 when 4 then 192 when 5 then 198 when 6 then 203 when 7 then 100 else id % 256 end a, "
+    "case id % 9 when 2 then 253 + id % 3 when 3 then 14 + id % 20 when 4 then id % 2 * 168 when 5 then 17 + id % 4 * 17 when 6 then id % 2 else id * 7 % 256 end b, case when id % 9 in (4, 5, 6) then id % 3 * 50 + 2 + id % 2 * 11 else id * 13 % 256 end c, id * 29 % 256 d "
+    "from (select o_orderkey id, o_orderkey % 7 k from orders)"
+)
+ADDRESS_SQL = f"with o as ({OCTETS}), n as (select *, a * 16777216 + b * 65536 + c * 256 + d n from o) "
+IN_SQL = (
+    "(n // 16777216 in (0, 10, 127) or n // 65536 in (43518, 49320) or n // 1048576 = 2753 or n // 256 in (12582912, 12582914, 12989284, 13303921) and n not in (3221225481, 3221225482) or n // 131072 = 25353 or n // 268435456 >= 14)"
+)
+
+
+def _addresses(spark, d):
+    spark.read.parquet(f"{d}/orders.parquet").createOrReplaceTempView("orders")
+    n = F.expr("cast(a * 16777216 + b * 65536 + c * 256 + d as bigint)")
+    dotted = F.concat_ws(".", "a", "b", "c", "d")
+    form = (
+        F.when(F.col("k") == 0, dotted).when(F.col("k") == 1, F.concat(F.lit("[::FFFF:"), dotted, F.lit("]"))).when(F.col("k") == 2, n.cast("string")).when(F.col("k") == 3, F.concat(F.lit("0x"), F.hex(n)))
+        .when(F.col("k") == 4, F.concat(F.lit("[64:ff9b::"), dotted, F.lit("]"))).when(F.col("k") == 5, F.concat(F.lit("[2a00:"), F.lower(F.hex("c")), F.lit("::"), F.hex("d"), F.lit("]"))).otherwise(F.concat(F.conv("a", 10, 8).alias("x"), F.lit(".host.org")))
+    )
+    return spark.sql(OCTETS).select("id", form.alias("host"))
+
+
+@register(ADDRESS_SQL + f"select id, case when k < 4 then {IN_SQL} else k = 4 end as internal from n")
+def address_ranges(spark, d):
+    return _addresses(spark, d).select("id", filters.internal_url(F.concat(F.lit("http://u@"), "host", F.lit(":8080/x"))).alias("internal"))
+
+
+NETS = "select distinct p_partkey * 40503 % 256 na, p_partkey * 193 % 256 nb, 4 + p_partkey % 17 len from part"
+
+
+@register(
+    ADDRESS_SQL + f", t as (select distinct len, (na * 16777216 + nb * 65536) net, na || '.' || nb || '.0.0/' || len network from ({NETS})), m as (select id, network, row_number() over (partition by id order by len desc, network) r from n join t on n.n >> (32 - len) = t.net >> (32 - len) where k < 4) "
+    "select id, network from m where r = 1"
+)
+def address_networks(spark, d):
+    spark.read.parquet(f"{d}/part.parquet").createOrReplaceTempView("part")
+    nets = spark.sql(f"select concat(na, '.', nb, '.0.0/', len) network from ({NETS})")
+    return addresses.matched(_addresses(spark, d), "host", nets, "id")
+
+
 # --- runs and searches ---
 
 
