@@ -29,6 +29,13 @@ def _at() -> Column:
     return F.lit(AS_OF).cast("timestamp_ntz")
 
 
+def _over(spark: SparkSession, sf_dir: str, rows: str, *tables: str) -> DataFrame:
+    """A subquery over given tables that Spark and DuckDB both read."""
+    for t in tables:
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    return spark.sql(f"select * from {rows}")
+
+
 def register(sql: str | None = None):
     def add(make):
         QUERIES[make.__name__] = make
@@ -86,13 +93,17 @@ def normalize_title_company(spark, d):
     )
 
 
-LABELS = "(values (1,'master_cv_Sales-Engineer_2.docx'),(2,'cv_writer.pdf'),(3,'123.txt'),(4,''),(5,'A B_c 12')) as t(id, name)"
+# File names of all parts, with and without prefixes, numbers and endings.
+LABELS = (
+    "(select p_partkey id, case p_partkey % 5 when 0 then concat('master_cv_', replace(p_name, ' ', '_'), '-', p_partkey, '.docx') when 1 then concat(p_partkey, '.pdf') when 2 then concat(p_name, ' ', p_partkey % 30) "
+    "when 3 then concat('a<b:\"', p_name, '?|', p_partkey, '.t.x') else '' end name from part) t"
+)
 LABEL_SQL = "nullif(" + Q.collapse("regexp_replace(translate(regexp_replace(regexp_replace(name, '\\.[A-Za-z0-9]+$', ''), '^master_cv_', ''), '_-', '  '), '\\s*\\d+\\s*$', '')") + ", '')"
 
 
 @register(f"select id, {LABEL_SQL} as label, translate(name, '<>:\"/\\|?*', '_________') as safe, case when length(name) > 8 then left(name, 8) || '…' else name end as short from {LABELS}")
 def cv_labels(spark, d):
-    return spark.sql(f"select * from {LABELS}").select(
+    return _over(spark, d, LABELS, "part").select(
         "id", X.cv_label("name", "master_cv_").alias("label"), X.safe_filename("name").alias("safe"),
         X.shortened("name", 8, "…").alias("short"),
     )
@@ -296,21 +307,24 @@ def title_prescreen(spark, d):
     return view(spark, d, "v_parts").select("job_id", filters.title_prescreen(SKILLS).alias("worth"))
 
 
-SKILL_ROWS = "(values (0,0,'Python',3.0),(0,1,'CFD',9.0),(0,2,'Technical writing',5.0),(1,0,'python',8.0),(1,1,'CFD',1.0),(1,2,'Sales',5.0),(1,3,'Go',2.0)) as t(variant_ord, ord, skill, weight)"
+# Five profiles: the first word of each part's name is a skill of one of them.
+SKILL_ROWS = (
+    "(select p_partkey % 5 variant_ord, p_partkey ord, case when p_partkey % 3 = 0 then upper(split_part(p_name, ' ', 1)) else split_part(p_name, ' ', 1) end skill, case when p_partkey % 7 = 0 then null else p_retailprice end weight from part) t"
+)
 
 
-@register(f"select skill, weight from (select *, row_number() over (partition by skill order by variant_ord, ord) rn from {SKILL_ROWS}) where rn = 1 order by weight desc, variant_ord, ord limit 4")
+@register(f"select skill, coalesce(weight, 0) as weight from (select *, row_number() over (partition by skill order by variant_ord, ord) rn from {SKILL_ROWS}) where rn = 1 order by coalesce(weight, 0) desc, variant_ord, ord limit 200")
 def top_skills(spark, d):
-    return score.top_skills(spark.sql(f"select variant_ord, ord, skill, cast(weight as double) weight from {SKILL_ROWS}"), 4)
+    return score.top_skills(_over(spark, d, SKILL_ROWS, "part"), 200)
 
 
 @register(
-    f"with s as (select ord, skill from {SKILL_ROWS} where variant_ord = 1 and lower(skill) not in ('sales') and length(skill) > 3 order by ord limit 20), qs as (select 'remote ' || lower(skill) as query from s union select 'remote technical sales engineer') "
+    f"with s as (select ord, skill from {SKILL_ROWS} where variant_ord = 1 and lower(skill) not in ('azure', 'red') and length(skill) > 3 order by ord limit 20), qs as (select 'remote ' || lower(skill) as query from s union select 'remote technical sales engineer') "
     "select query, cast(len(string_split(query, ' ')) as int) as n_words, case when len(string_split(query, ' ')) >= 3 then 'specific' else 'broad' end as tier from qs"
 )
 def search_queries(spark, d):
-    rows = spark.sql(f"select ord, skill from {SKILL_ROWS} where variant_ord = 1")
-    return score.search_queries(rows, ["sales"], packs=["remote technical sales engineer"])
+    rows = _over(spark, d, SKILL_ROWS, "part").where("variant_ord = 1").select("ord", "skill")
+    return score.search_queries(rows, ["azure", "red"], packs=["remote technical sales engineer"])
 
 
 @register(with_("v_jobs") + f"select id from v_jobs where extracted_date is null or extracted_date >= {NOW} - interval 400 day")
@@ -324,16 +338,19 @@ def link_budget(spark, d):
     return filters.within_budget(view(spark, d, "v_parts"), F.col("job_id") % 3 > 0, 100).select("job_id")
 
 
-PROBES = "(values (1,200,200,'open role'),(2,404,cast(null as int),''),(3,405,200,'this job has expired'),(4,403,403,''),(5,cast(null as int),cast(null as int),''),(6,200,200,'Position has been FILLED'),(7,405,200,'fine'))as t(id, head_status, get_status, body)"
+# A probe of every page: statuses, redirects refused, bodies of expired postings.
+PROBES = (
+    "(select page_id id, case page_id % 7 when 0 then null when 1 then 404 when 2 then 405 when 3 then 403 when 4 then 301 else 200 end head_status, case page_id % 5 when 0 then null when 1 then 403 when 2 then 410 else 200 end get_status, "
+    "concat(html, case page_id % 4 when 0 then '<b>This job has EXPIRED</b>' when 1 then 'Position has been filled' else '' end) body, case page_id % 13 when 0 then 'http://127.0.0.1/x' when 1 then '' else url end link from pages) t"
+)
 
 
 @register(
     f"select id, coalesce(not (head_status is null or head_status in (404, 410)) and (case when head_status >= 400 then get_status else coalesce(get_status, head_status) end) < 400 and not {Q.any_of('lower(body)', V.EXPIRED_PHRASES)}, false) as active, "
-    f"not coalesce(get_status in (404, 410) or (get_status = 200 and {Q.any_of('lower(body)', V.EXPIRED_MARKERS)}), false) as live from {PROBES}"
+    f"not coalesce(link = '' or link = 'http://127.0.0.1/x' or get_status in (404, 410) or (get_status = 200 and {Q.any_of('lower(body)', V.EXPIRED_MARKERS)}), false) as live from {PROBES}"
 )
 def link_probes(spark, d):
-    rows = spark.sql(f"select * from {PROBES}").withColumn("link", F.lit("https://example.org/x"))
-    return rows.select("id", filters.link_active().alias("active"), filters.link_live().alias("live"))
+    return _over(spark, d, PROBES, "pages").select("id", filters.link_active().alias("active"), filters.link_live().alias("live"))
 
 
 # --- digests ---
@@ -728,12 +745,15 @@ def board_union(spark, d):
     return out.select("title", "source", "description", "link", "location", "salary", "date_posted")
 
 
-COMPANIES = "(values ('A','greenhouse','a'),('B','unknown','b'),('C','lever',''),('D','Workday','d'),('E','successfactors','e')) as t(name, ats, slug)"
+COMPANIES = (
+    "(select c_name name, case c_custkey % 9 when 0 then 'greenhouse' when 1 then 'Workday' when 2 then 'unknown' when 3 then 'LEVER' when 4 then 'successfactors' when 5 then null when 6 then '' when 7 then 'ashby' else 'smart recruiters' end ats, "
+    "case when c_custkey % 5 = 0 then '' when c_custkey % 11 = 0 then null else concat('s', c_custkey) end slug from customer) t"
+)
 
 
-@register(f"select name, ats, slug from {COMPANIES} where name in ('A', 'D', 'E')")
+@register(f"select name, ats, slug from {COMPANIES} where lower(ats) in {Q.in_list([*boards.READERS, 'successfactors'])} and coalesce(slug, '') <> ''")
 def company_config(spark, d):
-    return boards.companies(spark.sql(f"select * from {COMPANIES}"))
+    return boards.companies(_over(spark, d, COMPANIES, "customer"))
 
 
 RESULTS = (
@@ -894,4 +914,4 @@ def daily_search(spark, d):
     return kept.withColumn("place", place).where("place <= 2").select("job_id", "company", "title", "relevance_score", "best_cv", "place")
 
 
-from millrace.plans import more  # noqa: E402, F401  the further queries register themselves here
+from millrace.plans import feeds, more  # noqa: E402, F401  the further queries register themselves here
