@@ -10,7 +10,7 @@ from millrace.functions import addresses
 from millrace.functions import text as X
 from millrace.functions import vocab as V
 from millrace.functions.rounds import materialise, work_folder
-from millrace.operators import dedup, digest, enrich, filters, health, index, ledger, mail, reports, score, store
+from millrace.operators import dedup, digest, enrich, filters, health, index, ledger, mail, reports, runs, score, store
 from millrace.plans import queries as P
 from millrace.plans import readers
 from millrace.plans import sql as Q
@@ -240,6 +240,32 @@ def paged_failures(spark, d):
     return _paged_scan(spark, d).where("error is not null").select("board", "error")
 
 
+# A run over all sources of the jobs, one that can't be made, one that fails on the way and an empty one.
+def _watched(spark, d):
+    jobs = view(spark, d, "v_jobs").select("id", "source", "link")
+    names = [r["source"] for r in jobs.select("source").distinct().collect()]
+    made = {n: (lambda n=n: jobs.where(F.col("source") == n)) for n in names}
+    broken = {
+        "Missing": lambda: jobs.where("no_such_column > 0"), "Failing": lambda: jobs.withColumn("link", F.when(F.col("id") % 100 == 50, F.raise_error(F.lit("page 3 is no page"))).otherwise(F.col("link"))),
+        "Nothing": lambda: jobs.where("id < 0"),
+    }
+    return runs.run(spark, made | broken, {n: k for k, n in enumerate(sorted(names))})
+
+
+@register(
+    with_("v_jobs") + "select source, cast(row_number() over (order by source) - 1 as int) as queries, count(*) as raw_count, cast(null as varchar) as error from v_jobs group by source union all "
+    "select 'Missing', 0, 0, 'AnalysisException' union all select 'Failing', 0, 0, 'page 3 is no page' union all select 'Nothing', 0, 0, null"
+)
+def watched_run(spark, d):
+    told = F.when(F.contains("error", F.lit("page 3 is no page")), "page 3 is no page").otherwise(F.substring_index("error", ":", 1))
+    return _watched(spark, d)[1].select("source", "queries", "raw_count", told.alias("error"))
+
+
+@register(with_("v_jobs") + "select id, source, link from v_jobs")
+def watched_rows(spark, d):
+    return _watched(spark, d)[0]
+
+
 # Two runs have seen the links of two thirds of the jobs; the batch has all of them, tracked, repeated or without a link.
 @register(with_("v_jobs") + "select id from v_jobs where id % 3 = 0 or id % 10 = 9")
 def ledger_unseen(spark, d):
