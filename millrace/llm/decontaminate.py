@@ -5,11 +5,13 @@ it while the length of the longest match that ends at each word is tracked. A wo
 window covers it. A window is any run of ``window`` words of one item; an item with fewer words (but not none) is a
 window as a whole.
 
-Only narrow transformations touch the documents: no shuffle, and each task holds one automaton, whose size is bounded by
-``MAX_AUTOMATON_WORDS``. A larger benchmark is cut into several automata that the documents pass one after the other.
+Only narrow transformations touch the documents: no shuffle, and they are read once and never written. A task holds one automaton of at most ``MAX_AUTOMATON_WORDS`` words. Of a
+larger benchmark it holds the items' texts and the sorted hashes of their windows: these tell which items can have a window in a document (a few documents have any), and the automaton of just
+these items, made when it is first needed, tells which do. So hashes only spare work, words decide. A benchmark of more than ``MAX_WORDS`` words, about 150 MB of a Python process, is cut into parts that the documents pass
+one after the other, each pass written.
 
 Defined cases: a null or empty text has no words and no hits; a benchmark that is empty, or holds only nulls, hits
-nothing; repeated benchmark rows count once by ``item_id``; repeated documents each give their own row; rows with a null
+nothing; very long texts are scanned whole; ``longest`` is 0 where no window occurs; repeated benchmark rows count once by ``item_id``; repeated documents each give their own row; rows with a null
 ``doc_id`` are kept; extra columns are ignored by ``scan_documents`` and kept by ``decontaminate``.
 """
 
@@ -18,15 +20,18 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.common import free_name, materialise, pick
 
-#: Words that one automaton holds at most (an automaton has at most two states for each).
-MAX_AUTOMATON_WORDS = 200_000
+#: Words that one automaton holds at most (an automaton has at most two states for each), and words of the benchmark that a task holds at most.
+MAX_AUTOMATON_WORDS, MAX_WORDS = 200_000, 4_000_000
+_STEPS = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(64)], np.uint64)
 #: Bytes of words, ASCII letters in lower case; everything else becomes a space.
 WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
@@ -157,11 +162,83 @@ class WindowAutomaton:
         return spans, found, longest
 
 
+def _window_hashes(words: list[bytes], sizes: list[int]) -> dict[int, np.ndarray]:
+    """By size the hashes of all runs of so many words."""
+    own = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    out: dict[int, np.ndarray] = {}
+    run = np.zeros(0, np.uint64)
+    for k in range(min(max(sizes, default=0), len(words))):
+        run = (run[:-1] if k else np.zeros(len(own), np.uint64)) + own[k:] * (_STEPS[k % 64] + np.uint64(k))
+        if k + 1 in sizes:
+            out[k + 1] = run
+    return out
+
+
+class RoutedItems:
+    """Items of any number of words: hashes of windows choose those whose automaton scans a document."""
+
+    def __init__(self, items: list[tuple[str, list[bytes]]], window: int, most: int) -> None:
+        self.window, self.most = window, most
+        self.names = [item for item, _ in items]
+        self.texts = [b" ".join(words) for _, words in items]
+        found: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
+        for k, (_, words) in enumerate(items):
+            size = min(window, len(words))
+            for n, hashes in _window_hashes(words, [size]).items():
+                keys, owners = found.setdefault(n, ([], []))
+                keys.append(np.unique(hashes))
+                owners.append(np.full(len(keys[-1]), k, np.int32))
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n, (keys, owners) in found.items():
+            all_, own = np.concatenate(keys), np.concatenate(owners)
+            order = np.argsort(all_, kind="stable")
+            self.tables[n] = all_[order], own[order]
+        self.made: dict[tuple[int, ...], WindowAutomaton] = {}
+        self.held = 0
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"made": {}, "held": 0}
+
+    def _candidates(self, words: list[bytes]) -> list[int]:
+        out: set[int] = set()
+        for n, hashes in _window_hashes(words, list(self.tables)).items():
+            keys, owners = self.tables[n]
+            hashes = np.unique(hashes)
+            first, end = np.searchsorted(keys, hashes), np.searchsorted(keys, hashes, "right")
+            for a, b in zip(first[end > first].tolist(), end[end > first].tolist(), strict=True):
+                out.update(owners[a:b].tolist())
+        return sorted(out)
+
+    def _automaton(self, items: tuple[int, ...], n: int) -> WindowAutomaton:
+        if items not in self.made:
+            if self.held + n > self.most:
+                self.made, self.held = {}, 0
+            self.made[items] = WindowAutomaton([(self.names[k], self.texts[k].split(b" ")) for k in items], self.window)
+            self.held += n
+        return self.made[items]
+
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str], int]:
+        """As an automaton's; candidates of more words than one may hold are scanned part by part."""
+        spans: list[tuple[int, int]] = []
+        found: set[str] = set()
+        longest = n = 0
+        part: list[int] = []
+        candidates = self._candidates(words)
+        for at, k in enumerate(candidates):
+            part.append(k)
+            n += self.texts[k].count(b" ") + 1
+            if n >= self.most or at == len(candidates) - 1:
+                own, items, size = self._automaton(tuple(part), n).scan(words)
+                spans, found, longest = _union(spans + own), found | items, max(longest, size)
+                part, n = [], 0
+        return spans, found, longest
+
+
 def _matcher(automaton_of, text_name: str, match_name: str):
     """The function for ``mapInArrow`` over rows with a text in bytes and earlier matches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton: WindowAutomaton = automaton_of.value
+        automaton: WindowAutomaton | RoutedItems = automaton_of.value
         for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             texts = batch.column(batch.schema.get_field_index(text_name)).to_pylist()
             before = batch.column(batch.schema.get_field_index(match_name)).to_pylist()
@@ -169,6 +246,7 @@ def _matcher(automaton_of, text_name: str, match_name: str):
             for text, match in zip(texts, before, strict=True):
                 words = words_of(text) if text else []
                 spans, found, longest = automaton.scan(words)
+                longest = longest if spans else 0
                 if match:
                     found |= set(match["items"])
                     longest = max(longest, match["longest"])
@@ -192,8 +270,8 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _automata(benchmark: DataFrame, id_col: str, text_col: str, window: int, max_words: int):
-    """One automaton after the other, each collected within the bound."""
+def _automata(benchmark: DataFrame, id_col: str, text_col: str, window: int, max_words: int, automaton_words: int):
+    """What the documents pass, one after the other, each collected within the bound."""
     items = pick(benchmark, item=id_col, text=text_col).select(F.col("item").cast("string").alias("item"), "text").where("text is not null")
     n_words = F.size(F.split(F.regexp_replace("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " "), " "))
     total = items.select(F.sum(n_words).alias("n")).first()["n"] or 0
@@ -201,12 +279,14 @@ def _automata(benchmark: DataFrame, id_col: str, text_col: str, window: int, max
     for shard in range(shards):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == shard) if shards > 1 else items
         rows = sorted({(r["item"] or "", r["text"]) for r in part.collect()})
-        yield WindowAutomaton([(item, words_of(text.encode())) for item, text in rows], window)
+        own = [(item, words_of(text.encode())) for item, text in rows]
+        small = sum(len(words) for _, words in own) <= automaton_words
+        yield WindowAutomaton(own, window) if small else RoutedItems([(item, words) for item, words in own if words], window, automaton_words)
 
 
 def match_documents(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    window: int = 10, max_words: int = MAX_AUTOMATON_WORDS, then=None,
+    window: int = 10, max_words: int = MAX_WORDS, automaton_words: int = MAX_AUTOMATON_WORDS, then=None,
 ) -> DataFrame:
     """``docs`` with all its columns, with its texts in bytes and, last, the struct of its matches: see ``MATCHES``. then: makes
     what the last pass does with these rows in the same task, giving rows of ``docs``."""
@@ -214,7 +294,7 @@ def match_documents(
     text_name, match_name = free_name(docs, "__text"), free_name(docs, "__match")
     out = docs.withColumn(text_name, docs[text_col].cast("binary")).withColumn(match_name, F.lit(None).cast(MATCHES))
     before = None
-    for automaton in _automata(benchmark, item_col, item_text_col, window, max_words):
+    for automaton in _automata(benchmark, item_col, item_text_col, window, max_words, automaton_words):
         if before is not None:
             out = materialise(out.mapInArrow(before, out.schema), "matches")
         before = _matcher(spark.sparkContext.broadcast(automaton), text_name, match_name)

@@ -1,9 +1,11 @@
+import os
 import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
 from millrace.llm import decontaminate as D
+from millrace.llm.common import work_folder
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -31,12 +33,12 @@ def cases():
     return docs, items
 
 
-@pytest.mark.parametrize(("window", "max_words"), [(4, 10**6), (10, 10**6), (4, 20)])
-def test_against_brute_force(spark, window, max_words):
+@pytest.mark.parametrize(("window", "max_words", "automaton_words"), [(4, 10**6, 10**6), (10, 10**6, 10**6), (4, 20, 20), (4, 10**6, 0), (10, 10**6, 20), (4, 60, 7)])
+def test_against_brute_force(spark, window, max_words, automaton_words):
     docs, items = cases()
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], "doc_id long, text string, items string, __x int").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = D.scan_documents(df, bench, window=window, max_words=max_words).collect()
+    got = D.scan_documents(df, bench, window=window, max_words=max_words, automaton_words=automaton_words).collect()
     assert sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got) == sorted((i, *brute(t, items, window)) for i, t in docs)
 
 
@@ -55,3 +57,20 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert [tuple(r)[:3] for r in D.scan_documents(docs, bench).collect()] == [(1, 2, 0)]
     assert D.scan_documents(docs.limit(0), bench).count() == 0
+
+
+def test_two_million_words_of_benchmark_in_one_pass(spark):
+    """Documents are read once and nothing is written; repeated passages share an automaton."""
+    r = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    items = [(k, " ".join(r.choices(vocabulary, k=100))) for k in range(20_000)]
+    docs = [(k, " ".join(r.choices(vocabulary, k=60)) + " " + (" ".join(items[k][1].split()[20:35]) if k % 3 == 0 else "") + " end") for k in range(300)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    had = set(os.listdir(work_folder(spark).removeprefix("file://"))) if os.path.isdir(work_folder(spark).removeprefix("file://")) else set()
+    steps = lambda: set(os.listdir(os.path.join(work_folder(spark).removeprefix("file://"), "millrace"))) if "millrace" in had else set()
+    before = steps()
+    got = D.scan_documents(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), bench)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    rows = {x.doc_id: x for x in got.collect()}
+    assert steps() == before and plan.count("MapInArrow") == 1
+    assert all((x.n_hit, x["items"]) == ((15, [str(k)]) if k % 3 == 0 else (0, [])) for k, x in rows.items()) and len(rows) == 300
