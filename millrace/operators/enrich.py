@@ -96,9 +96,11 @@ def followed(links: DataFrame, hops: DataFrame, most: int = 5) -> DataFrame:
 
 
 def flattened_domains(profiles: DataFrame) -> DataFrame:
-    """One row: all profiles' key domains (key_domains: array), each once, in order."""
-    lists = F.transform(F.array_sort(F.collect_list(F.struct("ord", "key_domains"))), lambda x: x["key_domains"])
-    return profiles.agg(F.array_distinct(F.flatten(lists)).alias("key_domains"))
+    """One row: all profiles' key domains (key_domains: array), each once, in order. Only each domain's first place reaches the last task."""
+    rows = profiles.select("ord", F.posexplode("key_domains").alias("at", "domain")).where("domain is not null")
+    first = rows.groupBy("domain").agg(F.min(F.struct("ord", "at")).alias("place"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "domain"))), lambda x: x["domain"])
+    return first.agg(listed.alias("key_domains"))
 
 
 def as_json(rows: DataFrame) -> DataFrame:

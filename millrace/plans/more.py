@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
@@ -10,12 +11,12 @@ from millrace.functions import addresses
 from millrace.functions import text as X
 from millrace.functions import vocab as V
 from millrace.functions.rounds import materialise, work_folder
-from millrace.operators import dedup, digest, enrich, filters, health, index, ledger, mail, reports, runs, score, store
+from millrace.operators import dated, dedup, digest, enrich, filters, health, index, ledger, mail, reports, runs, score, store
 from millrace.plans import queries as P
 from millrace.plans import readers
 from millrace.plans import sql as Q
 from millrace.plans.queries import NOW, VARIANTS, register
-from millrace.plans.views import view, with_
+from millrace.plans.views import AS_OF, view, with_
 from millrace.sources import boards, paged
 
 # --- text ---
@@ -278,6 +279,19 @@ def ledger_unseen(spark, d):
     return book.unseen(batch).select("id")
 
 
+# Jobs by month, put in two batches; the second has new values of some; retention drops days but for what has a letter.
+@register(
+    with_("v_jobs") + f"select id, case when id % 4 = 1 then 'again' else source end as source from v_jobs where extracted_date >= {NOW} - interval 400 day or id % 97 = 0"
+)
+def dated_retention(spark, d):
+    rows = view(spark, d, "v_jobs").select("id", "source", F.col("extracted_date").cast("timestamp").alias("extracted_date"))
+    jobs = dated.DatedStore(spark, f"{work_folder(spark)}/millrace/jobs-{uuid.uuid4().hex}", "id long, source string, extracted_date timestamp", "month")
+    jobs.put(rows.where("id % 4 < 3"))
+    jobs.put(rows.where("id % 2 = 1").withColumn("source", F.when(F.col("id") % 4 == 1, "again").otherwise(F.col("source"))))
+    jobs.retain(rows.where("id % 97 = 0").select(F.col("id").alias("job_id")), datetime.fromisoformat(AS_OF), 400)
+    return jobs.rows().select("id", "source")
+
+
 # --- edits of stored rows ---
 
 
