@@ -87,3 +87,10 @@ def test_cards_within_cards(spark):
     <h4 class="subtitle">O <b>Co</b></h4><p class="job__LOCATION">Bonn</p><time datetime="2024-01-02">x</time></li></ul>"""
     got = boards.guest_cards(spark.createDataFrame([(html,), (None,), ("<li>",)], "html string"), "q").orderBy("title").collect()
     assert [(r.title, r.company, r.link, r.location, r.date_posted) for r in got] == [("Inner", "I Co", "https://i.org/2", "Remote", None), ("Outer", "I Co", "https://i.org/2", "Bonn", "2024-01-02")]
+
+
+def test_cut_references_are_plain_text():
+    html = "<h1>a &amp;&amp;&amp</h1><p>b &&& &lt &#39; &eacute;</p><script>x && y &lt</script><a href='?a=1&copy=2&amp;b=3'>c&d</a>"
+    assert texts(html, "h1") == ["a &&&amp"] and texts(html, "p") == ["b &&& &lt ' é"] and texts(html, "script") == ["x && y &lt"]
+    page = Page(html)
+    assert page.elements[next(page.select("a"))].attrs["href"] == "?a=1&copy=2&b=3" and texts(html, "a") == ["c&d"]
