@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.functions.rounds import materialise, materialise_by, work_folder  # noqa: F401
+from millrace.functions.rounds import BATCH_BYTES, materialise, materialise_by, small_batches, work_folder  # noqa: F401
 
 #: ASCII upper case to lower case; every other byte stays.
 LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -17,19 +15,6 @@ def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Bytes of the batches of rows that go to Python at once.
-BATCH_BYTES = 8 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's bound on the bytes of a batch to ``BATCH_BYTES``: texts may be long, and the bound by rows alone lets a
-    batch of them take a tenth of an executor."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    number, unit = re.fullmatch(r"(\d+)\s*([bkmgtp]?)[a-z]*", spark.conf.get(name, "1g").lower()).groups()
-    if int(number) * 1024 ** "bkmgtp".index(unit or "b") > BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
-
-
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operators' own names, so that extra columns never clash."""
     small_batches(df.sparkSession)

@@ -71,3 +71,23 @@ def test_snippets(spark, docs):
 def test_empty(spark):
     none = spark.createDataFrame([], "id long, x string")
     assert index.search(index.build(none, "id", "x"), spark.createDataFrame([(1, ["a"])], "qid long, phrases array<string>")).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_many_blocks_and_repeated_queries(spark, docs, kind):
+    own = [(k if kind == "long" else f"t{k}", t) for k, t in docs]
+    queries = [(k, [["the of"], ["w1 the", "of"], ["w3 w1 of"], ["w7"], ["w2", "nowhere"]][k % 5]) for k in range(100)]
+    made = index.build(spark.createDataFrame(own, f"id {kind}, x string").repartition(4), "id", "x", 20)
+    got = index.search(made, spark.createDataFrame(queries, "qid long, phrases array<string>"), 4, block=300)
+    assert sorted(map(tuple, got.collect())) == plain(own, queries, 4)
+
+
+def test_only_the_bests_of_a_block_leave_it(spark, docs, monkeypatch):
+    """What is written for queries of hot words doesn't grow with the texts that hold them."""
+    written = {}
+    once = index.materialise
+    monkeypatch.setattr(index, "materialise", lambda df, name: written.setdefault(name, once(df, name)))
+    made = index.build(spark.createDataFrame(docs, "id long, x string"), "id", "x")
+    written.clear()
+    index.search(made, spark.createDataFrame([(k, ["the of the"]) for k in range(50)] + [(99, ["of w1 the"])], "qid long, phrases array<string>"), 3).collect()
+    assert max(df.count() for name, df in written.items() if name != "asked") <= 6
