@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
+from millrace.functions.rounds import small_batches
 
+#: Mails whose fields are in memory at once.
+SLICE_ROWS = 500
 SCHEMA = "message_id string, subject string, sender string, date timestamp, body string, html string"
 
 
@@ -33,11 +36,13 @@ def mails(raw: DataFrame, column: str = "content") -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         for batch in batches:
-            rows = [_decoded(r) for r in batch[column]]
-            out = pd.DataFrame([tuple(str(v) if v is not None and not isinstance(v, pd.Timestamp) else v for v in r) for r in rows], columns=names)
-            out["date"] = pd.to_datetime(out["date"])
-            yield out
+            for k in range(0, len(batch), SLICE_ROWS):
+                rows = [_decoded(r) for r in batch[column].iloc[k : k + SLICE_ROWS]]
+                out = pd.DataFrame([tuple(str(v) if v is not None and not isinstance(v, pd.Timestamp) else v for v in r) for r in rows], columns=names)
+                out["date"] = pd.to_datetime(out["date"])
+                yield out
 
+    small_batches(raw.sparkSession)
     out = raw.select(column).mapInPandas(run, SCHEMA)
     body = F.coalesce(F.nullif(X.collapse(X.text("body")), F.lit("")), X.strip_html("html"))
     return out.withColumn("body", body)
