@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from millrace.functions.rounds import work_folder
+from millrace.functions.rounds import materialise, work_folder
 from millrace.plans import sql as Q
 from millrace.plans.queries import register
 from millrace.plans.views import view, with_
@@ -38,8 +38,8 @@ RSS_SQL = (
 )
 def read_rss(spark, d):
     """A board of many companies, and one company's own feed."""
-    folder = _xml(spark, view(spark, d, "v_jobs"), ITEM)
-    both = boards.rss(spark, folder, "WeWorkRemotely").unionByName(boards.rss(spark, folder, "SuccessFactors", company="Acme AG"))
+    items = materialise(boards.rss_items(spark, _xml(spark, view(spark, d, "v_jobs"), ITEM)), "items")  # XML is read once
+    both = boards.of_items(items, "WeWorkRemotely").unionByName(boards.of_items(items, "SuccessFactors", company="Acme AG"))
     return both.select("source", "title", "company", "description", "link", "location", "date_posted")
 
 

@@ -175,3 +175,13 @@ def test_incremental_merges_rewrite_touched_buckets_only(spark, tmp_path):
     folders = {v: [x for x in os.listdir(f"{table}/data/{v}") if x.startswith("__bucket")] for v in sorted(os.listdir(f"{table}/data"))}
     assert len(folders["v0000000002"]) <= 1 and len(folders["v0000000003"]) <= 2
     assert len(folders["v0000000001"]) == 7 and incremental.read_table(spark, table, 2, schema).count() == 40
+
+
+def test_items_of_a_feed_are_read_once(spark, monkeypatch):
+    from millrace.plans import feeds
+
+    read, once = [], boards.rss_items
+    monkeypatch.setattr(boards, "rss_items", lambda *a: read.append(a) or once(*a))
+    out = feeds.read_rss(spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert len(read) == 1 and "xml" not in plan.lower() and out.count() == 3000
