@@ -203,3 +203,12 @@ def test_similar_jobs_against_all_pairs(spark):
         met = [(-s if s is not None else 99, i) for i, t, s in jobs if i != seed and any(w in t.lower() for w in own)]
         want |= {(seed, k + 1): i for k, (_, i) in enumerate(sorted(met)[:5])}
     assert got == want
+
+
+def test_cells_of_hot_tokens_are_bounded_on_both_sides(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "CELL_ROWS", 10)
+    rows = spark.createDataFrame([(k, "c", ["hot", f"w{k % 7}", f"x{k}"]) for k in range(120)], "ord long, block string, tokens array<string>")
+    pairs = dedup._similar(rows, 0.5)
+    assert sorted((r.a, r.b) for r in pairs.collect()) == [(a, b) for a in range(120) for b in range(a + 1, 120) if a % 7 == b % 7]
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode(sequence(0") == 2  # either side is dealt
