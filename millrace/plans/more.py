@@ -88,7 +88,7 @@ ASKED = (
     "select job_id qid, case job_id % 3 when 0 then [array_to_string(w[6:8], ' '), array_to_string(w[10:11], ' ')] when 1 then [concat_ws(' ', w[9], w[6], w[12])] else [concat_ws(' ', w[6], 'zzqx')] end phrases from d"
 )
 PHRASES_SQL = (
-    with_("v_postings") + f", t as (select job_id, {P._page_sql('description')} x from v_postings), d as (select job_id, {_W.format(x='x')} w from t), q0 as ({ASKED}), "
+    with_("v_postings") + f", t as (select job_id, {P._page_sql('description', None)} x from v_postings), d as (select job_id, {_W.format(x='x')} w from t), q0 as ({ASKED}), "
     f"q1 as (select qid, list_filter(list_transform(phrases, lambda p: {_W.format(x='p')}), lambda p: len(p) > 0) ps from q0), q as (select qid, list_filter(ps, lambda p, i: list_position(ps, p) = i) ps from q1), p as (select qid, unnest(range(1, len(ps) + 1)) k, unnest(ps) p from q), "
     "o as (select p.qid, p.k, d.job_id id, p.p, i from p join d on list_has_all(d.w, p.p), unnest(range(1, len(d.w) - len(p.p) + 2)) u(i) where d.w[i : i + len(p.p) - 1] = p.p), "
     "e as (select qid, id, count(distinct k) has, count(*) n, min(i - 1) filter (where k = 1) pos from o group by all), "
@@ -100,7 +100,7 @@ PHRASES_SQL = (
 
 
 def _looked_up(spark, d):
-    pages = materialise(view(spark, d, "v_postings").select("job_id", X.page_text("description").alias("x")), "pages")
+    pages = materialise(view(spark, d, "v_postings").select("job_id", X.page_text("description", None).alias("x")), "pages")
     w = index.words("x")
     part = lambda a, n: F.array_join(F.slice(w, a, n), " ")
     one = lambda k: F.get(w, F.lit(k - 1))

@@ -3,8 +3,11 @@
 import random
 import re
 
+import duckdb
 import pytest
 from millrace.operators import index
+from millrace.plans import more
+from millrace.plans.queries import ORACLE_SQL
 
 R = random.Random(11)
 WORDS = ["the"] * 12 + ["of"] * 6 + [f"w{k}" for k in range(12)] + ["É", "日本", "a1"]
@@ -91,3 +94,20 @@ def test_only_the_bests_of_a_block_leave_it(spark, docs, monkeypatch):
     written.clear()
     index.search(made, spark.createDataFrame([(k, ["the of the"]) for k in range(50)] + [(99, ["of w1 the"])], "qid long, phrases array<string>"), 3).collect()
     assert max(df.count() for name, df in written.items() if name != "asked") <= 6
+
+
+def test_queries_read_whole_pages(spark, tmp_path):
+    """Finds far behind a page's first 3000 characters, in the queries as in their SQL."""
+    filler = " ".join(f"fill{k}" for k in range(700))
+    pages = [(3, "u", "<p>a b c d e one two three f four five g</p>"), (1, "u", f"<p>{filler} one two three x four five</p>"), (2, "u", f"<p>{filler} four five</p>")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = [tuple(r) for r in more.phrase_lookup(spark, str(tmp_path)).where("qid = 3").orderBy("rank").select("rank", "id", "at", "n", "broad").collect()]
+    assert found == [(1, 1, 700, 2, False), (2, 3, 5, 2, False)]
+    text = more.phrase_snippets(spark, str(tmp_path)).where("qid = 3").first().text
+    assert text == "fill695 fill696 fill697 fill698 fill699 one two three x four five a b c d e one two three f four five g"
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    for name, query in (("phrase_lookup", more.phrase_lookup), ("phrase_snippets", more.phrase_snippets)):
+        got = query(spark, str(tmp_path))
+        want = con.execute(f"select {', '.join(f'\"{c}\"' for c in got.columns)} from ({ORACLE_SQL[name]})").fetchall()
+        assert sorted(map(tuple, got.collect())) == sorted(want)
